@@ -8,17 +8,29 @@ from pyspark.sql import functions as F
 
 from . import oracles
 from .bpe import encode_documents
-from .common import table
+from .common import shared_dir, table
+from .langid import identify_language
+from .mixing import mix_sources
+from .pii import find_personal_data
 from .quality import quality_rules
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .topk import top_k
 from .url_filter import url_filter
+from .warc import page_records, write_warc
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = listed(F.filter("spans", lambda s: s["base"])).cast("binary")
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(base, 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def byte_bpe() -> dict:
     """Parameters of encode_documents for the public byte-level vocabulary."""
     return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "special": {"<|endoftext|>": 50256}}
@@ -37,16 +49,40 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fingerprint", "component_id")
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).drop("text")
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_dir(spark)
+    write_warc(table(spark, sf_dir, "pages"), folder)
+    return page_records(spark, folder)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return quality_rules(docs).drop("source")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify_language(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return out.select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
+    "op2_pii": op2_pii,
     "op3_bpe_coding": op3_bpe_coding,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_exact_top_k": op6_exact_top_k,
+    "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
+    "op10_language_id": op10_language_id,
 }
 ORACLES = {name: getattr(oracles, name.upper()) for name in QUERIES if hasattr(oracles, name.upper())}
