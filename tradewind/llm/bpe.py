@@ -126,9 +126,8 @@ def encode_chunks(c: Coder, pieces: list[bytes], ids_of) -> np.ndarray:
     return np.concatenate([*done, ids])
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], text: str = "text", digests_only: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Every row without its text, with n_tokens, ids (unless digests_only), ids_sha256, decoded_text (unless digests_only) and
-    decoded_sha256.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], text: str = "text", keep: tuple[str, ...] = ("ids", "decoded_text"), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Every row without its text, with n_tokens, ids_sha256, decoded_sha256 and, as asked for in ``keep``, ids and decoded_text.
 
     Texts are cut into content-defined chunks. A chunk that documents share is encoded once: in the block of documents that
     owns it, if several blocks hold it, whose ids then go to the others. ids_sha256 is over the decimal ids joined by commas,
@@ -165,7 +164,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
 
     kinds = docs.select(*rest).schema
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["n_tokens long"]
-    fields += ["ids_sha256 string", "decoded_sha256 string"] if digests_only else ["ids array<int>", "ids_sha256 string", "decoded_text string", "decoded_sha256 string"]
+    fields += ["ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * ("ids" in keep) + ["decoded_text string"] * ("decoded_text" in keep)
 
     def encode(table: pa.Table, told: pa.Table) -> pa.Table:
         c = own()
@@ -187,12 +186,17 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
             shas.append(hashlib.sha256(b",".join(map(names.__getitem__, listed))).hexdigest())
             text_back = c.encoding.decode_bytes(listed).decode("utf-8", "replace")
             back.append(hashlib.sha256(text_back.encode()).hexdigest())
-            if not digests_only:
-                all_ids.append(listed)
+            if "ids" in keep:
+                all_ids.append(ids)
+            if "decoded_text" in keep:
                 texts.append(text_back)
-        more = {} if digests_only else {"ids": pa.array(all_ids, pa.list_(pa.int32()))}
-        last = {} if digests_only else {"decoded_text": pa.array(texts, pa.string())}
-        return pa.table({**{x: table[x] for x in rest}, "n_tokens": pa.array(n, pa.int64()), **more, "ids_sha256": pa.array(shas, pa.string()), **last, "decoded_sha256": pa.array(back, pa.string())})
+        out = {**{x: table[x] for x in rest}, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+        if "ids" in keep:
+            flat = np.concatenate(all_ids).astype(np.int32) if all_ids else np.empty(0, np.int32)
+            out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat))
+        if "decoded_text" in keep:
+            out["decoded_text"] = pa.array(texts, pa.string())
+        return pa.table(out)
 
     held = materialize(blocked.groupBy("_block").applyInArrow(hashes, "_block int, h binary"))
     shared = held.groupBy("h").agg(F.min("_block").alias("owner"), F.count("*").alias("n")).filter("n > 1")

@@ -37,7 +37,7 @@ def byte_bpe() -> dict:
 
 
 def op3_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), **byte_bpe(), digests_only=True)
+    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), **byte_bpe(), keep=())
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -140,18 +140,18 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """Every row without its text, with fingerprint (16 hex digits), fp (signed) and component_id.
+    """Every row without its text, with fingerprint (16 hex digits), fp (signed), root and component_id.
 
     component_id is the smallest key that can be reached over fingerprints at most ``distance`` bits apart, the row itself
     included. Texts without a word (null and empty ones too) have fingerprint zero and link as any other. Rows with a null key
     get the smallest key of their component, null if there is none. Repeated rows share a component; an empty table gives an
     empty result. Columns named like a result are replaced.
     """
-    seen = materialize(fingerprints(docs.drop("fp", "component_id", "fingerprint"), text, shingle))
+    seen = materialize(fingerprints(docs.drop("fp", "root", "component_id", "fingerprint"), text, shingle))
     distinct = materialize(seen.groupBy("fp").agg(F.min(key).alias("_least")))
     roots = connected_components(near_links(distinct, distance))
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("_least").alias("component_id"))
-    named = materialize(labelled.join(least, "root").select("fp", "component_id"))
+    named = materialize(labelled.join(least, "root").select("fp", "root", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return seen.join(named, "fp").select(*[c for c in seen.columns if c != "fp"], hexed.alias("fingerprint"), "fp", "component_id")
+    return seen.join(named, "fp").select(*[c for c in seen.columns if c != "fp"], hexed.alias("fingerprint"), "fp", "root", "component_id")
