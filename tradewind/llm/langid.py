@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4)
 _LETTER = re.compile(rb"[A-Za-z]")
@@ -114,8 +116,8 @@ def identify_language(docs: DataFrame, text: str = "text", lang: str = "lang", k
     body = F.col(text).cast("binary")
     fold = F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
     pool = docs.filter(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(key).isNotNull() & ~fold)
-    sample = pool.select(body.alias("x"), F.col(lang).cast("string").alias("y"), F.xxhash64(F.col(key).cast("string")).alias("h")).orderBy("h", "y", "x").limit(train_docs)
-    model = docs.sparkSession.sparkContext.broadcast(train([(bytes(r.x), r.y) for r in sample.collect()]))
+    sample = bounded_sample(pool, train_docs, F.xxhash64(F.col(key).cast("string")), F.col(lang).cast("string").alias("y"), body.alias("x"))
+    model = docs.sparkSession.sparkContext.broadcast(train([(bytes(r.x), r.y) for r in sample]))
     frame = docs.select(body.alias("_text"), *rest, fold.alias("held_out"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema]
     schema = ", ".join([*fields, "held_out boolean", "lang_pred string", "score double", "accepted boolean"])

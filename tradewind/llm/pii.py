@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -282,13 +284,13 @@ def redact(text: str, spans: list[tuple]) -> str:
     return "".join([*out, text[pos:]])
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", train_docs: int = 2000, sure: float = 0.9, redacted: bool = False) -> DataFrame:
+def find_personal_data(docs: DataFrame, text: str = "text", train_docs: int = 6000, sure: float = 0.9, redacted: bool = False) -> DataFrame:
     """Every row without its text, with n_email, n_ip, n_card, n_phone (base spans), spans (all, with a flag for base ones), and
     the text with all spans replaced (column ``redacted``) if asked for.
 
     Rules find the base spans. Tokens with digits or an @ form a graph per document: neighbours are chained, and repeated or
-    similar tokens are linked over any distance. The model is fitted on the driver from at most train_docs documents that hold
-    a digit or an @ (those with the smallest hashes), labelled by the rules and by mentions(). Loopy message passing then labels every document; tokens
+    similar tokens are linked over any distance. The model is fitted on the driver from those of train_docs documents (with the
+    smallest hashes) that hold a digit or an @, labelled by the rules and by mentions(). Loopy message passing then labels every document; tokens
     with a kind at probability ``sure`` or more become further spans.
 
     Null and empty texts have no spans (a null text stays null when redacted). Repeated rows get the same result; an empty
@@ -296,8 +298,8 @@ def find_personal_data(docs: DataFrame, text: str = "text", train_docs: int = 20
     """
     added = [f"n_{k}" for k in KINDS] + ["spans"] + ["redacted"] * redacted
     rest = [c for c in docs.columns if c != text and c not in added]
-    sample = docs.select(F.col(text).alias("t")).filter(F.col("t").rlike("[0-9@]")).orderBy(F.xxhash64("t"), "t").limit(train_docs)
-    model = train([r.t for r in sample.collect()])
+    sample = bounded_sample(docs.filter(F.col(text).isNotNull()), train_docs, F.xxhash64(text, *rest), F.when(F.col(text).rlike("[0-9@]"), F.col(text)).alias("t"))
+    model = train([r.t for r in sample if r.t])
     frame = docs.select(F.col(text).alias("_text"), *rest)
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema] + [f"n_{k} long" for k in KINDS] + [f"spans {SPANS}"] + ["redacted string"] * redacted
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
