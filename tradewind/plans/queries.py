@@ -251,9 +251,9 @@ def parse_price(spark, sf):
     return listings(spark, sf).select("ad_id", P.parse_price(_ad_text(), currency="toman", billion="billion", million="million", no_price=()).alias("price"))
 
 
-@query("select ad_id, cast(year as int) as "year" from ads", ads=True)
+@query("select ad_id, cast(year as int) model_year from ads", ads=True)
 def parse_year(spark, sf):
-    return listings(spark, sf).select("ad_id", P.parse_year(_ad_text(), label="year").alias("year"))
+    return listings(spark, sf).select("ad_id", P.parse_year(_ad_text(), label="year").alias("model_year"))
 
 
 @query("select ad_id, mileage from ads", ads=True)
