@@ -77,10 +77,10 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     total = max(1, n * len(ball))
     blocks = max(shuffle_partitions(spark), -(-total // TASK_KEYS))
     n_parts = power_of_two(max(shuffle_partitions(spark) / 2, total / TASK_KEYS))
-    # So many leading bits that about 2**16 variants meet by chance, however many there are.
-    bits = min(64, max(24, n_parts.bit_length() + 1, int(np.ceil(2 * np.log2(total))) - 17))
+    # So many leading bits that about one variant in 2**12 meets another by chance, however many there are.
+    bits = min(64, max(24, n_parts.bit_length() + 1, int(np.ceil(np.log2(total))) + 12))
     cut = U64(64 - bits)
-    blocked = fps.select("fp", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int").alias("block"))
+    blocked = fps.select("fp", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
 
     def variants(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         own = table["fp"].to_numpy().view(U64)
