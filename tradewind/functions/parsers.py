@@ -18,6 +18,10 @@ def group(text: Column, pattern: str, k: int = 1) -> Column:
     return F.regexp_extract(text, pattern, k)
 
 
+def _matchable(text: Column, normalized: bool) -> Column:
+    return text if normalized else normalize_match(text)
+
+
 def parse_integer(c: Column) -> Column:
     """Without separators (comma, Arabic comma and thousands mark, dot, white space); null unless digits are left."""
     cleaned = F.regexp_replace(normalize_digits(c), r"[,،٬.\s]", "")
@@ -71,7 +75,7 @@ def price_peer(text: Column, low: int = 30 * MILLION, high: int = 100 * BILLION)
     return F.when(let(compact_text(text), lambda t: first_phrase(t, L.NO_PRICE_PHRASES)).isNull(), plausible_price(found.cast("bigint"), low, high))
 
 
-def parse_price(text: Column, currency: str = "تومان|تومن", billion: str = "میلیارد|ملیارد", million: str = "میلیون|ملیون", no_price: Sequence[str] = ("توافقی", "تماس بگیرید", "قیمت در تماس", "قیمت تماس"), low: int = MILLION, high: int = 500 * BILLION) -> Column:
+def parse_price(text: Column, currency: str = "تومان|تومن", billion: str = "میلیارد|ملیارد", million: str = "میلیون|ملیون", no_price: Sequence[str] = ("توافقی", "تماس بگیرید", "قیمت در تماس", "قیمت تماس"), low: int = MILLION, high: int = 500 * BILLION, normalized: bool = False) -> Column:
     """Prior-history pipeline: a currency amount, billions, millions, or a bare number of 7 to 12 digits, each within the range."""
     amount = lambda t, p, by: between(parse_integer(group(t, p)) * by, low, high)
 
@@ -85,7 +89,7 @@ def parse_price(text: Column, currency: str = "تومان|تومن", billion: st
         )
         return F.when(first_phrase(t, no_price).isNull(), first) if no_price else first
 
-    return let(normalize_match(text), found)
+    return let(_matchable(text, normalized), found)
 
 
 def price_card(parts: Column, currency: str = "تومان|تومن") -> Column:
@@ -103,9 +107,9 @@ def _full_year(raw: Column) -> Column:
     ).when(n.between(1300, 1499) | n.between(2000, 2100), n)
 
 
-def parse_year(text: Column, label: str = "مدل|سال") -> Column:
+def parse_year(text: Column, label: str = "مدل|سال", normalized: bool = False) -> Column:
     """Prior-history pipeline: labelled years of 2 to 4 digits, then bare ones; the first acceptable counts."""
-    raw = let(normalize_match(text), lambda t: F.concat(F.regexp_extract_all(t, F.lit(rf"(?:{label})\s*([0-9]{{2,4}})"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"(?<![0-9])(13[0-9]{2}|14[0-9]{2}|20[0-9]{2})(?![0-9])"), F.lit(1))))
+    raw = let(_matchable(text, normalized), lambda t: F.concat(F.regexp_extract_all(t, F.lit(rf"(?:{label})\s*([0-9]{{2,4}})"), F.lit(1)), F.regexp_extract_all(t, F.lit(r"(?<![0-9])(13[0-9]{2}|14[0-9]{2}|20[0-9]{2})(?![0-9])"), F.lit(1))))
     return F.get(F.filter(F.transform(raw, _full_year), lambda y: y.isNotNull()), 0)
 
 
@@ -137,13 +141,13 @@ def normalize_year(c: Column) -> Column:
     return F.when(n.between(0, 99), n + 1300).when(n.between(100, 999), n + 1000).when(n.between(1300, 1499) | n.between(2000, 2100), n).cast("int")
 
 
-def parse_mileage(text: Column, label: str = "کارکرد", zero: str = "صفر", units: str = "کیلومتر|کیلو|km", zero_units: str = "کیلومتر|km") -> Column:
+def parse_mileage(text: Column, label: str = "کارکرد", zero: str = "صفر", units: str = "کیلومتر|کیلو|km", zero_units: str = "کیلومتر|km", normalized: bool = False) -> Column:
     """Prior-history pipeline: zero phrases, a labelled number, a number with a unit; within 0 to 2 000 000."""
     word = r"[\p{L}\p{N}_]"
     none = rf"{label}\s*{zero}(?:\s*(?:{zero_units}))?|(?<!{word}){zero}\s*(?:{zero_units})(?!{word})|(?<![0-9])0\s*(?:{zero_units})(?!{word})"
     number = lambda t, p: between(parse_integer(group(t, p)), 0, 2 * MILLION)
     found = lambda t: F.coalesce(number(t, rf"{label}\s*([0-9][0-9,،٬.\s]{{0,15}})(?:\s*(?:{units}))?"), number(t, rf"([0-9][0-9,،٬.\s]{{1,15}})\s*(?:{units})"))
-    return let(normalize_match(text), lambda t: F.when(t.rlike(none), F.lit(0).cast("bigint")).otherwise(found(t)))
+    return let(_matchable(text, normalized), lambda t: F.when(t.rlike(none), F.lit(0).cast("bigint")).otherwise(found(t)))
 
 
 def mileage_batch(text: Column) -> Column:
@@ -165,8 +169,8 @@ def is_zero_km(text: Column) -> Column:
     return text.rlike(r"(?i)صفر\s*کیلومتر|کیلومتر\s*صفر|کارکرد\s*[:：]?\s*صفر(?!\S)|(?<![0-9])0\s*km(?![A-Za-z0-9_])|(?<![0-9])0\s*کیلومتر")
 
 
-def classify_condition(text: Column, mileage: Column, zero: Sequence[str] = ("صفر کیلومتر", "صفرکیلومتر", "کارکرد صفر"), used: Sequence[str] = ("کارکرده", "دست دوم")) -> Column:
-    told = let(normalize_match(text), lambda t: F.when(first_phrase(t, zero).isNotNull(), 0).when(first_phrase(t, used).isNotNull(), 1).otherwise(2))
+def classify_condition(text: Column, mileage: Column, zero: Sequence[str] = ("صفر کیلومتر", "صفرکیلومتر", "کارکرد صفر"), used: Sequence[str] = ("کارکرده", "دست دوم"), normalized: bool = False) -> Column:
+    told = let(_matchable(text, normalized), lambda t: F.when(first_phrase(t, zero).isNotNull(), 0).when(first_phrase(t, used).isNotNull(), 1).otherwise(2))
     return F.when(mileage == 0, F.lit("zero")).otherwise(let(told, lambda k: F.when(k == 0, "zero").when((mileage > 0) | (k == 1), "used").otherwise("unknown")))
 
 
@@ -212,7 +216,7 @@ def comparison_key(*fields: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("unknown")) for f in fields])
 
 
-def vehicle_identity(text: Column, models=L.HISTORY_MODELS, trims=L.HISTORY_TRIMS) -> Column:
+def vehicle_identity(text: Column, models=L.HISTORY_MODELS, trims=L.HISTORY_TRIMS, normalized: bool = False) -> Column:
     """struct(brand, model, trim) of the prior-history pipeline: longest aliases, then the rules of four models."""
     plain = lambda aliases: {_plain_match(a): v for a, v in aliases.items()}
 
@@ -230,14 +234,13 @@ def vehicle_identity(text: Column, models=L.HISTORY_MODELS, trims=L.HISTORY_TRIM
             .otherwise(trim)
         )
 
-    found = let(
-        normalize_match(text),
+    return let(
+        _matchable(text, normalized),
         lambda t: let(
             F.struct(F.split(longest_alias(t, plain(models)), "\t").alias("pair"), F.coalesce(longest_alias(t, plain(trims)), F.lit("")).alias("trim")),
             lambda x: F.struct(F.get(x["pair"], 0).alias("brand"), F.get(x["pair"], 1).alias("model"), ruled(t, x["pair"], x["trim"]).alias("trim")),
         ),
     )
-    return found
 
 
 def _plain_match(phrase: str) -> str:

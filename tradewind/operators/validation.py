@@ -16,19 +16,20 @@ def listing_reason(rows: DataFrame, as_of_year: int, blocked: Sequence[str] = L.
     """Rows (source, source_ad_id, url, title, raw_text) with their parsed fields and ``reason``: the first of blocked_phrase,
     invalid_price, invalid_year, unknown_vehicle, missing_trim, unknown_condition that holds, else accepted."""
     text = F.concat_ws("\n", "title", "raw_text")
-    out = rows.withColumns({"clean_url": T.canonical_url(F.col("url")), "_t": text})
+    out = rows.withColumn("clean_url", T.canonical_url(F.col("url"))).select("*", F.explode(F.array(T.normalize_match(text))).alias("_t"))
+    plain = {"normalized": True}
     # Generated once a row, so that no later filter or column computes the fields again.
     fields = F.struct(
         *(c.alias(n) for n, c in {
-            "_b": T.let(T.normalize_match(F.col("_t")), lambda t: T.first_phrase(t, [P._plain_match(p) for p in blocked])),
-            "price": P.parse_price(F.col("_t")),
-            "model_year": F.coalesce(P.parse_year(F.col("_t")), P.year_from_url(F.col("clean_url"))),
-            "_v": P.vehicle_identity(F.concat_ws(" ", "_t", "clean_url")),
-            "mileage": P.parse_mileage(F.col("_t")),
+            "_b": T.first_phrase(F.col("_t"), [P._plain_match(p) for p in blocked]),
+            "price": P.parse_price(F.col("_t"), **plain),
+            "model_year": F.coalesce(P.parse_year(F.col("_t"), **plain), P.year_from_url(F.col("clean_url"))),
+            "_v": P.vehicle_identity(F.concat_ws(" ", F.col("_t"), T.normalize_match(F.col("clean_url"))), **plain),
+            "mileage": P.parse_mileage(F.col("_t"), **plain),
         }.items())
     )
     out = out.select("*", F.inline(F.array(fields))).select("*", "_v.*").drop("_v")
-    condition = P.classify_condition(F.col("_t"), F.col("mileage"))
+    condition = P.classify_condition(F.col("_t"), F.col("mileage"), **plain)
     aged = P.aged_condition(condition, F.col("model_year"), as_of_year)
     out = out.select("*", F.explode(F.array(F.when(F.col("source") == "formula", aged).otherwise(condition))).alias("condition"))
     needs = F.concat_ws("\t", "brand", "model").isin(*["\t".join(p) for p in required])
