@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -21,24 +21,36 @@ BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="
 TASK_KEYS = 1 << 22
 
 
-def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
+def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; of fewer words: of the whole sequence; of none: empty."""
     ws = (text or b"").lower().split()  # of bytes: A-Z only, and the white space of SPACE
     n = len(ws)
     if not n:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(ws)
     if n <= shingle:
-        return xxh64_intdigest(joined, seed)
+        return np.array([xxh64_intdigest(joined, seed)], "<u8")
     lengths = np.fromiter(map(len, ws), np.int64, n)
     ends = np.cumsum(lengths + 1) - 1
     starts = (ends - lengths)[: n - shingle + 1].tolist()
-    h = np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
-    octets = h.view(np.uint8).reshape(-1, 8)
-    out = 0
-    for k in range(8):
-        ones = np.bincount(octets[:, k], minlength=256) @ BITS
-        out |= int(np.packbits(2 * ones > len(h), bitorder="little")[0]) << (8 * k)
-    return out
+    return np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], "<u8")
+
+
+def majority(hashes: np.ndarray, words: int) -> bytes:
+    """The fingerprint of so many 64-bit words: a bit is set if it is in over half the hashes. The first word takes the hashes as
+    they are, the others a mix of each with the word's number."""
+    counts = np.zeros((8 * words, 8), np.int64)
+    columns = np.arange(8 * words) << 8
+    for k in range(0, len(hashes), 4096):
+        part = hashes[k : k + 4096].astype(U64)
+        wide = np.stack([part, *(mix(part + U64((j * 0x9E3779B97F4A7C15) % (1 << 64))) for j in range(1, words))], 1)
+        octets = wide.astype("<u8").view(np.uint8).reshape(len(part), -1)
+        counts += np.bincount((octets + columns).ravel(), minlength=256 * 8 * words).reshape(-1, 256) @ BITS
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").tobytes()
+
+
+def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
+    return int.from_bytes(majority(shingle_hashes(text, shingle, seed), 1), "little")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, name: str = "fp") -> DataFrame:
@@ -61,30 +73,22 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(64), r)], U64)
 
 
-def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column fp) that connect exactly those at most ``distance`` (even) bits apart.
+def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, stars_only: bool) -> DataFrame:
+    """Distinct candidate links (a, b), a > b, between fingerprints (column fp, unique) that share a variant.
 
-    Every fingerprint emits all variants within distance / 2 bits. Two fingerprints within distance share a variant, and all
-    that share one are within distance of each other, so a star on the smallest per variant connects them without pairs.
-    First only the leading bits of the (mixed) variants are shuffled, which finds those that occur twice; then only these
-    are sent whole, with their fingerprint. Links are made distinct and verified bit by bit.
+    ``variants`` gives the fp of each row of a table and its ``each`` variants, row by row, as spread 64-bit keys. First only the
+    leading bits of the keys are shuffled, which finds those that occur twice; then only these are sent whole, with their fp.
+    All fingerprints of a variant are linked to the smallest; unless stars_only, in groups of up to 8 all to all.
     """
-    if distance % 2:
-        raise ValueError("distance must be even")
     spark = fps.sparkSession
-    ball = masks(distance // 2)
     n = fps.count()
-    total = max(1, n * len(ball))
+    total = max(1, n * each)
     blocks = max(shuffle_partitions(spark), -(-total // TASK_KEYS))
     n_parts = power_of_two(max(shuffle_partitions(spark) / 2, total / TASK_KEYS))
     # So many leading bits that about one variant in 2**12 meets another by chance, however many there are.
     bits = min(64, max(24, n_parts.bit_length() + 1, int(np.ceil(np.log2(total))) + 12))
     cut = U64(64 - bits)
-    blocked = fps.select("fp", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int").alias("block")).repartition(blocks, "block")
-
-    def variants(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own = table["fp"].to_numpy().view(U64)
-        return own, mix((own[:, None] ^ ball[None, :]).ravel())
+    blocked = fps.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def emit(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
@@ -119,23 +123,47 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
             near = np.minimum(np.searchsorted(hits, short[at]), len(hits) - 1)
             at = at[hits[near] == short[at]]
             at = at[np.argsort(keys[at])]
-            rows = [(p, pack(keys[at[s:e]]), pack_raw(fp[at[s:e] // len(ball)])) for p, s, e in parts(keys[at], n_parts)]
+            rows = [(p, pack(keys[at[s:e]]), pack_raw(fp[at[s:e] // each])) for p, s, e in parts(keys[at], n_parts)]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "fps": pa.array([r[2] for r in rows], pa.binary())})
 
-    def stars(table: pa.Table) -> pa.Table:
+    def pairs(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(x.as_py()) for x in table["keys"]])
         fp = np.concatenate([unpack_raw(x.as_py()) for x in table["fps"]]).view(np.int64)
         order = np.lexsort((fp, keys))
         keys, fp = keys[order], fp[order]
         head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        least = np.repeat(fp[head], np.diff(np.append(head, len(keys))))
-        pairs = np.unique(np.stack([fp, least], 1)[fp != least], axis=0).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        size = np.diff(np.append(head, len(keys)))
+        found = [np.stack([fp, np.repeat(fp[head], size)], 1)]
+        few = np.repeat(size <= 8, size)
+        for step in () if stars_only else range(1, 7):
+            at = np.flatnonzero((keys[step:] == keys[:-step]) & few[step:])
+            found.append(np.stack([fp[at + step], fp[at]], 1))
+        found = np.concatenate(found)
+        found = np.unique(found[found[:, 0] != found[:, 1]], axis=0).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     cells = blocked.groupBy("block").applyInArrow(emit, "part int, block int, keys binary, twice binary")
     told = cells.groupBy("part").applyInArrow(meet, "block int, hits binary")
     sent = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(resend, "part int, keys binary, fps binary")
-    links = sent.groupBy("part").applyInArrow(stars, "a long, b long").distinct()
+    return sent.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
+
+
+def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column fp) that connect exactly those at most ``distance`` (even) bits apart.
+
+    Every fingerprint emits all variants within distance / 2 bits. Two fingerprints within distance share a variant, and all
+    that share one are within distance of each other, so a star on the smallest per variant connects them without pairs. Links
+    are verified bit by bit.
+    """
+    if distance % 2:
+        raise ValueError("distance must be even")
+    ball = masks(distance // 2)
+
+    def variants(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own = table["fp"].to_numpy().view(U64)
+        return own, mix((own[:, None] ^ ball[None, :]).ravel())
+
+    links = colliding(fps.select("fp"), variants, len(ball), True)
     return links.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
@@ -149,9 +177,57 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """
     seen = materialize(fingerprints(docs.drop("fp", "root", "component_id", "fingerprint"), text, shingle))
     distinct = materialize(seen.groupBy("fp").agg(F.min(key).alias("_least")))
-    roots = connected_components(near_links(distinct, distance))
+    return _named(seen, distinct, near_links(distinct, distance))
+
+
+def _named(seen: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """Components of the links between distinct fingerprints (fp, _least) told to the rows (with their fp)."""
+    roots = connected_components(links)
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = labelled.groupBy("root").agg(F.min("_least").alias("component_id"))
     named = materialize(labelled.join(least, "root").select("fp", "root", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return seen.join(named, "fp").select(*[c for c in seen.columns if c != "fp"], hexed.alias("fingerprint"), "fp", "root", "component_id")
+
+
+#: Fingerprints of similar_documents: WORDS 64-bit words, each two bands of 32 bits.
+WORDS = 16
+
+
+def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """As near_duplicates, but for texts whose shingles have a Jaccard similarity of about ``similarity`` or more.
+
+    At a similarity of 0.8, 15 % of the bits differ: far more than a ball over 64 bits can hold. So the fingerprint has 1024 bits,
+    in 32 bands of 32 bits, and each band emits all its variants within one bit: two fingerprints collide if they differ by two
+    bits or fewer in any band (98 % of pairs at 0.8, practically all at 0.85). Colliding pairs are verified over all bits: they
+    link up to the expected distance at ``similarity`` plus one standard deviation. Repeats of a shingle count once. Cases as for
+    near_duplicates; the fingerprint column is a hash of the 1024 bits.
+    """
+    rest = [c for c in docs.columns if c not in (text, "fp", "root", "component_id", "fingerprint", "_bits")]
+    frame = docs.select(F.col(text).cast("binary").alias("_text"), *rest)
+    schema = docs.select(*rest, F.lit(b"").alias("_bits")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = [majority(np.unique(shingle_hashes(x.as_py(), shingle)), WORDS) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(cells, pa.binary())], names=[*rest, "_bits"])
+
+    ball = masks(1)[[0, *range(1, 33)]].astype(np.uint32)  # within one of the low 32 bits
+    bands = np.arange(2 * WORDS, dtype=U64) << U64(32)
+
+    def variants(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own = table["fp"].to_numpy().view(U64)
+        cells = np.frombuffer(b"".join(x.as_py() for x in table["_bits"]), "<u4").reshape(-1, 2 * WORDS)
+        keys = bands[None, :, None] | (cells[:, :, None] ^ ball[None, None, :]).astype(U64)
+        return own, mix(keys.ravel())
+
+    seen = materialize(frame.mapInArrow(run, schema).withColumn("fp", F.xxhash64("_bits")))
+    distinct = materialize(seen.groupBy("fp").agg(F.min(key).alias("_least"), F.min("_bits").alias("_bits")))
+    links = colliding(distinct.select("fp", "_bits"), variants, 2 * WORDS * len(ball), False)
+    differ = WORDS * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    limit = int(differ + np.sqrt(differ * (1 - differ / (64 * WORDS))))
+    of = lambda c: distinct.select(F.col("fp").alias(c), F.hex("_bits").alias(f"_{c}"))
+    word = lambda c, i: F.conv(F.substring(c, 8 * i + 1, 8), 16, 10).cast("long")
+    apart = sum((F.bit_count(word("_a", i).bitwiseXOR(word("_b", i))) for i in range(2 * WORDS)), F.lit(0))
+    near = links.join(of("a"), "a").join(of("b"), "b").filter(apart <= limit).select("a", "b")
+    return _named(seen.drop("_bits"), distinct.select("fp", "_least"), near)
