@@ -234,6 +234,24 @@ def test_ball_hashing_finds_all_links(spark):
     assert components(signed, [(r.a, r.b) for r in links]) == want
 
 
+def test_similar_documents(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, groups = [], {}
+    for g in range(30):
+        base = [word() for _ in range(300)]
+        for k in range(4):
+            ws = list(base)
+            for _ in range(k):
+                ws[rng.randrange(300)] = word()
+            groups[len(rows)] = len(rows) - k
+            rows.append((len(rows), " ".join(ws), "en", "s", 1))
+    more = [(500, None, None, None, None), (501, "", "en", "s", 0), (502, "Two words", "en", "s", 0), (503, "two WORDS ", "en", "s", 0), (None, rows[0][1], "en", "s", 0)]
+    out = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows + more).withColumn("root", F.lit(1))).collect()}
+    assert out == {**groups, 500: 500, 501: 500, 502: 502, 503: 502, None: 0}
+    assert simhash.similar_documents(empty(spark)).count() == 0
+
+
 def test_components_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
@@ -339,7 +357,7 @@ def test_pipeline(spark, documents, tmp_path, tokenizer):
         assert done.columns == docs.columns
         docs = spark.createDataFrame(done.collect(), docs.schema)
     quality = {r.doc_id for r in quality_rules(frame(spark, rows)).filter("kept").collect()}
-    groups = {r.doc_id: r.component_id for r in simhash.near_duplicates(frame(spark, [r for r in rows if r[0] in quality]), shingle=5).collect()}
+    groups = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, [r for r in rows if r[0] in quality])).collect()}
     want = sorted(set(groups.values()))
     final = c.tokens(spark, docs, SF).collect()
     assert sorted(r.doc_id for r in final) == want
