@@ -64,6 +64,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", wei
     groups = max(shuffle_partitions(spark), -(-docs.count() // group_rows))
     size = F.greatest(F.lit(1), F.coalesce(F.length(F.col(text)), F.lit(0))).cast("long")
     seed = [F.col(c) for c in rest if dict(docs.dtypes)[c] in ("bigint", "int", "string") and c != source]
+    order = [c for c in rest if dict(docs.dtypes)[c] in ("bigint", "int", "string") and c not in (source, text)]
     known = docs.select(*rest).withColumn("_h", F.xxhash64(*seed)).withColumns({"_size": size, "_g": F.pmod("_h", F.lit(groups)).cast("int")})
     # Prefix sums in two steps: over the groups of a source, then within each group, so that no source is in one task.
     sums = materialize(known.groupBy(F.col(source).alias("_s"), "_g").agg(F.sum("_size").alias("_sum")))
@@ -81,7 +82,7 @@ def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", wei
     each = F.broadcast(spark.createDataFrame(list(blocks.items()), f"_as {kind}, _n long"))
     before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("_s", F.col("_g").alias("_bg"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(source, "_g").orderBy("_h", *seed).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(source, "_g").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
     placed = known.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     placed = placed.join(before, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_g") == F.col("_bg"))).withColumn("_at", F.col("_before") + F.col("_in"))
     placed = placed.withColumns({"block": F.expr(f"_at div {block_chars}"), "place": F.expr(f"_at % {block_chars}")})
