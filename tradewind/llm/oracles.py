@@ -42,3 +42,34 @@ select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
        not base_failed and n_words - coalesce(g.n, 0) >= 20 and n_words - coalesce(g.n, 0) >= 0.3 * n_words kept
 from judged j left join gone g on g.doc_id = j.doc_id
 """
+
+OP4_SUBSTRING_DEDUP = r"""
+with w as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') ws from documents),
+pos as (select doc_id, i, md5(array_to_string(list_slice(ws, i, i + 34), ' ')) h from (select doc_id, ws, unnest(range(1, len(ws) - 33)) i from w where len(ws) >= 35)),
+rep as (select doc_id, i from (select doc_id, i, count(*) over (partition by h) c from pos) where c > 1),
+gone as (select distinct doc_id, i + k p from rep, (select unnest(range(35)) k)),
+word as (select doc_id, unnest(ws) x, unnest(range(1, len(ws) + 1)) p from w),
+kept as (select doc_id, string_agg(x, ' ' order by p) t from word anti join gone using (doc_id, p) group by 1),
+n as (select doc_id, count(*) n from gone group by 1)
+select w.doc_id, cast(len(ws) as bigint) n_words, cast(coalesce(n.n, 0) as bigint) n_removed, sha256(coalesce(t, '')) kept_sha256
+from w left join n on n.doc_id = w.doc_id left join kept on kept.doc_id = w.doc_id
+"""
+
+OP6_EXACT_TOP_K = r"""
+with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
+           where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as bigint) score
+      from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0)
+select query_id, cast(rank as int) rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 10
+"""
+
+OP8_WARC = r"""
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, h, sha1(h) s, max(page_id) over (partition by h) top from p),
+b as (select *, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        1 + (((position(s[1 + 5 * i // 4] in '0123456789abcdef') - 1) * 16 + greatest(position(s[2 + 5 * i // 4] in '0123456789abcdef') - 1, 0)) >> (3 - 5 * i % 4)) % 32, 1)), '') digest from d)
+select page_id, cast(octet_length(encode(h)) as bigint) payload_bytes, digest payload_digest, case when top = page_id then 'response' else 'revisit' end record_type,
+       case when top <> page_id then top end refers_to
+from b
+"""
