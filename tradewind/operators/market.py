@@ -63,13 +63,18 @@ def peer_pairs(listings: DataFrame, keys: Sequence[str], tolerance: int) -> Data
     The join is an equi join on the keys and a mileage bucket; the peers are put into their bucket and the two beside it, so
     that a large group is spread over its mileages.
     """
+    pairs = _banded(listings, listings, keys, tolerance).filter("ad_id <> peer")
+    return pairs.select("ad_id", "price", "city", "peer_price", F.coalesce(F.col("city") == F.col("peer_city"), F.lit(False)).alias("same_city"))
+
+
+def _banded(rows: DataFrame, others: DataFrame, keys: Sequence[str], tolerance: int) -> DataFrame:
     bucket = F.coalesce(F.floor(F.col("mileage") / tolerance), F.lit(-2)).cast("long")
-    left = listings.select("ad_id", "price", "city", "mileage", *keys, bucket.alias("bucket"))
+    left = rows.select("ad_id", "price", "city", "mileage", *keys, bucket.alias("bucket"))
     near = F.explode(F.when(F.col("mileage").isNull(), F.array(bucket)).otherwise(F.array(bucket - 1, bucket, bucket + 1)))
-    right = listings.select(F.col("ad_id").alias("peer"), F.col("price").alias("peer_price"), F.col("city").alias("peer_city"), F.col("mileage").alias("peer_mileage"), *[F.col(k).alias(f"peer_{k}") for k in keys], near.alias("peer_bucket"))
-    on = [F.col(k).eqNullSafe(F.col(f"peer_{k}")) for k in keys] + [F.col("bucket") == F.col("peer_bucket"), F.col("ad_id") != F.col("peer")]
+    right = others.select(F.col("ad_id").alias("peer"), F.col("price").alias("peer_price"), F.col("city").alias("peer_city"), F.col("mileage").alias("peer_mileage"), *[F.col(k).alias(f"peer_{k}") for k in keys], near.alias("peer_bucket"))
+    on = [F.col(k).eqNullSafe(F.col(f"peer_{k}")) for k in keys] + [F.col("bucket") == F.col("peer_bucket")]
     on.append((F.abs(F.col("mileage") - F.col("peer_mileage")) <= tolerance) | (F.col("mileage").isNull() & F.col("peer_mileage").isNull()))
-    return left.join(right, on).select("ad_id", "price", "city", "peer_price", F.coalesce(F.col("city") == F.col("peer_city"), F.lit(False)).alias("same_city"))
+    return left.join(right, on)
 
 
 def _at(prices: Column, q: float) -> Column:
@@ -90,12 +95,16 @@ def peer_median_opportunities(
     all cities. Prices outside 1.5 interquartile ranges are left out (as in iqr_filter); min_comparables must be left. The median
     is cut to an integer. ``evaluated`` (ad_id) restricts whose medians are wanted.
     """
-    pairs = peer_pairs(listings, keys, tolerance)
-    if evaluated is not None:
-        pairs = pairs.join(evaluated.select("ad_id"), "ad_id", "left_semi")
-    positive = pairs.filter("peer_price > 0")
-    near = F.collect_list(F.when(F.col("same_city"), F.col("peer_price")))
-    peers = positive.groupBy("ad_id", "price").agg(F.sort_array(F.collect_list("peer_price")).alias("every"), F.sort_array(near).alias("near"))
+    # Listings of equal keys and mileage have the same peers but for themselves: these are gathered once for all of them.
+    cells = listings.select(*keys, "mileage").distinct().withColumn("ad_id", F.struct(*keys, "mileage")).withColumns({"price": F.lit(0), "city": F.lit("")})
+    gathered = _banded(cells, listings.filter("price > 0"), keys, tolerance)
+    peers = gathered.groupBy("ad_id").agg(F.sort_array(F.collect_list("peer_price")).alias("all_prices"), F.collect_list(F.struct(F.col("peer_city").alias("c"), F.col("peer_price").alias("p"))).alias("by_city"))
+    peers = peers.select(*[F.col(f"ad_id.{c}").alias(f"_{c}") for c in [*keys, "mileage"]], "all_prices", "by_city")
+    own = listings if evaluated is None else listings.join(evaluated.select("ad_id"), "ad_id", "left_semi")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "mileage"]]
+    without = lambda a: let(F.array_position(a, F.col("price")), lambda k: F.when(k == 0, a).otherwise(F.concat(F.slice(a, 1, k.cast("int") - 1), F.slice(a, k.cast("int") + 1, F.size(a)))))
+    near = F.sort_array(F.transform(F.filter("by_city", lambda x: x["c"] == F.col("city")), lambda x: x["p"]))
+    peers = own.join(peers, same).select("ad_id", "price", without(F.col("all_prices")).alias("every"), let(near, without).alias("near"))
     # The statistics of a listing are generated as one struct: filters above it don't compute them again.
     scoped = F.when(F.size("near") >= min_comparables, F.struct(F.lit("city").alias("scope"), F.col("near").alias("prices"))).otherwise(F.struct(F.lit("nationwide").alias("scope"), F.col("every").alias("prices")))
 
