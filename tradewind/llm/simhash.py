@@ -73,12 +73,13 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(64), r)], U64)
 
 
-def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, stars_only: bool) -> DataFrame:
+def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, few: int) -> DataFrame:
     """Distinct candidate links (a, b), a > b, between fingerprints (column fp, unique) that share a variant.
 
     ``variants`` gives the fp of each row of a table and its ``each`` variants, row by row, as spread 64-bit keys. First only the
     leading bits of the keys are shuffled, which finds those that occur twice; then only these are sent whole, with their fp.
-    All fingerprints of a variant are linked to the smallest; unless stars_only, in groups of up to 8 all to all.
+    All fingerprints of a variant are linked to the smallest, in groups of up to ``few`` all to all; with a
+    column label, only fingerprints of different labels are.
     """
     spark = fps.sparkSession
     n = fps.count()
@@ -88,6 +89,7 @@ def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, n
     # So many leading bits that about one variant in 2**12 meets another by chance, however many there are.
     bits = min(64, max(24, n_parts.bit_length() + 1, int(np.ceil(np.log2(total))) + 12))
     cut = U64(64 - bits)
+    told_apart = "label" in fps.columns
     blocked = fps.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
 
     def emit(table: pa.Table) -> pa.Table:
@@ -123,28 +125,31 @@ def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, n
             near = np.minimum(np.searchsorted(hits, short[at]), len(hits) - 1)
             at = at[hits[near] == short[at]]
             at = at[np.argsort(keys[at])]
-            rows = [(p, pack(keys[at[s:e]]), pack_raw(fp[at[s:e] // each])) for p, s, e in parts(keys[at], n_parts)]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "fps": pa.array([r[2] for r in rows], pa.binary())})
+            label = own["label"].to_numpy().view(U64) if told_apart else fp
+            rows = [(p, pack(keys[at[s:e]]), pack_raw(fp[at[s:e] // each]), pack_raw(label[at[s:e] // each]) if told_apart else b"") for p, s, e in parts(keys[at], n_parts)]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "fps": pa.array([r[2] for r in rows], pa.binary()), "labels": pa.array([r[3] for r in rows], pa.binary())})
 
     def pairs(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(x.as_py()) for x in table["keys"]])
         fp = np.concatenate([unpack_raw(x.as_py()) for x in table["fps"]]).view(np.int64)
+        label = np.concatenate([unpack_raw(x.as_py()) for x in table["labels"]]).view(np.int64) if told_apart else fp
         order = np.lexsort((fp, keys))
-        keys, fp = keys[order], fp[order]
+        keys, fp, label = keys[order], fp[order], label[order]
         head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         size = np.diff(np.append(head, len(keys)))
-        found = [np.stack([fp, np.repeat(fp[head], size)], 1)]
-        few = np.repeat(size <= 8, size)
-        for step in () if stars_only else range(1, 7):
-            at = np.flatnonzero((keys[step:] == keys[:-step]) & few[step:])
+        hub = np.repeat(head, size)
+        found = [np.stack([fp, fp[hub]], 1)[label != label[hub]]]
+        small = np.repeat(size <= few, size)
+        for step in range(1, few - 1):
+            at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:] & (label[step:] != label[:-step]))
             found.append(np.stack([fp[at + step], fp[at]], 1))
         found = np.concatenate(found)
-        found = np.unique(found[found[:, 0] != found[:, 1]], axis=0).reshape(-1, 2)
+        found = np.unique(found, axis=0).reshape(-1, 2)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
     cells = blocked.groupBy("block").applyInArrow(emit, "part int, block int, keys binary, twice binary")
     told = cells.groupBy("part").applyInArrow(meet, "block int, hits binary")
-    sent = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(resend, "part int, keys binary, fps binary")
+    sent = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(resend, "part int, keys binary, fps binary, labels binary")
     return sent.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
 
 
@@ -163,7 +168,7 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
         own = table["fp"].to_numpy().view(U64)
         return own, mix((own[:, None] ^ ball[None, :]).ravel())
 
-    links = colliding(fps.select("fp"), variants, len(ball), True)
+    links = colliding(fps.select("fp"), variants, len(ball), 2)
     return links.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
@@ -200,8 +205,10 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     At a similarity of 0.8, 15 % of the bits differ: far more than a ball over 64 bits can hold. So the fingerprint has 1024 bits,
     in 32 bands of 32 bits, and each band emits all its variants within one bit: two fingerprints collide if they differ by two
     bits or fewer in any band (98 % of pairs at 0.8, practically all at 0.85). Colliding pairs are verified over all bits: they
-    link up to the expected distance at ``similarity`` plus one standard deviation. Repeats of a shingle count once. Cases as for
-    near_duplicates; the fingerprint column is a hash of the 1024 bits.
+    link up to the expected distance at ``similarity`` plus one standard deviation. Bands that are equal are linked first, so that
+    a large group is one before its variants meet. Repeats of a shingle count once. Cases as for
+    near_duplicates; the fingerprint column is a hash of the 1024 bits of
+    the first text so linked.
     """
     rest = [c for c in docs.columns if c not in (text, "fp", "root", "component_id", "fingerprint", "_bits")]
     frame = docs.select(F.col(text).cast("binary").alias("_text"), *rest)
@@ -212,22 +219,34 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
             cells = [majority(np.unique(shingle_hashes(x.as_py(), shingle)), WORDS) for x in batch.column(0)]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(cells, pa.binary())], names=[*rest, "_bits"])
 
-    ball = masks(1)[[0, *range(1, 33)]].astype(np.uint32)  # within one of the low 32 bits
     bands = np.arange(2 * WORDS, dtype=U64) << U64(32)
 
-    def variants(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        own = table["fp"].to_numpy().view(U64)
-        cells = np.frombuffer(b"".join(x.as_py() for x in table["_bits"]), "<u4").reshape(-1, 2 * WORDS)
-        keys = bands[None, :, None] | (cells[:, :, None] ^ ball[None, None, :]).astype(U64)
-        return own, mix(keys.ravel())
+    def within(radius: int) -> tuple[Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], int]:
+        ball = np.array([x for x in masks(radius).tolist() if x < 1 << 32], np.uint32)
+
+        def variants(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+            own = table["fp"].to_numpy().view(U64)
+            cells = np.frombuffer(b"".join(x.as_py() for x in table["_bits"]), "<u4").reshape(-1, 2 * WORDS)
+            keys = bands[None, :, None] | (cells[:, :, None] ^ ball[None, None, :]).astype(U64)
+            return own, mix(keys.ravel())
+
+        return variants, 2 * WORDS * len(ball)
 
     seen = materialize(frame.mapInArrow(run, schema).withColumn("fp", F.xxhash64("_bits")))
     distinct = materialize(seen.groupBy("fp").agg(F.min(key).alias("_least"), F.min("_bits").alias("_bits")))
-    links = colliding(distinct.select("fp", "_bits"), variants, 2 * WORDS * len(ball), False)
     differ = WORDS * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
     limit = int(differ + np.sqrt(differ * (1 - differ / (64 * WORDS))))
     of = lambda c: distinct.select(F.col("fp").alias(c), F.hex("_bits").alias(f"_{c}"))
     word = lambda c, i: F.conv(F.substring(c, 8 * i + 1, 8), 16, 10).cast("long")
     apart = sum((F.bit_count(word("_a", i).bitwiseXOR(word("_b", i))) for i in range(2 * WORDS)), F.lit(0))
-    near = links.join(of("a"), "a").join(of("b"), "b").filter(apart <= limit).select("a", "b")
-    return _named(seen.drop("_bits"), distinct.select("fp", "_least"), near)
+    verified = lambda links: materialize(links.join(of("a"), "a").join(of("b"), "b").filter(apart <= limit).select("a", "b"))
+    # Bands that are equal link most of a large group; then only texts that are still apart need the variants' links.
+    roots = connected_components(verified(colliding(distinct.select("fp", "_bits"), *within(0), 3)))
+    label = F.coalesce("root", "fp").alias("label")
+    labelled = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", "_bits", label))
+    late = verified(colliding(labelled.select("fp", "_bits", "label"), *within(1), 3))
+    name = lambda c: labelled.select(F.col("fp").alias(c), F.col("label").alias(f"_l{c}"))
+    late = late.join(name("a"), "a").join(name("b"), "b").select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
+    groups = labelled.groupBy("label").agg(F.min("_least").alias("_least")).withColumnRenamed("label", "fp")
+    told = seen.drop("_bits").join(labelled.select("fp", "label"), "fp").drop("fp").withColumnRenamed("label", "fp")
+    return _named(told, groups, late)
