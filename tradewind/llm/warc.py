@@ -111,10 +111,18 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    while data:
-        unpack = zlib.decompressobj(31)
-        yield unpack.decompress(data)
-        data = unpack.unused_data
+    """The gzip members of a file, decompressed."""
+    view, pos = memoryview(data), 0
+    while pos < len(view):
+        unpack, out = zlib.decompressobj(31), []
+        while not unpack.eof:
+            if pos >= len(view):
+                raise ValueError("the archive ends within a record")
+            piece = view[pos : pos + (1 << 16)]
+            out.append(unpack.decompress(piece))
+            pos += len(piece)
+        pos -= len(unpack.unused_data)
+        yield b"".join(out)
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
