@@ -330,6 +330,10 @@ def test_warc(spark, tmp_path):
     assert warc.write_warc(pages.limit(0), f"file://{tmp_path / 'c'}") == 0
     with pytest.raises(ValueError, match="WARC"):
         warc.parse(b"GET / HTTP\r\n\r\n")
+    two = warc.member([("A", "b")], b"x" * 200_000) + warc.member([], b"")
+    assert [len(warc.parse(m)[1]) for m in warc.members(two)] == [200_000, 0]
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.members(two[:-3]))
 
 
 def test_language(spark):
