@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -145,10 +146,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
     wide = max([65535, *special.values()]) > 65535
     kind = np.uint32 if wide else np.uint16
 
-    def hashes(table: pa.Table) -> pa.Table:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = own()
-        seen = {xxh3_128_digest(x) for t in table["_text"] for p in c.pieces(t.as_py()) if not isinstance(p, int) for x in chunks(p)}
-        return pa.table({"_block": pa.array([table["_block"][0].as_py()] * len(seen), pa.int32()), "h": pa.array(sorted(seen), pa.binary())})
+        for batch in batches:
+            seen = {(block.as_py(), xxh3_128_digest(x)) for block, t in zip(batch.column(0), batch.column(1), strict=True) for p in c.pieces(t.as_py()) if not isinstance(p, int) for x in chunks(p)}
+            cols = list(zip(*sorted(seen), strict=True)) if seen else [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["_block", "h"])
 
     def owned(table: pa.Table, wanted: pa.Table) -> pa.Table:
         c, left, out = own(), set(wanted["h"].to_pylist()), []
@@ -198,7 +201,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
             out["decoded_text"] = pa.array(texts, pa.string())
         return pa.table(out)
 
-    held = materialize(blocked.groupBy("_block").applyInArrow(hashes, "_block int, h binary"))
+    held = materialize(blocked.select("_block", "_text").mapInArrow(hashes, "_block int, h binary").distinct())
     shared = held.groupBy("h").agg(F.min("_block").alias("owner"), F.count("*").alias("n")).filter("n > 1")
     wanted = shared.select(F.col("owner").alias("_block"), "h")
     book = materialize(blocked.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInArrow(owned, "h binary, ids binary"))
