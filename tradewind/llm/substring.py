@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from xxhash import xxh64_intdigest
 
 from .blobs import U64, mix, pack, parts, power_of_two, repeated, unpack
-from .blocks import BLOCK_BYTES, block_count, dealt
+from .blocks import block_count, dealt
 
 #: Base of the rolling polynomial modulo 2**64 and its inverse; words enter as their XXH64.
 BASE = 0x9E3779B97F4A7C15
@@ -33,7 +33,7 @@ def window_hashes(hashes: np.ndarray, ends: np.ndarray, window: int) -> tuple[np
     return at, mix((sums[at + window] - sums[at]) * up[at])
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", window: int = 35, block_bytes: int = 1 << 23) -> DataFrame:
     """Every row without its text, with n_words, n_removed, removed (intervals of words, end exclusive) and kept_text.
 
     A word goes if a window of ``window`` consecutive words of its document covers it whose word sequence also starts anywhere
