@@ -252,6 +252,34 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(empty(spark)).count() == 0
 
 
+def test_similar_documents_in_a_template_family(spark):
+    """Hubs of large groups fail the verification: the planted pairs of about 0.85 are found nevertheless."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(400)]
+
+    def variant(ws, cuts):
+        ws = list(ws)
+        for k in rng.sample(range(len(ws)), cuts):
+            ws[k] = word()
+        return ws
+
+    family = [variant(base, 10) for _ in range(4000)]
+    planted = {k: variant(family[k], 6) for k in range(0, 4000, 50)}
+    rows = [(k, " ".join(ws), "en", "s", 1) for k, ws in enumerate(family)] + [(10_000 + k, " ".join(ws), "en", "s", 1) for k, ws in planted.items()]
+    out = {r.doc_id: r.component_id for r in simhash.similar_documents(frame(spark, rows)).collect()}
+    bits = {r[0]: np.frombuffer(simhash.majority(np.unique(simhash.shingle_hashes(r[1].encode(), 5)), simhash.WORDS), "<u8") for r in rows}
+    cells = {k: b.view("<u4") for k, b in bits.items()}
+    ids = sorted(bits)
+    wide, bands = np.stack([bits[k] for k in ids]), np.stack([cells[k] for k in ids])
+    linked = []
+    for i, a in enumerate(ids):
+        near = np.flatnonzero(np.bitwise_count(wide[i + 1 :] ^ wide[i]).sum(1, dtype=int) <= 166) + i + 1
+        linked += [(a, ids[j]) for j in near if np.bitwise_count(bands[i] ^ bands[j]).min() <= 2]
+    assert out == components(ids, linked)
+    assert len(set(out.values())) > 500 and sum(out[k] == out[10_000 + k] for k in planted) >= 79
+
+
 def test_components_of_long_chains(spark):
     pairs = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}

@@ -73,13 +73,16 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(64), r)], U64)
 
 
-def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, few: int) -> DataFrame:
+def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, few: int, whole: bool = False) -> DataFrame:
     """Distinct candidate links (a, b), a > b, between fingerprints (column fp, unique) that share a variant.
 
     ``variants`` gives the fp of each row of a table and its ``each`` variants, row by row, as spread 64-bit keys. First only the
     leading bits of the keys are shuffled, which finds those that occur twice; then only these are sent whole, with their fp.
     All fingerprints of a variant are linked to the smallest, in groups of up to ``few`` all to all; with a
     column label, only fingerprints of different labels are.
+
+    With ``whole``, no link of a larger group is left out: the groups themselves come back for group_links, as rows whose cell is
+    not null, and the links (not distinct) are those of groups of up to ``few`` only.
     """
     spark = fps.sparkSession
     n = fps.count()
@@ -138,21 +141,99 @@ def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, n
         head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         size = np.diff(np.append(head, len(keys)))
         hub = np.repeat(head, size)
-        found = [np.stack([fp, fp[hub]], 1)[label != label[hub]]]
         small = np.repeat(size <= few, size)
+        found = [np.stack([fp, fp[hub]], 1)[(label != label[hub]) & (small | (not whole))]]
         for step in range(1, few - 1):
             at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:] & (label[step:] != label[:-step]))
             found.append(np.stack([fp[at + step], fp[at]], 1))
         found = np.concatenate(found)
         found = np.unique(found, axis=0).reshape(-1, 2)
-        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+        links = pa.table({"a": found[:, 0], "b": found[:, 1]})
+        if not whole:
+            return links
+        mixed = np.logical_or.reduceat(label != label[hub], head) & (size > few) if len(head) else np.empty(0, bool)
+        cells, start, sizes = [], 0, size[mixed]
+        members = np.repeat(mixed, size)
+        keys, fp, label = keys[members], fp[members], label[members]
+        for stop in _cuts(sizes, TASK_KEYS // 4):
+            cells.append((table["part"][0].as_py() << 20 | len(cells), pack_raw(keys[start:stop]), pack_raw(fp[start:stop]), pack_raw(label[start:stop])))
+            start = stop
+        n, m = len(links), len(cells)
+        cols = {"a": pa.array([*links["a"].to_pylist(), *[None] * m], pa.int64()), "b": pa.array([*links["b"].to_pylist(), *[None] * m], pa.int64()), "bin": pa.array([*[None] * n, *(x[0] for x in cells)], pa.int64())}
+        kind = pa.struct([("keys", pa.binary()), ("fps", pa.binary()), ("labels", pa.binary())])
+        return pa.table({**cols, "cell": pa.array([*[None] * n, *({"keys": x[1], "fps": x[2], "labels": x[3]} for x in cells)], kind)})
 
     cells = blocked.groupBy("block").applyInArrow(emit, "part int, block int, keys binary, twice binary")
     told = cells.groupBy("part").applyInArrow(meet, "block int, hits binary")
     sent = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(resend, "part int, keys binary, fps binary, labels binary")
+    if whole:
+        return sent.groupBy("part").applyInArrow(pairs, "a long, b long, bin long, cell struct<keys: binary, fps: binary, labels: binary>")
     return sent.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
 
 
+def _cuts(sizes: np.ndarray, most: int) -> list[int]:
+    """Where to cut groups of these sizes, which lie one after another, into runs of whole groups of about ``most`` members."""
+    ends = np.cumsum(sizes)
+    return ends[np.append(ends[1:] // most > ends[:-1] // most, True)].tolist() if len(ends) else []
+
+
+def group_links(cells: DataFrame, bits: DataFrame, limit: int) -> DataFrame:
+    """Verified links (a, b) that connect all members of a group, at most ``limit`` bits apart, of the groups in ``cells`` (bin,
+    cell, from colliding).
+
+    Every pair of a group is compared over its whole fingerprint (fp, _bits in ``bits``) unless its ends are connected already.
+    That is done within a task, which gets each fingerprint of its groups once and returns only the links that connect: rows
+    grow with the members, only comparisons of members that stay apart grow with the square of a group.
+    """
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, cell in zip(batch.column("bin").to_pylist(), batch.column("cell"), strict=True):
+                fp = np.unique(unpack_raw(cell["fps"].as_py()).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k), pa.int64()), pa.array(fp)], names=["bin", "fp"])
+
+    def connect(own: pa.Table, told: pa.Table) -> pa.Table:
+        links = []
+        if own.num_rows:
+            cell = own["cell"][0]
+            keys, fp, label = (unpack_raw(cell[x].as_py()) for x in ("keys", "fps", "labels"))
+            known = told["fp"].to_numpy().view(U64)
+            order = np.argsort(known)
+            wide = np.frombuffer(b"".join(told["_bits"].to_pylist()), U64).reshape(len(known), -1)
+            at = order[np.searchsorted(known[order], fp)]
+            root = np.unique(label, return_inverse=True)[1]
+            parent = np.arange(root.max() + 1)
+
+            def top(x: int) -> int:
+                while parent[x] != x:
+                    x = parent[x]
+                return x
+
+            end = np.searchsorted(keys, keys, "right")
+            step, left = 0, np.arange(len(keys))
+            while True:
+                step += 1
+                left = left[left + step < end[left]]
+                if not len(left):
+                    break
+                for s in range(0, len(left), 1 << 16):
+                    i = left[s : s + (1 << 16)]
+                    i = i[parent[root[i]] != parent[root[i + step]]]
+                    i = i[np.bitwise_count(wide[at[i]] ^ wide[at[i + step]]).sum(1, dtype=np.int64) <= limit]
+                    for x in i.tolist():
+                        a, b = top(root[x]), top(root[x + step])
+                        if a != b:
+                            parent[max(a, b)] = min(a, b)
+                            links.append((fp[x], fp[x + step]))
+                    while len(i) and (parent[parent] != parent).any():
+                        parent[:] = parent[parent]
+        found = np.array(links, U64).reshape(-1, 2).view(np.int64)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    wanted = cells.mapInArrow(members, "bin long, fp long").join(bits.select("fp", "_bits"), "fp")
+    return cells.groupBy("bin").cogroup(wanted.groupBy("bin")).applyInArrow(connect, "a long, b long").distinct()
+
+
 def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp) that connect exactly those at most ``distance`` (even) bits apart.
 
@@ -206,7 +287,8 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     in 32 bands of 32 bits, and each band emits all its variants within one bit: two fingerprints collide if they differ by two
     bits or fewer in any band (98 % of pairs at 0.8, practically all at 0.85). Colliding pairs are verified over all bits: they
     link up to the expected distance at ``similarity`` plus one standard deviation. Bands that are equal are linked first, so that
-    a large group is one before its variants meet. Repeats of a shingle count once. Cases as for
+    a large group is one before its variants meet; that pass only saves work, as the variants of the second hold all it can miss.
+    Repeats of a shingle count once. Cases as for
     near_duplicates; the fingerprint column is a hash of the 1024 bits of
     the first text so linked.
     """
@@ -244,7 +326,9 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     roots = connected_components(verified(colliding(distinct.select("fp", "_bits"), *within(0), 3)))
     label = F.coalesce("root", "fp").alias("label")
     labelled = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", "_bits", label))
-    late = verified(colliding(labelled.select("fp", "_bits", "label"), *within(1), 3))
+    met = materialize(colliding(labelled.select("fp", "_bits", "label"), *within(1), 3, whole=True))
+    late = verified(met.filter("cell is null").select("a", "b").distinct())
+    late = late.unionByName(materialize(group_links(met.filter("cell is not null").select("bin", "cell"), labelled, limit)))
     name = lambda c: labelled.select(F.col("fp").alias(c), F.col("label").alias(f"_l{c}"))
     late = late.join(name("a"), "a").join(name("b"), "b").select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
     groups = labelled.groupBy("label").agg(F.min("_least").alias("_least")).withColumnRenamed("label", "fp")
