@@ -401,3 +401,24 @@ def test_pipeline(spark, documents, tmp_path, tokenizer):
     for _, stage in c.STAGES:
         nothing = stage(spark, nothing, SF)
     assert nothing.count() == 0
+
+
+def test_pipeline_ends_in_the_mixed_order(spark):
+    import corpus_pipeline as c
+
+    rng = random.Random(4)
+    rows = [(k, " ".join(rng.choice("abcdefgh") * 7 for _ in range(2500)), "en", f"s{min(2, k % 6)}", 1) for k in range(900)]
+    docs = frame(spark, rows)
+    out = c.tokens(spark, c.mixing(spark, docs, SF), SF).select("doc_id", "source", "slot", "place").collect()
+    assert sorted(r.doc_id for r in out) == list(range(900))
+    assert [(r.slot, r.place) for r in out] == sorted((r.slot, r.place) for r in out)
+    plan = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    assert all((r.slot, r.place) == (plan[r.doc_id].slot, plan[r.doc_id].place) for r in out)
+    chars = {s: sum(len(r[1]) for r in rows if r[3] == s) for s in ("s0", "s1", "s2")}
+    share = mixing.shares({s: n**0.5 for s, n in chars.items()}, 1000)
+    blocks = list(dict.fromkeys((r.slot, r.source) for r in out))
+    first = min(max(slot for slot, s in blocks if s == x) for x in chars)  # until a source runs out
+    assert first > 20
+    for slot in range(first):
+        for s in chars:
+            assert abs(sum(1 for k, x in blocks if x == s and k <= slot) - share[s] / 1000 * (slot + 1)) < 1

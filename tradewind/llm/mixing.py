@@ -97,3 +97,15 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows with their own columns, in the mixed order: partitions and the rows within them follow (slot, place)."""
     n = shuffle_partitions(docs.sparkSession)
     return mix_sources(docs, **options).repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+
+
+def in_stream_order(rows: DataFrame, placed: DataFrame) -> DataFrame:
+    """``rows`` (with slot and place) in the order of the mixed stream, as mixed() orders them.
+
+    The bounds of the partitions are taken from slot and place of ``placed``, which has the same ones, so that ``rows``, costly
+    to make, are not made a second time for a sample.
+    """
+    n = shuffle_partitions(rows.sparkSession)
+    bounds = placed.select("slot").approxQuantile("slot", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
+    part = sum(((F.col("slot") >= b).cast("int") for b in sorted({int(b) for b in bounds})), F.lit(0))
+    return rows.repartitionById(n, part).sortWithinPartitions("slot", "place")
