@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import fenced, lower_ascii, unfenced
 
 #: (host, path prefix, verdict)
 HOST_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -50,41 +50,37 @@ def url_filter(pages: DataFrame, url: str = "url", host_rules: Sequence[tuple] =
     ``rule`` is the host rule's name, else null; ``verdict`` is the winner's, else default.
 
     Null and empty URLs have empty host and path and get the default (unless a rule without tokens fits the empty string).
-    Repeated rows are judged each; an empty table gives an empty result. Columns named like a result are replaced.
+    Repeated rows are judged each; an empty table gives an empty result. Columns named like a result are replaced, all others
+    carried along, whatever their names.
     """
     rules = [host_rule(*x) for x in host_rules] + [pattern_rule(*x) for x in pattern_rules]
     names = ("host", "path", "rule", "pattern", "verdict")
-    rest = [c for c in pages.columns if c not in names]
-    host, path = url_parts(F.col(url))
-    seen = pages.select(*rest, host.alias("host"), path.alias("path"))
+    seen, inner, outer = fenced(pages, {url: "url"}, names)
+    host, path = url_parts(F.col("url"))
+    seen = seen.withColumns({"host": host, "path": path})
     # The canonical form that rules see: lower-cased scheme and host, the rest as it is.
-    tail = F.when(F.locate("://", F.col(url)) > 0, F.expr(f"substring(`{url}`, locate('://', `{url}`) + 3 + length(host))"))
-    whole = F.coalesce(F.concat(F.lit("u://"), F.col("host"), tail), F.col(url), F.lit(""))
-    seen = seen.withColumn("_u", whole)
-    tokens = lambda c: F.array_distinct(F.split(F.lower(c), r"[^a-z0-9]+"))
+    tail = F.when(F.locate("://", F.col("url")) > 0, F.expr("substring(url, locate('://', url) + 3 + length(host))"))
+    seen = seen.withColumn("u", F.coalesce(F.concat(F.lit("u://"), F.col("host"), tail), F.col("url"), F.lit("")))
+    tokens = F.array_distinct(F.split(F.lower("u"), r"[^a-z0-9]+"))
     if not rules:
         null = F.lit(None).cast("string")
-        return seen.select(*rest, "host", "path", null.alias("rule"), null.alias("pattern"), F.lit(default).alias("verdict"))
+        return unfenced(seen, inner, outer, ["host", "path", null.alias("rule"), null.alias("pattern"), F.lit(default).alias("verdict")])
 
     # The rules are a parameter, so their number bounds what is collected and broadcast here.
     literal = sorted({t for r in rules for t in r[3]})
-    in_rules = F.array_intersect(tokens(F.col("_u")), F.array(*map(F.lit, literal)).cast("array<string>"))
+    in_rules = F.array_intersect(tokens, F.array(*map(F.lit, literal)).cast("array<string>"))
     counts = {r["t"]: r["n"] for r in seen.select(F.explode(in_rules).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    filed: dict[str, list[tuple]] = {}
-    for r in rules:
-        filed.setdefault(min(r[3], key=lambda t: (counts.get(t, 0), t), default=""), []).append(r)
-    # A map literal from token to rules (the rules are a parameter): candidates are fetched in place, with no join or shuffle.
-    struct = lambda r: F.struct(F.lit(r[0]).alias("rule"), F.lit(r[1]).alias("pattern"), F.lit(r[2]).alias("verdict"), F.lit(r[4]).alias("weight"))
-    book = F.create_map(*[x for t, rs in filed.items() for x in (F.lit(t), F.array(*map(struct, rs)))])
-    wanted = F.array_intersect(F.concat(tokens(F.col("_u")), F.array(F.lit(""))), F.array(*map(F.lit, sorted(filed))).cast("array<string>"))
-    near = seen.withColumn("_c", F.flatten(F.transform(wanted, lambda t: F.element_at(book, t))))
-    hits = F.filter("_c", lambda r: F.regexp_like("_u", r["pattern"]))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(r["weight"].alias("weight"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    return near.withColumn("_b", best).select(
-        *rest,
-        "host",
-        "path",
-        F.when(F.col("_b.weight") >= 1_000_000, F.col("_b.rule")).alias("rule"),
-        F.when(F.col("_b.weight") < 1_000_000, F.col("_b.rule")).alias("pattern"),
-        F.coalesce("_b.verdict", F.lit(default)).alias("verdict"),
-    )
+    filed: dict[str, list[int]] = {}
+    for i, r in enumerate(rules):
+        filed.setdefault(min(r[3], key=lambda t: (counts.get(t, 0), t), default=""), []).append(i)
+    # The index is a map literal from token to numbers of rules: candidates are fetched in place, with no join or shuffle. Each
+    # pattern is a literal, compiled once, and runs only where its number was fetched.
+    book = F.create_map(*[x for t, rs in filed.items() for x in (F.lit(t), F.array(*map(F.lit, rs)))])
+    wanted = F.array_intersect(F.concat(tokens, F.array(F.lit(""))), F.array(*map(F.lit, sorted(filed))).cast("array<string>"))
+    near = seen.withColumn("near", F.flatten(F.transform(wanted, lambda t: F.element_at(book, t))))
+    win = lambda r: F.struct(F.lit(r[4]).alias("weight"), F.lit(r[0]).alias("rule"), F.lit(r[2]).alias("verdict"))
+    hits = [F.when(F.array_contains("near", i) & F.regexp_like("u", F.lit(r[1])), win(r)) for i, r in enumerate(rules)]
+    best = near.withColumn("best", F.array_max(F.array(*hits)))
+    host_won = F.col("best.weight") >= 1_000_000
+    added = [F.when(host_won, F.col("best.rule")).alias("rule"), F.when(~host_won, F.col("best.rule")).alias("pattern")]
+    return unfenced(best, inner, outer, ["host", "path", *added, F.coalesce("best.verdict", F.lit(default)).alias("verdict")])
