@@ -33,9 +33,9 @@ fig as (select w.doc_id, host, t, len(ws) n_words, length(array_to_string(ws, ''
 judged as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from fig),
 lines as (select doc_id, host, t, trim(lower(regexp_replace(x, '[^\p{L}]+', ' ', 'g'))) line, len(regexp_extract_all(x, '[^ \t-\r]+')) n
           from (select doc_id, host, t, unnest(string_split(t, chr(10))) x from judged)),
-sizes as (select host, count(*) c from judged group by 1),
-freq as (select l.host, line from lines l join sizes s on s.host = l.host where n >= 3
-         group by l.host, line, c having count(distinct t) > greatest(100, 0.02 * c)),
+sizes as (select host, count(distinct t) c from judged group by 1),
+freq as (select l.host, line from lines l join sizes s on s.host = l.host where n >= 3 and line <> ''
+         group by l.host, line, c having count(distinct t) > 20 or count(distinct t) >= 4 and count(distinct t) > 0.1 * c),
 gone as (select doc_id, sum(n) n from lines join freq using (host, line) where n >= 3 group by 1)
 select j.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        cast(n_words - coalesce(g.n, 0) as bigint) words_left,
@@ -57,8 +57,8 @@ from w left join n on n.doc_id = w.doc_id left join kept on kept.doc_id = w.doc_
 
 OP6_EXACT_TOP_K = r"""
 with v as (select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) e from embeddings
-           where len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
-s as (select q.vec_id query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])) as bigint) score
+           where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select q.vec_id query_id, v.vec_id, cast(coalesce(list_sum(list_transform(list_zip(q.e, v.e), lambda p: p[1] * p[2])), 0) as bigint) score
       from v q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0)
 select query_id, cast(rank as int) rank, vec_id, score
 from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) where rank <= 10
