@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, fenced, fields_of, hashable, unfenced
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -18,6 +19,7 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _CLUE, _NOT_DIGIT = re.compile("[0-9]"), re.compile("[0-9@]"), re.compile("[^0-9]")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 
@@ -46,12 +48,24 @@ def _emails(text: str) -> Iterator[re.Match]:
             pos = at + 1
 
 
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """As IP.finditer, in one pass over runs of dotted numbers: each four of a run are a match."""
+    for m in _DOTTED.finditer(text):
+        fields, start = m[0].split("."), m.start()
+        for k in range(0, len(fields) - 3, 4):
+            four = fields[k : k + 4]
+            end = start + sum(map(len, four)) + 3
+            if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in four):
+                yield start, end
+            start = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, end, kind) in code points by start, then kind; per kind leftmost, non-overlapping; failing matches are dropped."""
     out = [(m.start(), m.end(), 0) for m in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
+            out += [(s, e, 1) for s, e in _ips(text)]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 12 and 12 <= len(d := _NOT_DIGIT.sub("", m[0])) <= 19 and luhn(d):
                 out.append((m.start(), m.end(), 2))
@@ -137,12 +151,15 @@ def edges(text: str, tokens: list[tuple[int, int]]) -> tuple[list[tuple[int, int
 
 
 def labels(tokens: list[tuple[int, int]], base: list[tuple[int, int, int]]) -> np.ndarray:
-    """0: none, else 1 + the kind of the first base span that the token meets."""
+    """0: none, else 1 + the kind of the first base span that the token meets; both lists are in order of their starts."""
     out = np.zeros(len(tokens), np.int64)
-    for s, e, k in reversed(base):
-        for i, (a, b) in enumerate(tokens):
-            if a < e and s < b:
+    ends = [e for _, e in tokens]
+    for s, e, k in base:
+        i = bisect_right(ends, s)
+        while i < len(tokens) and tokens[i][0] < e:
+            if not out[i]:
                 out[i] = 1 + k
+            i += 1
     return out
 
 
@@ -264,7 +281,7 @@ def all_spans(texts: list[str], model: tuple[np.ndarray, np.ndarray], sure: floa
     for i in np.flatnonzero((y == 0) & (p[np.arange(len(kind)), kind + 1] >= sure)).tolist():
         doc, s, t = at[i]
         own = out[doc]
-        if own and not own[-1][3] and own[-1][2] == kind[i] and not texts[doc][own[-1][1] : s].strip(" ()-") and s - own[-1][1] <= 4:
+        if own and not own[-1][3] and own[-1][2] == kind[i] and s - own[-1][1] <= 4 and not texts[doc][own[-1][1] : s].strip(" ()-"):
             s = own.pop()[0]
         own.append((s, t, int(kind[i]), False))
     return [sorted(x, key=lambda s: (s[0], s[2], s[1])) for x in out]
@@ -294,23 +311,36 @@ def find_personal_data(docs: DataFrame, text: str = "text", train_docs: int = 60
     with a kind at probability ``sure`` or more become further spans.
 
     Null and empty texts have no spans (a null text stays null when redacted). Repeated rows get the same result; an empty
-    table gives an empty result. Columns named like a result are replaced.
+    table gives an empty result. Columns named like a result are replaced, all others carried along, whatever their names.
     """
     added = [f"n_{k}" for k in KINDS] + ["spans"] + ["redacted"] * redacted
-    rest = [c for c in docs.columns if c != text and c not in added]
-    sample = bounded_sample(docs.filter(F.col(text).isNotNull()), train_docs, F.xxhash64(text, *rest), F.when(F.col(text).rlike("[0-9@]"), F.col(text)).alias("t"))
-    model = train([r.t for r in sample if r.t])
-    frame = docs.select(F.col(text).alias("_text"), *rest)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema] + [f"n_{k} long" for k in KINDS] + [f"spans {SPANS}"] + ["redacted string"] * redacted
+    rows, inner, outer = fenced(docs, {text: "text"}, (text, *added))
+    body = F.when(F.col("text").rlike("[0-9@]"), F.col("text"))
+    sample = bounded_sample(rows.filter(F.col("text").isNotNull()), train_docs, F.xxhash64("text", *hashable(rows, inner)), body)
+    model = train([r.x for r in sample if r.x])
+    fields = [*fields_of(rows, inner), *(f"n_{k} long" for k in KINDS), f"spans {SPANS}"] + ["redacted string"] * redacted
     kind_of = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(0).to_pylist()
-            found = all_spans([t or "" for t in raw], model, sure)
+            found = [x for part in _graph_runs([t or "" for t in raw]) for x in all_spans(part, model, sure)]
             counts = [pa.array([sum(s[2] == k and s[3] for s in x) for x in found], pa.int64()) for k in range(len(KINDS))]
             spans = pa.array([[{"kind": KINDS[k], "start": s, "end": e, "base": b} for s, e, k, b in x] for x in found], kind_of)
             more = [pa.array([None if t is None else redact(t, x) if x else t for t, x in zip(raw, found, strict=True)], pa.string())] if redacted else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *counts, spans, *more], names=[*rest, *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *counts, spans, *more], names=[*inner, *added])
+
+    return unfenced(rows.select("text", *inner).mapInArrow(run, ", ".join(fields)), inner, outer, added)
 
-    return frame.mapInArrow(run, ", ".join(fields))
+
+def _graph_runs(texts: list[str], most: int = 1 << 22) -> Iterator[list[str]]:
+    """The texts in runs of about ``most`` characters, so that a graph is of few texts where these are long."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
