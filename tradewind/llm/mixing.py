@@ -7,7 +7,7 @@ import heapq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shuffle_partitions
+from .common import fenced, hashable, materialize, shuffle_partitions, unfenced
 
 
 def shares(weights: dict, period: int) -> dict:
@@ -45,58 +45,78 @@ def schedule(blocks: dict, period: int) -> dict[tuple, tuple[int, int, int]]:
     return out
 
 
-def mix_sources(docs: DataFrame, text: str = "text", source: str = "source", weights: dict | None = None, temper: float = 0.5, block_chars: int = 1 << 18, period: int = 1000, group_rows: int = 10_000) -> DataFrame:
+def mix_sources(
+    docs: DataFrame,
+    text: str = "text",
+    source: str = "source",
+    weights: dict | None = None,
+    temper: float = 0.5,
+    block_chars: int = 1 << 18,
+    period: int = 1000,
+    group_rows: int = 10_000,
+    most_sources: int = 100_000,
+) -> DataFrame:
     """Every row with block, slot, release, deadline (of its block) and place (its offset within the block, in characters).
 
     Each source is put in a random but fixed order (by hash) and cut into blocks of block_chars characters; a text belongs to
     the block that it starts in. Ordering by (slot, place) gives the mixed stream, in which every source is always less than one
     block off its target weight until a source runs out; its later slots stay empty, and the others keep their proportions.
     ``weights`` maps sources to target weights, 0 < w; sources without one weigh as the least of them. Without weights, they
-    follow (characters of the source) ** temper. The schedule repeats every max(period, 4 * sources) slots, so that one period
-    of it is all that the driver makes; the number of sources is taken to be bounded. No row is dropped or doubled.
+    follow (characters of the source) ** temper. No row is dropped or doubled.
+
+    The schedule repeats every max(period, 4 * sources) slots, so that one period of it is all that the driver makes. That grows
+    with the number of sources, so a table with more than most_sources is refused; Spark broadcasts the schedule or not by its
+    size.
 
     Null and empty texts count as one character; a null source is a source of its own. Repeated rows each have a place. An
-    empty table gives an empty result. Columns named like a result are replaced.
+    empty table gives an empty result. Columns named like a result are replaced, all others carried along, whatever their names.
     """
     spark = docs.sparkSession
     added = ("block", "slot", "release", "deadline", "place")
-    rest = [c for c in docs.columns if c not in added]
-    groups = max(shuffle_partitions(spark), -(-docs.count() // group_rows))
-    size = F.greatest(F.lit(1), F.coalesce(F.length(F.col(text)), F.lit(0))).cast("long")
-    seed = [F.col(c) for c in rest if dict(docs.dtypes)[c] in ("bigint", "int", "string") and c != source]
-    order = [c for c in rest if dict(docs.dtypes)[c] in ("bigint", "int", "string") and c not in (source, text)]
-    known = docs.select(*rest).withColumn("_h", F.xxhash64(*seed)).withColumns({"_size": size, "_g": F.pmod("_h", F.lit(groups)).cast("int")})
+    rows, inner, outer = fenced(docs, {text: "text", source: "source"}, added)
+    groups = max(shuffle_partitions(spark), -(-rows.count() // group_rows))
+    size = F.greatest(F.lit(1), F.coalesce(F.length("text"), F.lit(0))).cast("long")
+    kinds = dict(zip(outer, inner, strict=True))
+    seed = hashable(rows, [i for c, i in kinds.items() if c != source])
+    order = hashable(rows, [i for c, i in kinds.items() if c not in (source, text)])
+    known = rows.withColumn("h", F.xxhash64(*seed) if seed else F.lit(0).cast("long"))
+    known = known.withColumns({"size": size, "g": F.pmod("h", F.lit(groups)).cast("int")})
     # Prefix sums in two steps: over the groups of a source, then within each group, so that no source is in one task.
-    sums = materialize(known.groupBy(F.col(source).alias("_s"), "_g").agg(F.sum("_size").alias("_sum")))
-    totals = {r["_s"]: r["n"] for r in sums.groupBy("_s").agg(F.sum("_sum").alias("n")).collect()}
+    sums = materialize(known.groupBy("source", "g").agg(F.sum("size").alias("sum")))
+    each = sums.groupBy("source").agg(F.sum("sum").alias("n")).limit(most_sources + 1).collect()
+    if len(each) > most_sources:
+        raise ValueError(f"more than {most_sources} sources: group the small ones")
+    totals = {r["source"]: r["n"] for r in each}
     if not totals:
-        kinds = {"block": "long", "slot": "long", "release": "long", "deadline": "long", "place": "long"}
-        return docs.select(*rest, *[F.lit(0).cast(k).alias(c) for c, k in kinds.items()])
+        return unfenced(rows, inner, outer, [F.lit(0).cast("long").alias(c) for c in added])
     given = {s: (weights[s] if s in weights else min(weights.values())) for s in totals} if weights else {s: n**temper for s, n in totals.items()}
     period = max(period, 4 * len(totals))
     blocks = shares(given, period)
     plan = [(s, blocks[s], j, *x) for (s, j), x in schedule(blocks, period).items()]
-    kind = dict(docs.dtypes)[source]
-    # One row for each slot of the period: bounded by the parameter and the number of sources.
-    table = F.broadcast(spark.createDataFrame(plan, f"_ps {kind}, _a long, _j long, _slot long, _r long, _d long"))
-    each = F.broadcast(spark.createDataFrame(list(blocks.items()), f"_as {kind}, _n long"))
-    before = sums.withColumn("_before", F.sum("_sum").over(Window.partitionBy("_s").orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)))
-    before = before.select("_s", F.col("_g").alias("_bg"), F.coalesce("_before", F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(source, "_g").orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = known.withColumn("_in", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    placed = placed.join(before, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_g") == F.col("_bg"))).withColumn("_at", F.col("_before") + F.col("_in"))
-    placed = placed.withColumns({"block": F.expr(f"_at div {block_chars}"), "place": F.expr(f"_at % {block_chars}")})
-    placed = placed.join(each, F.col(source).eqNullSafe(F.col("_as")))
-    placed = placed.withColumns({"_k": F.expr("block % _n"), "_round": F.expr(f"(block div _n) * {period}")})
-    placed = placed.join(table, F.col(source).eqNullSafe(F.col("_ps")) & (F.col("_k") == F.col("_j")))
-    shifted = [(F.col(c) + F.col("_round")).alias(n) for c, n in (("_slot", "slot"), ("_r", "release"), ("_d", "deadline"))]
-    return placed.select(*rest, "block", *shifted, "place")
+    kind = dict(rows.dtypes)["source"]
+    table = spark.createDataFrame(plan, f"p_source {kind}, p_n long, p_j long, p_slot long, p_release long, p_deadline long")
+    counts = spark.createDataFrame(list(blocks.items()), f"c_source {kind}, n long")
+    before = sums.withColumn("before", F.sum("sum").over(Window.partitionBy("source").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)))
+    before = before.select(F.col("source").alias("b_source"), F.col("g").alias("b_g"), F.coalesce("before", F.lit(0)).alias("before"))
+    inside = Window.partitionBy("source", "g").orderBy("h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = known.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("text")
+    placed = placed.join(before, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("g") == F.col("b_g")))
+    placed = placed.withColumn("at", F.col("before") + F.col("ahead"))
+    placed = placed.withColumns({"block": F.expr(f"at div {block_chars}"), "place": F.expr(f"at % {block_chars}")})
+    placed = placed.join(counts, F.col("source").eqNullSafe(F.col("c_source")))
+    placed = placed.withColumns({"j": F.expr("block % n"), "round": F.expr(f"(block div n) * {period}")})
+    placed = placed.join(table, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("j") == F.col("p_j")))
+    shifted = [(F.col(f"p_{c}") + F.col("round")).alias(c) for c in ("slot", "release", "deadline")]
+    return unfenced(placed, inner, outer, ["block", *shifted, "place"])
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows with their own columns, in the mixed order: partitions and the rows within them follow (slot, place)."""
     n = shuffle_partitions(docs.sparkSession)
-    return mix_sources(docs, **options).repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place").select(*docs.columns)
+    rows, inner, outer = fenced(docs, {}, ())
+    at = {options.get(c, c): inner[outer.index(options.get(c, c))] for c in ("text", "source")}
+    placed = mix_sources(rows, **{**options, "text": at[options.get("text", "text")], "source": at[options.get("source", "source")]})
+    return unfenced(placed.repartitionByRange(n, "slot", "place").sortWithinPartitions("slot", "place"), inner, outer, [])
 
 
 def in_stream_order(rows: DataFrame, placed: DataFrame) -> DataFrame:
