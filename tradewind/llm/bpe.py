@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
 from .blocks import BLOCK_BYTES, block_count, dealt
-from .common import materialize
+from .common import fenced, fields_of, materialize, unfenced
 
 #: A chunk ends where the low bits of the rolling hash of the last 32 bytes are zero: every 2 KiB on average.
 CUT_MASK = np.uint32(2047)
@@ -25,6 +24,9 @@ LEAST_CHUNK, MOST_CHUNK = 256, 16384
 _GEAR = np.random.default_rng(7).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
+_LONG_BLANK = regex.compile(r"\p{White_Space}{1000,}+")
+
+
 class Coder:
     """A byte-level vocabulary: plain encoding of a piece of text, bytes of ids, and the special tokens found in texts."""
 
@@ -40,7 +42,18 @@ class Coder:
             self.sizes[rank] = len(token)
 
     def plain(self, piece: bytes) -> list[int]:
-        return self.encoding.encode_ordinary(piece.decode())
+        """Long runs of white space are cut out first, as the pre-tokenizer's look-ahead overflows its stack on them: all of a
+        run but the last character, before something else, is one token's text."""
+        text = piece.decode()
+        if not (runs := list(_LONG_BLANK.finditer(text))):
+            return self.encoding.encode_ordinary(text)
+        out, pos = [], 0
+        for m in runs:
+            end = m.end() - (m.end() < len(text))
+            out += self.encoding.encode_ordinary(text[pos : m.start()])
+            out += self.encoding._encode_single_piece(text[m.start() : end].encode())
+            pos = end
+        return out + self.encoding.encode_ordinary(text[pos:])
 
     def pieces(self, text: bytes) -> list[bytes | int]:
         """The text without special tokens, these as ids."""
@@ -80,51 +93,52 @@ def chunks(piece: bytes) -> list[bytes]:
     return [x for x in out if x]
 
 
-_LAST, _FIRST = re.compile(rb"(?s).*[A-Za-z](?=[^A-Za-z\x80-\xff])"), re.compile(rb"[A-Za-z](?=[^A-Za-z\x80-\xff])")
-_LAST_ANY, _FIRST_ANY = regex.compile(r"(?s).*\p{L}(?=\P{L})"), regex.compile(r"\p{L}(?=\P{L})")
+# Places where the pre-tokenizer starts a new token whatever stands around: a run of letters, digits or other signs ends there (an
+# apostrophe may go on with a letter). After white space it depends on what follows.
+_SIGN = r"[^\s\p{L}\p{N}\p{C}]"
+_STARTS = rf"(?<=\p{{L}})(?=\P{{L}})|(?<=\p{{N}})(?=\P{{N}})|(?<={_SIGN})(?=[\s\p{{N}}])|(?<=(?!'){_SIGN})(?=\p{{L}})"
+_FIRST, _LAST = regex.compile(_STARTS), regex.compile("(?r)" + _STARTS)
 
 
-def _turn(piece: bytes, last: bool) -> int:
-    """The last or first place where a letter is followed by something else; -1 if none.
-
-    Whatever stands around it, the pre-tokenizer starts a new token there: none of its patterns goes on after a letter with
-    anything but letters.
-    """
-    if found := _LAST.match(piece) if last else _FIRST.search(piece):
-        return found.end()
+def sure_starts(piece: bytes) -> tuple[int, int] | None:
+    """The first and the last sure start of a token inside a piece, as byte offsets; None without one."""
     text = piece.decode()
-    found = _LAST_ANY.match(text) if last else _FIRST_ANY.search(text)
-    return len(text[: found.end()].encode()) if found else -1
+    first = _FIRST.search(text)
+    if not first:
+        return None
+    return tuple(len(text[: m.start()].encode()) for m in (first, _LAST.search(text)))
 
 
 def encode_chunks(c: Coder, pieces: list[bytes], ids_of) -> np.ndarray:
     """Ids of joined pieces from the ids of each; joins are repaired by encoding anew what lies around them.
 
-    At each join the text from a sure token start before it to one after it is encoded anew; the two ends must fall on token
-    borders of the neighbours, else the next piece is taken in too, until they agree or the text is at its end.
+    At each join the text from the last sure start of a token before it to the first one after it is encoded anew. Both must fall
+    on token borders of the pieces' own ids; where they don't agree, or a piece has no sure start at all, the piece is taken in
+    too, and all that is held so is encoded once, when the next sure start is met or the text ends.
     """
-    held, ids = pieces[0], ids_of(pieces[0])
+    kind = np.uint16 if len(c.sizes) <= 65536 else np.uint32
     done: list[np.ndarray] = []
-    for piece in pieces[1:]:
-        own, left, right = ids_of(piece), _turn(held, True), _turn(piece, False)
-        keep = drop = None
-        if left > 0:
-            back = np.cumsum(c.sizes[ids[: -len(ids) - 1 : -1]])
-            k = int(np.searchsorted(back, len(held) - left))
-            keep = len(ids) - k - 1 if k < len(back) and back[k] == len(held) - left else None
-        if right > 0:
-            front = np.cumsum(c.sizes[own[: right + 1]])
-            k = int(np.searchsorted(front, right))
-            drop = k + 1 if k < len(front) and front[k] == right else None
-        if keep is None:
-            keep, left = 0, 0
-        if drop is None:  # no agreement inside the piece: hold it all
-            ids = np.concatenate([ids[:keep], np.array(c.plain(held[left:] + piece), np.uint16 if len(c.sizes) <= 65536 else np.uint32)])
-            held = held + piece
+    held: list[bytes] = []
+    for k, piece in enumerate(pieces):
+        starts = sure_starts(piece)
+        first = 0 if k == 0 else starts[0] if starts else -1
+        last = len(piece) if k + 1 == len(pieces) else starts[1] if starts else -1
+        inside = None
+        if 0 <= first < last:
+            ids = ids_of(piece)
+            ends = np.concatenate([[0], np.cumsum(c.sizes[ids])])
+            i, j = np.searchsorted(ends, (first, last)).tolist()
+            inside = ids[i:j] if ends[i] == first and ends[min(j, len(ends) - 1)] == last else None
+        if inside is None:
+            held.append(piece)
             continue
-        done += [ids[:keep], np.array(c.plain(held[left:] + piece[:right]), ids.dtype)]
-        ids, held = own[drop:], piece[right:]
-    return np.concatenate([*done, ids])
+        if first or held:
+            done.append(np.array(c.plain(b"".join([*held, piece[:first]])), kind))
+        done.append(inside)
+        held = [piece[last:]] if last < len(piece) else []
+    if held:
+        done.append(np.array(c.plain(b"".join(held)), kind))
+    return np.concatenate(done) if done else np.empty(0, kind)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], text: str = "text", keep: tuple[str, ...] = ("ids", "decoded_text"), block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -135,12 +149,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
     decoded_sha256 over the UTF-8 of the text decoded from the ids (bytes that are no UTF-8 become U+FFFD).
 
     Null and empty texts have no tokens. Each of repeated rows is encoded. An empty table gives an empty result. Columns named
-    like a result are replaced.
+    like a result are replaced, all others carried along, whatever their names. Time grows with the text even where it has no
+    place to cut it (digits, one letter, unspaced scripts): what is held there is encoded once.
     """
-    added = ("n_tokens", "ids", "ids_sha256", "decoded_text", "decoded_sha256")
-    rest = [c for c in docs.columns if c not in (text, *added)]
-    blocks, _ = block_count(docs, text, block_bytes)
-    blocked = dealt(docs, text, blocks, rest)
+    results = ("n_tokens", "ids", "ids_sha256", "decoded_text", "decoded_sha256")
+    rows, inner, outer = fenced(docs, {text: "text"}, (text, *results))
+    blocks, _ = block_count(rows, "text", block_bytes)
+    blocked = dealt(rows, "text", blocks, inner)
     spec = tuple(special.items())
     own = lambda: coder(ranks_path, pattern, spec)  # noqa: E731  in the worker
     wide = max([65535, *special.values()]) > 65535
@@ -151,11 +166,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
         for batch in batches:
             seen = {(block.as_py(), xxh3_128_digest(x)) for block, t in zip(batch.column(0), batch.column(1), strict=True) for p in c.pieces(t.as_py()) if not isinstance(p, int) for x in chunks(p)}
             cols = list(zip(*sorted(seen), strict=True)) if seen else [(), ()]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["_block", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary())], names=["block", "h"])
 
     def owned(table: pa.Table, wanted: pa.Table) -> pa.Table:
         c, left, out = own(), set(wanted["h"].to_pylist()), []
-        for t in table["_text"]:
+        for t in table["body"]:
             if not left:
                 break
             for p in c.pieces(t.as_py()):
@@ -165,9 +180,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
                         out.append((h, np.array(c.plain(x), kind).tobytes()))
         return pa.table({"h": pa.array([x[0] for x in out], pa.binary()), "ids": pa.array([x[1] for x in out], pa.binary())})
 
-    kinds = docs.select(*rest).schema
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kinds] + ["n_tokens long"]
-    fields += ["ids_sha256 string", "decoded_sha256 string"] + ["ids array<int>"] * ("ids" in keep) + ["decoded_text string"] * ("decoded_text" in keep)
+    fields = [*fields_of(rows, inner), "n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
+    fields += ["ids array<int>"] * ("ids" in keep) + ["decoded_text string"] * ("decoded_text" in keep)
+    added = [f.split()[0] for f in fields[len(inner) :]]
 
     def encode(table: pa.Table, told: pa.Table) -> pa.Table:
         c = own()
@@ -181,7 +196,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
 
         n, all_ids, shas, texts, back = [], [], [], [], []
         names = _decimals(len(c.sizes))
-        for t in table["_text"]:
+        for t in table["body"]:
             got = [np.array([p], kind) if isinstance(p, int) else encode_chunks(c, chunks(p), ids_of) for p in c.pieces(t.as_py())]
             ids = np.concatenate(got) if got else np.empty(0, kind)
             n.append(len(ids))
@@ -193,7 +208,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
                 all_ids.append(ids)
             if "decoded_text" in keep:
                 texts.append(text_back)
-        out = {**{x: table[x] for x in rest}, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
+        out = {**{x: table[x] for x in inner}, "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(shas, pa.string()), "decoded_sha256": pa.array(back, pa.string())}
         if "ids" in keep:
             flat = np.concatenate(all_ids).astype(np.int32) if all_ids else np.empty(0, np.int32)
             out["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(flat))
@@ -201,12 +216,13 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, special: di
             out["decoded_text"] = pa.array(texts, pa.string())
         return pa.table(out)
 
-    held = materialize(blocked.select("_block", "_text").mapInArrow(hashes, "_block int, h binary").distinct())
-    shared = held.groupBy("h").agg(F.min("_block").alias("owner"), F.count("*").alias("n")).filter("n > 1")
-    wanted = shared.select(F.col("owner").alias("_block"), "h")
-    book = materialize(blocked.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInArrow(owned, "h binary, ids binary"))
-    told = held.join(book, "h").select("_block", "h", "ids")
-    return blocked.groupBy("_block").cogroup(told.groupBy("_block")).applyInArrow(encode, ", ".join(fields))
+    held = materialize(blocked.select("block", "body").mapInArrow(hashes, "block long, h binary").distinct())
+    shared = held.groupBy("h").agg(F.min("block").alias("owner"), F.count("*").alias("n")).filter("n > 1")
+    wanted = shared.select(F.col("owner").alias("block"), "h")
+    book = materialize(blocked.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(owned, "h binary, ids binary"))
+    told = held.join(book, "h").select("block", "h", "ids")
+    out = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(encode, ", ".join(fields))
+    return unfenced(out, inner, outer, added)
 
 
 @lru_cache(2)
