@@ -1,4 +1,8 @@
-"""Exact top-k inner products by dual-tree search over cover trees."""
+"""Exact top-k inner products by dual-tree search over cover trees.
+
+The top level of both trees is one set of centres, chosen from the data; below it, tasks grow a levelled cover tree over the
+vectors of a cell and one over a group of queries and search both together.
+"""
 
 from __future__ import annotations
 
@@ -11,193 +15,278 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shuffle_partitions
 
-LEAF = 48
+#: Points that a node without children holds at most, unless they are all equal (of queries: fewer, as a group's worst k-th score
+#: decides for all of it), and children of a node at most.
+LEAF, QUERY_LEAF, CHILDREN = 64, 16, 16
 #: Above it, sums of products are no longer exact in double precision.
 EXACT = float(1 << 53)
+#: A score is shuffled as two integers, its bits above and below this one.
+LOW = 62
+
+
+def angles(a: np.ndarray, b: np.ndarray, norm_a, norm_b) -> np.ndarray:
+    """Angles between vectors (rows); zero vectors are at a right angle to all."""
+    cosine = (a * b).sum(-1) / np.maximum(norm_a * norm_b, 1e-300)
+    return np.arccos(np.clip(cosine, -1, 1))
 
 
-def scaled(values, scale: int) -> np.ndarray | None:
-    """floor(scale * x) of each component; None if the vector is null or holds a null or non-finite component."""
-    if values is None or any(x is None for x in values):
-        return None
-    x = np.floor(np.array(values, np.float64) * scale)
-    return x if np.isfinite(x).all() else None
+def top_product(dot, near: tuple, far: tuple) -> np.ndarray:
+    """The largest inner product of points of two nodes, given that of their centres.
+
+    Each node is (norm of the centre, radius, largest angle to the centre, least norm, largest norm). It is bounded twice, by the
+    radii and by the angles; the lesser counts. What isn't finite bounds nothing.
+    """
+    with np.errstate(all="ignore"):
+        by_radius = dot + near[0] * far[1] + far[0] * near[1] + near[1] * far[1]
+        apart = np.arccos(np.clip(dot / np.maximum(near[0] * far[0], 1e-300), -1, 1))
+        cosine = np.cos(np.minimum(np.pi, np.maximum(0, apart - near[2] - far[2])) - 1e-7)
+        by_angle = np.where(cosine >= 0, near[4] * far[4], near[3] * far[3]) * cosine
+        top = np.minimum(by_radius, by_angle)
+        return top + 1e-9 * (np.abs(by_radius) + near[4] * far[4] + 1)
 
 
 class CoverTree:
-    """Nodes with a centre, a covering radius and either children or points. The children's centres form a net: they are more
-    than half the node's radius apart, and every point belongs to the nearest of them."""
+    """Levelled nodes with a centre, a covering radius and either children or points.
 
-    def __init__(self, x: np.ndarray):
+    The centres of the children are a net of the node's points, each the farthest from those before it, until all points are
+    within half the node's radius of one, or there are CHILDREN of them; every point belongs to the nearest.
+    """
+
+    def __init__(self, x: np.ndarray, leaf: int = LEAF):
         self.x = x
-        self.norm = np.sqrt((x * x).sum(1))
+        with np.errstate(all="ignore"):
+            self.norm = np.sqrt((x * x).sum(1))
         self.centre: list[int] = []
-        self.radius: list[float] = []
-        self.children: list[list[int]] = []
-        self.points: list[np.ndarray | None] = []
-        if len(x):
-            self._grow(np.arange(len(x)), 0)
-
-    def _grow(self, own: np.ndarray, centre: int) -> int:
-        d = np.sqrt(np.maximum(((self.x[own] - self.x[centre]) ** 2).sum(1), 0))
-        node = len(self.centre)
-        self.centre.append(centre)
-        self.radius.append(float(d.max()))
-        self.children.append([])
-        self.points.append(None)
-        reach = self.radius[node] / 2
-        net, nearest, dist = [centre], np.zeros(len(own), np.int64), d
-        if len(own) > LEAF and reach > 0:
-            while dist.max() > reach and len(net) < len(own) // 2:
-                far = int(own[dist.argmax()])
-                new = np.sqrt(((self.x[own] - self.x[far]) ** 2).sum(1))
-                nearest[new < dist] = len(net)
-                dist = np.minimum(dist, new)
-                net.append(far)
-        if len(net) == 1 or len(net) >= len(own) // 2:  # too few or too far apart to gain by parting them
-            self.points[node] = own
-        else:
-            self.children[node] = [self._grow(own[nearest == k], c) for k, c in enumerate(net)]
-        return node
-
-
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.children: list[np.ndarray] = []
+        self.points: list[np.ndarray] = []
+        self.level: list[int] = []
+        radius, angle, least, most = [], [], [], []
+        todo = [(np.arange(len(x)), 0, 0, -1)] if len(x) else []
+        below: list[list[int]] = []
+        while todo:
+            own, centre, level, parent = todo.pop()
+            node = len(self.centre)
+            if parent >= 0:
+                below[parent].append(node)
+            with np.errstate(all="ignore"):
+                d = np.sqrt(((x[own] - x[centre]) ** 2).sum(1))
+                angle.append(float(angles(x[own], x[centre], self.norm[own], self.norm[centre]).max()))
+            self.centre.append(centre)
+            self.points.append(own)
+            self.level.append(level)
+            below.append([])
+            radius.append(float(d.max()))
+            least.append(float(self.norm[own].min()))
+            most.append(float(self.norm[own].max()))
+            if len(own) > leaf and 0 < radius[node] < np.inf:
+                net, nearest, dist = [centre], np.zeros(len(own), np.int64), d
+                while dist.max() > radius[node] / 2 and len(net) < CHILDREN:
+                    far = int(own[dist.argmax()])
+                    new = np.sqrt(((x[own] - x[far]) ** 2).sum(1))
+                    nearest[new < dist] = len(net)
+                    dist = np.minimum(dist, new)
+                    net.append(far)
+                todo += [(own[nearest == k], c, level + 1, node) for k, c in enumerate(net)]
+        self.children = [np.array(c, np.int64) for c in below]
+        self.shape = tuple(np.array(v) for v in (self.norm[self.centre], radius, angle, least, most))
+
+    def of(self, nodes) -> tuple:
+        return tuple(v[nodes] for v in self.shape)
+
+
+def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray, whole=None, stats: dict | None = None) -> tuple[np.ndarray, np.ndarray, list[int]]:
     """(query row, data row, score) of the best k (at most) of each query; ``floor`` has scores that the k-th best has anyhow.
 
-    A pair of nodes is pruned if the largest inner product that their radii allow is below the worst k-th score in the query node.
+    A pair of nodes is pruned if the largest inner product that their radii and angles allow is below the worst k-th score in the
+    query node. ``whole`` gives (queries, data) as Python integers, for scores that doubles can't hold. ``stats`` is told the
+    pairs of points that were scored, and the pairs of nodes that were met and pruned.
     """
-    qt, dt = CoverTree(queries), CoverTree(data)
+    qt, dt = CoverTree(queries, QUERY_LEAF), CoverTree(data)
     worst = floor.astype(np.float64).copy()
-    best: list[list[tuple[float, int]]] = [[] for _ in range(len(queries))]
-    exact = len(data) and (np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * data.shape[1] < EXACT)
-
-    def members(t: CoverTree, node: int, cache: dict) -> np.ndarray:
-        if node not in cache:
-            cache[node] = t.points[node] if t.points[node] is not None else np.concatenate([members(t, c, cache) for c in t.children[node]])
-        return cache[node]
-
-    of_q: dict = {}
-
-    def bound(a: int, b: int) -> float:
-        p, q = qt.centre[a], dt.centre[b]
-        ra, rb = qt.radius[a], dt.radius[b]
-        top = float(queries[p] @ data[q]) + qt.norm[p] * rb + dt.norm[q] * ra + ra * rb
-        return top + 1e-9 * (abs(top) + 1)
-
-    stack = [(bound(0, 0), 0, 0)] if len(queries) and len(data) else []
+    best: list[list[tuple[int, int, int]]] = [[] for _ in range(len(queries))]
+    with np.errstate(all="ignore"):
+        exact = bool(len(data) and np.abs(queries).max(initial=0) * np.abs(data).max(initial=0) * data.shape[1] < EXACT)
+    ints = None if exact or not len(data) else whole() if whole else ([list(map(int, v)) for v in queries], [list(map(int, v)) for v in data])
+    met = pruned = scored = 0
+
+    def bounds(a, b) -> np.ndarray:
+        with np.errstate(all="ignore"):
+            dot = (queries[np.array(qt.centre)[a]] * data[np.array(dt.centre)[b]]).sum(-1)
+        return top_product(dot, qt.of(a), dt.of(b))
+
+    stack = [(float(bounds(0, 0)), 0, 0)] if len(queries) and len(data) else []
     while stack:
         top, a, b = stack.pop()
-        own = members(qt, a, of_q)
+        met += 1
+        own = qt.points[a]
         if top < worst[own].min():
+            pruned += 1
             continue
-        split_q = bool(qt.children[a]) and (not dt.children[b] or qt.radius[a] >= dt.radius[b])
-        if split_q or dt.children[b]:
-            pairs = [(c, b) for c in qt.children[a]] if split_q else [(a, c) for c in dt.children[b]]
-            stack += sorted((bound(*p), *p) for p in pairs)  # the best is taken first
+        below_q, below_d = qt.children[a], dt.children[b]
+        if len(below_q) or len(below_d):
+            split_q = len(below_q) and (not len(below_d) or qt.shape[1][a] >= dt.shape[1][b])
+            pairs = (below_q, np.full(len(below_q), b)) if split_q else (np.full(len(below_d), a), below_d)
+            stack += sorted(zip(bounds(*pairs).tolist(), pairs[0].tolist(), pairs[1].tolist(), strict=True))  # the best is taken first
             continue
-        own, there = qt.points[a], dt.points[b]
+        there = dt.points[b]
+        scored += len(own) * len(there)
         if exact:
             scores = queries[own] @ data[there].T
         else:
-            scores = np.array([[sum(int(x) * int(y) for x, y in zip(queries[i], data[j], strict=True)) for j in there] for i in own], object)
+            scores = np.array([[sum(x * y for x, y in zip(ints[0][i], ints[1][j], strict=True)) for j in there] for i in own], object)
+        mine = data_ids[there]
         for row, q in zip(scores, own.tolist(), strict=True):
-            at = np.flatnonzero((row >= worst[q]) & (data_ids[there] != query_ids[q]))
+            at = np.flatnonzero((row >= worst[q]) & (mine != query_ids[q]))
             if len(at):
-                got = best[q] + [(-row[i], int(data_ids[there[i]]), int(there[i])) for i in at.tolist()]
+                got = best[q] + [(-int(row[i]), int(mine[i]), int(there[i])) for i in at.tolist()]
                 best[q] = sorted(got)[:k]
                 if len(best[q]) == k:
-                    worst[q] = max(worst[q], float(-best[q][-1][0]))
-    rows = [(q, j, int(-s)) for q, x in enumerate(best) for s, _, j in x]
+                    worst[q] = max(worst[q], _below(-best[q][-1][0]))
+    if stats is not None:
+        for name, n in (("met", met), ("pruned", pruned), ("scored", scored)):
+            stats[name] = stats.get(name, 0) + n
+    rows = [(q, j, -s) for q, x in enumerate(best) for s, _, j in x]
     cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-    return np.array(cols[0], np.int64), np.array(cols[1], np.int64), np.array(cols[2], np.int64 if exact else object)
+    return np.array(cols[0], np.int64), np.array(cols[1], np.int64), list(cols[2])
 
 
-def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, scale: int = 1024, node_rows: int = 4096, max_nodes: int = 1024) -> DataFrame:
+def _below(score: int) -> float:
+    """The score as a double that isn't larger."""
+    try:
+        value = float(score)
+    except OverflowError:
+        return -np.inf
+    return value if abs(value) < EXACT else float(np.nextafter(value, -np.inf))
+
+
+def top_k(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", every: int = 100, k: int = 10, scale: int = 1024, cell_rows: int = 1 << 14, query_rows: int = 1 << 14, max_nodes: int = 1024) -> DataFrame:
     """query_id, rank, the key and score of the k best of each query, by inner product of floor(scale * x), ties to smaller keys.
 
-    Queries are the rows whose key is divisible by ``every``, candidates all rows but those with the query's key. The top of the
-    joint tree is at most max_nodes centres (the vectors with the smallest hashes), each vector going to the nearest; below it,
-    tasks build a cover tree over at most about node_rows vectors and one over the queries. First each query meets its own
-    node; the k-th scores found there then prune pairs of nodes, and what remains is searched in tasks.
+    Queries are the rows whose key is divisible by ``every``, candidates all rows but those with the query's key. The top level of
+    the trees is at most max_nodes centres (the vectors with the smallest hashes), each vector going to the nearest; the vectors
+    of a node are dealt into cells of at most about cell_rows, its queries into groups of at most about query_rows. First each
+    query meets its own node; the k-th scores found there then prune (query group, node) pairs, and what remains is searched in
+    tasks, which never hold more than one cell and query_rows queries.
 
-    Vectors that are null, empty or hold a null or non-finite component take no part, nor do null keys; shorter vectors count as
-    padded with zeros. Rows that repeat a key are candidates of others each. An empty table gives an empty result.
+    Vectors that are null or hold a null or non-finite component take no part, nor do null keys; shorter vectors, empty ones too,
+    count as padded with zeros. Rows that repeat a key are candidates of others each. An empty table gives an empty result. A
+    score beyond 64 bits is given as the nearest long; its rank is right up to 125 bits.
     """
     spark = vectors.sparkSession
-    keep = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and size(v) > 0")
-    parsed = materialize(keep.mapInArrow(lambda it: _parsed(it, scale), "id long, v binary, dim int"))
+    keep = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    parsed = materialize(keep.mapInArrow(_parsed, "id long, v binary, dim int"))
     n, dim = parsed.agg(F.count("*"), F.max("dim")).first()
     names = ["query_id long", "rank int", f"`{key}` long", "score long"]
     if not n:
         return spark.createDataFrame([], ", ".join(names))
-    # Bounded by max_nodes; the cells and centres of the top of the tree are all that the driver sees.
-    count = min(max_nodes, max(1, n // node_rows))
-    centres = np.stack([_row(r.v, dim) for r in parsed.orderBy(F.xxhash64("id", "v"), "id").limit(count).collect()])
+    partitions = shuffle_partitions(spark)
+    cell_rows = min(cell_rows, max(1024, n // (2 * partitions)))
+    # Bounded by max_nodes; the centres and figures of the top level are all that the driver sees.
+    count = min(max_nodes, max(1, n // cell_rows))
+    centres = _floor(np.stack([_row(r.v, dim) for r in parsed.orderBy(F.xxhash64("id", "v"), "id").limit(count).collect()]), scale)
+    sizes = np.sqrt((centres * centres).sum(1))
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            x = np.stack([_row(v.as_py(), dim) for v in b.column(1)]) if b.num_rows else np.zeros((0, dim))
-            d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
-            node = d.argmin(1)
-            away = np.sqrt(((x - centres[node]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int32()), pa.array(away)], names=["id", "v", "node", "away"])
-
-    placed = materialize(parsed.select("id", "v").mapInArrow(place, "id long, v binary, node int, away double"))
-    cells = max(1, -(-n // (node_rows * count)))
-    data = placed.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(cells)).cast("int"))
-    queries = placed.filter(F.col("id") % every == 0)
-    nodes = {r.node: r.r for r in placed.groupBy("node").agg(F.max("away").alias("r")).collect()}
-    found = "query_id long, id long, score long"
-
-    def search(own: pa.Table, asked: pa.Table) -> pa.Table:
-        if not own.num_rows or not asked.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        x, q = (np.stack([_row(v.as_py(), dim) for v in t["v"]]) for t in (own, asked))
-        ids, qids = own["id"].to_numpy(), asked["id"].to_numpy()
-        a, b, s = dual_search(q, qids, x, ids, k, asked["floor"].to_numpy())
-        return pa.table({"query_id": qids[a], "id": ids[b], "score": pa.array(s.tolist(), pa.int64())})
-
-    def searched(asked: DataFrame) -> DataFrame:
-        """asked: id, v, floor, node to search."""
-        spread = asked.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
-        return data.groupBy("node", "cell").cogroup(spread.groupBy("node", "cell")).applyInArrow(search, found)
-
-    none = F.lit(float("-inf"))
-    near = materialize(searched(queries.select("id", "v", none.alias("floor"), "node")))
-    kth = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))).filter(f"n = {k}").select("query_id", F.col("score").cast("double").alias("floor"))
-    known = queries.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", "node", F.coalesce("floor", none).alias("floor"))
-    # A query group is the queries of a node in one cell: its centre, radius and worst k-th score decide for all of them.
-    groups = max(shuffle_partitions(spark), 1)
-    known = known.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+            x = _floor(_rows(b.column(1), dim), scale)
+            with np.errstate(all="ignore"):
+                norm = np.sqrt((x * x).sum(1))
+                d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
+                node = np.where(np.isfinite(norm), np.nan_to_num(d, nan=np.inf).argmin(1), 0)
+                away = np.sqrt(((x - centres[node]) ** 2).sum(1))
+                angle = angles(x, centres[node], norm, sizes[node])
+            figures = [pa.array(np.where(np.isfinite(norm), v, np.inf)) for v in (away, angle, norm)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int32()), *figures], names=["id", "v", "node", "away", "angle", "norm"])
+
+    placed = materialize(parsed.select("id", "v").mapInArrow(place, "id long, v binary, node int, away double, angle double, norm double"))
+    asks = F.col("id") % every == 0
+    figures = placed.groupBy("node").agg(F.max("away"), F.max("angle"), F.min("norm"), F.max("norm"), F.count("*"), F.count_if(asks)).collect()
+    nodes = {r[0]: tuple(r)[1:] for r in figures}
+    per_node = lambda i, most: F.element_at(F.create_map(*[F.lit(x) for m, v in nodes.items() for x in (m, max(1, -(-v[i] // most)))]), F.col("node"))
+    # The number of its cells and groups comes with each row: no node, hot or not, is in one task.
+    data = placed.select("id", "v", "node", F.pmod(F.xxhash64("id", "v"), per_node(4, cell_rows)).cast("int").alias("cell"))
+    asked = placed.filter(asks).select("id", "v", "node", F.pmod(F.xxhash64("id", "v"), per_node(5, query_rows)).cast("int").alias("part"), F.lit(float("-inf")).alias("floor"))
+    found = "query_id long, id long, high long, low long"
+
+    def search(own: pa.Table, told: pa.Table) -> pa.Table:
+        a = b = np.empty(0, np.int64)
+        s: list[int] = []
+        if own.num_rows and told.num_rows:
+            raw, qraw = _rows(own["v"], dim), _rows(told["q_v"], dim)
+            ids, qids = own["id"].to_numpy(), told["q_id"].to_numpy()
+            whole = lambda: (_integers(qraw, scale), _integers(raw, scale))
+            a, b, s = dual_search(_floor(qraw, scale), qids, _floor(raw, scale), ids, k, told["q_floor"].to_numpy(), whole)
+            a, b = qids[a], ids[b]
+        most = (1 << 63) - 1
+        high = [max(-most, min(most, x >> LOW)) for x in s]
+        return pa.table({"query_id": a, "id": b, "high": pa.array(high, pa.int64()), "low": pa.array([x & ((1 << LOW) - 1) for x in s], pa.int64())})
+
+    def searched(told: DataFrame) -> DataFrame:
+        """told: id, v, floor, the node to search and the search group, of at most about query_rows queries."""
+        cells = told.select("node", "group").distinct()
+        spread = told.withColumn("cell", F.explode(F.sequence(F.lit(0), (per_node(4, cell_rows) - 1).cast("int"))))
+        spread = spread.select(*[F.col(c).alias(f"q_{c}") for c in spread.columns])
+        copies = data.join(cells, "node")  # a cell is searched by each group that may hold something better
+        return copies.groupBy("node", "cell", "group").cogroup(spread.groupBy("q_node", "q_cell", "q_group")).applyInArrow(search, found)
+
+    best = [F.desc("high"), F.desc("low"), "id"]
+    near = materialize(searched(asked.withColumn("group", F.col("part"))))
+    score = F.col("high").cast("double") * float(1 << LOW) + F.col("low").cast("double")
+    kth = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(*best))).filter(F.col("n") == k)
+    # Less a little, where a double can't hold the score.
+    kth = kth.select("query_id", F.when(F.abs(score) < EXACT, score).otherwise(score - F.abs(score) * 1e-15).alias("known"))
+    known = asked.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", "node", "part", F.coalesce("known", "floor").alias("floor"))
+    known = materialize(known)
 
     def pairs(t: pa.Table) -> pa.Table:
         own = t["node"][0].as_py()
-        x, floors = np.stack([_row(v.as_py(), dim) for v in t["v"]]), t["floor"].to_numpy()
+        x = _floor(_rows(t["v"], dim), scale)
+        rest = np.array([m for m in nodes if m != own], np.int64)
         c = centres[own]
-        r, worst = float(np.sqrt(((x - c) ** 2).sum(1)).max()), floors.min()
-        rest = [m for m in nodes if m != own]
-        y, ry = centres[rest], np.array([nodes[m] for m in rest])
-        top = y @ c + np.sqrt(c @ c) * ry + np.sqrt((y * y).sum(1)) * r + r * ry
-        left = [m for m, u in zip(rest, top.tolist(), strict=True) if u + 1e-9 * (abs(u) + 1) >= worst]
-        at = np.repeat(np.arange(t.num_rows), len(left))
-        out = t.select(["id", "v", "floor"]).take(pa.array(at))
-        return out.append_column("node", pa.array(left * t.num_rows, pa.int32()))
+        with np.errstate(all="ignore"):
+            norm = np.sqrt((x * x).sum(1))
+            group = (sizes[own], np.sqrt(((x - c) ** 2).sum(1)).max(), angles(x, c, norm, sizes[own]).max(), norm.min(), norm.max())
+            figures = np.array([nodes[m] for m in rest.tolist()], np.float64).reshape(len(rest), 6)
+            far = (sizes[rest], figures[:, 0], figures[:, 1], figures[:, 2], figures[:, 3])
+            left = rest[~(top_product(centres[rest] @ c, group, far) < t["floor"].to_numpy().min())]
+        return pa.table({"node": pa.array(np.full(len(left), own), pa.int32()), "part": pa.array([t["part"][0].as_py()] * len(left), pa.int32()), "to": pa.array(left, pa.int32())})
+
+    left = materialize(known.groupBy("node", "part").applyInArrow(pairs, "node int, part int, to int"))
+    # Queries of all nodes that visit a node share its search groups.
+    groups = max(1, -(-sum(v[5] for v in nodes.values()) // query_rows))
+    visits = known.join(left, ["node", "part"]).select("id", "v", "floor", F.col("to").alias("node"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("group"))
+    every_found = near.unionByName(searched(visits)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*best)))
+    whole = F.when(F.col("high").between(-2, 1), F.shiftleft("high", LOW).bitwiseOR(F.col("low"))).when(F.col("high") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(-(1 << 63)))
+    return every_found.filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(key), whole.alias("score"))
 
-    rest = searched(known.groupBy("node", "part").applyInArrow(pairs, "id long, v binary, floor double, node int"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    every_found = near.unionByName(rest).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return every_found.select("query_id", "rank", F.col("id").alias(key), "score")
+
+def _floor(x: np.ndarray, scale: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.floor(x * scale)
+
+
+def _integers(x: np.ndarray, scale: int) -> list[list[int]]:
+    """floor(scale * x) as Python integers, also where the product is beyond a double."""
+    return [[int(y) if np.isfinite(y) else int(v) * scale for v, y in zip(row.tolist(), _floor(row, scale).tolist(), strict=True)] for row in x]
 
 
 def _row(cell: bytes, dim: int) -> np.ndarray:
-    out = np.zeros(dim)
+    out = np.zeros(max(1, dim))
     x = np.frombuffer(cell, np.float64)
     out[: len(x)] = x
     return out
 
 
-def _parsed(it: Iterator[pa.RecordBatch], scale: int) -> Iterator[pa.RecordBatch]:
+def _rows(cells, dim: int) -> np.ndarray:
+    return np.stack([_row(v.as_py(), dim) for v in cells]) if len(cells) else np.zeros((0, max(1, dim)))
+
+
+def _parsed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The vectors that take part, as bytes of their doubles."""
     for b in it:
-        rows = [(i, x.tobytes(), len(x)) for i, x in zip(b.column(0).to_pylist(), (scaled(v, scale) for v in b.column(1).to_pylist()), strict=True) if x is not None]
+        rows = []
+        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if all(x is not None for x in v) and np.isfinite(x := np.array(v, np.float64)).all():
+                rows.append((i, x.tobytes(), len(x)))
         cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int32())], names=["id", "v", "dim"])
