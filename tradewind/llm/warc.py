@@ -52,25 +52,34 @@ def page_record(page_id, uri, digest, size, refers, refers_uri, payload: bytes |
     return member(headers, http + (payload or b""))
 
 
+#: Bytes of keys of revisits up to which they are broadcast; beyond, responses are told from them by a shuffle.
+BROADCAST_BYTES = 1 << 26
+
+
 def resolve(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, uri, payload, size, digest, and for revisits the id and uri of the response (top, top_uri); from page_id, url, html.
+    """page_id, uri, size, sha, revisit, and for revisits the id and uri of the response (top, top_uri); from page_id, url, html.
 
     Of rows with equal payloads of at least min_bytes bytes, that with the largest page_id is the response (a null page_id is
-    the smallest); rows that repeat both page_id and payload are the same record, told again in the same way.
+    the smallest); rows that repeat both page_id and payload are the same record, told again in the same way. Only headers are
+    shuffled: the largest of each digest is aggregated first, so that a hot page's headers are combined in their tasks.
     """
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.col("url").alias("uri"), payload.alias("payload")).withColumns({"size": F.length("payload").cast("long"), "sha": F.sha1("payload")})
+    rows = pages.select("page_id", F.col("url").alias("uri"), F.length(payload).cast("long").alias("size"), F.sha1(payload).alias("sha"))
+    rows = materialize(rows)
     heads = rows.filter(F.col("size") >= min_bytes).select("sha", F.struct("page_id", "uri").alias("p"))
-    tops = heads.groupBy("sha").agg(F.max("p").alias("top")).select(F.col("sha").alias("_sha"), F.col("top.page_id").alias("top"), F.col("top.uri").alias("top_uri"))
-    told = rows.join(tops, F.col("sha") == F.col("_sha"), "left")
-    return told.withColumn("revisit", F.col("_sha").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))).drop("_sha")
+    tops = heads.groupBy("sha").agg(F.max("p").alias("top"), F.count("*").alias("n")).filter("n > 1")
+    tops = tops.select(F.col("sha").alias("top_sha"), F.col("top.page_id").alias("top"), F.col("top.uri").alias("top_uri"))
+    told = rows.join(tops, F.col("sha") == F.col("top_sha"), "left")
+    return told.withColumn("revisit", F.col("top_sha").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top"))).drop("top_sha")
 
 
 def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", roll_bytes: int = 1 << 25) -> int:
     """Write deduplicated archives of pages (page_id, url, html) as gzip members into a folder (a URI); returns the records.
 
-    A task writes its rows in the order of their ids, under names of its partition, and each file appears under its name only
-    when whole; so a repeated task replaces its files by the same ones.
+    Revisit records are written from their headers. Payloads are read where they lie, for responses only: the rows that are no
+    revisits, whose keys are broadcast if they are within BROADCAST_BYTES, else shuffled (by page and digest, so no page is hot).
+    A task writes its rows in their order, under names of its partition, and each file appears under its name only when whole;
+    so a repeated task replaces its files by the same ones. An empty table writes no file.
     """
     if "://" not in folder:
         folder = re.sub("^file:", "", folder)
@@ -105,9 +114,19 @@ def write_warc(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2
         close()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
-    rows = resolve(pages, min_bytes)
-    rows = rows.withColumn("payload", F.when(~F.col("revisit"), F.col("payload"))).sortWithinPartitions("page_id", "sha")
-    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    told = resolve(pages, min_bytes).filter("revisit").select("page_id", "uri", "size", "sha", "top", "top_uri")
+    revisits = materialize(told)
+    none = lambda t: F.lit(None).cast(t)
+    keys = revisits.select(F.col("page_id").alias("r_page"), F.col("sha").alias("r_sha")).distinct()
+    if revisits.count() * 64 <= BROADCAST_BYTES:
+        keys = F.broadcast(keys)
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select("page_id", F.col("url").alias("uri"), payload.alias("payload"))
+    rows = rows.withColumns({"size": F.length("payload").cast("long"), "sha": F.sha1("payload")})
+    rows = rows.join(keys, F.col("page_id").eqNullSafe(F.col("r_page")) & (F.col("sha") == F.col("r_sha")), "left_anti")
+    first = rows.select("page_id", "uri", "size", "sha", none("long").alias("top"), none("string").alias("top_uri"), "payload", F.lit(False).alias("revisit"))
+    again = revisits.select("*", none("binary").alias("payload"), F.lit(True).alias("revisit"))
+    return first.unionByName(again).mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def members(data: bytes) -> Iterator[bytes]:
