@@ -12,13 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .blobs import U64, mix, pack, pack_raw, parts, power_of_two, repeated, unpack, unpack_raw
-from .common import materialize, shuffle_partitions
+from .blobs import SENT_KEYS, U64, mix, pack, pack_raw, parts, power_of_two, repeated_keys, sent_keys, unpack, unpack_raw
+from .common import fenced, fields_of, materialize, shuffle_partitions, unfenced
 from .components import connected_components
 
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Keys (fingerprint variants) that one task holds at a time.
 TASK_KEYS = 1 << 22
+#: Members of variant groups that are compared in one task.
+CELL_ROWS = 1 << 18
 
 
 def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -53,18 +55,15 @@ def fingerprint(text: bytes | None, shingle: int, seed: int = 42) -> int:
     return int.from_bytes(majority(shingle_hashes(text, shingle, seed), 1), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 4, name: str = "fp") -> DataFrame:
-    """Every row without its text, with its SimHash (a 64-bit integer, stored signed) in column ``name``."""
-    rest = [c for c in docs.columns if c not in (text, name)]
-    frame = docs.select(F.col(text).cast("binary").alias("_text"), *rest)
-    schema = docs.select(*rest, F.lit(0).cast("long").alias(name)).schema
+def fingerprints(docs: DataFrame, made: Callable[[bytes | None], object], kind: pa.DataType, name: str, carried: list[str]) -> DataFrame:
+    """The carried columns of every row and, as column ``name``, what ``made`` gives for its column text (binary)."""
+    schema = ", ".join([*fields_of(docs, carried), f"{name} {'binary' if kind == pa.binary() else 'long'}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(0)], U64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(fps)], names=[*rest, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([made(x.as_py()) for x in batch.column(0)], kind)], names=[*carried, name])
 
-    return frame.mapInArrow(run, schema)
+    return docs.select(F.col("text").cast("binary").alias("text"), *carried).mapInArrow(run, schema)
 
 
 @lru_cache
@@ -73,16 +72,17 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(64), r)], U64)
 
 
-def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, few: int, whole: bool = False) -> DataFrame:
-    """Distinct candidate links (a, b), a > b, between fingerprints (column fp, unique) that share a variant.
+def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, few: int, loose: bool = False, whole: bool = False) -> DataFrame:
+    """Candidate links (a, b) between fingerprints (column fp, unique) that share a variant.
 
     ``variants`` gives the fp of each row of a table and its ``each`` variants, row by row, as spread 64-bit keys. First only the
     leading bits of the keys are shuffled, which finds those that occur twice; then only these are sent whole, with their fp.
     All fingerprints of a variant are linked to the smallest, in groups of up to ``few`` all to all; with a
     column label, only fingerprints of different labels are.
 
-    With ``whole``, no link of a larger group is left out: the groups themselves come back for group_links, as rows whose cell is
-    not null, and the links (not distinct) are those of groups of up to ``few`` only.
+    ``loose`` is for passes that only save work of a later one: a block of rows links those of its own that share a variant to
+    the smallest and sends that one alone, so that a hot variant never brings more than one row a block to a task; labels are
+    linked once in a task. With ``whole``, no link is made: the groups themselves come back for group_links, as rows (bin, cell).
     """
     spark = fps.sparkSession
     n = fps.count()
@@ -93,27 +93,10 @@ def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, n
     bits = min(64, max(24, n_parts.bit_length() + 1, int(np.ceil(np.log2(total))) + 12))
     cut = U64(64 - bits)
     told_apart = "label" in fps.columns
-    blocked = fps.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    blocked = fps.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
 
     def emit(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
-        keys = np.sort(variants(table)[1] >> cut)
-        first = np.append(True, keys[1:] != keys[:-1])
-        twice = np.unique(keys[1:][keys[1:] == keys[:-1]])  # within this block
-        keys = keys[first]
-        local = {p: (s, e) for p, s, e in parts(twice, n_parts, bits)}
-        rows = [(p, pack(keys[s:e]), pack(twice[slice(*local.get(p, (0, 0)))])) for p, s, e in parts(keys, n_parts, bits)]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([block] * len(rows), pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "twice": pa.array([r[2] for r in rows], pa.binary())})
-
-    def meet(table: pa.Table) -> pa.Table:
-        arrays = [unpack(x.as_py()) for x in table["keys"]]
-        both = np.unique(np.concatenate([repeated(arrays), *(unpack(x.as_py()) for x in table["twice"])]))
-        out = []
-        for block, keys in zip(table["block"].to_pylist(), arrays, strict=True):
-            at = np.minimum(np.searchsorted(keys, both), len(keys) - 1)
-            if len(hit := both[keys[at] == both]):
-                out.append((block, pack(hit)))
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "hits": pa.array([x[1] for x in out], pa.binary())})
+        return sent_keys(variants(table)[1] >> cut, table["block"][0].as_py(), n_parts, bits)
 
     def resend(own: pa.Table, told: pa.Table) -> pa.Table:
         rows = []
@@ -127,61 +110,105 @@ def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, n
             at = np.flatnonzero(sieve[short & low])
             near = np.minimum(np.searchsorted(hits, short[at]), len(hits) - 1)
             at = at[hits[near] == short[at]]
-            at = at[np.argsort(keys[at])]
             label = own["label"].to_numpy().view(U64) if told_apart else fp
-            rows = [(p, pack(keys[at[s:e]]), pack_raw(fp[at[s:e] // each]), pack_raw(label[at[s:e] // each]) if told_apart else b"") for p, s, e in parts(keys[at], n_parts)]
+            fp, label, keys = fp[at // each], label[at // each], keys[at]
+            order = np.lexsort((fp.view(np.int64), keys))
+            fp, label, keys = fp[order], label[order], keys[order]
+            if loose and len(keys):
+                head = np.append(True, keys[1:] != keys[:-1])
+                hub = np.repeat(np.flatnonzero(head), np.diff(np.append(np.flatnonzero(head), len(keys))))
+                links = _links_of(fp, fp[hub], label, label[hub])
+                rows.append((-1, b"", pack_raw(links[:, 0]), pack_raw(links[:, 1])))
+                fp, label, keys = fp[head], label[head], keys[head]
+            rows += [(p, pack(keys[s:e]), pack_raw(fp[s:e]), pack_raw(label[s:e]) if told_apart else b"") for p, s, e in parts(keys, n_parts)]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "fps": pa.array([r[2] for r in rows], pa.binary()), "labels": pa.array([r[3] for r in rows], pa.binary())})
 
-    def pairs(table: pa.Table) -> pa.Table:
+    def groups(table: pa.Table) -> tuple[np.ndarray, ...]:
         keys = np.concatenate([unpack(x.as_py()) for x in table["keys"]])
-        fp = np.concatenate([unpack_raw(x.as_py()) for x in table["fps"]]).view(np.int64)
-        label = np.concatenate([unpack_raw(x.as_py()) for x in table["labels"]]).view(np.int64) if told_apart else fp
-        order = np.lexsort((fp, keys))
+        fp = np.concatenate([unpack_raw(x.as_py()) for x in table["fps"]])
+        label = np.concatenate([unpack_raw(x.as_py()) for x in table["labels"]]) if told_apart else fp
+        order = np.lexsort((fp.view(np.int64), keys))
         keys, fp, label = keys[order], fp[order], label[order]
-        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
         size = np.diff(np.append(head, len(keys)))
+        return keys, fp, label, head, size
+
+    def pairs(table: pa.Table) -> pa.Table:
+        keys, fp, label, head, size = groups(table)
         hub = np.repeat(head, size)
-        small = np.repeat(size <= few, size)
-        found = [np.stack([fp, fp[hub]], 1)[(label != label[hub]) & (small | (not whole))]]
-        for step in range(1, few - 1):
-            at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:] & (label[step:] != label[:-step]))
-            found.append(np.stack([fp[at + step], fp[at]], 1))
-        found = np.concatenate(found)
-        found = np.unique(found, axis=0).reshape(-1, 2)
-        links = pa.table({"a": found[:, 0], "b": found[:, 1]})
-        if not whole:
-            return links
-        mixed = np.logical_or.reduceat(label != label[hub], head) & (size > few) if len(head) else np.empty(0, bool)
-        cells, start, sizes = [], 0, size[mixed]
-        members = np.repeat(mixed, size)
-        keys, fp, label = keys[members], fp[members], label[members]
-        for stop in _cuts(sizes, TASK_KEYS // 4):
-            cells.append((table["part"][0].as_py() << 20 | len(cells), pack_raw(keys[start:stop]), pack_raw(fp[start:stop]), pack_raw(label[start:stop])))
-            start = stop
-        n, m = len(links), len(cells)
-        cols = {"a": pa.array([*links["a"].to_pylist(), *[None] * m], pa.int64()), "b": pa.array([*links["b"].to_pylist(), *[None] * m], pa.int64()), "bin": pa.array([*[None] * n, *(x[0] for x in cells)], pa.int64())}
+        if loose:
+            found = [_links_of(fp, fp[hub], label, label[hub])]
+        else:
+            small = np.repeat(size <= few, size)
+            found = [np.stack([fp, fp[hub]], 1)[label != label[hub]]]
+            for step in range(1, few - 1):
+                at = np.flatnonzero((keys[step:] == keys[:-step]) & small[step:] & (label[step:] != label[:-step]))
+                found.append(np.stack([fp[at + step], fp[at]], 1))
+        found = np.unique(np.concatenate(found).view(np.int64), axis=0).reshape(-1, 2)
+        return pa.table({"a": found[:, 0], "b": found[:, 1]})
+
+    def mixed(table: pa.Table) -> pa.Table:
+        keys, fp, label, head, size = groups(table)
+        several = np.logical_or.reduceat(label != np.repeat(label[head], size), head) if len(head) else np.empty(0, bool)
+        rows, part = [], table["part"][0].as_py()
+        member = np.repeat(several, size)
+        for own in _runs(keys[member], size[several], CELL_ROWS):
+            at = np.flatnonzero(member)[own]
+            rows.append((part << 24 | len(rows), {"keys": pack_raw(keys[at]), "fps": pack_raw(fp[at]), "labels": pack_raw(label[at])}))
         kind = pa.struct([("keys", pa.binary()), ("fps", pa.binary()), ("labels", pa.binary())])
-        return pa.table({**cols, "cell": pa.array([*[None] * n, *({"keys": x[1], "fps": x[2], "labels": x[3]} for x in cells)], kind)})
+        return pa.table({"bin": pa.array([r[0] for r in rows], pa.int64()), "cell": pa.array([r[1] for r in rows], kind)})
 
-    cells = blocked.groupBy("block").applyInArrow(emit, "part int, block int, keys binary, twice binary")
-    told = cells.groupBy("part").applyInArrow(meet, "block int, hits binary")
+    told = repeated_keys(blocked.groupBy("block").applyInArrow(emit, SENT_KEYS), n_parts, bits)
     sent = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(resend, "part int, keys binary, fps binary, labels binary")
     if whole:
-        return sent.groupBy("part").applyInArrow(pairs, "a long, b long, bin long, cell struct<keys: binary, fps: binary, labels: binary>")
-    return sent.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
-
-
-def _cuts(sizes: np.ndarray, most: int) -> list[int]:
-    """Where to cut groups of these sizes, which lie one after another, into runs of whole groups of about ``most`` members."""
-    ends = np.cumsum(sizes)
-    return ends[np.append(ends[1:] // most > ends[:-1] // most, True)].tolist() if len(ends) else []
+        return sent.groupBy("part").applyInArrow(mixed, "bin long, cell struct<keys: binary, fps: binary, labels: binary>")
+    if not loose:
+        return sent.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
+    sent = materialize(sent)
+    local = sent.filter("part < 0").select("fps", "labels").mapInArrow(_unpacked, "a long, b long")
+    return sent.filter("part >= 0").groupBy("part").applyInArrow(pairs, "a long, b long").unionByName(local).distinct()
+
+
+def _links_of(fp: np.ndarray, hub: np.ndarray, label: np.ndarray, hub_label: np.ndarray) -> np.ndarray:
+    """Links (fp, hub) between different labels, one for each pair of labels."""
+    apart = np.flatnonzero(label != hub_label)
+    _, first = np.unique(np.stack([label[apart], hub_label[apart]], 1), axis=0, return_index=True)
+    return np.stack([fp[apart[first]], hub[apart[first]]], 1)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a, b in zip(batch.column(0), batch.column(1), strict=True):
+            cols = [pa.array(unpack_raw(x.as_py()).view(np.int64)) for x in (a, b)]
+            yield pa.RecordBatch.from_arrays(cols, names=["a", "b"])
+
+
+def _runs(keys: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Indices of members, group by group in the order of ``keys``, in runs of about ``most``: whole groups together, and for a
+    group of more than that, every two of its pieces, so that each pair of its members is in some run."""
+    start = run = 0
+    for size in sizes.tolist():
+        if size > most:
+            if start > run:
+                yield np.arange(run, start)
+            pieces = np.array_split(np.arange(start, start + size), -(-size // (most // 2)))
+            for i, a in enumerate(pieces):
+                for b in pieces[i + 1 :]:
+                    yield np.concatenate([a, b])
+            run = start + size
+        elif start + size - run > most:
+            yield np.arange(run, start)
+            run = start
+        start += size
+    if start > run:
+        yield np.arange(run, start)
 
 
 def group_links(cells: DataFrame, bits: DataFrame, limit: int) -> DataFrame:
     """Verified links (a, b) that connect all members of a group, at most ``limit`` bits apart, of the groups in ``cells`` (bin,
     cell, from colliding).
 
-    Every pair of a group is compared over its whole fingerprint (fp, _bits in ``bits``) unless its ends are connected already.
+    Every pair of a group is compared over its whole fingerprint (fp, bits in ``bits``) unless its ends are connected already.
     That is done within a task, which gets each fingerprint of its groups once and returns only the links that connect: rows
     grow with the members, only comparisons of members that stay apart grow with the square of a group.
     """
@@ -199,7 +226,7 @@ def group_links(cells: DataFrame, bits: DataFrame, limit: int) -> DataFrame:
             keys, fp, label = (unpack_raw(cell[x].as_py()) for x in ("keys", "fps", "labels"))
             known = told["fp"].to_numpy().view(U64)
             order = np.argsort(known)
-            wide = np.frombuffer(b"".join(told["_bits"].to_pylist()), U64).reshape(len(known), -1)
+            wide = np.frombuffer(b"".join(told["bits"].to_pylist()), U64).reshape(len(known), -1)
             at = order[np.searchsorted(known[order], fp)]
             root = np.unique(label, return_inverse=True)[1]
             parent = np.arange(root.max() + 1)
@@ -230,7 +257,7 @@ def group_links(cells: DataFrame, bits: DataFrame, limit: int) -> DataFrame:
         found = np.array(links, U64).reshape(-1, 2).view(np.int64)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    wanted = cells.mapInArrow(members, "bin long, fp long").join(bits.select("fp", "_bits"), "fp")
+    wanted = cells.mapInArrow(members, "bin long, fp long").join(bits.select("fp", "bits"), "fp")
     return cells.groupBy("bin").cogroup(wanted.groupBy("bin")).applyInArrow(connect, "a long, b long").distinct()
 
 
@@ -253,27 +280,32 @@ def near_links(fps: DataFrame, distance: int = 4) -> DataFrame:
     return links.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
 
 
+RESULTS = ("fingerprint", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 4, distance: int = 4) -> DataFrame:
     """Every row without its text, with fingerprint (16 hex digits), fp (signed), root and component_id.
 
     component_id is the smallest key that can be reached over fingerprints at most ``distance`` bits apart, the row itself
     included. Texts without a word (null and empty ones too) have fingerprint zero and link as any other. Rows with a null key
     get the smallest key of their component, null if there is none. Repeated rows share a component; an empty table gives an
-    empty result. Columns named like a result are replaced.
+    empty result. Columns named like a result are replaced, all others carried along, whatever their names.
     """
-    seen = materialize(fingerprints(docs.drop("fp", "root", "component_id", "fingerprint"), text, shingle))
-    distinct = materialize(seen.groupBy("fp").agg(F.min(key).alias("_least")))
-    return _named(seen, distinct, near_links(distinct, distance))
+    rows, inner, outer = fenced(docs, {text: "text", key: "id"}, (text, *RESULTS))
+    signed = lambda x: int(np.array(fingerprint(x, shingle), U64).view(np.int64))
+    seen = materialize(fingerprints(rows, signed, pa.int64(), "fp", [*inner, "id"]))
+    distinct = materialize(seen.groupBy("fp").agg(F.min("id").alias("least")))
+    return unfenced(_named(seen, distinct, near_links(distinct, distance)), inner, outer, RESULTS)
 
 
 def _named(seen: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """Components of the links between distinct fingerprints (fp, _least) told to the rows (with their fp)."""
+    """The rows (with their fp) and fingerprint, root and component_id, from the links between distinct fingerprints (fp, least)."""
     roots = connected_components(links)
     labelled = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = labelled.groupBy("root").agg(F.min("_least").alias("component_id"))
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = materialize(labelled.join(least, "root").select("fp", "root", "component_id"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return seen.join(named, "fp").select(*[c for c in seen.columns if c != "fp"], hexed.alias("fingerprint"), "fp", "root", "component_id")
+    return seen.join(named, "fp").withColumn("fingerprint", hexed)
 
 
 #: Fingerprints of similar_documents: WORDS 64-bit words, each two bands of 32 bits.
@@ -286,51 +318,71 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     At a similarity of 0.8, 15 % of the bits differ: far more than a ball over 64 bits can hold. So the fingerprint has 1024 bits,
     in 32 bands of 32 bits, and each band emits all its variants within one bit: two fingerprints collide if they differ by two
     bits or fewer in any band (98 % of pairs at 0.8, practically all at 0.85). Colliding pairs are verified over all bits: they
-    link up to the expected distance at ``similarity`` plus one standard deviation. Bands that are equal are linked first, so that
-    a large group is one before its variants meet; that pass only saves work, as the variants of the second hold all it can miss.
-    Repeats of a shingle count once. Cases as for
-    near_duplicates; the fingerprint column is a hash of the 1024 bits of
-    the first text so linked.
+    link up to the expected distance at ``similarity`` plus one standard deviation.
+
+    Bands that are equal are linked first, those of FIRST_BANDS and then all: that joins most of a large group of copies by few
+    links and only saves work, as the variants hold all that these passes can miss. Last, the groups of fingerprints that share a
+    variant and are still apart are compared whole (group_links). Repeats of a shingle count once. Cases as for near_duplicates;
+    the fingerprint column is a hash of the 1024 bits of the first text so linked.
     """
-    rest = [c for c in docs.columns if c not in (text, "fp", "root", "component_id", "fingerprint", "_bits")]
-    frame = docs.select(F.col(text).cast("binary").alias("_text"), *rest)
-    schema = docs.select(*rest, F.lit(b"").alias("_bits")).schema
+    rows, inner, outer = fenced(docs, {text: "text", key: "id"}, (text, *RESULTS))
+    wide = lambda x: majority(np.unique(shingle_hashes(x, shingle)), WORDS)
+    seen = fingerprints(rows, wide, pa.binary(), "bits", [*inner, "id"]).withColumn("fp", F.xxhash64("bits"))
+    seen = materialize(seen)
+    distinct = materialize(seen.groupBy("fp").agg(F.min("id").alias("least"), F.min("bits").alias("bits")))
+    seen = seen.drop("bits")
+    differ = WORDS * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    limit = int(differ + np.sqrt(differ * (1 - differ / (64 * WORDS))))
+    labelled = distinct.withColumn("label", F.col("fp"))
+    for bands in (FIRST_BANDS, 2 * WORDS):
+        met = materialize(colliding(labelled.select("fp", "bits", "label"), *_band_variants(bands, 0), 2, loose=True))
+        labelled = materialize(_relabelled(labelled, _verified(met, distinct, limit)))
+    cells = materialize(colliding(labelled.select("fp", "bits", "label"), *_band_variants(2 * WORDS, 1), 2, whole=True))
+    late = _between_labels(materialize(group_links(cells, labelled, limit)), labelled)
+    groups = labelled.groupBy("label").agg(F.min("least").alias("least")).withColumnRenamed("label", "fp")
+    told = seen.join(labelled.select("fp", "label"), "fp").drop("fp").withColumnRenamed("label", "fp")
+    return unfenced(_named(told, groups, late), inner, outer, RESULTS)
+
+
+#: Bands of the first pass of similar_documents.
+FIRST_BANDS = 4
+
+
+def _band_variants(bands: int, radius: int) -> tuple[Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], int]:
+    """For colliding: the variants within ``radius`` bits of the first so many bands, and their number."""
+    names = np.arange(bands, dtype=U64) << U64(32)
+    ball = np.array([x for x in masks(radius).tolist() if x < 1 << 32], np.uint32)
+
+    def variants(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        own = table["fp"].to_numpy().view(U64)
+        cells = np.frombuffer(b"".join(x.as_py() for x in table["bits"]), "<u4").reshape(-1, 2 * WORDS)[:, :bands]
+        return own, mix((names[None, :, None] | (cells[:, :, None] ^ ball[None, None, :]).astype(U64)).ravel())
+
+    return variants, bands * len(ball)
+
+
+def _verified(links: DataFrame, known: DataFrame, limit: int) -> DataFrame:
+    """Links (a, b) whose fingerprints (fp, bits in ``known``) differ by at most ``limit`` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells = [majority(np.unique(shingle_hashes(x.as_py(), shingle)), WORDS) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(cells, pa.binary())], names=[*rest, "_bits"])
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), U64).reshape(batch.num_rows, -1) for c in batch.columns[2:])
+            near = np.bitwise_count(x ^ y).sum(1, dtype=np.int64) <= limit
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    bands = np.arange(2 * WORDS, dtype=U64) << U64(32)
+    of = lambda c: known.select(F.col("fp").alias(c), F.col("bits").alias(f"bits_{c}"))
+    both = links.join(of("a"), "a").join(of("b"), "b").select("a", "b", "bits_a", "bits_b")
+    return materialize(both.mapInArrow(run, "a long, b long"))
 
-    def within(radius: int) -> tuple[Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], int]:
-        ball = np.array([x for x in masks(radius).tolist() if x < 1 << 32], np.uint32)
 
-        def variants(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            own = table["fp"].to_numpy().view(U64)
-            cells = np.frombuffer(b"".join(x.as_py() for x in table["_bits"]), "<u4").reshape(-1, 2 * WORDS)
-            keys = bands[None, :, None] | (cells[:, :, None] ^ ball[None, None, :]).astype(U64)
-            return own, mix(keys.ravel())
+def _between_labels(links: DataFrame, labelled: DataFrame) -> DataFrame:
+    name = lambda c: labelled.select(F.col("fp").alias(c), F.col("label").alias(f"l{c}"))
+    both = links.join(name("a"), "a").join(name("b"), "b")
+    return both.select(F.col("la").alias("a"), F.col("lb").alias("b"))
 
-        return variants, 2 * WORDS * len(ball)
 
-    seen = materialize(frame.mapInArrow(run, schema).withColumn("fp", F.xxhash64("_bits")))
-    distinct = materialize(seen.groupBy("fp").agg(F.min(key).alias("_least"), F.min("_bits").alias("_bits")))
-    differ = WORDS * 64 * np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    limit = int(differ + np.sqrt(differ * (1 - differ / (64 * WORDS))))
-    of = lambda c: distinct.select(F.col("fp").alias(c), F.hex("_bits").alias(f"_{c}"))
-    word = lambda c, i: F.conv(F.substring(c, 8 * i + 1, 8), 16, 10).cast("long")
-    apart = sum((F.bit_count(word("_a", i).bitwiseXOR(word("_b", i))) for i in range(2 * WORDS)), F.lit(0))
-    verified = lambda links: materialize(links.join(of("a"), "a").join(of("b"), "b").filter(apart <= limit).select("a", "b"))
-    # Bands that are equal link most of a large group; then only texts that are still apart need the variants' links.
-    roots = connected_components(verified(colliding(distinct.select("fp", "_bits"), *within(0), 3)))
-    label = F.coalesce("root", "fp").alias("label")
-    labelled = materialize(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_least", "_bits", label))
-    met = materialize(colliding(labelled.select("fp", "_bits", "label"), *within(1), 3, whole=True))
-    late = verified(met.filter("cell is null").select("a", "b").distinct())
-    late = late.unionByName(materialize(group_links(met.filter("cell is not null").select("bin", "cell"), labelled, limit)))
-    name = lambda c: labelled.select(F.col("fp").alias(c), F.col("label").alias(f"_l{c}"))
-    late = late.join(name("a"), "a").join(name("b"), "b").select(F.col("_la").alias("a"), F.col("_lb").alias("b"))
-    groups = labelled.groupBy("label").agg(F.min("_least").alias("_least")).withColumnRenamed("label", "fp")
-    told = seen.drop("_bits").join(labelled.select("fp", "label"), "fp").drop("fp").withColumnRenamed("label", "fp")
-    return _named(told, groups, late)
+def _relabelled(labelled: DataFrame, links: DataFrame) -> DataFrame:
+    """(fp, least, bits, label): the labels of linked fingerprints made one."""
+    roots = connected_components(_between_labels(links, labelled)).withColumnRenamed("node", "label")
+    told = labelled.join(roots, "label", "left")
+    return told.select("fp", "least", "bits", F.coalesce("root", "label").alias("label"))
