@@ -291,8 +291,8 @@ def test_top_k(spark):
     rows = [(int(k), rng.normal(size=8).round(1).tolist()) for k in range(900)]
     rows += [(900, None), (1000, [1.0, None] + [0.0] * 6), (1100, [float("nan")] * 8), (1200, []), (1300, [3.0, 1.0]), (1400, rows[7][1]), (1500, rows[7][1]), (1501, rows[7][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x"))
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, node_rows=100).collect()}
-    ok = {i: [int(np.floor(1024 * x)) for x in v] + [0] * (8 - len(v)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)}
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, cell_rows=100, query_rows=4).collect()}
+    ok = {i: [int(np.floor(1024 * x)) for x in v] + [0] * (8 - len(v)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)}
     want = {}
     for q in (i for i in ok if i % 100 == 0):
         best = sorted((-sum(a * b for a, b in zip(ok[q], ok[i], strict=True)), i) for i in ok if i != q)[:10]
@@ -306,7 +306,39 @@ def test_top_k(spark):
 def test_dual_search_prunes_and_handles_large_numbers():
     x = np.array([[float(1 << 40), 3.0], [float(1 << 41), 1.0], [5.0, 5.0]])
     q, d, s = topk.dual_search(x[:1], np.array([7]), x, np.array([7, 8, 9]), 2, np.array([-np.inf]))
-    assert list(zip(d.tolist(), s.tolist(), strict=True)) == [(1, (1 << 81) + 3), (2, 5 * (1 << 40) + 15)]
+    assert list(zip(d.tolist(), s, strict=True)) == [(1, (1 << 81) + 3), (2, 5 * (1 << 40) + 15)]
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 16)) * 1000
+    for near in (centres, centres / np.sqrt((centres**2).sum(1, keepdims=True)) * 4000):  # of any norms, and of equal ones
+        data = np.floor(np.repeat(near, 100, 0) + rng.normal(size=(4000, 16)) * 20)
+        ids = np.arange(len(data))
+        asked = rng.permutation(len(data))[:400]
+        stats = {}
+        q, d, s = topk.dual_search(data[asked], asked, data, ids, 10, np.full(400, -np.inf), stats=stats)
+        scores = data[asked] @ data.T
+        scores[np.arange(400), asked] = -np.inf
+        want = np.sort(scores, 1)[:, :-11:-1]
+        assert np.array_equal(np.array(s, float).reshape(400, 10), want)
+        assert stats["scored"] < 0.35 * 400 * 4000 and stats["pruned"] > 100
+    tree = topk.CoverTree(rng.normal(size=(3000, 32)))  # nothing to prune by, but it splits
+    assert max(tree.level) >= 2 and len(tree.centre) > 40
+    for node, below in enumerate(tree.children):
+        if len(below):
+            assert sorted(np.concatenate([tree.points[c] for c in below])) == sorted(tree.points[node])
+            away = np.sqrt(((tree.x[tree.points[node]] - tree.x[tree.centre[node]]) ** 2).sum(1))
+            assert away.max() <= tree.shape[1][node] + 1e-9
+
+
+def test_top_k_of_scores_beyond_64_bits(spark):
+    rows = [(0, [1e300, 2.0]), (100, [1.7e308, -1.0]), (1, [1e9, 3e9]), (2, [4e9, 5e9]), (200, [5e9, 5e9]), (3, [-5e9, -5e9]), (4, [0.5, 0.25])]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    whole = {i: [int(x * 1024) if x < 1e300 else int(x) * 1024 for x in v] for i, v in rows}
+    for q in (0, 100, 200):
+        want = sorted((-sum(a * b for a, b in zip(whole[q], whole[i], strict=True)), i) for i in whole if i != q)
+        got = sorted((r["rank"], r.vec_id, r.score) for r in out if r.query_id == q)
+        if q == 200:
+            assert [(g[1], g[2]) for g in got] == [(i, max(-(1 << 63), min((1 << 63) - 1, -s))) for s, i in want]
+        assert len(got) == 6
 
 
 @pytest.mark.parametrize("blocks", [{"a": 500, "b": 300, "c": 200}, {"a": 997, "b": 2, "c": 1}, {k: 1 for k in range(1000)}, {"a": 334, "b": 333, "c": 333}])
