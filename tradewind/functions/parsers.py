@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from .text import compact_text, first_phrase, keep, let, longest_alias, normalize_digits, normalize_match, normalize_text
+from .text import compact_text, first_phrase, keep, let, longest_alias, normalize_digits, normalize_match, normalize_match_any, normalize_text
 
 MILLION, BILLION = 1_000_000, 1_000_000_000
 
@@ -268,4 +268,135 @@ def model_key(title: Column, rules: Sequence[tuple[str, str]] = ()) -> Column:
     for phrase in [*fillers, *body]:
         t = F.replace(t, F.lit(_plain_compact(phrase)), F.lit(" "))
     t = F.trim(F.regexp_replace(F.regexp_replace(t, rf"(?<!{w})(?:مدل|رنگ|کارکرد)(?!{w})", " "), r"\s+", " "))
-    return F.coalesce(*[F.when(t.rlike(p), F.lit(k)) for p, k in rules], F.substring(t, 1, 160))
+    return F.coalesce(*[F.when(t.rlike(f"(?i){p}"), F.lit(k)) for p, k in rules], F.substring(t, 1, 160))
+
+
+def read_model_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """(pattern, key) of a JSON file of rules, a list of objects; entries without either, or whose pattern is none, are left out."""
+    import re
+
+    rows = spark.read.option("multiLine", True).schema("pattern string, key string").json(path).collect()
+    rules = []
+    for r in rows:  # a short list by nature: it becomes part of the expression
+        try:
+            if r.pattern is not None and r.key is not None:
+                rules.append((re.compile(r.pattern).pattern, _plain_compact(r.key)))
+        except re.error:
+            continue
+    return rules
+
+
+def year_group(text: Column, label: str = "مدل|سال", normalized: bool = False) -> Column:
+    """Group-mean pipeline: a number after the label, one before it, or a bare one of four digits; the first that is a year."""
+    digits = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+
+    def found(t: Column) -> Column:
+        raw = F.concat(digits(t, rf"(?:{label})\s*[:\-]?\s*([0-9]{{2,4}})"), digits(t, rf"([0-9]{{2,4}})\s*(?:{label})"), digits(t, r"(?<![0-9])([0-9]{4})(?![0-9])"))
+        return F.get(F.filter(F.transform(raw, normalize_year), lambda y: y.isNotNull()), 0)
+
+    return let(text if normalized else normalize_match_any(text), found)
+
+
+def year_card(text: Column, label: str = "مدل|سال") -> Column:
+    """Group-mean pipeline, text of a card: the first labelled number decides, if it is 0..99 or 1300..1499; else a bare solar year."""
+    solar = lambda n: n.between(1300, 1499)
+
+    def found(t: Column) -> Column:
+        raw = group(t, rf"(?:{label})\s*[:：\-]?\s*([0-9]{{2,4}})")
+        bare = F.get(F.regexp_extract_all(t, F.lit(r"(?<![0-9])(13[0-9]{2}|14[0-9]{2})(?![0-9])"), F.lit(1)), 0)
+        return F.when(raw != "", keep(raw.try_cast("int"), lambda n: n.between(0, 99) | solar(n))).otherwise(bare.try_cast("int"))
+
+    return let(normalize_digits(text), found)
+
+
+def mileage_group(text: Column, label: str = "کارکرد", zero: str = "صفر", units: str = "کیلومتر|کیلو|km", normalized: bool = False) -> Column:
+    """Group-mean pipeline: a zero phrase, a labelled number, a number with a unit; within 0 to 2 000 000."""
+    number = lambda t, p: between(parse_integer(group(t, p)), 0, 2 * MILLION)
+    found = lambda t: F.coalesce(number(t, rf"(?i){label}\s*[:：]?\s*([0-9][0-9,،٬.\s]{{0,15}})\s*(?:{units})?"), number(t, rf"(?i)([0-9][0-9,،٬.\s]{{2,15}})\s*(?:{units})"))
+    return let(text if normalized else normalize_match_any(text), lambda t: F.when(t.rlike(rf"{label}\s*[:：]?\s*{zero}"), F.lit(0).cast("bigint")).otherwise(found(t)))
+
+
+def mileage_card(text: Column, label: str = "کارکرد", units: str = "کیلومتر|کیلو|km") -> Column:
+    """Group-mean pipeline, text of a card: the labelled number, within 0 to 2 000 000."""
+    return let(normalize_digits(text), lambda t: between(parse_integer(group(t, rf"(?i){label}\s*[:：]?\s*([0-9][0-9,،٬.\s]*)\s*(?:{units})?")), 0, 2 * MILLION))
+
+
+def unique_value(value: Column, names: Sequence[str]) -> Column:
+    """The one name that equals the value when both are normalised; null if none or several do."""
+    forms: dict[str, list[str]] = {}
+    for name in names:
+        forms.setdefault(_plain_match_any(name), []).append(name)
+    only = [(form, same[0]) for form, same in forms.items() if form and len(same) == 1]
+    if not only:
+        return F.lit(None).cast("string")
+    book = F.create_map(*[F.lit(x) for pair in only for x in pair])
+    return F.try_element_at(book, normalize_match_any(value))
+
+
+def _plain_match_any(phrase: str) -> str:
+    """What normalize_match_any does, for the phrases of a lexicon."""
+    import re
+
+    t = " ".join(phrase.translate(str.maketrans(L.PERSIAN_DIGITS, L.ASCII_DIGITS)).split()).lower()
+    t = t.translate(str.maketrans("يكۀة_/\\|–—", "یکهه    --"))
+    t = re.sub(r"[()\[\]{}:؛;،,!?؟]+", " ", t)
+    return " ".join(re.sub(r"(?<=[^\W\d_])(?=[0-9])|(?<=[0-9])(?=[^\W\d_])", " ", t).split())
+
+
+def group_identity(
+    title: Column,
+    description: Column,
+    brand: Column,
+    model: Column,
+    trim: Column,
+    catalog: Sequence[tuple[str, str, Sequence[str]]] = L.GROUP_CATALOG,
+    brands=L.GROUP_BRANDS,
+    models=L.GROUP_MODELS,
+    trims=L.GROUP_TRIMS,
+    context=L.GROUP_CONTEXT_TRIMS,
+    context_only: Sequence[str] = L.GROUP_CONTEXT_ONLY,
+) -> Column:
+    """struct(brand, model, trim) of the group-mean pipeline; brand, model and trim are what a page states of them, or null.
+
+    For each the stated value counts if it is a name of the catalogue, then an alias in it, then an alias in the text. Models are
+    those of the brand, if it is known; a model of one brand alone gives the brand. The trim is looked for in the title only:
+    first the phrases of its model, then aliases and those names that aren't too short to stand alone. All three are null if
+    brand or model stay unknown or don't belong together, or if the model has trims and none was found.
+    """
+    plain = lambda aliases: {_plain_match_any(a): v for a, v in aliases.items()}
+    alias = lambda t, aliases: longest_alias(t, plain(aliases), bounded=True) if aliases else F.lit(None).cast("string")
+    pick = lambda aliases, names: {a: v for a, v in aliases.items() if v in names}
+    every = list(dict.fromkeys(m for _, m, _ in catalog))
+    of = {b: [m for c, m, _ in catalog if c == b] for b in dict.fromkeys(b for b, _, _ in catalog)}
+    owner = {m: b for m in every if len({c for c, n, _ in catalog if n == m}) == 1 for b, n, _ in catalog if n == m}
+
+    def by_brand(b: Column, build) -> Column:
+        """build(names of the models) for the brand's models; for an unknown brand, for all."""
+        out = F.when(b.isNull(), build(every))
+        for name, own in of.items():
+            out = out.when(b == name, build(own))
+        return out
+
+    def trim_of(t: Column, b: Column, m: Column, stated: Column) -> Column:
+        out = F.lit("")
+        for brand_name, model_name, listed in catalog:
+            if listed:
+                own = pick(trims, listed)
+                safe = {**own, **{x: x for x in listed if x not in context_only}}
+                found = F.coalesce(unique_value(trim, listed), alias(stated, own), alias(t, context.get((brand_name, model_name), {})), alias(t, safe))
+                out = F.when((b == brand_name) & (m == model_name), found).otherwise(out)
+        return out
+
+    def told(x: Column) -> Column:
+        b = F.coalesce(unique_value(brand, list(of)), alias(x["brand"], brands), alias(x["text"], brands))
+        return let(b, lambda b: let(model_of(x, b), lambda m: let(F.coalesce(b, F.try_element_at(F.create_map(*[F.lit(v) for p in owner.items() for v in p]), m)), lambda c: named(x, c, m))))
+
+    def model_of(x: Column, b: Column) -> Column:
+        return by_brand(b, lambda own: F.coalesce(unique_value(model, own), alias(x["model"], pick(models, own)), alias(x["text"], pick(models, own))))
+
+    def named(x: Column, b: Column, m: Column) -> Column:
+        known = F.concat_ws("\t", b, m).isin(*[f"{c}\t{n}" for c, n, _ in catalog]) & b.isNotNull() & m.isNotNull()
+        return let(trim_of(x["title"], b, m, x["trim"]), lambda t: F.when(known & t.isNotNull(), F.struct(b.alias("brand"), m.alias("model"), t.alias("trim"))))
+
+    form = lambda c: normalize_match_any(F.coalesce(c, F.lit("")))
+    return let(F.struct(form(title).alias("title"), form(F.concat_ws(" ", title, description)).alias("text"), form(brand).alias("brand"), form(model).alias("model"), form(trim).alias("trim")), told)

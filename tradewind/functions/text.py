@@ -131,6 +131,20 @@ def remove_phrases(c: Column, phrases: Sequence[str]) -> Column:
     return squeeze(reduce(lambda t, p: F.replace(t, F.lit(p), F.lit(" ")), phrases, c))
 
 
+#: Offers that one source adds to every card.
+SOURCE_PHRASES = {
+    "hamrah_mechanic": ("قابل معاوضه", "امکان خرید اقساطی", "اقساط 1 تا 60 ماه", "اقساط ۱ تا ۶۰ ماه", "کارشناسی شده", "گارانتی 7 روزه", "گارانتی ۷ روزه", "درحال کارشناسی")
+}
+
+
+def source_text(source: Column, c: Column, phrases: Mapping[str, Sequence[str]] = SOURCE_PHRASES) -> Column:
+    """The text without the phrases of its source; as it is for other sources."""
+    out = c
+    for name, own in phrases.items():
+        out = F.when(source == name, remove_phrases(c, own)).otherwise(out)
+    return out
+
+
 def html_clean_text(html: Column) -> Column:
     """Line breaks kept as newlines, tags dropped, six entities decoded (the ampersand first), ends stripped."""
     t = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), r"(?i)<br\s*/?>", "\n"), "<[^>]+>", "")

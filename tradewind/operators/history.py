@@ -72,25 +72,64 @@ def merge_price_tables(primary: DataFrame, fallback: DataFrame, key: str = "name
 
 
 def until_first_known(rows: DataFrame, source: str, pos: Sequence[str], known: str, most: int = 60) -> DataFrame:
-    """Rows of each source in order, up to and including the first known one, ``most`` at most."""
-    order = Window.partitionBy(source).orderBy(*pos)
-    before = F.coalesce(F.max(F.col(known).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumns({"_b": before, "_n": F.row_number().over(order)}).filter((F.col("_b") == 0) & (F.col("_n") <= most)).drop("_b", "_n")
+    """Rows of each source in order, up to and including the first known one, ``most`` at most.
+
+    The first ``most`` rows are taken before anything is sorted whole (Spark limits each group within its tasks), and only
+    these are looked through for a known one.
+    """
+    head = keep_first(rows, [source], list(pos), most)
+    before = Window.partitionBy(source).orderBy(*pos).rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.coalesce(F.max(F.col(known).cast("int")).over(before), F.lit(0))
+    return head.withColumn("_b", seen).filter(F.col("_b") == 0).drop("_b")
 
 
-def source_health(attempts: DataFrame, source: str, at: str, ok: str, order: Sequence[str], interval_hours: int = 6) -> DataFrame:
+def source_health(attempts: DataFrame, source: str, at: str, ok: str, order: Sequence[str], interval_hours: int = 6, blocked_hours: str | None = None, as_of: str | None = None) -> DataFrame:
     """source, attempts, last_attempt_at, last_success_at, consecutive_failures, next_allowed_at from a log of attempts.
 
-    Consecutive failures are those after the last success, found by aggregation alone: no source is sorted in one task.
+    ``blocked_hours`` names a column with the hours that an attempt blocked the source for (null or 0: it didn't); the last
+    attempt's counts, as blocked_until. With ``as_of``, the flag due says whether the source may be asked again then: neither
+    blocked nor before next_allowed_at. Consecutive failures are those after the last success, found by aggregation alone: no
+    source is sorted in one task.
     """
     stamp = F.struct(at, *order)
-    state = attempts.groupBy(source).agg(F.count("*").alias("attempts"), F.max(at).alias("last_attempt_at"), F.max(F.when(F.col(ok), stamp)).alias("_last"))
+    last = [F.max_by(F.col(blocked_hours), stamp).alias("_blocked")] if blocked_hours else []
+    state = attempts.groupBy(source).agg(F.count("*").alias("attempts"), F.max(at).alias("last_attempt_at"), F.max(F.when(F.col(ok), stamp)).alias("_last"), *last)
     failed = attempts.filter(~F.col(ok)).withColumn("_at", stamp)
     late = failed.join(state.select(source, "_last"), source).filter(F.col("_last").isNull() | (F.col("_at") > F.col("_last")))
     late = late.groupBy(source).agg(F.count("*").alias("consecutive_failures"))
     out = state.join(late, source, "left").fillna(0, ["consecutive_failures"])
-    return out.select(source, "attempts", "last_attempt_at", F.col(f"_last.{at}").alias("last_success_at"), "consecutive_failures", (F.col("last_attempt_at") + F.make_dt_interval(hours=F.lit(interval_hours))).alias("next_allowed_at"))
+    after = lambda hours: F.col("last_attempt_at") + F.make_dt_interval(hours=hours)
+    out = out.withColumns({"last_success_at": F.col(f"_last.{at}"), "next_allowed_at": after(F.lit(interval_hours))})
+    names = [source, "attempts", "last_attempt_at", "last_success_at", "consecutive_failures", "next_allowed_at"]
+    if blocked_hours:
+        out = out.withColumn("blocked_until", F.when(F.col("_blocked") > 0, after(F.col("_blocked").cast("int"))))
+        names.append("blocked_until")
+    if as_of:
+        now = F.lit(as_of).cast("timestamp")
+        free = F.coalesce(F.col("blocked_until") <= now, F.lit(True)) if blocked_hours else F.lit(True)
+        out = out.withColumn("due", free & (F.col("next_allowed_at") <= now))
+        names.append("due")
+    return out.select(*names)
 
 
 def local_day(ts: Column, offset: str = "+03:30") -> Column:
     return F.to_date(F.from_utc_timestamp(ts, offset))
+
+
+def once_a_day(rows: DataFrame, stored: DataFrame, keys: Sequence[str], at: str, order: Sequence[Column], offset: str = "+03:30") -> DataFrame:
+    """The first row of each key and local day (column day), unless that day is among the stored ones (keys, day) already."""
+    dated = rows.withColumn("day", local_day(F.col(at), offset))
+    return anti(keep_first(dated, [*keys, "day"], order), stored, [*keys, "day"])
+
+
+def retained_tables(tables: dict[str, DataFrame], seen: dict[str, str], as_of: str, days: int) -> dict[str, DataFrame]:
+    """The rows to keep of each table, by its column in ``seen``: listings and sent rows and runs by their stamp, schedules by their date."""
+    if days < 1:
+        raise ValueError("days must be at least 1")
+    kept = {}
+    for name, rows in tables.items():
+        if dict(rows.dtypes)[seen[name]] == "date":
+            kept[name] = rows.filter(F.col(seen[name]) >= F.date_sub(F.lit(as_of).cast("date"), days))
+        else:
+            kept[name] = retained(rows, as_of, days, seen[name])
+    return kept

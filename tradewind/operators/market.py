@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import let
+from .history import anti, keep_first, retained, semi
+from .validation import eligible
 
 
 def percent_below(price: Column, market: Column) -> Column:
@@ -77,13 +78,23 @@ def _banded(rows: DataFrame, others: DataFrame, keys: Sequence[str], tolerance:
     return left.join(right, on)
 
 
-def _at(prices: Column, q: float) -> Column:
-    """Linear interpolation in a sorted array."""
-    index = (F.size(prices) - 1) * F.lit(q)
-    low = F.floor(index).cast("int")
-    part = index - low
-    a, b = F.get(prices, low).cast("double"), F.get(prices, low + 1).cast("double")
-    return F.when(part == 0, a).otherwise(a * (1 - part) + b * part)
+def _between_ranks(low: Column, high: Column, part: Column) -> Column:
+    """Linear interpolation between the values of two neighbouring ranks."""
+    return F.when(part == 0, low.cast("double")).otherwise(low * (1 - part) + high * part)
+
+
+def _values_at(ladder: DataFrame, rows: DataFrame, ranks: Sequence[str]) -> DataFrame:
+    """rows (with pool) and, for each rank column r, r_value: the price at that rank (from 0) of the pool; null outside it.
+
+    The distinct ranks of a pool are few, so each rung of its ladder is compared with few of them.
+    """
+    wanted = rows.select("pool", F.explode(F.array_distinct(F.array(*ranks))).alias("rank")).distinct()
+    inside = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto"))
+    values = wanted.join(ladder.withColumnRenamed("pool", "own"), (F.col("pool") == F.col("own")) & inside).select("pool", "rank", "price")
+    for r in ranks:
+        one = values.select(F.col("pool").alias("own"), F.col("rank").alias("own_rank"), F.col("price").alias(f"{r}_value"))
+        rows = rows.join(one, (F.col("pool") == F.col("own")) & (F.col(r) == F.col("own_rank")), "left").drop("own", "own_rank")
+    return rows
 
 
 def peer_median_opportunities(
@@ -94,32 +105,84 @@ def peer_median_opportunities(
     Peers are those of peer_pairs; the same city is the scope if it has min_comparables peers, before outliers are removed, else
     all cities. Prices outside 1.5 interquartile ranges are left out (as in iqr_filter); min_comparables must be left. The median
     is cut to an integer. ``evaluated`` (ad_id) restricts whose medians are wanted.
+
+    Listings of equal keys, mileage, city and price (a spot) have the same answer, and those of equal keys and mileage draw on the
+    same pool of prices, but for themselves. So prices are counted first; a pool is a ladder of distinct prices with the counts
+    up to each; and a spot finds its order statistics there by rank, those at or above its own moved up by one. No pool is gathered
+    into a row or copied. A pool's ladder is built in one task: it holds distinct prices, not listings.
     """
-    # Listings of equal keys and mileage have the same peers but for themselves: these are gathered once for all of them.
-    cells = listings.select(*keys, "mileage").distinct().withColumn("ad_id", F.struct(*keys, "mileage")).withColumns({"price": F.lit(0), "city": F.lit("")})
-    gathered = _banded(cells, listings.filter("price > 0"), keys, tolerance)
-    peers = gathered.groupBy("ad_id").agg(F.sort_array(F.collect_list("peer_price")).alias("all_prices"), F.collect_list(F.struct(F.col("peer_city").alias("c"), F.col("peer_price").alias("p"))).alias("by_city"))
-    peers = peers.select(*[F.col(f"ad_id.{c}").alias(f"_{c}") for c in [*keys, "mileage"]], "all_prices", "by_city")
+    place = [*keys, "mileage"]
     own = listings if evaluated is None else listings.join(evaluated.select("ad_id"), "ad_id", "left_semi")
-    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*keys, "mileage"]]
-    without = lambda a: let(F.array_position(a, F.col("price")), lambda k: F.when(k == 0, a).otherwise(F.concat(F.slice(a, 1, k.cast("int") - 1), F.slice(a, k.cast("int") + 1, F.size(a)))))
-    near = F.sort_array(F.transform(F.filter("by_city", lambda x: x["c"] == F.col("city")), lambda x: x["p"]))
-    peers = own.join(peers, same).select("ad_id", "price", without(F.col("all_prices")).alias("every"), let(near, without).alias("near"))
-    # The statistics of a listing are generated as one struct: filters above it don't compute them again.
-    scoped = F.when(F.size("near") >= min_comparables, F.struct(F.lit("city").alias("scope"), F.col("near").alias("prices"))).otherwise(F.struct(F.lit("nationwide").alias("scope"), F.col("every").alias("prices")))
-
-    def trimmed(p: Column, f: Column) -> Column:
-        reach = 1.5 * (f["q3"] - f["q1"])
-        inside = F.filter(p, lambda x: x.between(f["q1"] - reach, f["q3"] + reach))
-        return let(inside, lambda i: F.when((F.size(p) < 5) | (f["q3"] <= f["q1"]) | (F.size(i) < 3), p).otherwise(i))
-
-    fences = lambda p: F.struct(_at(p, 0.25).alias("q1"), _at(p, 0.75).alias("q3"))
-    summary = lambda s: let(let(fences(s["prices"]), lambda f: trimmed(s["prices"], f)), lambda p: F.struct(s["scope"].alias("scope"), F.size(p).alias("comparables"), F.floor(_at(p, 0.5)).cast("bigint").alias("median_price")))
-    peers = peers.filter((F.size("every") >= min_comparables)).select("ad_id", "price", F.inline(F.array(let(scoped, summary))))
-    out = peers.filter((F.col("comparables") >= min_comparables) & (F.col("price") < F.col("median_price")))
+    spots = own.groupBy(*place, "city", "price").agg(F.count("*").alias("listed"))
+    counted = listings.filter("price > 0").groupBy(*place, "city", "price").agg(F.count("*").alias("cnt"))
+    # The band of each place: an equi join on keys and mileage bucket.
+    bucket = F.coalesce(F.floor(F.col("mileage") / tolerance), F.lit(-2)).cast("long")
+    places = spots.select(*place).distinct().withColumn("bucket", bucket)
+    near = F.explode(F.when(F.col("mileage").isNull(), F.array(bucket)).otherwise(F.array(bucket - 1, bucket, bucket + 1)))
+    there = counted.select(*[F.col(c).alias(f"p_{c}") for c in place], F.col("city").alias("p_city"), F.col("price").alias("p_price"), "cnt", near.alias("p_bucket"))
+    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys] + [F.col("bucket") == F.col("p_bucket")]
+    on.append((F.abs(F.col("mileage") - F.col("p_mileage")) <= tolerance) | (F.col("mileage").isNull() & F.col("p_mileage").isNull()))
+    band = places.join(there, on).select(F.struct(*place).alias("place"), "p_city", "p_price", "cnt")
+    sets = band.groupingSets([["place", "p_price"], ["place", "p_city", "p_price"]], "place", "p_city", "p_price")
+    sets = sets.agg(F.grouping("p_city").alias("wide"), F.sum("cnt").alias("cnt")).filter("wide = 1 or p_city is not null")
+    pool = lambda where, city: F.struct(where.alias("place"), city.alias("city"))
+    rungs = sets.select(pool(F.col("place"), F.col("p_city")).alias("pool"), F.col("p_price").alias("price"), "cnt")
+    up = Window.partitionBy("pool").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    ladder = rungs.withColumn("upto", F.sum("cnt").over(up)).select("pool", "price", (F.col("upto") - F.col("cnt")).alias("before"), "upto")
+    totals = ladder.groupBy("pool").agg(F.max("upto").alias("total"))
+
+    mine = (F.col("price") > 0).cast("int")
+    spots = spots.withColumns({"mine": mine, "local_pool": pool(F.struct(*place), F.col("city")), "wide_pool": pool(F.struct(*place), F.lit(None).cast("string"))})
+    local = totals.select(F.col("pool").alias("local_pool"), F.col("total").alias("local_total"))
+    spots = spots.join(local, "local_pool", "left")
+    same_city = F.col("city").isNotNull() & (F.coalesce("local_total", F.lit(0)) - F.col("mine") >= min_comparables)
+    spots = spots.withColumn("scope", F.when(same_city, "city").otherwise("nationwide"))
+    spots = spots.withColumn("pool", F.when(same_city, F.col("local_pool")).otherwise(F.col("wide_pool"))).drop("local_pool", "wide_pool", "local_total")
+    spots = spots.join(totals, "pool").withColumn("n", F.col("total") - F.col("mine")).filter(F.col("n") >= min_comparables)
+    rank = ladder.select(F.col("pool").alias("own"), F.col("price").alias("own_price"), F.col("before").alias("r"))
+    spots = spots.join(rank, (F.col("pool") == F.col("own")) & (F.col("price") == F.col("own_price")), "left").drop("own", "own_price")
+
+    def moved(at: Column, taken: Column) -> Column:
+        """The rank in the pool of a rank among the others: the spot's own price is taken out where ``taken``."""
+        return at + (taken & (at >= F.col("r"))).cast("int")
+
+    taken = F.coalesce(F.col("mine") == 1, F.lit(False))
+    for name, q in (("q1", 0.25), ("q3", 0.75)):
+        at = (F.col("n") - 1) * F.lit(q)
+        k = F.floor(at).cast("long")
+        spots = spots.withColumns({f"{name}_part": at - k, f"{name}_a": moved(k, taken), f"{name}_b": moved(k + 1, taken)})
+    shape = ["q1_a", "q1_b", "q3_a", "q3_b"]
+    shapes = _values_at(ladder, spots.select("pool", "n", "q1_part", "q3_part", *shape).distinct(), shape)
+    quartile = lambda q: _between_ranks(F.col(f"{q}_a_value"), F.col(f"{q}_b_value"), F.col(f"{q}_part"))
+    shapes = shapes.withColumns({"q1": quartile("q1"), "q3": quartile("q3")})
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    shapes = shapes.withColumns({"floor": F.col("q1") - reach, "ceiling": F.col("q3") + reach})
+    fences = shapes.select(F.col("pool").alias("own"), "floor", "ceiling").distinct()
+    up_to = lambda c: F.coalesce(F.max(F.when(c, F.col("upto"))), F.lit(0))
+    fences = fences.join(ladder, F.col("own") == F.col("pool")).groupBy("own", "floor", "ceiling")
+    fences = fences.agg(up_to(F.col("price") < F.col("floor")).alias("under"), up_to(F.col("price") <= F.col("ceiling")).alias("within"))
+    fences = fences.withColumnsRenamed({"floor": "f", "ceiling": "c"})
+    shapes = shapes.join(fences, (F.col("pool") == F.col("own")) & (F.col("floor") == F.col("f")) & (F.col("ceiling") == F.col("c")))
+    shapes = shapes.select("pool", "n", *shape, "q1", "q3", "floor", "ceiling", "under", "within")
+
+    spots = spots.join(shapes, ["pool", "n", *shape])
+    inside = taken & F.col("price").between(F.col("floor"), F.col("ceiling"))
+    left = F.col("within") - F.col("under") - inside.cast("int")
+    whole = (F.col("n") < 5) | (F.col("q3") <= F.col("q1")) | (left < 3)
+    spots = spots.withColumns({"comparables": F.when(whole, F.col("n")).otherwise(left), "under": F.when(whole, F.lit(0)).otherwise(F.col("under")), "out": F.when(whole, taken).otherwise(inside)})
+    middle = (F.col("comparables") - 1) * F.lit(0.5)
+    k = F.floor(middle).cast("long")
+    spots = spots.filter(F.col("comparables") >= min_comparables)
+    spots = spots.withColumns({"m_part": middle - k, "m_a": moved(F.col("under") + k, F.col("out")), "m_b": moved(F.col("under") + k + 1, F.col("out"))})
+    spots = _values_at(ladder, spots.select(*place, "city", "price", "pool", "scope", "comparables", "m_part", "m_a", "m_b"), ["m_a", "m_b"])
+    spots = spots.withColumn("median_price", F.floor(_between_ranks(F.col("m_a_value"), F.col("m_b_value"), F.col("m_part"))).cast("bigint"))
+    out = spots.filter(F.col("price") < F.col("median_price"))
     out = out.withColumns({"discount": F.col("median_price") - F.col("price"), "discount_percent": percent_below(F.col("price"), F.col("median_price"))})
     out = out.filter((F.col("discount") >= min_discount) & F.col("discount_percent").between(low, high))
-    return out.withColumn("confidence", confidence_label(F.col("discount_percent"), F.col("comparables"), F.col("scope") == "city"))
+    out = out.withColumn("confidence", confidence_label(F.col("discount_percent"), F.col("comparables"), F.col("scope") == "city"))
+    answer = ["scope", "comparables", "median_price", "discount", "discount_percent", "confidence"]
+    spot = lambda: F.struct(*place, "city", "price")
+    return own.withColumn("spot", spot()).join(out.select(spot().alias("spot"), *answer), "spot").select("ad_id", "price", *answer)
 
 
 def confidence_label(percent: Column, comparables: Column, same_city: Column) -> Column:
@@ -128,15 +191,29 @@ def confidence_label(percent: Column, comparables: Column, same_city: Column) ->
 
 
 def local_median(listings: DataFrame, keys: Sequence[str], tolerance: int = 10_000, least: int = 3) -> DataFrame:
-    """local_price: the median within ``tolerance`` of a listing's mileage in its group, the listing included; null below ``least``."""
-    frame = Window.partitionBy(*keys).orderBy("mileage").rangeBetween(-tolerance, tolerance)
+    """local_price: the median within ``tolerance`` of a listing's mileage in its group, the listing included; null below ``least``.
+
+    Listings of equal keys and mileage share it, so prices are counted first and the median is aggregated once for each of them,
+    from counts; no group is one sorted partition. Listings without a mileage are left out.
+    """
     known = listings.filter("mileage is not null")
-    out = known.withColumns({"local_n": F.count("*").over(frame), "_m": F.percentile("price", F.lit(0.5)).over(frame)})
-    return out.withColumn("local_price", F.when(F.col("local_n") >= least, F.bround("_m").cast("bigint"))).drop("_m")
+    counted = known.groupBy(*keys, "mileage", "price").agg(F.count("*").alias("cnt"))
+    bucket = F.floor(F.col("mileage") / tolerance)
+    there = counted.select(*[F.col(c).alias(f"p_{c}") for c in (*keys, "mileage", "price")], "cnt", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("p_bucket"))
+    places = known.select(*keys, "mileage").distinct().withColumn("bucket", bucket)
+    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys] + [F.col("bucket") == F.col("p_bucket"), F.abs(F.col("mileage") - F.col("p_mileage")) <= tolerance]
+    place = F.struct(*keys, "mileage").alias("place")
+    medians = places.join(there, on).groupBy(place).agg(F.sum("cnt").alias("local_n"), F.percentile("p_price", F.lit(0.5), F.col("cnt")).alias("m"))
+    local = F.when(F.col("local_n") >= least, F.bround("m").cast("bigint"))
+    return known.withColumn("place", place).join(medians, "place").withColumn("local_price", local).drop("place", "m")
 
 
 def prior_history(listings: DataFrame, keys: Sequence[str], most: int = 10) -> DataFrame:
-    """prior_n, prior_avg: over the latest ``most`` listings of the group that came before (ties of first_seen by ad_id)."""
+    """prior_n, prior_avg: over the latest ``most`` listings of the group that came before (ties of first_seen by ad_id).
+
+    A group is one sorted partition of a window (it spills, and nothing is gathered): fit for keys like brand, model, trim and
+    year; prior_history_stream keeps ``most`` rows a key instead.
+    """
     before = Window.partitionBy(*keys).orderBy("first_seen", "ad_id").rowsBetween(-most, -1)
     return listings.withColumns({"prior_n": F.count("*").over(before), "prior_avg": F.avg("price").over(before)})
 
@@ -158,3 +235,19 @@ def top_deals(deals: DataFrame, k: int, percent: str = "diff_percent", per: Sequ
     if not per:
         return deals.orderBy(*order).limit(k)
     return deals.withColumn("_n", F.row_number().over(Window.partitionBy(*per).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
+
+
+def analyzed_deals(listings: DataFrame, catalog: DataFrame, sent: DataFrame, as_of: str, current: DataFrame | None = None, days: int = 7, keys: Sequence[str] = ("brand", "model", "trim", "year"), least: int = 1, low: float = 2.0, high: float = 10.0) -> DataFrame:
+    """Deals of the group-mean pipeline: listings seen in the last days, those eligible, the last row of each id; the cheapest of a
+    group of at least ``least`` if it is in the band; those of the current run (ad_id) that weren't sent (ad_id)."""
+    recent = eligible(retained(listings, as_of, days), catalog)
+    unique = keep_first(recent, ["ad_id"], [F.desc("last_seen")])
+    deals = cheapest_in_group(unique, keys, low, high).filter(F.col("group_size") >= least)
+    if current is not None:
+        deals = semi(deals, current, ["ad_id"])
+    return anti(deals, sent, ["ad_id"])
+
+
+def best_unsent(*args, **options) -> DataFrame:
+    """The best of analyzed_deals, by best_deal."""
+    return best_deal(analyzed_deals(*args, **options))

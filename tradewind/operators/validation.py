@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import lexicons as L
 from ..functions import parsers as P
 from ..functions import text as T
+from ..sources import payloads as PL
 
 
 def listing_reason(rows: DataFrame, as_of_year: int, blocked: Sequence[str] = L.HISTORY_BLOCKED, required: Sequence[tuple[str, str]] = L.HISTORY_TRIM_REQUIRED) -> DataFrame:
@@ -81,35 +82,98 @@ def cross_source_duplicates(rows: DataFrame, stored: DataFrame, key: str, print_
     return fresh.join(stored.select(print_).distinct(), print_, "left_semi")
 
 
-def substring_lookup(names: DataFrame, table: DataFrame, name: str = "name", limit: int = 1000) -> DataFrame:
-    """names with the price of the first table row (by ord) whose key the name contains; null without one.
+def contained_first(texts: DataFrame, table: DataFrame, text: str, value: str) -> DataFrame:
+    """(text, value) of the distinct texts that contain a key of the table (ord, key, value): that of the first by ord.
 
-    The table is a short list by nature (a daily price list); it becomes an array literal of at most ``limit`` entries, so that
-    each name is looked up in place. A longer table is joined on its tokens' first characters instead: every key that the name
-    contains starts at one of the name's positions.
+    Each text is joined on its pieces of one to three characters (and on the empty one) to the keys' beginnings, so one plan
+    does for tables of any size: every key in a text starts at one of its places. Spark broadcasts the table if it is small.
     """
-    rows = table.select("ord", "key", "price").orderBy("ord").limit(limit + 1).collect()
-    if len(rows) <= limit:
-        hits = [F.when(F.contains(F.col(name), F.lit(r["key"])), F.lit(r["price"])) for r in rows]
-        return names.withColumn("price", F.coalesce(*hits, F.lit(None).cast("bigint")))
-    heads = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(name) - 2)), lambda i: F.substring(F.col(name), i, 3))))
-    spread = names.select(name).distinct().withColumn("_h", heads)
-    hits = spread.join(table.withColumn("_h", F.substring("key", 1, 3)), "_h").filter(F.contains(F.col(name), F.col("key")))
-    best = hits.groupBy(name).agg(F.min_by("price", "ord").alias("price"))
-    return names.join(best, name, "left")
-
-
-def price_list_table(messages: DataFrame, models: Sequence[str], dash: str = "—|–") -> DataFrame:
+    start = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(F.col(text), i, n)))
+    spread = texts.select(text).distinct().filter(F.col(text).isNotNull()).withColumn("_head", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(start)))))
+    keyed = table.filter("key is not null").select("ord", "key", value, F.substring("key", 1, 3).alias("_head"))
+    hits = spread.join(keyed, "_head").filter(F.contains(F.col(text), F.col("key")))
+    return hits.groupBy(text).agg(F.min_by(value, "ord").alias(value))
+
+
+def substring_lookup(names: DataFrame, table: DataFrame, name: str = "name") -> DataFrame:
+    """names with the price of the first table row (ord, key, price) by ord whose key the name contains; null without one."""
+    return names.join(contained_first(names, table, name, "price"), name, "left")
+
+
+def price_list_table(messages: DataFrame, models: Sequence[str] | DataFrame, dash: str = "—|–") -> DataFrame:
     """name, price of the lines ``name — price`` of price-list messages (msg_id, text): the first model in the name, the number in
-    the last part (below 10 000: millions); the first line of a model counts."""
+    the last part (below 10 000: millions); the first line of a model counts. Models are a list, or a table (ord, key) of any
+    size."""
     lines = messages.select("msg_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     parts = F.split("line", dash)
     number = P.parse_integer(P.group(F.element_at(parts, -1), r"([۰-۹0-9][۰-۹0-9,،.٬\s]{0,10}[۰-۹0-9]|[۰-۹0-9]{3,6})"))
-    rows = lines.filter(F.size(parts) >= 2).select("msg_id", "pos", T.first_phrase(F.element_at(parts, 1), models).alias("name"), number.alias("n"))
-    rows = rows.filter("name is not null and n > 0").withColumn("price", F.when(F.col("n") < 10_000, F.col("n") * 1_000_000).otherwise(F.col("n")))
+    rows = lines.filter(F.size(parts) >= 2).select("msg_id", "pos", F.element_at(parts, 1).alias("part"), number.alias("n")).filter("n > 0")
+    if isinstance(models, DataFrame):
+        rows = rows.join(contained_first(rows, models.select("ord", "key", F.col("key").alias("name")), "part", "name"), "part")
+    else:
+        rows = rows.withColumn("name", T.first_phrase(F.col("part"), models)).filter("name is not null")
+    rows = rows.withColumn("price", F.when(F.col("n") < 10_000, F.col("n") * 1_000_000).otherwise(F.col("n")))
     return rows.groupBy("name").agg(F.min_by("price", F.struct("msg_id", "pos")).alias("price"))
 
 
+def build_listings(payloads: DataFrame, key: str, card: str, detail: str, seen_at: str, rules: Sequence[tuple[str, str]] = (), stored: DataFrame | None = None, url: str = "https://divar.ir/v/a/", depth: int = 8) -> DataFrame:
+    """Listings of the peer-median pipeline from a card and a detail payload (JSON, the latter may be null), one a row.
+
+    Token, title, texts, price, city, district and picture come from walks over both; year, mileage, body class, exclusion and
+    severe damage from all their texts. A listing is also excluded if its model key has fewer than two characters or it has no
+    price. ``stored`` (token, first_seen) keeps the first_seen of what is known. Rows without a token are left out.
+    """
+    default = "آگهی خودرو"
+    whole = F.concat(F.lit('{"card":'), F.col(card), F.when(F.col(detail).isNotNull(), F.concat(F.lit(',"detail":'), F.col(detail))).otherwise(F.lit("")), F.lit("}"))
+    rows = payloads.select(key, whole.alias("_json"), F.col(card).alias("_card"), F.coalesce(detail, card).alias("_top"))
+    walk = PL.json_walk(rows, key, "_json", depth)
+    own, top = PL.json_walk(rows, key, "_card", depth), PL.json_walk(rows, key, "_top", depth)
+    token = PL.json_token(own, [key]).unionByName(PL.json_token(top, [key]).join(PL.json_token(own, [key]), key, "left_anti"))
+    title = PL.json_title(top, [key], default).join(PL.json_title(own, [key], default).withColumnRenamed("title", "_own"), key)
+    title = title.select(key, F.when(F.col("title") == default, F.col("_own")).otherwise(F.col("title")).alias("title"))
+    first = lambda name, *names: PL.json_first_value(walk, key, names, name)
+    out = rows.select(key, "_json").join(token, key).join(title, key)
+    for part in (
+        PL.json_all_text(walk, key).withColumnRenamed("all_text", "_text"),
+        PL.json_price(walk, key).withColumnRenamed("price", "price_toman"),
+        first("city", "city_persian", "city_name", "city", "city_title", "city_slug"),
+        first("district", "district_persian", "district_name", "district", "neighborhood", "neighbourhood"),
+        PL.json_image(walk, key),
+    ):
+        out = out.join(part, key, "left")
+    text = F.coalesce("_text", F.lit(""))
+    compact = lambda c, phrases: T.first_phrase(c, [P._plain_compact(p) for p in phrases])
+    severe = T.let(T.compact_text(text), lambda t: compact(t, L.SEVERE_DAMAGE_PHRASES))
+    out = out.withColumns({"model_key": P.model_key(F.col("title"), rules), "year": P.year_peer(text), "mileage": P.mileage_peer(text), "body_class": P.severity_class(text), "_why": P.exclusion_reason(F.concat_ws("\n", "title", "_text")), "severe_damage": severe.isNotNull()})
+    unnamed = F.when(F.length("model_key") < 2, "unknown_model")
+    reason = F.coalesce("_why", unnamed, F.when(F.col("price_toman").isNull(), "no_price_found"))
+    now = F.lit(seen_at).cast("timestamp")
+    if stored is not None:
+        out = out.join(stored.select("token", F.col("first_seen").alias("_known")), "token", "left")
+    seen = F.coalesce("_known", now) if stored is not None else now
+    return out.select(key, "token", "title", "model_key", "year", "mileage", "body_class", "price_toman", "city", "district", F.concat(F.lit(url), "token").alias("url"), "image_url", F.substring(text, 1, 20_000).alias("description"), reason.isNotNull().alias("excluded"), reason.alias("excluded_reason"), "severe_damage", seen.alias("first_seen"), now.alias("last_seen"), F.substring("_json", 1, 200_000).alias("source_json"))
+
+
+def group_listings(rows: DataFrame, title: str, description: str, stated: Sequence[str | None] = (None, None, None, None)) -> DataFrame:
+    """rows with brand, model, trim, model_year and mileage of the group-mean pipeline; all null where no vehicle was found.
+
+    ``stated`` names the columns with the brand, model, trim and year that a page states itself. A vehicle needs a year.
+    """
+    column = lambda c: F.col(c) if c else F.lit(None).cast("string")
+    brand, model, trim, year = map(column, stated)
+    both = F.concat_ws(" ", title, description)
+    out = rows.select("*", F.explode(F.array(F.struct(P.group_identity(F.col(title), F.col(description), brand, model, trim).alias("v"), F.coalesce(P.normalize_year(year), P.year_group(both)).alias("y"), P.mileage_group(both).alias("m")))).alias("_x"))
+    known = F.col("_x.v").isNotNull() & F.col("_x.y").isNotNull()
+    told = {"brand": "_x.v.brand", "model": "_x.v.model", "trim": "_x.v.trim", "model_year": "_x.y", "mileage": "_x.m"}
+    return out.withColumns({n: F.when(known, F.col(c)) for n, c in told.items()}).drop("_x")
+
+
+def unique_canonical(values: DataFrame, lexicon: DataFrame, value: str, form: str = "form", canonical: str = "canonical") -> DataFrame:
+    """values with the canonical of the one lexicon row (form, canonical) whose form equals theirs; null if none or several do."""
+    only = lexicon.groupBy(form).agg(F.count("*").alias("_n"), F.min(canonical).alias(canonical)).filter("_n = 1").select(F.col(form).alias("_form"), canonical)
+    return values.join(only, F.col(value) == F.col("_form"), "left").drop("_form")
+
+
 def outbox(deals: DataFrame, title: Column, percent: Column, most: int = 4000) -> DataFrame:
     """ad_id and a message for each deal, HTML-escaped, cut to ``most`` characters; delivery is someone else's."""
     escape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
@@ -120,3 +184,18 @@ def outbox(deals: DataFrame, title: Column, percent: Column, most: int = 4000) -
 def run_counters(rows: DataFrame, source: str, status: str) -> DataFrame:
     count = lambda s: F.count_if(F.col(status) == s)
     return rows.groupBy(source).agg(F.count("*").alias("fetched"), count("accepted").alias("accepted"), count("duplicate").alias("duplicates"), (F.count("*") - count("accepted") - count("duplicate")).alias("rejected"))
+
+
+def run_totals(rows: DataFrame, run: str, status: str, errors: DataFrame | None = None) -> DataFrame:
+    """fetched, accepted, rejected, duplicates of each run, with its status: failed if the run is among ``errors`` (run, error),
+    partial if it rejected all it fetched, else ok; the error is cut to 2000 characters."""
+    out = run_counters(rows, run, status)
+    if errors is None:
+        return out.withColumns({"status": _run_status(F.lit(None)), "error": F.lit(None).cast("string")})
+    told = errors.groupBy(run).agg(F.max("error").alias("error"))
+    out = out.join(told, run, "left").withColumn("error", F.nullif(F.substring("error", 1, 2000), F.lit("")))
+    return out.withColumn("status", _run_status(F.col("error")))
+
+
+def _run_status(error: Column) -> Column:
+    return F.when(error.isNotNull(), "failed").when(F.col("accepted") + F.col("duplicates") == 0, "partial").otherwise("ok")

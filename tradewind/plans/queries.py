@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 KEY3, KEY4 = ["brand", "model", "trim"], ["brand", "model", "trim", "year"]
-AS_OF = "2001-12-31"
+AS_OF = "2001-09-15"
 
 
 def query(sql: str | None = None, ads: bool = False):
@@ -97,9 +97,16 @@ def _payloads(spark, sf):
     return e.select("event_id", F.when(F.col("event_id") % 2 == 0, item).otherwise(listed).alias("payload"))
 
 
-@query("select event_id, cast(0 as int) pos, cast(user_id as varchar) token, 'ad ' || event_type title from events")
+@query("select event_id, cast(0 as int) pos, 'tok-' || user_id || '-x' token, 'ad ' || event_type title from events")
 def json_cards(spark, sf):
-    return PL.json_cards(_payloads(spark, sf), "event_id", "payload").select("event_id", "pos", "token", "title")
+    """Payloads of three shapes: the known list; another list with typed items and a nested token; items with a link only."""
+    token = F.concat(F.lit("tok-"), F.col("user_id").cast("string"), F.lit("-x"))
+    fill = lambda shape: F.replace(F.replace(F.lit(shape), F.lit("TOKEN"), token), F.lit("TITLE"), F.concat(F.lit(" ad  "), F.col("event_type")))
+    listed = fill('{"web_widgets": {"post_list": [{"data": {"title": "TITLE", "token": "TOKEN"}}, {"title": "again", "token": "TOKEN"}]}, "more": [{"token": "other-one"}]}')
+    typed = fill('{"web_widgets": {"post_list": []}, "sections": [{"type": "banner", "data": {"title": "no"}}, {"type": "post_row", "data": {"title": "TITLE", "action": {"payload": {"post_token": "TOKEN"}}}}]}')
+    linked = fill('{"rows": [[{"header": "TITLE", "url": "https://example.com/v/some-ad/TOKEN"}], 3]}')
+    shape = F.when(F.col("event_id") % 3 == 0, listed).when(F.col("event_id") % 3 == 1, typed).otherwise(linked)
+    return PL.json_cards(read_table(spark, sf, "events").select("event_id", shape.alias("payload")), "event_id", "payload", depth=6)
 
 
 @query("select event_id, '$.' || k path, k name, json_extract_string(props, '$.' || k) as text from (select event_id, props, unnest(json_keys(props)) k from events)")
@@ -207,8 +214,8 @@ def earliest_alias(spark, sf):
 @query("select p_partkey, case when n = 1 then p_brand end brand from (select p_partkey, p_brand, count(*) over (partition by p_name || p_size) n from part)")
 def unique_canonical(spark, sf):
     part = read_table(spark, sf, "part").withColumn("k", F.concat("p_name", F.col("p_size").cast("string")))
-    only = part.groupBy("k").agg(F.count("*").alias("n"), F.min("p_brand").alias("brand")).filter("n = 1").select("k", "brand")
-    return part.select("p_partkey", "k").join(only, "k", "left").select("p_partkey", "brand")
+    lexicon = part.select(F.col("k").alias("form"), F.col("p_brand").alias("canonical"))
+    return V.unique_canonical(part.select("p_partkey", "k"), lexicon, "k").select("p_partkey", F.col("canonical").alias("brand"))
 
 
 @query("""select page_id, lower(split_part(url, '://', 1)) || '://' || lower(split_part(split_part(url, '://', 2), '/', 1)) ||
@@ -240,6 +247,17 @@ def json_price(spark, sf):
     return PL.json_price(PL.json_walk(_payloads(spark, sf), "event_id", "payload", depth=4), "event_id", low=5_000_000, high=60_000_000)
 
 
+@query("select event_id, cast(floor(value) * 1000000 as bigint) price from events where event_id % 4 < 3 and floor(value) * 1000000 between 5000000 and 60000000 union all select event_id, cast(floor(value) * 100000 as bigint) from events where event_id % 4 < 3 and floor(value) * 1000000 > 60000000 and floor(value) * 100000 between 5000000 and 60000000")
+def json_labelled_price(spark, sf):
+    """Prices that only a label beside them tells: as text, as a number, after a value that is none; a quarter has no such label."""
+    n = (F.floor("value") * 1_000_000).cast("bigint").cast("string")
+    fill = lambda shape: F.replace(F.lit(shape), F.lit("VALUE"), n)
+    shapes = ('{"rows": [{"label": "area", "value": "77000000"}, {"title": "قیمت پایه", "value": "VALUE"}]}', '{"x": {"key": "Price", "number": VALUE}}', '{"x": {"name": "قیمت", "value": "?", "raw_value": VALUE}}', '{"x": {"title": "area", "value": VALUE}}')
+    shape = F.coalesce(*[F.when(F.col("event_id") % 4 == k, fill(x)) for k, x in enumerate(shapes)])
+    walk = PL.json_walk(read_table(spark, sf, "events").select("event_id", shape.alias("payload")), "event_id", "payload", depth=4)
+    return PL.json_price(walk, "event_id", low=5_000_000, high=60_000_000)
+
+
 def _ad_text():
     """Listings told in words: a third in plain digits, a third in millions, a third in grouped digits."""
     amount = F.when(F.col("price") % 3 == 0, F.concat((F.col("price") * 1000).cast("string"), F.lit(" toman"))).when(F.col("price") % 3 == 1, F.concat(F.col("price").cast("string"), F.lit(" million"))).otherwise(F.concat(F.format_number(F.col("price") * 1000, 0), F.lit(" toman")))
@@ -392,9 +410,12 @@ def cross_source_dupes(spark, sf):
     return V.cross_source_duplicates(rows.filter("source_no >= 4"), rows.filter("source_no < 4"), "ad_id").select("ad_id")
 
 
-@query("select p_partkey, (select n from (values (1, 'red', 100), (2, 'bolt', 200), (3, 're', 300), (4, 'gear', 400)) t(o, k, n) where contains(p_name, k) order by o limit 1)::bigint price from part")
+KEYS = [(1, "red", 100), (2, "bolt", 200), (3, "re", 300), (4, "gear", 400), (5, "z", 500), (6, "", 600)]
+
+
+@query(f"select p_partkey, (select n from (values {', '.join(map(str, KEYS))}) t(o, k, n) where contains(p_name, k) order by o limit 1)::bigint price from part")
 def substring_lookup(spark, sf):
-    table = spark.createDataFrame([(1, "red", 100), (2, "bolt", 200), (3, "re", 300), (4, "gear", 400)], "ord int, key string, price bigint")
+    table = spark.createDataFrame(KEYS, "ord int, key string, price bigint")
     return V.substring_lookup(read_table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name")), table).select("p_partkey", "price")
 
 
@@ -463,18 +484,32 @@ def latest_with_keywords(spark, sf):
 @query("select p_name as name, min_by(case when p_retailprice < 10000 then cast(floor(p_retailprice) as bigint) * 1000000 end, p_partkey) price from part group by 1")
 def price_list_table(spark, sf):
     part = read_table(spark, sf, "part")
-    names = [r["p_name"] for r in part.select("p_name").distinct().orderBy("p_name").limit(500).collect()]
     line = F.concat(F.lit("head\n"), F.col("p_name"), F.lit(" — "), F.floor("p_retailprice").cast("string"), F.lit("\ntail"))
+    names = part.select(F.col("p_name").alias("key"), F.col("p_name").alias("ord")).distinct()
     return V.price_list_table(part.select(F.col("p_partkey").alias("msg_id"), line.alias("text")), names)
 
 
-@query("""with a as (select user_id, event_id, ts, event_type <> 'error' ok from events), s as (select user_id, count(*) attempts, max(ts) last_at, arg_max(event_id, (ts, event_id)) filter (ok) ls, max(ts) filter (ok) lt from a group by 1)
+HEALTH_AS_OF = "2024-01-30 12:00:00"
+
+
+@query(f"""with a as (select user_id, event_id, ts, event_type <> 'error' ok from events), s as (select user_id, count(*) attempts, max(ts) last_at, arg_max(ok, (ts, event_id)) last_ok, arg_max(event_id, (ts, event_id)) filter (ok) ls, max(ts) filter (ok) lt from a group by 1)
 select s.user_id, attempts, strftime(last_at, '%Y-%m-%d %H:%M:%S') last_attempt_at, strftime(lt, '%Y-%m-%d %H:%M:%S') last_success_at, (select count(*) from a where a.user_id = s.user_id and not ok and (lt is null or (a.ts, a.event_id) > (lt, ls))) consecutive_failures,
-  strftime(last_at + interval 6 hour, '%Y-%m-%d %H:%M:%S') next_allowed_at from s""")
+  strftime(last_at + interval 6 hour, '%Y-%m-%d %H:%M:%S') next_allowed_at, case when not last_ok then strftime(last_at + interval 48 hour, '%Y-%m-%d %H:%M:%S') end blocked_until,
+  last_at + interval 6 hour <= timestamp '{HEALTH_AS_OF}' and (last_ok or last_at + interval 48 hour <= timestamp '{HEALTH_AS_OF}') due from s""")
 def source_health(spark, sf):
-    log = read_table(spark, sf, "events").withColumn("ok", F.col("event_type") != "error")
-    out = H.source_health(log, "user_id", "ts", "ok", ["event_id"])
-    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("last_attempt_at", "last_success_at", "next_allowed_at")})
+    log = read_table(spark, sf, "events").withColumns({"ok": F.col("event_type") != "error", "hours": F.when(F.col("event_type") == "error", 48)})
+    out = H.source_health(log, "user_id", "ts", "ok", ["event_id"], blocked_hours="hours", as_of=HEALTH_AS_OF)
+    return out.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("last_attempt_at", "last_success_at", "next_allowed_at", "blocked_until")})
+
+
+@query(""", s as (select source_no, case when price % 10 = 0 then 'duplicate' when price > 30000 and source_no <> 5 then 'accepted' else 'rejected' end st from ads where source_no <> 5 or price % 10 <> 0),
+c as (select source_no, count(*) fetched, count_if(st = 'accepted') accepted, count_if(st = 'duplicate') duplicates, count_if(st = 'rejected') rejected from s group by 1)
+select *, case when source_no = 3 then 'timeout' end error, case when source_no = 3 then 'failed' when accepted + duplicates = 0 then 'partial' else 'ok' end status from c""", ads=True)
+def run_totals(spark, sf):
+    status = F.when(F.col("price") % 10 == 0, "duplicate").when((F.col("price") > 30000) & (F.col("source_no") != 5), "accepted").otherwise("rejected")
+    rows = listings(spark, sf).withColumn("outcome", status).filter("source_no <> 5 or outcome <> 'duplicate'")
+    errors = listings(spark, sf).filter("source_no = 3").select("source_no", F.lit("timeout").alias("error"))
+    return V.run_totals(rows, "source_no", "outcome", errors)
 
 
 # --- windows, order, limits
@@ -570,10 +605,27 @@ def merge_sparse(spark, sf):
     return H.merge_sparse(stored, fresh, "repeat_key", {"mileage": 1000})
 
 
-@query("select user_id, strftime(cast(ts + interval 210 minute as date), '%Y-%m-%d') as day, min(event_id) event_id from events group by 1, 2")
+@query("""with e as (select *, strftime(cast(ts + interval 210 minute as date), '%Y-%m-%d') as day from events)
+select user_id, day, min(event_id) event_id from e where (user_id, day) not in (select (user_id, day) from e where event_id % 7 = 0) group by 1, 2""")
 def once_per_day(spark, sf):
-    e = read_table(spark, sf, "events").withColumn("day", F.date_format(H.local_day(F.col("ts")), "yyyy-MM-dd"))
-    return H.keep_first(e, ["user_id", "day"], [F.asc("event_id")]).select("user_id", "day", "event_id")
+    e = read_table(spark, sf, "events")
+    stored = e.filter("event_id % 7 = 0").select("user_id", H.local_day(F.col("ts")).alias("day"))
+    out = H.once_a_day(e, stored, ["user_id"], "ts", [F.asc("event_id")])
+    return out.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "event_id")
+
+
+@query(f"""select 'ads' as origin, ad_id as id from ads where first_seen >= timestamp '{AS_OF}' - interval 45 day
+union all select 'orders', cast(o_orderkey as varchar) from orders where cast(o_orderdate as date) >= date '{AS_OF}' - 45
+union all select 'sent', concat_ws('-', o_orderkey, 1) from orders where o_orderpriority = '1-URGENT' and o_orderdate >= timestamp '{AS_OF}' - interval 45 day""", ads=True)
+def retention_tables(spark, sf):
+    o = read_table(spark, sf, "orders")
+    tables = {
+        "ads": listings(spark, sf).select(F.lit("ads").alias("origin"), F.col("ad_id").alias("id"), F.col("first_seen").alias("at")),
+        "orders": o.select(F.lit("orders").alias("origin"), F.col("o_orderkey").cast("string").alias("id"), F.to_date("o_orderdate").alias("at")),
+        "sent": o.filter("o_orderpriority = '1-URGENT'").select(F.lit("sent").alias("origin"), F.concat_ws("-", "o_orderkey", F.lit(1)).alias("id"), F.col("o_orderdate").alias("at")),
+    }
+    kept = [t.select("origin", "id") for t in H.retained_tables(tables, dict.fromkeys(tables, "at"), AS_OF, 45).values()]
+    return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 # --- pipelines
@@ -601,3 +653,76 @@ def unsent_current_deals(spark, sf):
     current = H.anti(ads.filter("source_no >= 4"), _sent(spark, sf), ["repeat_key"])
     deals = H.semi(M.cheapest_in_group(ads, KEY4, 2, 60), current, ["ad_id"])
     return deals.select("ad_id", "price", bp(F.col("diff_percent")).alias("diff_bp"))
+
+
+TITLES = {"ECONOMY": "پژو ۲۰۶ تیپ پنج", "SMALL": "دنا پلاس توربو", "LARGE": "پراید111", "PROMO": "سوناتا", "MEDIUM": "پژو 206", "STANDARD": "خودرو"}
+
+
+def _told(model) -> object:
+    return F.coalesce(*[F.when(model == k, F.lit(v)) for k, v in TITLES.items()])
+
+
+@query("""select ad_id, case model when 'ECONOMY' then 'Peugeot' when 'SMALL' then 'Iran Khodro' when 'LARGE' then 'Saipa' when 'PROMO' then 'Hyundai' end brand,
+  case model when 'ECONOMY' then '206' when 'SMALL' then 'Dena' when 'LARGE' then 'Pride' when 'PROMO' then 'Sonata' end model,
+  case model when 'ECONOMY' then 'تیپ 5' when 'SMALL' then 'پلاس توربو' when 'LARGE' then '111' when 'PROMO' then '' end trim,
+  case when model in ('ECONOMY', 'SMALL', 'LARGE', 'PROMO') then cast(year as int) end model_year, case when model in ('ECONOMY', 'SMALL', 'LARGE', 'PROMO') then mileage end mileage from ads""", ads=True)
+def group_identity(spark, sf):
+    """Listings told in the language of the lexicons: a brand in the text, a brand that the model gives, trims by alias and by the
+    phrase of a model, a model without trims, a missing trim and no vehicle; a year before or after its label."""
+    year = F.when(F.col("price") % 2 == 0, F.concat(F.lit("مدل "), F.col("year").cast("string"))).otherwise(F.concat(F.col("year").cast("string"), F.lit(" سال")))
+    text = F.concat_ws(" ", year, F.lit("کارکرد"), F.col("mileage").cast("string"), F.lit("کیلومتر"))
+    rows = listings(spark, sf).select("ad_id", _told(F.col("model")).alias("title"), text.alias("description"))
+    return V.group_listings(rows, "title", "description").select("ad_id", "brand", "model", "trim", "model_year", "mileage")
+
+
+@query("select ad_id, case when year % 4 = 0 then cast(year % 100 as int) else cast(year as int) end model_year, mileage from ads", ads=True)
+def card_fields(spark, sf):
+    """Year and mileage of the texts of cards, in Persian digits; the label may have two digits."""
+    year = F.when(F.col("year") % 4 == 0, F.concat(F.lit("مدل: "), (F.col("year") % 100).cast("string"))).when(F.col("year") % 4 == 1, F.concat(F.lit("سال "), F.col("year").cast("string"))).otherwise(F.concat(F.lit("تولید "), F.col("year").cast("string")))
+    text = F.translate(F.concat_ws(" ", F.lit("کارکرد:"), F.format_number("mileage", 0), F.lit("کیلومتر"), year), "0123456789", FA)
+    return listings(spark, sf).select("ad_id", P.year_card(text).alias("model_year"), P.mileage_card(text).alias("mileage"))
+
+
+@query("""select ad_id, 'tok_' || replace(ad_id, '-', '_') token, case when model = 'ECONOMY' then 'پژو 206 تیپ 5' when model = 'SMALL' then 'دنا پلاس توربو' when model = 'STANDARD' then '' else 'سوناتا' end model_key, cast(year as int) "year", mileage,
+  case when trim = 'N' then 'accident' when trim = 'A' then 'clean' else 'unknown' end body_class, case when price >= 1000 then price * 100000 end price_toman, city,
+  case when trim = 'R' then 'finance:لیزینگ' when model = 'STANDARD' then 'unknown_model' when price < 1000 then 'no_price_found' end excluded_reason, trim = 'N' severe_damage from ads""", ads=True)
+def build_listings(spark, sf):
+    """Cards with a title and a token, details with a labelled price, a city and a text: the whole build of a listing."""
+    ads = listings(spark, sf)
+    title = F.when(F.col("model") == "ECONOMY", "پژو ۲۰۶ تیپ پنج").when(F.col("model") == "SMALL", "دنا پلاس توربو سفید").when(F.col("model") == "STANDARD", "تمیز").otherwise("سوناتا")
+    state = F.when(F.col("trim") == "N", "تصادف سنگین چپی").when(F.col("trim") == "A", "بدون رنگ").otherwise("لیزینگ")
+    told = F.concat_ws(" ", F.lit("مدل"), F.col("year").cast("string"), F.lit("کارکرد"), F.col("mileage").cast("string"), F.lit("کیلومتر"), state)
+    amount = F.when(F.col("price") >= 1000, F.concat(F.col("price") * 100_000, F.lit(""))).otherwise("")
+    card = F.to_json(F.struct(F.struct(title.alias("title"), F.concat(F.lit("tok_"), F.replace("ad_id", F.lit("-"), F.lit("_"))).alias("token")).alias("data")))
+    row = F.struct(F.lit("قیمت پایه").alias("label"), amount.alias("value"))
+    detail = F.to_json(F.struct(F.array(row).alias("rows"), told.alias("description"), F.struct(F.col("city").alias("city_name")).alias("place")))
+    out = V.build_listings(ads.select("ad_id", card.alias("card"), detail.alias("detail")), "ad_id", "card", "detail", "2001-11-05", depth=4)
+    return out.select("ad_id", "token", "model_key", "year", "mileage", "body_class", "price_toman", "city", "excluded_reason", "severe_damage")
+
+
+@query(f""", c as ({CATALOG_SQL}), e as (select ads.* from ads join c on brand = b and model = m where price > 0 and (lo > 5 or trim in ('A', 'N')) and first_seen >= timestamp '{AS_OF}' - interval 700 day),
+g as (select *, avg(price) over w m, count(*) over w n, row_number() over (partition by brand, model, trim, year order by price, ad_id) rn from e window w as (partition by brand, model, trim, year))
+select ad_id, price, cast(floor({BAND} * 100) as bigint) diff_bp from g where rn = 1 and n >= 3 and {BAND} between 2 and 60
+  and repeat_key not in (select concat_ws('-', o_orderkey, 1) from orders where o_orderpriority = '1-URGENT') and source_no >= 2 order by {BAND} desc, price, ad_id desc limit 1""", ads=True)
+def best_unsent_deal(spark, sf):
+    ads = listings(spark, sf).withColumn("last_seen", F.col("first_seen"))
+    sent = H.semi(ads, _sent(spark, sf), ["repeat_key"])
+    best = M.best_unsent(ads, _catalog(spark, sf), sent, AS_OF, ads.filter("source_no >= 2"), days=700, keys=KEY4, least=3, low=2, high=60)
+    return best.select("ad_id", "price", bp(F.col("diff_percent")).alias("diff_bp"))
+
+
+@query("select page_id, w id, count(*) - 1 repeats from (select page_id, unnest(regexp_extract_all(html, '<a href=\"/([a-z]+)\"', 1)) w from pages) group by 1, 2 having count(*) > 1")
+def message_repeats(spark, sf):
+    return PG.message_repeats(read_table(spark, sf, "pages"), '<a href="/([a-z]+)"')
+
+
+@query("select doc_id, md5(case when source in ('src1', 'src2') then trim(regexp_replace(replace(replace(text, 'the', ' '), 'und', ' '), '\\s+', ' ', 'g')) else text end) text_md5 from documents")
+def source_text(spark, sf):
+    phrases = {"src1": ("the", "und"), "src2": ("the", "und")}
+    return docs(spark, sf).select("doc_id", F.md5(T.source_text(F.col("source"), F.col("text"), phrases).cast("binary")).alias("text_md5"))
+
+
+@query("select ad_id, case when model = 'ECONOMY' then 'پژو 206 تیپ 5' when model = 'SMALL' then 'dena plus' when mileage = 2000 then 'سوناتا کیلومتر' else 'سوناتا' end model_key from ads", ads=True)
+def model_keys(spark, sf):
+    title = F.when(F.col("model") == "ECONOMY", F.concat(F.lit("پژو206 تیپ پنج سفید مدل "), F.col("year").cast("string"))).when(F.col("model") == "SMALL", "دنا پلاس DENA+").otherwise(F.concat(F.lit("سوناتا بدون رنگ "), F.col("mileage").cast("string"), F.lit(" کیلومتر")))
+    return listings(spark, sf).select("ad_id", P.model_key(title, [("Dena", "dena plus")]).alias("model_key"))

@@ -44,6 +44,27 @@ def page_class(html: Column, link: str, markers: Sequence[str] = L.BLOCK_PAGE_MA
     return by_text if status is None else F.when(status.isin(403, 429), F.lit("status")).otherwise(by_text)
 
 
+#: Hosts and paths of the seven card sources; price asks for the nearest ancestor with a price.
+PRICE_HINT = "تومان|تومن|توافقی|تماس بگیرید"
+CARD_SOURCES = (
+    {"name": "divar", "hosts": ["divar.ir"], "paths": ["(?i)^/v/[^/]+/[^/]+/?$"]},
+    {"name": "bama", "hosts": ["bama.ir"], "paths": ["(?i)^/car/detail-[^/?#]+/?$"]},
+    {"name": "khodro45", "hosts": ["khodro45.com"], "paths": ["(?i)^/used-car/[^/?#]+/[0-9A-Za-z_-]+/?$", "(?i)^/cars?/[^/?#]+/[0-9A-Za-z_-]+/?$"]},
+    {"name": "formula", "hosts": ["formula.ir"], "paths": ["(?i)^/car/detail-[^/?#]+/?$"], "price": PRICE_HINT},
+    {"name": "sheypoor", "hosts": ["sheypoor.com", "www.sheypoor.com"], "paths": [r"(?i)^/v/.+\.html/?$"], "price": PRICE_HINT},
+    {"name": "karnameh", "hosts": ["karnameh.com"], "paths": ["(?i)^/used-cars/[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}/?$"]},
+    {"name": "hamrah_mechanic", "hosts": ["hamrah-mechanic.com", "www.hamrah-mechanic.com"], "paths": ["(?i)^/cars-for-sale/[^/]+/[^/]+/[0-9]+/?$"]},
+)
+#: The cards of a search page: below /v/ at least two parts, the last of which is the id.
+SEARCH_CARD = {"name": "search", "paths": [r"/v/(?:[^/]+/)+[A-Za-z0-9_-]+/?$"]}
+
+
+def message_repeats(pages: DataFrame, marker: str) -> DataFrame:
+    """page_id, id, repeats: how often a message id occurs again in its page after the first time."""
+    ids = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(marker), F.lit(1))).alias("id"))
+    return ids.groupBy("page_id", "id").agg((F.count("*") - 1).alias("repeats")).filter("repeats > 0")
+
+
 class _Cards(HTMLParser):
     """Anchors with their text parts, and the text parts of each of their ancestors."""
 

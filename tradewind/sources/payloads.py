@@ -46,19 +46,64 @@ def json_all_text(walk: DataFrame, key: str, max_chars: int = 30_000) -> DataFra
     return kept.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("all_text"))
 
 
-def json_cards(payloads: DataFrame, key: str, payload: str, path: str = "$.web_widgets.post_list", token: str = "$.token", title: str = "$.title") -> DataFrame:
-    """key, pos, token, title of the items of the list at ``path``; without any, of the payload itself as one item.
+#: A token, and the link of a listing that holds one.
+TOKEN, TOKEN_LINK = r"^[A-Za-z0-9_-]{5,}$", r"/v/(?:[^/]+/)?([A-Za-z0-9_-]{5,})"
 
-    Items need a token and a title; a token counts once in a payload.
+
+def json_token(walk: DataFrame, key: Sequence[str], names: Sequence[str] = ("token", "post_token"), link: str = TOKEN_LINK) -> DataFrame:
+    """key and token: the first value under one of the names if it has the form of a token, else that of the first link to a listing."""
+    scalar = ~F.col("kind").isin("OBJECT", "ARRAY", "BOOLEAN") & (normalize_text(F.col("text")) != "")
+    direct = F.min(F.when(scalar & F.lower("name").isin(*names), F.struct("pos", normalize_text(F.col("text")).alias("t"))))["t"]
+    linked = F.min(F.when((F.col("kind") == "STRING") & F.col("text").rlike(link), F.struct("pos", F.regexp_extract("text", link, 1).alias("t"))))["t"]
+    out = walk.groupBy(*key).agg(direct.alias("direct"), linked.alias("linked"))
+    return out.select(*key, F.when(F.col("direct").rlike(TOKEN), F.col("direct")).otherwise(F.col("linked")).alias("token")).filter("token is not null")
+
+
+def json_title(walk: DataFrame, key: Sequence[str], fallback: str = "آگهی خودرو", names: Sequence[str] = ("title", "header", "name"), relative: str = "path") -> DataFrame:
+    """key and title: a string under one of the names, in their order, directly in the object (in its object ``data``, if it has
+    one); else the first value named title at any depth; else the fallback. ``relative`` is the path from the object's root, $."""
+    rel, text = F.col(relative), normalize_text(F.col("text"))
+    nested = F.max((rel == "$.data") & (F.col("kind") == "OBJECT"))
+    stage = lambda root: F.min(F.coalesce(*[F.when((F.col("kind") == "STRING") & (text != "") & (rel == f"{root}.{n}"), F.struct(F.lit(i).alias("i"), text.alias("t"))) for i, n in enumerate(names)]))["t"]
+    scalar = ~F.col("kind").isin("OBJECT", "ARRAY") & (F.lower("name") == "title") & (text != "")
+    out = walk.groupBy(*key).agg(nested.alias("nested"), stage("$.data").alias("inner"), stage("$").alias("outer"), F.min(F.when(scalar, F.struct("pos", text.alias("t"))))["t"].alias("any"))
+    return out.select(*key, F.coalesce(F.when(F.col("nested"), F.col("inner")).otherwise(F.col("outer")), "any", F.lit(fallback)).alias("title"))
+
+
+def json_image(walk: DataFrame, key: str, parts: Sequence[str] = ("image", "thumbnail", "src", "url"), hosts: Sequence[str] = ("divarcdn",)) -> DataFrame:
+    """key and image_url: the first http string under a name with one of the parts that ends like a picture or lies on one of the hosts."""
+    named = F.coalesce(F.lower("name").rlike("|".join(parts)), F.lit(False))
+    picture = F.col("text").rlike(r"(?i)\.(?:jpg|jpeg|png|webp)(?:\?|$)") | F.col("text").rlike("|".join(hosts))
+    hits = walk.filter((F.col("kind") == "STRING") & F.col("text").startswith("http") & named & picture)
+    return hits.groupBy(key).agg(F.min_by("text", "pos").alias("image_url"))
+
+
+def json_cards(payloads: DataFrame, key: str, payload: str, path: str = "$.web_widgets.post_list", depth: int = 8) -> DataFrame:
+    """key, pos, token, title of the cards of a payload: the items of the list at ``path``; if none of them is a card, the items of
+    any list that have POST in their type or a token.
+
+    Token and title are looked for below the item (json_token, json_title); a token counts once in a payload, the first by
+    position, and pos numbers its cards.
     """
-    spark = payloads.sparkSession
-    parsed = payloads.select(F.col(key).alias("_key"), F.expr(f"try_parse_json(`{payload}`)").alias("v")).filter("v is not null")
-    parsed = parsed.withColumn("items", F.expr(f"try_variant_get(v, '{path}', 'array<variant>')"))
-    items = spark.sql("select _key, posexplode_outer(if(size(items) > 0, items, array(v))) as (pos, item) from {p}", p=parsed)
-    cells = items.select("_key", "pos", F.expr(f"try_variant_get(item, '{token}', 'string')").alias("token"), squeeze(F.expr(f"try_variant_get(item, '{title}', 'string')")).alias("title"))
-    first = F.row_number().over(Window.partitionBy("_key", "token").orderBy("pos"))
-    named = cells.filter("token <> '' and title <> ''").withColumn("_n", first).filter("_n = 1")
-    return named.select(F.col("_key").alias(key), "pos", "token", "title")
+    walk = json_walk(payloads, key, payload, depth)
+    item = (F.col("kind") == "OBJECT") & F.col("path").endswith("]")
+    items = walk.filter(item).select(F.col(key).alias("_key"), F.col("pos").alias("_item"), F.col("path").alias("_root"))
+    # Every value is told to the items above it: at most ``depth`` of them.
+    above = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("pos"))), lambda n: F.slice("pos", 1, n)))
+    below = walk.withColumn("_above", above).join(items, (F.col(key) == F.col("_key")) & (F.col("_above") == F.col("_item")))
+    below = below.withColumn("relative", F.concat(F.lit("$"), F.expr("substring(path, length(_root) + 1)")))
+    kinds = F.upper(F.coalesce(F.max(F.when((F.col("relative") == "$.widget_type") & (F.col("text") != ""), F.col("text"))), F.max(F.when(F.col("relative") == "$.type", F.col("text"))), F.lit("")))
+    own = ["_key", "_item", "_root"]
+    told = below.groupBy(*own).agg(kinds.alias("type"))
+    inside = below.filter(F.col("relative") != "$")
+    cards = told.join(json_token(inside, own), own).join(json_title(inside, own, relative="relative"), own)
+    listed = F.regexp_replace("_root", r"\[[0-9]+\]$", "") == path
+    best = F.max(listed.cast("int")).over(Window.partitionBy("_key"))
+    cards = cards.withColumns({"listed": listed.cast("int"), "best": best}).filter(F.col("listed") == F.col("best"))
+    first = F.row_number().over(Window.partitionBy("_key", "token").orderBy("_item"))
+    cards = cards.withColumn("n", first).filter("n = 1")
+    place = F.row_number().over(Window.partitionBy("_key").orderBy("_item")) - 1
+    return cards.select(F.col("_key").alias(key), place.cast("int").alias("pos"), "token", "title")
 
 
 def json_first_value(walk: DataFrame, key: str, names: Sequence[str], value: str = "value") -> DataFrame:
@@ -68,10 +113,32 @@ def json_first_value(walk: DataFrame, key: str, names: Sequence[str], value: str
 
 
 def json_price(walk: DataFrame, key: str, names: Sequence[str] = ("price", "price_value", "pricevalue"), currency: str = "تومان", label: str = "قیمت", low: int = 30_000_000, high: int = 100_000_000_000) -> DataFrame:
-    """key, price: texts on price-like paths first, then numbers under price-like names, in walk order."""
+    """key, price: texts on price-like paths first, then values of objects with a price-like label, then numbers under price-like
+    names; each in walk order."""
+    number = plausible_price(F.floor(F.col("text").try_cast("double")).cast("bigint"), low, high)
+    numeric = ~F.col("kind").isin("STRING", "OBJECT", "ARRAY", "BOOLEAN", "VOID")
     like = F.lower("path").contains("price") | F.contains("text", F.lit(label)) | F.contains("text", F.lit(currency))
     by_text = F.when((F.col("kind") == "STRING") & like, price_peer(F.col("text"), low, high))
-    by_number = F.when(F.lower("name").isin(*names), plausible_price(F.floor(F.col("text").try_cast("double")).cast("bigint"), low, high))
-    staged = walk.select(key, "pos", F.when(by_text.isNotNull(), 1).when(by_number.isNotNull(), 2).alias("stage"), F.coalesce(by_text, by_number).alias("price"))
-    return staged.filter("price is not null").groupBy(key).agg(F.min_by("price", F.struct("stage", "pos")).alias("price"))
-
+    by_number = F.when(numeric & F.lower("name").isin(*names), number)
+    staged = walk.select(key, "pos", F.when(by_text.isNotNull(), 1).when(by_number.isNotNull(), 3).alias("stage"), F.coalesce(by_text, by_number).alias("price"))
+    staged = staged.filter("price is not null").unionByName(_labelled_prices(walk, key, currency, label, low, high).withColumn("stage", F.lit(2)))
+    return staged.groupBy(key).agg(F.min_by("price", F.struct("stage", "pos")).alias("price"))
+
+
+def _labelled_prices(walk: DataFrame, key: str, currency: str, label: str, low: int, high: int) -> DataFrame:
+    """key, pos, price of the objects whose label (the first of title, label, name and key that isn't empty) is price-like: the first
+    of value, number, value_raw, raw_value and price that is a price."""
+    at = lambda names: F.coalesce(*[F.when(F.col("name") == n, F.lit(i)) for i, n in enumerate(names)])
+    told, asked = at(("title", "label", "name", "key")), at(("value", "number", "value_raw", "raw_value", "price"))
+    worded = price_peer(F.concat("text", F.lit(f" {currency}")), low, high)
+    numbered = plausible_price(F.floor(F.col("text").try_cast("double")).cast("bigint"), low, high)
+    price = F.when(F.col("kind") == "STRING", worded).when(~F.col("kind").isin("OBJECT", "ARRAY", "BOOLEAN", "VOID"), numbered)
+    # Only the fields of objects: an element of a list carries the list's name.
+    fields = walk.filter((told.isNotNull() | asked.isNotNull()) & ~F.col("path").endswith("]") & ~F.col("kind").isin("OBJECT", "ARRAY"))
+    fields = fields.select(key, F.expr("slice(pos, 1, greatest(0, size(pos) - 1))").alias("pos"), told.alias("told"), asked.alias("asked"), F.col("text"), price.alias("price"))
+    objects = fields.groupBy(key, "pos").agg(
+        F.min_by("text", F.when(F.col("told").isNotNull() & ~F.coalesce("text", F.lit("")).isin("", "0", "false", "null"), F.col("told"))).alias("label"),
+        F.min_by("price", F.when(F.col("price").isNotNull(), F.col("asked"))).alias("price"),
+    )
+    worded = normalize_text(F.col("label"))
+    return objects.filter((F.contains(worded, F.lit(label)) | F.lower(worded).contains("price")) & F.col("price").isNotNull()).select(key, "pos", "price")

@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.history import anti, upsert
+from ..operators.history import anti, keep_first, upsert
 
 
 class _History(StatefulProcessor):
     """Per key: the last ``most`` arrivals as one value (ids, prices). Arrivals are evaluated against them, then added."""
 
-    def __init__(self, low: float, least: int, most: int):
-        self.low, self.least, self.most = low, least, most
+    def __init__(self, low: float, least: int, most: int, ttl_ms: int | None):
+        self.low, self.least, self.most, self.ttl_ms = low, least, most, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "ids array<string>, prices array<bigint>")
+        self.seen = handle.getValueState("seen", "ids array<string>, prices array<bigint>", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
         state = self.seen.get() if self.seen.exists() else ([], [])
@@ -42,13 +43,15 @@ class _History(StatefulProcessor):
         pass
 
 
-def prior_history_stream(listings: DataFrame, key: str, low: float = 4.0, least: int = 4, most: int = 10) -> DataFrame:
+def prior_history_stream(listings: DataFrame, key: str, low: float = 4.0, least: int = 4, most: int = 10, ttl_ms: int | None = None) -> DataFrame:
     """Streaming deals of arriving listings (ad_id, price, first_seen, key) against the last arrivals of their key.
 
-    On batches that arrive in order, with each id once, it gives the deals of prior_history_deals.
+    On batches that arrive in order, with each id once, it gives the deals of prior_history_deals. With ``ttl_ms``, a key that
+    nothing arrived for in that time (of the clock) is forgotten.
     """
     schema = "ad_id string, price bigint, prior_avg double, discount_percent double, prior_n bigint"
-    return listings.groupBy(key).transformWithStateInPandas(_History(low, least, most), schema, "append", "none")
+    clock = "none" if ttl_ms is None else "processingTime"
+    return listings.groupBy(key).transformWithStateInPandas(_History(low, least, most, ttl_ms), schema, "append", clock)
 
 
 def new_listings(listings: DataFrame, key: str = "ad_id", at: str = "first_seen", keep: str = "45 days") -> DataFrame:
@@ -56,32 +59,51 @@ def new_listings(listings: DataFrame, key: str = "ad_id", at: str = "first_seen"
     return listings.withWatermark(at, keep).dropDuplicatesWithinWatermark([key])
 
 
-def scan_job(listings: DataFrame, history: str, ledger: str, outbox: str, key: str, deals: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
+def scan_job(
+    listings: DataFrame, history: str, ledger: str, outbox: str, key: str, deals: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, order: Sequence[Column], versions: int = 2
+) -> StreamingQuery:
     """Each micro-batch: history upsert, deals of the new listings, those not in the ledger to the outbox, then the ledger.
 
-    History is written as a folder per batch (the last is current), and ledger and outbox rows under their batch id, so that a
-    repeated batch replaces what it wrote before.
+    Of rows that repeat a key in a batch, the first by ``order`` counts. History is written as a whole under the run and number of
+    the batch (plain Parquet has no merge), on top of the newest version before it, and the last ``versions`` are kept. Ledger and
+    outbox rows lie in partitions of their batch, so that a repeated batch replaces what it wrote before. A new checkpoint starts
+    a new run, which goes on from the history of the one before.
     """
+    spark = listings.sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+
+    def folders(path: str, prefix: str) -> list[int]:
+        """Numbers of the folders prefix=number there."""
+        p = hadoop(path)
+        fs = p.getFileSystem(conf)
+        names = [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.partition("=")[2]) for n in names if n.startswith(f"{prefix}="))
+
+    known = {int(n): spark.read.text(f"{history}/checkpoints/run={n}").first()[0] for n in folders(f"{history}/checkpoints", "run")}
+    this = next((n for n, c in known.items() if c == checkpoint), None)
+    if this is None:
+        this = max(known, default=-1) + 1
+        spark.createDataFrame([(checkpoint,)], "checkpoint string").coalesce(1).write.mode("overwrite").text(f"{history}/checkpoints/run={this}")
 
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path
-
-        def there(path: str) -> bool:
-            p = hadoop(path)
-            return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-        before = f"{history}/batch={number - 1}"
-        rows = batch.dropDuplicates([key])
-        stored = spark.read.parquet(before) if there(before) else None
+        session = batch.sparkSession
+        read = session.read.parquet
+        there = [(r, b) for r in folders(history, "run") for b in folders(f"{history}/run={r}", "batch")]
+        place = lambda at: f"run={at[0]}/batch={at[1]}"
+        now, before = (this, number), max((x for x in there if x < (this, number)), default=None)
+        rows = keep_first(batch, [key], list(order))
+        stored = read(f"{history}/{place(before)}") if before else None
         current = rows if stored is None else upsert(stored, rows, key)
-        current.write.mode("overwrite").parquet(f"{history}/batch={number}")
+        current.write.mode("overwrite").parquet(f"{history}/{place(now)}")
         fresh = rows if stored is None else anti(rows, stored, [key])
-        found = deals(spark.read.parquet(f"{history}/batch={number}"), fresh)
-        earlier = [f"{ledger}/batch={n}" for n in range(number) if there(f"{ledger}/batch={n}")]
-        if earlier:
-            found = anti(found, spark.read.parquet(*earlier), [key])
-        found.write.mode("overwrite").parquet(f"{outbox}/batch={number}")
-        spark.read.parquet(f"{outbox}/batch={number}").select(key).write.mode("overwrite").parquet(f"{ledger}/batch={number}")
+        found = deals(read(f"{history}/{place(now)}"), fresh)
+        if folders(ledger, "run"):
+            # Partitions of other batches only: a repeated batch doesn't see what it wrote itself.
+            found = anti(found, read(ledger).filter(~((F.col("run") == this) & (F.col("batch") == number))), [key])
+        found.write.mode("overwrite").parquet(f"{outbox}/{place(now)}")
+        read(f"{outbox}/{place(now)}").select(key).write.mode("overwrite").parquet(f"{ledger}/{place(now)}")
+        for old in sorted(x for x in there if x < now)[: -versions + 1 or None]:
+            path = hadoop(f"{history}/{place(old)}")
+            path.getFileSystem(conf).delete(path, True)
 
     return listings.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
