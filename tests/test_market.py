@@ -121,8 +121,6 @@ def test_upsert_merge_and_ledger(spark):
     b = spark.createDataFrame([("k", "short", "x", True, 9), ("n", None, None, None, 9)], "k string, d string, c string, f boolean, first_seen int")
     got = {r.k: tuple(r)[1:] for r in H.merge_sparse(a, b, "k", {}, longer=["d"], flags=["f"]).collect()}
     assert got == {"k": ("long text", "x", True, 1), "n": (None, None, False, 9)}
-    touched = H.touch(stored.withColumnRenamed("first_seen", "last_seen"), new.withColumnRenamed("first_seen", "last_seen"), "ad_id").collect()
-    assert len(touched) == 2
 
 
 def test_peers_with_nulls_and_city(spark):
@@ -160,11 +158,99 @@ def test_json(spark):
     assert PL.json_all_text(walk, "id").first().all_text.count("\n") == 2
 
 
-def test_substring_lookup_ways_agree(spark):
-    table = spark.createDataFrame([(1, "abc", 1), (2, "bcd", 2), (3, "xyz", 3)], "ord int, key string, price bigint")
-    names = spark.createDataFrame([("zabcd",), ("bcdx",), ("none",)], "name string")
-    a = sorted(map(tuple, V.substring_lookup(names, table).collect()))
-    assert a == sorted(map(tuple, V.substring_lookup(names, table, limit=1).collect())) == [("bcdx", 2), ("none", None), ("zabcd", 1)]
+def test_substring_lookup_of_short_and_empty_keys(spark):
+    table = spark.createDataFrame([(1, "abc", 1), (2, "bcd", 2), (3, "xyz", 3), (4, "re", 4), (5, "q", 5), (6, None, 9)], "ord int, key string, price bigint")
+    names = spark.createDataFrame([("zabcd",), ("bcdx",), ("none",), ("green re",), ("q",), ("",), (None,), ("re",), ("re",)], "name string")
+    want = {"bcdx": 2, "none": None, "zabcd": 1, "green re": 4, "q": 5, "": None, None: None, "re": 4}
+    out = V.substring_lookup(names, table).collect()
+    assert len(out) == 9 and {r.name: r.price for r in out} == want
+    every = table.unionByName(spark.createDataFrame([(7, "", 7)], table.schema))
+    assert {r.name: r.price for r in V.substring_lookup(names, every).collect()} == {**want, "none": 7, "": 7}
+    assert V.substring_lookup(names, table.limit(0)).filter("price is not null").count() == 0
+
+
+def test_listing_build_falls_back(spark):
+    rows = [
+        (1, '{"token": "abcde1", "data": {"header": "تیبا مدل 1390"}}', None),
+        (2, '{"data": {"title": "کارت"}}', '{"link": "https://x.example/v/a/zz-99_x", "images": [{"src": "http://h/1.webp?x"}], "p": {"label": "قیمت", "value": 850000000}}'),
+        (3, '{"x": 1}', None),
+    ]
+    out = {r.id: r for r in V.build_listings(spark.createDataFrame(rows, "id int, card string, detail string"), "id", "card", "detail", "2024-01-01").collect()}
+    assert sorted(out) == [1, 2]
+    assert (out[1].token, out[1].title, out[1].model_key, out[1].year, out[1].excluded_reason) == ("abcde1", "تیبا مدل 1390", "تیبا", 1390, "no_price_found")
+    assert (out[2].token, out[2].title, out[2].price_toman, out[2].image_url, out[2].excluded) == ("zz-99_x", "کارت", 850_000_000, "http://h/1.webp?x", False)
+
+
+def test_group_identity_prefers_stated_values(spark):
+    rows = [("پژو 206", "", "Peugeot", "206", "تیپ 2", "402"), ("x", "", "پژو", "۲۰۷", "اتومات", "97"), ("پژو 405", "تیپ 5", None, None, None, "1380"), ("شاهین GL 1401", "", None, None, None, None), ("سوناتا", "", "پژو", None, None, "1390")]
+    df = spark.createDataFrame(rows, "title string, text string, b string, m string, t string, y string")
+    out = [tuple(r)[6:10] for r in V.group_listings(df, "title", "text", ["b", "m", "t", "y"]).collect()]
+    assert out == [("Peugeot", "206", "تیپ 2", 1402), ("Peugeot", "207", "اتوماتیک", 1397), (None, None, None, None), ("Saipa", "Shahin", "GL", 1401), (None, None, None, None)]
+
+
+def test_peer_medians_against_brute_force(spark):
+    """Nulls, repeated prices, listings without a price, small and large pools, outliers, both scopes."""
+    import random
+
+    rng = random.Random(7)
+    rows = []
+    for k in range(420):
+        price = rng.choice([0, 50, 60, 61, 61, 62, 63, 64, 65, 70, 75, 80, 90, 400])
+        rows.append((f"a{k:03d}", rng.choice(["k", "l", None]), price, rng.choice([None, 0, 10, 25, 40, 41, 90]), rng.choice(["x", "y", "z", None])))
+    rows += [(f"b{k}", "few", 10 * (k + 5), 3, "x") for k in range(9)]
+    df = spark.createDataFrame(rows, "ad_id string, key string, price bigint, mileage bigint, city string")
+
+    def at(p, q):
+        i = (len(p) - 1) * q
+        k = int(i)
+        return float(p[k]) if i == k else p[k] * (1 - (i - k)) + p[k + 1] * (i - k)
+
+    want = {}
+    for a, key, price, mileage, city in rows:
+        near = [r for r in rows if r[0] != a and r[1] == key and r[2] > 0 and (r[3] is None and mileage is None or r[3] is not None and mileage is not None and abs(r[3] - mileage) <= 20)]
+        local = [r for r in near if city is not None and r[4] == city]
+        pool = sorted(r[2] for r in (local if len(local) >= 6 else near))
+        if len(pool) < 6:
+            continue
+        q1, q3 = at(pool, 0.25), at(pool, 0.75)
+        inside = [p for p in pool if q1 - 1.5 * (q3 - q1) <= p <= q3 + 1.5 * (q3 - q1)]
+        kept = pool if q3 <= q1 or len(inside) < 3 else inside
+        median = int(at(kept, 0.5)) if len(kept) >= 6 else 0
+        if price < median and 0 <= (median - price) / median * 100 <= 100:
+            want[a] = ("city" if len(local) >= 6 else "nationwide", len(kept), median)
+    out = {r.ad_id: (r.scope, r.comparables, r.median_price) for r in M.peer_median_opportunities(df, ["key"], 20, min_discount=1, low=0, high=100).collect()}
+    assert out == want and len(want) > 100
+    some = M.peer_median_opportunities(df, ["key"], 20, min_discount=1, low=0, high=100, evaluated=df.filter("ad_id < 'a1'")).collect()
+    assert {r.ad_id for r in some} == {a for a in want if a < "a1"}
+
+
+def test_touch_and_retention(spark):
+    stored = spark.createDataFrame([("a", 1, "2024-01-01"), ("b", 2, "2024-03-01")], "ad_id string, price int, d string").select("ad_id", "price", F.col("d").cast("timestamp").alias("last_seen"))
+    seen = stored.select("ad_id", F.lit("2024-02-01").cast("timestamp").alias("last_seen"))
+    out = {r.ad_id: (r.price, r.last_seen.month) for r in H.touch(stored, seen, "ad_id").collect()}
+    assert out == {"a": (1, 2), "b": (2, 3)}
+    kept = H.retained_tables({"ads": stored, "plan": stored.select(F.to_date("last_seen").alias("day"))}, {"ads": "last_seen", "plan": "day"}, "2024-03-05", 7)
+    assert [r.ad_id for r in kept["ads"].collect()] == ["b"] and kept["plan"].count() == 1
+    with pytest.raises(ValueError, match="days"):
+        H.retained_tables({}, {}, "2024-03-05", 0)
+
+
+def test_model_rules_file(spark, tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text('[{"pattern": "DENA|دنا", "key": "Dena!"}, {"pattern": "("}, {"pattern": "(", "key": "bad"}, {"key": "x"}]', encoding="utf-8")
+    rules = P.read_model_rules(spark, f"file://{path}")
+    assert rules == [("DENA|دنا", "dena")]
+    assert one(spark, lambda c: P.model_key(c, rules), "dena سفید") == "dena"
+
+
+def test_card_sources(spark):
+    html = "".join(f'<div><p>{text}</p><a href="{url}">t{k}</a></div>' for k, (url, text) in enumerate([
+        ("https://bama.ir/car/detail-pdh9jy1c-mvm-315hatchback-basic-1393", ""), ("https://karnameh.com/used-cars/05c1a387-538f-4c22-b09d-d5f143dcf3bf", ""),
+        ("https://www.sheypoor.com/v/example-466599945.html", "قیمت 850,000,000 تومان"), ("https://www.sheypoor.com/s/iran/car/peugeot", "قیمت 850,000,000 تومان"), ("https://divar.ir/v/x", ""), ("https://divar.ir/v/x/ab_1", ""),
+    ]))
+    pages = spark.createDataFrame([(1, "https://e.example/", html)], "page_id long, url string, html string")
+    assert sorted(r.rule for r in PG.page_cards(pages, PG.CARD_SOURCES).collect()) == ["bama", "divar", "karnameh", "sheypoor"]
+    assert [r.ad_id for r in PG.page_cards(pages, [PG.SEARCH_CARD]).filter("url like '%divar%'").collect()] == ["ab_1"]
 
 
 def test_stream_equals_batch(spark, tmp_path):
@@ -190,10 +276,15 @@ def test_scan_job(spark, tmp_path):
     schema = arrivals(spark, [1]).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     deals = lambda history, fresh: M.prior_history_deals(history, ["key"]).join(fresh.select("ad_id"), "ad_id", "left_semi")
-    q = scan_job(stream, str(tmp_path / "h"), str(tmp_path / "l"), str(tmp_path / "o"), "ad_id", deals, str(tmp_path / "cp"))
-    assert q.awaitTermination(120)
+    scan = lambda cp: scan_job(stream, str(tmp_path / "h"), str(tmp_path / "l"), str(tmp_path / "o"), "ad_id", deals, str(tmp_path / cp), [F.desc("first_seen")])
+    assert scan("cp").awaitTermination(120)
     assert [r.ad_id for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["a04"]
-    assert spark.read.parquet(str(tmp_path / "h" / "batch=1")).count() == 5
+    assert spark.read.parquet(str(tmp_path / "h" / "run=0" / "batch=1")).count() == 5
+    # A new checkpoint goes on from the history: nothing is new, nothing is sent twice.
+    arrivals(spark, [500], start=5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert scan("cp2").awaitTermination(120)
+    assert sorted(r.ad_id for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["a04", "a05"]
+    assert spark.read.parquet(str(tmp_path / "h" / "run=1" / "batch=2")).count() == 6
 
 
 def test_new_listings_once(spark, tmp_path):
