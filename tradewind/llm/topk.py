@@ -49,7 +49,8 @@ class CoverTree:
     """Levelled nodes with a centre, a covering radius and either children or points.
 
     The centres of the children are a net of the node's points, each the farthest from those before it, until all points are
-    within half the node's radius of one, or there are CHILDREN of them; every point belongs to the nearest.
+    within half the node's radius of one; every point belongs to the nearest. Where that takes more than CHILDREN, as it does among
+    points that are all about equally far apart, the node is halved instead: the nearest of few centres would part it unevenly.
     """
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
@@ -86,10 +87,23 @@ class CoverTree:
                     nearest[new < dist] = len(net)
                     dist = np.minimum(dist, new)
                     net.append(far)
+                if dist.max() > radius[node] / 2:
+                    nearest, net = self._halves(own, net)
                 todo += [(own[nearest == k], c, level + 1, node) for k, c in enumerate(net)]
         self.children = [np.array(c, np.int64) for c in below]
         self.shape = tuple(np.array(v) for v in (self.norm[self.centre], radius, angle, least, most))
 
+    def _halves(self, own: np.ndarray, net: list[int]) -> tuple[np.ndarray, list[int]]:
+        """(half of each point, centres): cut at the median along the line between the first two centres of a net."""
+        along = self.x[own] @ (self.x[net[1]] - self.x[net[0]])
+        half = np.zeros(len(own), np.int64)
+        half[np.argsort(along, kind="stable")[len(own) // 2 :]] = 1
+        centres = []
+        for k in (0, 1):
+            part = own[half == k]
+            centres.append(int(part[((self.x[part] - self.x[part].mean(0)) ** 2).sum(1).argmin()]))
+        return half, centres
+
     def of(self, nodes) -> tuple:
         return tuple(v[nodes] for v in self.shape)
 
@@ -135,13 +149,14 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
         else:
             scores = np.array([[sum(x * y for x, y in zip(ints[0][i], ints[1][j], strict=True)) for j in there] for i in own], object)
         mine = data_ids[there]
-        for row, q in zip(scores, own.tolist(), strict=True):
-            at = np.flatnonzero((row >= worst[q]) & (mine != query_ids[q]))
-            if len(at):
-                got = best[q] + [(-int(row[i]), int(mine[i]), int(there[i])) for i in at.tolist()]
-                best[q] = sorted(got)[:k]
-                if len(best[q]) == k:
-                    worst[q] = max(worst[q], _below(-best[q][-1][0]))
+        good = (scores >= worst[own][:, None]) & (mine[None, :] != query_ids[own][:, None])
+        for i in np.flatnonzero(good.any(1)).tolist():
+            q, row, at = int(own[i]), scores[i], np.flatnonzero(good[i])
+            if exact and len(at) > 4 * k:  # the first leaf of a query: all of it is good so far
+                at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+            best[q] = sorted(best[q] + [(-int(row[j]), int(mine[j]), int(there[j])) for j in at.tolist()])[:k]
+            if len(best[q]) == k:
+                worst[q] = max(worst[q], _below(-best[q][-1][0]))
     if stats is not None:
         for name, n in (("met", met), ("pruned", pruned), ("scored", scored)):
             stats[name] = stats.get(name, 0) + n
