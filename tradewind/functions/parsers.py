@@ -33,26 +33,22 @@ def between(c: Column, low: int, high: int) -> Column:
 
 
 def looks_like_phone(c: Column) -> Column:
-    return F.regexp_replace(normalize_digits(c, arabic=False), r"\s", "").rlike(r"^0?9\d{2}[.\-]?\d{3}[.\-]?\d{4}$")
-
-
-_DIGIT = "[۰-۹0-9]"
-_RUN = r"([۰-۹0-9][۰-۹0-9,،.٬\s]{0,15}[۰-۹0-9]|[۰-۹0-9])"
+    return F.regexp_replace(normalize_digits(c, arabic=False), r"\s", "").rlike(L.BATCH_PHONE)
 
 
 def price_batch(text: Column) -> Column:
     """Batch-mean pipeline: w/fff, billions, millions, a currency amount of a million or more, a short suffix, a label."""
-    fraction = rf"قیمت[^۰-۹0-9]{{0,10}}({_DIGIT}{{1,3}})\s*/\s*({_DIGIT}{{3}})(?!\d)"
+    fraction = L.BATCH_PRICE_FRACTION
     whole, part = (parse_integer(group(text, fraction, k)) for k in (1, 2))
     scaled = lambda pattern, by: keep(parse_integer(group(text, pattern)), lambda n: n > 0) * by
     amount = lambda pattern: keep(group(text, pattern), lambda x: ~looks_like_phone(x))
     return F.coalesce(
         (whole * 1000 + part) * MILLION,
-        scaled(_RUN + r"\s*(?:میلیارد|ملیارد)", BILLION),
-        scaled(_RUN + r"\s*(?:میلیون|ملیون|میليون|میلیو)", MILLION),
-        keep(parse_integer(amount(r"([۰-۹0-9][۰-۹0-9,،.٬\s]{2,20}[۰-۹0-9])\s*تومان")), lambda n: n >= MILLION),
-        keep(parse_integer(amount(r"([۰-۹0-9][۰-۹0-9,،.٬]{0,10})\s*م(?:[^ا-ی]|$)")), lambda n: n.between(1, 99_999)) * MILLION,
-        let(parse_integer(amount(r"(?:قیمت|فروش|مبلغ)[^۰-۹0-9]{0,10}([۰-۹0-9][۰-۹0-9,،.٬]{0,10})")), lambda n: F.when(n >= MILLION, n).when(n > 0, n * MILLION)),
+        scaled(L.BATCH_BILLIONS, BILLION),
+        scaled(L.BATCH_MILLIONS, MILLION),
+        keep(parse_integer(amount(L.BATCH_TOMANS)), lambda n: n >= MILLION),
+        keep(parse_integer(amount(L.BATCH_SHORT_PRICE)), lambda n: n.between(1, 99_999)) * MILLION,
+        let(parse_integer(amount(L.BATCH_LABELLED_PRICE)), lambda n: F.when(n >= MILLION, n).when(n > 0, n * MILLION)),
     )
 
 
@@ -67,9 +63,9 @@ def price_peer(text: Column, low: int = 30 * MILLION, high: int = 100 * BILLION)
     found = let(
         normalize_text(text),
         lambda t: F.coalesce(
-            number(t, r"([0-9]+(?:[.,٫][0-9]+)?)\s*میلیارد(?:\s*تومان)?") * BILLION,
-            number(t, r"([0-9]+(?:[.,٫][0-9]+)?)\s*میلیون(?:\s*تومان)?") * MILLION,
-            number(t, r"([0-9][0-9٬, ]{6,})\s*تومان"),
+            number(t, L.PEER_BILLIONS) * BILLION,
+            number(t, L.PEER_MILLIONS) * MILLION,
+            number(t, L.PEER_TOMANS),
         ),
     )
     return F.when(let(compact_text(text), lambda t: first_phrase(t, L.NO_PRICE_PHRASES)).isNull(), plausible_price(found.cast("bigint"), low, high))
@@ -120,7 +116,7 @@ def year_from_url(url: Column) -> Column:
 
 def year_batch(text: Column) -> Column:
     """Batch-mean pipeline: a labelled year only, as a string."""
-    raw = group(normalize_digits(text, arabic=False), r"(?:مدل|سال)\s*[:：]?\s*([0-9]{2,4})")
+    raw = group(normalize_digits(text, arabic=False), L.BATCH_YEAR)
     n = raw.try_cast("int")
     four = F.when(n.between(1300, 1499) | n.between(2000, 2099), raw)
     two = F.when(n.between(0, 30), n + 1400).when(n.between(70, 99), n + 1300).cast("string")
@@ -130,8 +126,8 @@ def year_batch(text: Column) -> Column:
 def year_peer(text: Column) -> Column:
     """Peer-median pipeline: a labelled year, else the first solar year, else the first year."""
     t = normalize_text(text)
-    labelled = group(t, r"(?:مدل|سال ساخت|سال تولید)\s*[:：-]?\s*((?:13|14)[0-9]{2}|20[0-9]{2})").try_cast("int")
-    years = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![0-9])((?:13|14)[0-9]{2}|20(?:0[0-9]|1[0-9]|2[0-6]))(?![0-9])"), F.lit(1)), lambda x: x.cast("int"))
+    labelled = group(t, L.PEER_LABELLED_YEAR).try_cast("int")
+    years = F.transform(F.regexp_extract_all(t, F.lit(L.PEER_YEAR), F.lit(1)), lambda x: x.cast("int"))
     return F.coalesce(labelled, F.get(F.filter(years, lambda y: y.between(1300, 1499)), 0), F.get(years, 0))
 
 
@@ -152,21 +148,21 @@ def parse_mileage(text: Column, label: str = "کارکرد", zero: str = "صفر
 
 def mileage_batch(text: Column) -> Column:
     """Batch-mean pipeline; w/fff counts thousands."""
-    fraction = rf"کارکرد[^۰-۹0-9]{{0,10}}({_DIGIT}{{1,3}})\s*/\s*({_DIGIT}{{3}})(?!\d)"
+    fraction = L.BATCH_MILEAGE_FRACTION
     whole, part = (parse_integer(group(text, fraction, k)) for k in (1, 2))
-    plain = between(parse_integer(group(text, r"(?i)کارکرد[^۰-۹0-9]{0,10}([۰-۹0-9][۰-۹0-9,،.٬\s]{0,15})\s*(?:کیلومتر|کیلو|km)?")), 0, 2 * MILLION)
-    return F.when(text.rlike(r"کارکرد\s*[:：]?\s*صفر(?!\S)"), F.lit(0).cast("bigint")).otherwise(F.coalesce(whole * 1000 + part, plain))
+    plain = between(parse_integer(group(text, L.BATCH_MILEAGE)), 0, 2 * MILLION)
+    return F.when(text.rlike(L.BATCH_NO_MILEAGE), F.lit(0).cast("bigint")).otherwise(F.coalesce(whole * 1000 + part, plain))
 
 
 def mileage_peer(text: Column) -> Column:
     t = normalize_text(text)
     number = lambda p: between(F.regexp_replace(group(t, p), "[٬, ]", "").try_cast("bigint"), 0, 2 * MILLION)
-    patterns = (r"(?i)کارکرد\s*[:：-]?\s*([0-9][0-9٬, ]*)\s*(?:کیلومتر|km)?", r"([0-9][0-9٬, ]*)\s*کیلومتر(?:\s*کارکرد)?", r"کیلومتر\s*[:：-]?\s*([0-9][0-9٬, ]*)")
-    return F.when(t.rlike(r"(?:کارکرد|کیلومتر)\s*[:：-]?\s*(?:صفر|0)(?:[^0-9]|$)"), F.lit(0).cast("bigint")).otherwise(F.coalesce(*map(number, patterns)))
+    patterns = L.PEER_MILEAGES
+    return F.when(t.rlike(L.PEER_NO_MILEAGE), F.lit(0).cast("bigint")).otherwise(F.coalesce(*map(number, patterns)))
 
 
 def is_zero_km(text: Column) -> Column:
-    return text.rlike(r"(?i)صفر\s*کیلومتر|کیلومتر\s*صفر|کارکرد\s*[:：]?\s*صفر(?!\S)|(?<![0-9])0\s*km(?![A-Za-z0-9_])|(?<![0-9])0\s*کیلومتر")
+    return text.rlike(L.BATCH_ZERO_KM)
 
 
 def classify_condition(text: Column, mileage: Column, zero: Sequence[str] = ("صفر کیلومتر", "صفرکیلومتر", "کارکرد صفر"), used: Sequence[str] = ("کارکرده", "دست دوم"), normalized: bool = False) -> Column:

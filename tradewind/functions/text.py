@@ -40,14 +40,24 @@ def normalize_digits(c: Column, arabic: bool = True) -> Column:
     return F.translate(F.coalesce(c, F.lit("")), digits, ASCII_DIGITS * (len(digits) // 10))
 
 
+#: Vowel marks, which normalised texts are without.
+MARKS = "".join(map(chr, range(0x64B, 0x660)))
+
+
+def _folded(c: Column) -> Column:
+    """In one pass: digits and Arabic letter forms folded, joiners as spaces, vowel marks dropped (they have no counterpart)."""
+    source = PERSIAN_DIGITS + ARABIC_DIGITS + "كيىةۀؤإأٱ" + "\u200c\u200f\ufeff"
+    target = ASCII_DIGITS * 2 + "کییههواا" + "ا" + "   "
+    return F.translate(F.coalesce(c, F.lit("")), source + MARKS, target)
+
+
 def normalize_text(c: Column) -> Column:
     """Digits and Arabic letter forms folded, joiners as spaces, vowel marks dropped, white space squeezed."""
-    folded = F.translate(normalize_digits(c), "كيىةۀؤإأٱ", "کییههواا" + "ا")
-    return squeeze(F.regexp_replace(F.regexp_replace(folded, r"[\x{200c}\x{200f}\x{feff}]", " "), r"[\x{64b}-\x{65f}]", ""))
+    return squeeze(_folded(c))
 
 
 def compact_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(normalize_text(c)), r"[^0-9a-zآ-ی]+", " "))
+    return F.trim(F.regexp_replace(F.lower(_folded(c)), r"[^0-9a-zآ-ی]+", " "))
 
 
 def normalize_match(c: Column) -> Column:
