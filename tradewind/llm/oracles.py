@@ -73,3 +73,23 @@ select page_id, cast(octet_length(encode(h)) as bigint) payload_bytes, digest pa
        case when top <> page_id then top end refers_to
 from b
 """
+
+OP13_CONVERSATION_TRIE = r"""
+with t as (select conv_id c, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) k,
+                  coalesce(role, '') r, coalesce(text, '') x from conversations where conv_id is not null),
+n as (select c, max(k) n, c - c % 5 b,
+             xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+               lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda v, i: case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end)), 4294967295) % 9 h
+      from t group by c),
+m as (select n.*, least(h, coalesce(o.n, 0)) m from n left join (select c oc, n from n) o on o.oc = n.b),
+turns as (select m.c, t.k d, r, x from m join t on t.c = m.b and t.k <= m.m union all select m.c, t.k - h + m.m, r, x from m join t on t.c = m.c and t.k > h),
+acc as (select c, d, x, md5(string_agg(md5(r) || md5(x), '' order by d) over (partition by c order by d rows between unbounded preceding and current row)) p from turns),
+rows_ as (select c, d, p, x, lag(p, 1, '') over (partition by c order by d) q, d = max(d) over (partition by c) e from acc
+          union all select m.c, 0, '', '', null, not exists (select 1 from turns where turns.c = m.c) from m),
+nodes as (select d, p, min(c) c, count(*) n, min(q) q, min(octet_length(encode(x))) bytes, sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (e), '')) ends from rows_ group by d, p),
+kids as (select v.d, v.p, count(w.p) k from nodes v left join nodes w on w.d = v.d + 1 and w.q = v.p group by v.d, v.p),
+below as (select r.d, r.p, sum((v.n - 1) * v.bytes) saved, count(*) filter (k.k = 0) leaves
+          from nodes v join kids k on k.d = v.d and k.p = v.p join rows_ r on r.c = v.c and r.d <= v.d group by r.d, r.p)
+select v.c conv_id, v.d depth, u.c parent_conv_id, v.n n_convs, k.k n_children, cast(b.leaves as bigint) n_leaves, cast(b.saved as bigint) saved_tokens, v.ends ends_sha256
+from nodes v join kids k using (d, p) join below b using (d, p) left join nodes u on u.d = v.d - 1 and u.p = v.q
+"""

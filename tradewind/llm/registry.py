@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracles
+from .align import align_documents
 from .bpe import encode_documents
 from .common import shared_dir, table
 from .langid import identify_language
@@ -16,6 +17,7 @@ from .quality import quality_rules
 from .simhash import near_duplicates
 from .substring import remove_repeats
 from .topk import top_k
+from .trie import conversation_trie
 from .url_filter import url_filter
 from .warc import page_records, write_warc
 
@@ -73,6 +75,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def pieces() -> dict:
+    """Parameters of align_documents for the public vocabularies."""
+    return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "pieces_path": public_tokenizers.path("piece_bpe_32k.model")}
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), **pieces())
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_pii": op2_pii,
@@ -84,5 +99,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 ORACLES = {name: getattr(oracles, name.upper()) for name in QUERIES if hasattr(oracles, name.upper())}
