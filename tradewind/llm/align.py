@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,60 +20,56 @@ from .common import fenced, fields_of, hashable, materialize, shuffle_partitions
 
 #: Both vocabularies start a token at a single space between two other characters, so that texts are encoded piece by piece.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Pieces whose tokens a task keeps at hand, and the longest of them.
-KEPT_PIECES, KEPT_LENGTH = 1 << 17, 48
+#: Parts of texts whose tokens a task keeps at hand, and their tokens; beyond either it starts anew.
+KEPT_PARTS, KEPT_TOKENS = 1 << 19, 1 << 24
 #: Bytes of packed links in a block, and blocks in a team.
 BLOCK_BYTES, TEAM = 1 << 23, 512
 
-Ends = Sequence[int]
-
-
 Run = tuple[int, int, int, int, bool]
 
 
-def alignment(ea: Ends, eb: Ends) -> tuple[list[Run], list[int], list[int]]:
-    """Runs (i0, i1, j0, j1, one to one) of two lists of end offsets with the same last one, and the indices of all overlapping tokens.
+def alignment(ea: list[int], eb: list[int]) -> list[Run]:
+    """Runs (i0, i1, j0, j1, one to one) of the tokens of two lists of end offsets with the same last one.
 
     While ends agree at the current shift j - i, doubling steps compare whole slices, and halving steps find where the stretch
     ends: it is one run, of as many groups as it has tokens. Where they don't, tokens are taken one at a time on the side that
     lags until both end together: that run is one group, after which the shift is another.
     """
-    runs, la, lb = [], [], []
-    i = j = 0
+    runs: list[Run] = []
+    note = runs.append
     n = len(ea)
+    ea, eb = [*ea, -1], [*eb, -2]  # never equal, and never reached by the side that lags
+    i = j = 0
     while i < n:
         a, b = ea[i], eb[j]
-        if a == b:
-            k = step = 1
-            while i + k < n and ea[i + k : i + k + step] == eb[j + k : j + k + step]:
+        if a != b:
+            p, q = i, j
+            while a != b:
+                if a < b:
+                    p += 1
+                    a = ea[p]
+                else:
+                    q += 1
+                    b = eb[q]
+            p += 1
+            q += 1
+            note((i, p, j, q, False))
+            i, j = p, q
+            continue
+        k = 1
+        if ea[i + 1] == eb[j + 1]:
+            k = step = 2
+            while ea[i + k : i + k + step] == eb[j + k : j + k + step]:
                 k += step
                 step *= 2
-            k = min(k, n - i)
-            while step > 1 and i + k < n:
+            while step > 1:
                 step //= 2
                 if ea[i + k : i + k + step] == eb[j + k : j + k + step]:
-                    k = min(k + step, n - i)
-            runs.append((i, i + k, j, j + k, True))
-            la += range(i, i + k)
-            lb += range(j, j + k)
-            i += k
-            j += k
-            continue
-        p, q = i, j
-        la.append(p)
-        lb.append(q)
-        while a != b:
-            if a < b:
-                p += 1
-                a = ea[p]
-            else:
-                q += 1
-                b = eb[q]
-            la.append(p)
-            lb.append(q)
-        runs.append((i, p + 1, j, q + 1, False))
-        i, j = p + 1, q + 1
-    return runs, la, lb
+                    k += step
+        note((i, i + k, j, j + k, True))
+        i += k
+        j += k
+    return runs
 
 
 class Aligner:
@@ -83,39 +80,70 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
         pieces = [self.b.id_to_piece(k) for k in range(self.b.vocab_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace("▁", " ").encode() for k, p in enumerate(pieces)]
-        self.a_sizes, self.b_sizes = self.a.sizes.tolist(), [len(x) for x in self.b_bytes]
+        self.a_sizes, self.b_sizes = self.a.sizes, np.array([len(x) for x in self.b_bytes])
         # A piece that goes on over a space would be cut by CUT.
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.kept: dict[str, tuple | None] = {}
-
-    def piece(self, text: str) -> tuple | None:
-        """Ids and sizes of the tokens of space+text in A and in B; None if B's bytes are others."""
-        if text in self.kept:
-            return self.kept[text]
-        whole = b" " + text.encode()
-        a, b = self.a.plain(whole), self.b.encode(text)
-        same = b"".join([self.b_bytes[k] for k in b]) == whole
-        out = (a, [self.a_sizes[k] for k in a], b, [self.b_sizes[k] for k in b]) if same else None
-        if len(text) <= KEPT_LENGTH:
-            if len(self.kept) >= KEPT_PIECES:
-                self.kept.clear()
-            self.kept[text] = out
-        return out
-
-    def tokens(self, text: str | None) -> tuple[list[int], list[int], list[int], list[int]]:
-        """(ids of A, their ends, ids of B, their ends) of space+text, ends in bytes; all empty if a side's bytes are others."""
-        a: list[int] = []
-        b: list[int] = []
-        sa: list[int] = []
-        sb: list[int] = []
-        for part in (CUT.split(text) if self.cuts else [text]) if text else ():
-            if (found := self.piece(part)) is None:
-                return [], [], [], []
-            a += found[0]
-            sa += found[1]
-            b += found[2]
-            sb += found[3]
-        return a, np.cumsum(sa, dtype=np.int64).tolist(), b, np.cumsum(sb, dtype=np.int64).tolist()
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.flat = [np.empty(0, np.int32), np.empty(0, np.int32)]
+        self.start = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self.same = np.empty(0, bool)
+
+    def encoded(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        return np.array(self.a.plain(b" " + text.encode()), np.int32), np.array(self.b.encode(text), np.int32)
+
+    def told(self, b: np.ndarray) -> bytes:
+        return b"".join([self.b_bytes[k] for k in b.tolist()])
+
+    def fill(self, parts: list[str]) -> None:
+        """Keeps the tokens of new parts. Many parts are encoded as one text and told apart by their bytes, or one by one if B reads
+        other bytes in any of them."""
+        made: tuple[list, list] = ([], [])
+        ends: tuple[list, list] = ([], [])
+        done = [0, 0]
+        for s in range(0, len(parts), 512):
+            some = parts[s : s + 512]
+            both = self.encoded(" ".join(some))
+            if self.told(both[1]) == "".join([" " + x for x in some]).encode():
+                cuts = np.cumsum([1 + len(x.encode()) for x in some])
+                at = [np.searchsorted(np.cumsum(size[ids]), cuts, "right") for ids, size in zip(both, (self.a_sizes, self.b_sizes), strict=True)]
+                same = np.ones(len(some), bool)
+            else:
+                each = [self.encoded(x) for x in some]
+                both = [np.concatenate([x[k] for x in each]) for k in range(2)]
+                at = [np.cumsum([len(x[k]) for x in each]) for k in range(2)]
+                same = np.array([self.told(x[1]) == b" " + y.encode() for x, y in zip(each, some, strict=True)])
+            for k in range(2):
+                made[k].append(both[k])
+                ends[k].append(at[k] + len(self.flat[k]) + done[k])
+                done[k] += len(both[k])
+            self.same = np.append(self.same, same)
+        for k in range(2):
+            self.start[k] = np.concatenate([self.start[k], *ends[k]])
+            self.flat[k] = np.concatenate([self.flat[k], *made[k]])
+        self.number.update(zip(parts, range(len(self.number), len(self.number) + len(parts)), strict=True))
+
+    def tokens(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of A, ids of B) of space+text; both empty if a side's bytes are others, as they are wherever U+2581 is."""
+        if len(self.number) > KEPT_PARTS or len(self.flat[0]) > KEPT_TOKENS:
+            self.forget()
+        cut = [(CUT.split(x) if self.cuts else [x]) if x and "▁" not in x else [] for x in texts]
+        if new := {y for x in cut for y in x}.difference(self.number):
+            self.fill(list(new))
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(cut)), np.int64)
+        ends = np.cumsum([len(x) for x in cut])
+        sides = []
+        for flat, start in zip(self.flat, self.start, strict=True):
+            sizes = start[at + 1] - start[at]
+            before = np.append(0, np.cumsum(sizes))
+            sides.append((flat[np.repeat(start[at] - before[:-1], sizes) + np.arange(before[-1])], before))
+        pos = 0
+        for end in ends.tolist():
+            known = self.same[at[pos:end]].all()
+            yield tuple(ids[before[pos] : before[end]].astype(np.int64) if known else np.empty(0, np.int64) for ids, before in sides)
+            pos = end
 
 
 @lru_cache(2)
@@ -123,11 +151,41 @@ def aligner(ranks_path: str, pattern: str, pieces_path: str) -> Aligner:
     return Aligner(ranks_path, pattern, pieces_path)
 
 
-def group_texts(runs: list[Run], a: list[int], b: list[int], names: list[str]) -> Iterator[str]:
-    """The groups of each run in decimal ids, ``a1,a2|b1``, joined by semicolons."""
-    da, db = [names[k] for k in a], [names[k] for k in b]
-    for i, p, j, q, one in runs:
-        yield ";".join(map("|".join, zip(da[i:p], db[j:q], strict=True))) if one else f"{','.join(da[i:p])}|{','.join(db[j:q])}"
+def group_ends(runs: list[Run]) -> tuple[np.ndarray, np.ndarray]:
+    """(ends in A, ends in B) of the groups, as numbers of tokens."""
+    i, p, j, _, one = np.array(runs, np.int64).reshape(-1, 5).T
+    times = np.where(one, p - i, 1)
+    head = np.cumsum(times) - times
+    nth = np.arange(times.sum()) - np.repeat(head, times) + 1
+    last = nth == np.repeat(times, times)
+    q = np.array([r[3] for r in runs], np.int64)
+    return np.where(last, np.repeat(p, times), np.repeat(i, times) + nth), np.where(last, np.repeat(q, times), np.repeat(j, times) + nth)
+
+
+#: Decimal ids, each followed by a comma, a bar or a semicolon, in six bytes.
+_DECIMALS = np.array([[f"{k}{c}" for c in ",|;"] for k in range(1 << 16)], "S6").view(np.uint8).reshape(-1, 6)
+
+
+def group_text(a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray) -> bytes:
+    """The groups in decimal ids, ``a1,a2|b1``, joined by semicolons."""
+    na, nb = np.diff(ga, prepend=0), np.diff(gb, prepend=0)
+    place = np.empty(len(a) + len(b), np.int64)
+    at_a = np.arange(len(a)) + np.repeat(gb - nb, na)
+    at_b = np.arange(len(b)) + np.repeat(ga, nb)
+    place[at_a], place[at_b] = a * 3, b * 3
+    place[at_a[ga - 1]] += 1
+    place[at_b[gb - 1]] += 2
+    rows = _DECIMALS[place]
+    return rows[rows > 0].tobytes()[:-1]
+
+
+def links_of(a: np.ndarray, b: np.ndarray, ea: np.ndarray, eb: np.ndarray) -> np.ndarray:
+    """Keys of all pairs of overlapping tokens: between two neighbouring ends, whichever side they are of, lies one pair."""
+    fa, fb = np.zeros(ea[-1] + 1, bool), np.zeros(ea[-1] + 1, bool)
+    fa[ea], fb[eb] = True, True
+    at = np.flatnonzero(fa | fb)
+    fa, fb = fa[at], fb[at]
+    return spread(a[np.cumsum(fa) - fa], b[np.cumsum(fb) - fb])
 
 
 def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -135,6 +193,19 @@ def spread(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((a.astype(U64) * U64(40503) & U64(65535)) << U64(16)) | b.astype(U64)
 
 
+def text_runs(column: pa.Array, most: int = 1 << 22) -> Iterator[list[str | None]]:
+    """The texts of a column in runs of about so many characters."""
+    run, size = [], 0
+    for x in column:
+        run.append(x.as_py())
+        size += len(run[-1] or "")
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 LINKS = "links binary, times binary"
 CELLS = "part long, sender long, keys binary, counts binary"
 ANSWERS = "block long, part long, counts binary, best binary"
@@ -147,30 +218,23 @@ def aligned(docs: DataFrame, carried: list[str], paths: dict, groups: bool) -> D
     added = ["n_a long", "n_b long", "n_groups long", "n_links long", "groups_sha256 string", *["groups string"] * groups, LINKS]
     names = [*carried, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", *["groups"] * groups, "links", "times"]
 
-    def one(text: str | None, own: Aligner, decimals: list[str]) -> tuple:
-        a, ea, b, eb = own.tokens(text)
-        if not a:
+    def one(a: np.ndarray, b: np.ndarray, own: Aligner) -> tuple:
+        if not len(a):
             return 0, 0, 0, 0, "", *([""] * groups), b"", b""
-        runs, la, lb = alignment(ea, eb)
-        ids = [np.array(x, np.int64)[np.array(i, np.int64)] for x, i in ((a, la), (b, lb))]
-        keys, times = np.unique(spread(*ids), return_counts=True)
-        digest = hashlib.sha256()
-        texts = group_texts(runs, a, b, decimals)
-        if groups:
-            whole = ";".join(texts)
-            digest.update(whole.encode())
-        else:
-            for k, x in enumerate(texts):
-                digest.update((";" * (k > 0) + x).encode())
-        n = sum(p - i if same else 1 for i, p, _, _, same in runs)
-        return len(a), len(b), n, len(la), digest.hexdigest(), *([whole] if groups else []), pack(keys), pack_raw(times)
+        ea, eb = np.cumsum(own.a_sizes[a]), np.cumsum(own.b_sizes[b])
+        ga, gb = group_ends(alignment(ea.tolist(), eb.tolist()))
+        links = links_of(a, b, ea, eb)
+        links.sort()
+        head = np.flatnonzero(np.append(True, links[1:] != links[:-1]))
+        told = group_text(a, b, ga, gb)
+        times = np.diff(np.append(head, len(links)))
+        return len(a), len(b), len(ga), len(links), hashlib.sha256(told).hexdigest(), *([told.decode()] if groups else []), pack(links[head]), pack_raw(times)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = aligner(**paths)
-        decimals = [str(k) for k in range(max(len(own.a_sizes), len(own.b_sizes)))]
         kinds = [pa.int64()] * 4 + [pa.string()] * (1 + groups) + [pa.binary()] * 2
         for batch in batches:
-            told = list(zip(*[one(x.as_py(), own, decimals) for x in batch.column(0)], strict=True)) or [()] * len(kinds)
+            told = list(zip(*[one(a, b, own) for part in text_runs(batch.column(0)) for a, b in own.tokens(part)], strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, k) for c, k in zip(told, kinds, strict=True))], names=names)
 
     return docs.select("text", *carried).mapInArrow(run, ", ".join([*fields_of(docs, carried), *added]))
