@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import heapq
+import json
+import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fenced, hashable, materialize, shuffle_partitions, unfenced
@@ -127,5 +129,18 @@ def in_stream_order(rows: DataFrame, placed: DataFrame) -> DataFrame:
     """
     n = shuffle_partitions(rows.sparkSession)
     bounds = placed.select("slot").approxQuantile("slot", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
-    part = sum(((F.col("slot") >= b).cast("int") for b in sorted({int(b) for b in bounds})), F.lit(0))
-    return rows.repartitionById(n, part).sortWithinPartitions("slot", "place")
+    return rows.repartitionById(n, bounds_passed(F.col("slot"), sorted({int(b) for b in bounds}))).sortWithinPartitions("slot", "place")
+
+
+def bounds_passed(value: Column, bounds: list[int]) -> Column:
+    """How many of the sorted bounds are at most ``value``: first among the first bound of each stretch of them, then within one
+    stretch, so that neither the depth of the expression nor the work of a row grows with their number (but its root)."""
+    if not bounds:
+        return F.lit(0)
+    step = math.isqrt(len(bounds)) + 1
+    stretches = [bounds[k : k + step] for k in range(0, len(bounds), step)]
+    passed = lambda array: F.size(F.filter(array, lambda b: b <= value))
+    # Both tables are literals of one string each, as array() of thousands of literals is slow to plan.
+    table = F.from_json(F.lit(json.dumps(stretches)), "array<array<bigint>>")
+    stretch = passed(F.transform(table, lambda s: F.get(s, F.lit(0))))
+    return F.when(stretch == 0, 0).otherwise((stretch - 1) * step + passed(F.get(table, stretch - 1))).cast("int")

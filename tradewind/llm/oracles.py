@@ -93,3 +93,21 @@ below as (select r.d, r.p, sum((v.n - 1) * v.bytes) saved, count(*) filter (k.k
 select v.c conv_id, v.d depth, u.c parent_conv_id, v.n n_convs, k.k n_children, cast(b.leaves as bigint) n_leaves, cast(b.saved as bigint) saved_tokens, v.ends ends_sha256
 from nodes v join kids k using (d, p) join below b using (d, p) left join nodes u on u.d = v.d - 1 and u.p = v.q
 """
+
+OP11_MINHASH_NEAR_DEDUP = r"""
+with recursive
+w as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') ws from documents),
+s as (select distinct doc_id, case when len(ws) < 2 then array_to_string(ws, ' ') else ws[i] || ' ' || ws[i + 1] end g
+      from (select doc_id, ws, unnest(range(1, greatest(len(ws), 2))) i from w where len(ws) > 0)),
+n as (select doc_id, count(*) n from s group by 1),
+sets as (select doc_id, sha256(string_agg(g, chr(10) order by g)) k from s group by 1),
+one as (select min(doc_id) doc_id, k from sets group by k),
+u as (select s.* from s semi join one using (doc_id)),
+p as (select x.doc_id a, y.doc_id b, count(*) c from u x join u y on x.g = y.g and x.doc_id < y.doc_id group by 1, 2),
+l as (select a, b from p join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * c >= 80 * (na.n + nb.n - c)
+      union select o.doc_id, t.doc_id from sets t join one o using (k) where o.doc_id < t.doc_id),
+e as (select a, b from l union select b, a from l),
+r(a, b) as (select doc_id, doc_id from w union select r.a, e.b from r join e on r.b = e.a)
+select w.doc_id, cast(coalesce(n.n, 0) as bigint) n_shingles, c.m component_id, c.m = w.doc_id kept
+from w left join n using (doc_id) join (select a, min(b) m from r group by a) c on c.a = w.doc_id
+"""

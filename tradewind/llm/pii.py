@@ -19,7 +19,8 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT, _CLUE, _NOT_DIGIT = re.compile("[0-9]"), re.compile("[0-9@]"), re.compile("[^0-9]")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+#: Tried at the first digit of a run only, and never given back: a run without a dot behind it is read once.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 SPANS = "array<struct<kind:string,start:int,end:int,base:boolean>>"
 

@@ -11,6 +11,7 @@ from .align import align_documents
 from .bpe import encode_documents
 from .common import shared_dir, table
 from .langid import identify_language
+from .minhash import minhash_duplicates
 from .mixing import mix_sources
 from .pii import find_personal_data
 from .quality import quality_rules
@@ -75,6 +76,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "accepted")
 
 
+def op11_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle=2)
+
+
 def pieces() -> dict:
     """Parameters of align_documents for the public vocabularies."""
     return {"ranks_path": public_tokenizers.path("byte_bpe_50k.tiktoken"), "pattern": public_tokenizers.PATTERN, "pieces_path": public_tokenizers.path("piece_bpe_32k.model")}
@@ -99,6 +104,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_minhash_near_dedup": op11_minhash_near_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_conversation_trie": op13_conversation_trie,
 }

@@ -72,35 +72,32 @@ def masks(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for r in range(radius + 1) for c in combinations(range(64), r)], U64)
 
 
-def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, few: int, loose: bool = False, whole: bool = False) -> DataFrame:
-    """Candidate links (a, b) between fingerprints (column fp, unique) that share a variant.
+class Shared:
+    """Fingerprints (column fp, unique; label, if they have one) in blocks, and the variants of each block that occur twice in all.
 
-    ``variants`` gives the fp of each row of a table and its ``each`` variants, row by row, as spread 64-bit keys. First only the
-    leading bits of the keys are shuffled, which finds those that occur twice; then only these are sent whole, with their fp.
-    All fingerprints of a variant are linked to the smallest, in groups of up to ``few`` all to all; with a
-    column label, only fingerprints of different labels are.
-
-    ``loose`` is for passes that only save work of a later one: a block of rows links those of its own that share a variant to
-    the smallest and sends that one alone, so that a hot variant never brings more than one row a block to a task; labels are
-    linked once in a task. With ``whole``, no link is made: the groups themselves come back for group_links, as rows (bin, cell).
+    ``variants`` gives the fp of each row of a table and its ``each`` variants, row by row, as spread 64-bit keys. Only the leading
+    bits of the keys are shuffled for that.
     """
-    spark = fps.sparkSession
-    n = fps.count()
-    total = max(1, n * each)
-    blocks = max(shuffle_partitions(spark), -(-total // TASK_KEYS))
-    n_parts = power_of_two(max(shuffle_partitions(spark) / 2, total / TASK_KEYS))
-    # So many leading bits that about one variant in 2**12 meets another by chance, however many there are.
-    bits = min(64, max(24, n_parts.bit_length() + 1, int(np.ceil(np.log2(total))) + 12))
-    cut = U64(64 - bits)
-    told_apart = "label" in fps.columns
-    blocked = fps.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
-
-    def emit(table: pa.Table) -> pa.Table:
-        return sent_keys(variants(table)[1] >> cut, table["block"][0].as_py(), n_parts, bits)
 
-    def resend(own: pa.Table, told: pa.Table) -> pa.Table:
-        rows = []
-        if own.num_rows and told.num_rows:
+    def __init__(self, fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int):
+        spark = fps.sparkSession
+        total = max(1, fps.count() * each)
+        blocks = max(shuffle_partitions(spark), -(-total // TASK_KEYS))
+        n_parts = power_of_two(max(shuffle_partitions(spark) / 2, total / TASK_KEYS))
+        # So many leading bits that about one variant in 2**12 meets another by chance, however many there are.
+        bits = min(64, max(24, n_parts.bit_length() + 1, int(np.ceil(np.log2(total))) + 12))
+        cut = U64(64 - bits)
+        told_apart = "label" in fps.columns
+        self.blocks, self.n_parts, self.told_apart = blocks, n_parts, told_apart
+        self.blocked = fps.withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
+
+        def emit(table: pa.Table) -> pa.Table:
+            return sent_keys(variants(table)[1] >> cut, table["block"][0].as_py(), n_parts, bits)
+
+        def members(own: pa.Table, told: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(fp, label, key) of the block's variants that occur twice, by key and fp; the label is the fp where there is none."""
+            if not own.num_rows or not told.num_rows:
+                return (np.empty(0, U64),) * 3
             hits = np.sort(np.concatenate([unpack(x.as_py()) for x in told["hits"]]))
             fp, keys = variants(own)
             short = keys >> cut
@@ -113,28 +110,50 @@ def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, n
             label = own["label"].to_numpy().view(U64) if told_apart else fp
             fp, label, keys = fp[at // each], label[at // each], keys[at]
             order = np.lexsort((fp.view(np.int64), keys))
-            fp, label, keys = fp[order], label[order], keys[order]
-            if loose and len(keys):
-                head = np.append(True, keys[1:] != keys[:-1])
-                hub = np.repeat(np.flatnonzero(head), np.diff(np.append(np.flatnonzero(head), len(keys))))
-                links = _links_of(fp, fp[hub], label, label[hub])
-                rows.append((-1, b"", pack_raw(links[:, 0]), pack_raw(links[:, 1])))
-                fp, label, keys = fp[head], label[head], keys[head]
-            rows += [(p, pack(keys[s:e]), pack_raw(fp[s:e]), pack_raw(label[s:e]) if told_apart else b"") for p, s, e in parts(keys, n_parts)]
+            return fp[order], label[order], keys[order]
+
+        self.members = members
+        self.told = repeated_keys(self.blocked.groupBy("block").applyInArrow(emit, SENT_KEYS), n_parts, bits)
+
+
+def _heads(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys starts."""
+    return np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+
+
+def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, few: int, loose: bool = False) -> DataFrame:
+    """Candidate links (a, b) between fingerprints (column fp, unique) that share a variant (of Shared).
+
+    The variants that occur twice are sent whole, with their fp. All fingerprints of a variant are linked to the smallest, in
+    groups of up to ``few`` all to all; with a column label, only fingerprints of different labels are.
+
+    ``loose`` is for passes that only save work of a later one: a block of rows links those of its own that share a variant to
+    the smallest and sends that one alone, so that a hot variant never brings more than one row a block to a task; labels are
+    linked once in a task.
+    """
+    shared = Shared(fps, variants, each)
+    members, n_parts, told_apart = shared.members, shared.n_parts, shared.told_apart
+
+    def resend(own: pa.Table, told: pa.Table) -> pa.Table:
+        rows = []
+        fp, label, keys = members(own, told)
+        if loose and len(keys):
+            head = _heads(keys)
+            hub = np.repeat(head, np.diff(np.append(head, len(keys))))
+            links = _links_of(fp, fp[hub], label, label[hub])
+            rows.append((-1, b"", pack_raw(links[:, 0]), pack_raw(links[:, 1])))
+            fp, label, keys = fp[head], label[head], keys[head]
+        rows += [(p, pack(keys[s:e]), pack_raw(fp[s:e]), pack_raw(label[s:e]) if told_apart else b"") for p, s, e in parts(keys, n_parts)]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "fps": pa.array([r[2] for r in rows], pa.binary()), "labels": pa.array([r[3] for r in rows], pa.binary())})
 
-    def groups(table: pa.Table) -> tuple[np.ndarray, ...]:
+    def pairs(table: pa.Table) -> pa.Table:
         keys = np.concatenate([unpack(x.as_py()) for x in table["keys"]])
         fp = np.concatenate([unpack_raw(x.as_py()) for x in table["fps"]])
         label = np.concatenate([unpack_raw(x.as_py()) for x in table["labels"]]) if told_apart else fp
         order = np.lexsort((fp.view(np.int64), keys))
         keys, fp, label = keys[order], fp[order], label[order]
-        head = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+        head = _heads(keys)
         size = np.diff(np.append(head, len(keys)))
-        return keys, fp, label, head, size
-
-    def pairs(table: pa.Table) -> pa.Table:
-        keys, fp, label, head, size = groups(table)
         hub = np.repeat(head, size)
         if loose:
             found = [_links_of(fp, fp[hub], label, label[hub])]
@@ -147,21 +166,7 @@ def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, n
         found = np.unique(np.concatenate(found).view(np.int64), axis=0).reshape(-1, 2)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
-    def mixed(table: pa.Table) -> pa.Table:
-        keys, fp, label, head, size = groups(table)
-        several = np.logical_or.reduceat(label != np.repeat(label[head], size), head) if len(head) else np.empty(0, bool)
-        rows, part = [], table["part"][0].as_py()
-        member = np.repeat(several, size)
-        for own in _runs(keys[member], size[several], CELL_ROWS):
-            at = np.flatnonzero(member)[own]
-            rows.append((part << 24 | len(rows), {"keys": pack_raw(keys[at]), "fps": pack_raw(fp[at]), "labels": pack_raw(label[at])}))
-        kind = pa.struct([("keys", pa.binary()), ("fps", pa.binary()), ("labels", pa.binary())])
-        return pa.table({"bin": pa.array([r[0] for r in rows], pa.int64()), "cell": pa.array([r[1] for r in rows], kind)})
-
-    told = repeated_keys(blocked.groupBy("block").applyInArrow(emit, SENT_KEYS), n_parts, bits)
-    sent = blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(resend, "part int, keys binary, fps binary, labels binary")
-    if whole:
-        return sent.groupBy("part").applyInArrow(mixed, "bin long, cell struct<keys: binary, fps: binary, labels: binary>")
+    sent = shared.blocked.groupBy("block").cogroup(shared.told.groupBy("block")).applyInArrow(resend, "part int, keys binary, fps binary, labels binary")
     if not loose:
         return sent.groupBy("part").applyInArrow(pairs, "a long, b long").distinct()
     sent = materialize(sent)
@@ -169,6 +174,133 @@ def colliding(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, n
     return sent.filter("part >= 0").groupBy("part").applyInArrow(pairs, "a long, b long").unionByName(local).distinct()
 
 
+CELL = "keys binary, fps binary, labels binary"
+_CELL_KIND = pa.struct([("keys", pa.binary()), ("fps", pa.binary()), ("labels", pa.binary())])
+
+
+def _cell(keys: np.ndarray, fp: np.ndarray, label: np.ndarray) -> dict:
+    """Members by key, then fp."""
+    order = np.lexsort((fp.view(np.int64), keys))
+    return {"keys": pack_raw(keys[order]), "fps": pack_raw(fp[order]), "labels": pack_raw(label[order])}
+
+
+def cells_apart(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], each: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Cells (bin, cell) of at most about ``cell_rows`` members (key, fp, label) such that every two fingerprints that share a variant
+    and have different labels are in one of them.
+
+    A block first tells, one row a variant, the smallest and the largest label that it has there: only where two labels meet
+    are members sent at all, so that a variant of millions of one label costs a row a block. Variants of up to cell_rows
+    members go to the task of their part. Those of more are dealt into pieces, a label of many members into some of its own:
+    every two pieces that don't have the same single label make a cell.
+    """
+    shared = Shared(fps, variants, each)
+    members, n_parts = shared.members, shared.n_parts
+
+    def tally(own: pa.Table, told: pa.Table) -> pa.Table:
+        _, label, keys = members(own, told)
+        head = _heads(keys)
+        told = [np.minimum.reduceat(label, head), np.maximum.reduceat(label, head), np.diff(np.append(head, len(keys)))] if len(head) else [keys] * 3
+        rows = [(p, own["block"][0].as_py(), pack(keys[head[s:e]]), *(pack_raw(x[s:e]) for x in told)) for p, s, e in parts(keys[head], n_parts)]
+        names = {"part": pa.int64(), "block": pa.int64(), "keys": pa.binary(), "least": pa.binary(), "most": pa.binary(), "n": pa.binary()}
+        return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(names.items())})
+
+    def judge(table: pa.Table) -> pa.Table:
+        own = [unpack(x.as_py()) for x in table["keys"]]
+        keys, at = np.unique(np.concatenate(own), return_inverse=True)
+        least, most, n = (np.concatenate([unpack_raw(x.as_py()) for x in table[c]]) for c in ("least", "most", "n"))
+        low, high, total = np.full(len(keys), ~U64(0)), np.zeros(len(keys), U64), np.zeros(len(keys), U64)
+        np.minimum.at(low, at, least)
+        np.maximum.at(high, at, most)
+        np.add.at(total, at, n)
+        apart = low != high
+        rows = []
+        for block, mine in zip(table["block"].to_pylist(), own, strict=True):
+            i = np.searchsorted(keys, mine)
+            i = i[apart[i]]
+            if len(i):
+                rows.append((block, pack(keys[i]), pack_raw(total[i])))
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int64()), "keys": pa.array([r[1] for r in rows], pa.binary()), "n": pa.array([r[2] for r in rows], pa.binary()), "hits": pa.array([None] * len(rows), pa.binary())})
+
+    def send(own: pa.Table, told: pa.Table) -> pa.Table:
+        rows = []
+        asked = told.filter(told["keys"].is_null()) if told.num_rows else told
+        judged = told.filter(told["keys"].is_valid()) if told.num_rows else told
+        if judged.num_rows:
+            apart = np.concatenate([unpack(x.as_py()) for x in judged["keys"]])
+            total = np.concatenate([unpack_raw(x.as_py()) for x in judged["n"]])
+            order = np.argsort(apart)
+            apart, total = apart[order], total[order]
+            fp, label, keys = members(own, asked)
+            at = np.minimum(np.searchsorted(apart, keys), len(apart) - 1)
+            here = apart[at] == keys
+            large = here & (total[at] > cell_rows)
+            if large.any():
+                rows.append((-1, _cell(keys[large], fp[large], label[large])))
+            here &= ~large
+            fp, label, keys = fp[here], label[here], keys[here]
+            rows += [(p, _cell(keys[s:e], fp[s:e], label[s:e])) for p, s, e in parts(keys, n_parts)]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "cell": pa.array([r[1] for r in rows], _CELL_KIND)})
+
+    def gathered(table: pa.Table) -> pa.Table:
+        keys, fp, label = (np.concatenate([unpack_raw(x[c].as_py()) for x in table["cell"]]) for c in ("keys", "fps", "labels"))
+        order = np.lexsort((fp.view(np.int64), keys))
+        keys, fp, label = keys[order], fp[order], label[order]
+        part, rows, ends = table["part"][0].as_py(), [], np.append(_heads(keys)[1:], len(keys))
+        start = last = 0
+        for end in ends.tolist():
+            if end - start > cell_rows and last > start:
+                rows.append((part << 24 | len(rows), _cell(keys[start:last], fp[start:last], label[start:last])))
+                start = last
+            last = end
+        rows.append((part << 24 | len(rows), _cell(keys[start:], fp[start:], label[start:])))
+        return pa.table({"bin": pa.array([r[0] for r in rows], pa.int64()), "cell": pa.array([r[1] for r in rows], _CELL_KIND)})
+
+    asked = materialize(shared.told)
+    tallied = shared.blocked.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(tally, "part long, block long, keys binary, least binary, most binary, n binary")
+    judged = tallied.groupBy("part").applyInArrow(judge, "block long, keys binary, n binary, hits binary")
+    none = F.lit(None).cast("binary")
+    told = judged.unionByName(asked.select("block", none.alias("keys"), none.alias("n"), "hits"))
+    sent = shared.blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, f"part long, cell struct<{CELL.replace(' binary', ': binary')}>")
+    sent = materialize(sent)
+    cells = sent.filter("part >= 0").groupBy("part").applyInArrow(gathered, f"bin long, cell struct<{CELL.replace(' binary', ': binary')}>")
+    large = sent.filter("part < 0")
+    return cells if large.isEmpty() else cells.unionByName(_piece_cells(large, cell_rows))
+
+
+def _piece_cells(large: DataFrame, cell_rows: int) -> DataFrame:
+    """Cells of the variants of more than cell_rows members, from their packed members."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(unpack_raw(cell[c].as_py()).view(np.int64)) for c in ("keys", "fps", "labels")], names=["k", "fp", "label"])
+
+    half = cell_rows // 2
+    own = materialize(large.select("cell").mapInArrow(rows, "k long, fp long, label long"))
+    sizes = own.groupBy("k", "label").agg(F.count("*").alias("n"))
+    many = materialize(sizes.filter(F.col("n") > half))
+    rest = sizes.filter(F.col("n") <= half).groupBy("k").agg(F.sum("n").alias("rest"))
+    rest = materialize(rest)
+    # Pieces: of a label of many members, or (own_label null) of all other labels of the variant.
+    of_many = many.select("k", F.col("label").alias("own_label"), F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / half).cast("int"))).alias("nth"))
+    of_rest = rest.select("k", F.lit(None).cast("long").alias("own_label"), F.explode(F.sequence(F.lit(0), F.floor((F.col("rest") - 1) / half).cast("int"))).alias("nth"))
+    pieces = materialize(of_many.unionByName(of_rest).withColumn("piece", F.xxhash64("k", "own_label", "nth")))
+    a, b = (pieces.select("k", F.col("own_label").alias(f"{x}_label"), F.col("piece").alias(x)) for x in "ab")
+    pairs = a.join(b, "k").filter((F.col("a") < F.col("b")) & ~F.coalesce(F.col("a_label") == F.col("b_label"), F.lit(False)))
+    cells = pairs.withColumn("bin", F.xxhash64("k", "a", "b")).select("k", "bin", F.explode(F.array("a", "b")).alias("piece"))
+    mine = own.join(many.select("k", "label", "n"), ["k", "label"], "left").join(rest, "k", "left")
+    wide = F.floor((F.coalesce("n", "rest") - 1) / half) + 1
+    nth = F.pmod(F.when(F.col("n").isNotNull(), F.xxhash64("fp")).otherwise(F.xxhash64("label")), wide).cast("int")
+    mine = mine.withColumn("piece", F.xxhash64("k", F.when(F.col("n").isNotNull(), F.col("label")), nth))
+
+    def packed(table: pa.Table) -> pa.Table:
+        cell = _cell(*(table[c].to_numpy().view(U64) for c in ("k", "fp", "label")))
+        return pa.table({"bin": table["bin"][:1], "cell": pa.array([cell], _CELL_KIND)})
+
+    met = mine.select("k", "fp", "label", "piece").join(cells, ["k", "piece"])
+    return met.groupBy("bin").applyInArrow(packed, f"bin long, cell struct<{CELL.replace(' binary', ': binary')}>")
+
+
 def _links_of(fp: np.ndarray, hub: np.ndarray, label: np.ndarray, hub_label: np.ndarray) -> np.ndarray:
     """Links (fp, hub) between different labels, one for each pair of labels."""
     apart = np.flatnonzero(label != hub_label)
@@ -183,30 +315,9 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=["a", "b"])
 
 
-def _runs(keys: np.ndarray, sizes: np.ndarray, most: int) -> Iterator[np.ndarray]:
-    """Indices of members, group by group in the order of ``keys``, in runs of about ``most``: whole groups together, and for a
-    group of more than that, every two of its pieces, so that each pair of its members is in some run."""
-    start = run = 0
-    for size in sizes.tolist():
-        if size > most:
-            if start > run:
-                yield np.arange(run, start)
-            pieces = np.array_split(np.arange(start, start + size), -(-size // (most // 2)))
-            for i, a in enumerate(pieces):
-                for b in pieces[i + 1 :]:
-                    yield np.concatenate([a, b])
-            run = start + size
-        elif start + size - run > most:
-            yield np.arange(run, start)
-            run = start
-        start += size
-    if start > run:
-        yield np.arange(run, start)
-
-
 def group_links(cells: DataFrame, bits: DataFrame, limit: int) -> DataFrame:
     """Verified links (a, b) that connect all members of a group, at most ``limit`` bits apart, of the groups in ``cells`` (bin,
-    cell, from colliding).
+    cell, from cells_apart).
 
     Every pair of a group is compared over its whole fingerprint (fp, bits in ``bits``) unless its ends are connected already.
     That is done within a task, which gets each fingerprint of its groups once and returns only the links that connect: rows
@@ -337,7 +448,7 @@ def similar_documents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     for bands in (FIRST_BANDS, 2 * WORDS):
         met = materialize(colliding(labelled.select("fp", "bits", "label"), *_band_variants(bands, 0), 2, loose=True))
         labelled = materialize(_relabelled(labelled, _verified(met, distinct, limit)))
-    cells = materialize(colliding(labelled.select("fp", "bits", "label"), *_band_variants(2 * WORDS, 1), 2, whole=True))
+    cells = materialize(cells_apart(labelled.select("fp", "bits", "label"), *_band_variants(2 * WORDS, 1)))
     late = _between_labels(materialize(group_links(cells, labelled, limit)), labelled)
     groups = labelled.groupBy("label").agg(F.min("least").alias("least")).withColumnRenamed("label", "fp")
     told = seen.join(labelled.select("fp", "label"), "fp").drop("fp").withColumnRenamed("label", "fp")

@@ -15,6 +15,8 @@ from .common import materialize
 PRIMES = (2147483647, 2147483629)
 #: Turns of a bucket of a long conversation, and conversations of a chunk of a list of ends.
 BUCKET, CHUNK = 1024, 1 << 16
+#: Children of a node that make it one of many.
+MANY = 256
 
 
 def _power(base: int, exponent: Column, prime: int) -> Column:
@@ -192,8 +194,13 @@ def conversation_trie(conversations: DataFrame, conv: str = "conv_id", turn: str
     sums = member.groupBy(*key).agg(F.sum("all").alias("all"), F.sum("leaf").alias("n_leaves"))
     # A node's parent has the same smallest member, unless the chain of that member starts here.
     starts = nodes.join(chains.select("conv_id", F.col("start").alias("depth")), ["conv_id", "depth"]).filter("depth > 0")
-    up = nodes.select((F.col("depth") + 1).alias("depth"), F.col("f0").alias("p0"), F.col("f1").alias("p1"), F.col("conv_id").alias("parent"))
-    parents = starts.join(up, ["depth", "p0", "p1"]).select(*key, "parent")
+    up = nodes.select((F.col("depth") + 1).alias("depth"), F.col("f0").alias("p0"), F.col("f1").alias("p1"), F.col("conv_id").alias("parent"), "n_children")
+    # Parents of many children are few: joined by themselves, Spark can broadcast them or split the children by size.
+    by, wide = ["depth", "p0", "p1"], materialize(up.filter(F.col("n_children") > MANY).drop("n_children"))
+    narrow = up.filter((F.col("n_children") > 0) & (F.col("n_children") <= MANY)).drop("n_children")
+    starts = materialize(starts.select(*key, "p0", "p1").join(wide, by, "left"))
+    parents = starts.filter("parent is not null").select(*key, "parent")
+    parents = parents.unionByName(starts.filter("parent is null").drop("parent").join(narrow, by).select(*key, "parent"))
     out = nodes.join(sums, key).join(parents, key, "left").join(_end_digests(rows), key, "left")
     return out.select(
         "conv_id",
