@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .bands import CELL_POINTS, Band, Slabs, answered, banded, middle
 from .history import anti, keep_first, retained, semi
 from .validation import eligible
 
@@ -83,22 +87,8 @@ def _between_ranks(low: Column, high: Column, part: Column) -> Column:
     return F.when(part == 0, low.cast("double")).otherwise(low * (1 - part) + high * part)
 
 
-def _values_at(ladder: DataFrame, rows: DataFrame, ranks: Sequence[str]) -> DataFrame:
-    """rows (with pool) and, for each rank column r, r_value: the price at that rank (from 0) of the pool; null outside it.
-
-    The distinct ranks of a pool are few, so each rung of its ladder is compared with few of them.
-    """
-    wanted = rows.select("pool", F.explode(F.array_distinct(F.array(*ranks))).alias("rank")).distinct()
-    inside = (F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("upto"))
-    values = wanted.join(ladder.withColumnRenamed("pool", "own"), (F.col("pool") == F.col("own")) & inside).select("pool", "rank", "price")
-    for r in ranks:
-        one = values.select(F.col("pool").alias("own"), F.col("rank").alias("own_rank"), F.col("price").alias(f"{r}_value"))
-        rows = rows.join(one, (F.col("pool") == F.col("own")) & (F.col(r) == F.col("own_rank")), "left").drop("own", "own_rank")
-    return rows
-
-
 def peer_median_opportunities(
-    listings: DataFrame, keys: Sequence[str], tolerance: int = 25_000, min_comparables: int = 6, min_discount: int = 50_000_000, low: float = 8.0, high: float = 35.0, evaluated: DataFrame | None = None
+    listings: DataFrame, keys: Sequence[str], tolerance: int = 25_000, min_comparables: int = 6, min_discount: int = 50_000_000, low: float = 8.0, high: float = 35.0, evaluated: DataFrame | None = None, cell_points: int = CELL_POINTS
 ) -> DataFrame:
     """Listings below the median of their peers: scope, comparables, median_price, discount, discount_percent, confidence.
 
@@ -106,77 +96,70 @@ def peer_median_opportunities(
     all cities. Prices outside 1.5 interquartile ranges are left out (as in iqr_filter); min_comparables must be left. The median
     is cut to an integer. ``evaluated`` (ad_id) restricts whose medians are wanted.
 
-    Listings of equal keys, mileage, city and price (a spot) have the same answer, and those of equal keys and mileage draw on the
-    same pool of prices, but for themselves. So prices are counted first; a pool is a ladder of distinct prices with the counts
-    up to each; and a spot finds its order statistics there by rank, those at or above its own moved up by one. No pool is gathered
-    into a row or copied. A pool's ladder is built in one task: it holds distinct prices, not listings.
+    Listings of equal keys, mileage, city and price (a spot) have the same answer. Prices are counted first, and each counted price is
+    sent to the three stretches of mileages that may see it (bands.py), where every spot finds its order statistics by rank, those
+    at or above its own price moved up by one. Rows grow with the listings, however many peers each has; a stretch of a hot
+    group that one task can't hold is cut into slabs of prices.
     """
     place = [*keys, "mileage"]
     own = listings if evaluated is None else listings.join(evaluated.select("ad_id"), "ad_id", "left_semi")
-    spots = own.groupBy(*place, "city", "price").agg(F.count("*").alias("listed"))
-    counted = listings.filter("price > 0").groupBy(*place, "city", "price").agg(F.count("*").alias("cnt"))
-    # The band of each place: an equi join on keys and mileage bucket.
-    bucket = F.coalesce(F.floor(F.col("mileage") / tolerance), F.lit(-2)).cast("long")
-    places = spots.select(*place).distinct().withColumn("bucket", bucket)
-    near = F.explode(F.when(F.col("mileage").isNull(), F.array(bucket)).otherwise(F.array(bucket - 1, bucket, bucket + 1)))
-    there = counted.select(*[F.col(c).alias(f"p_{c}") for c in place], F.col("city").alias("p_city"), F.col("price").alias("p_price"), "cnt", near.alias("p_bucket"))
-    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys] + [F.col("bucket") == F.col("p_bucket")]
-    on.append((F.abs(F.col("mileage") - F.col("p_mileage")) <= tolerance) | (F.col("mileage").isNull() & F.col("p_mileage").isNull()))
-    band = places.join(there, on).select(F.struct(*place).alias("place"), "p_city", "p_price", "cnt")
-    sets = band.groupingSets([["place", "p_price"], ["place", "p_city", "p_price"]], "place", "p_city", "p_price")
-    sets = sets.agg(F.grouping("p_city").alias("wide"), F.sum("cnt").alias("cnt")).filter("wide = 1 or p_city is not null")
-    pool = lambda where, city: F.struct(where.alias("place"), city.alias("city"))
-    rungs = sets.select(pool(F.col("place"), F.col("p_city")).alias("pool"), F.col("p_price").alias("price"), "cnt")
-    up = Window.partitionBy("pool").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
-    ladder = rungs.withColumn("upto", F.sum("cnt").over(up)).select("pool", "price", (F.col("upto") - F.col("cnt")).alias("before"), "upto")
-    totals = ladder.groupBy("pool").agg(F.max("upto").alias("total"))
-
-    mine = (F.col("price") > 0).cast("int")
-    spots = spots.withColumns({"mine": mine, "local_pool": pool(F.struct(*place), F.col("city")), "wide_pool": pool(F.struct(*place), F.lit(None).cast("string"))})
-    local = totals.select(F.col("pool").alias("local_pool"), F.col("total").alias("local_total"))
-    spots = spots.join(local, "local_pool", "left")
-    same_city = F.col("city").isNotNull() & (F.coalesce("local_total", F.lit(0)) - F.col("mine") >= min_comparables)
-    spots = spots.withColumn("scope", F.when(same_city, "city").otherwise("nationwide"))
-    spots = spots.withColumn("pool", F.when(same_city, F.col("local_pool")).otherwise(F.col("wide_pool"))).drop("local_pool", "wide_pool", "local_total")
-    spots = spots.join(totals, "pool").withColumn("n", F.col("total") - F.col("mine")).filter(F.col("n") >= min_comparables)
-    rank = ladder.select(F.col("pool").alias("own"), F.col("price").alias("own_price"), F.col("before").alias("r"))
-    spots = spots.join(rank, (F.col("pool") == F.col("own")) & (F.col("price") == F.col("own_price")), "left").drop("own", "own_price")
-
-    def moved(at: Column, taken: Column) -> Column:
-        """The rank in the pool of a rank among the others: the spot's own price is taken out where ``taken``."""
-        return at + (taken & (at >= F.col("r"))).cast("int")
-
-    taken = F.coalesce(F.col("mine") == 1, F.lit(False))
-    for name, q in (("q1", 0.25), ("q3", 0.75)):
-        at = (F.col("n") - 1) * F.lit(q)
-        k = F.floor(at).cast("long")
-        spots = spots.withColumns({f"{name}_part": at - k, f"{name}_a": moved(k, taken), f"{name}_b": moved(k + 1, taken)})
-    shape = ["q1_a", "q1_b", "q3_a", "q3_b"]
-    shapes = _values_at(ladder, spots.select("pool", "n", "q1_part", "q3_part", *shape).distinct(), shape)
-    quartile = lambda q: _between_ranks(F.col(f"{q}_a_value"), F.col(f"{q}_b_value"), F.col(f"{q}_part"))
-    shapes = shapes.withColumns({"q1": quartile("q1"), "q3": quartile("q3")})
-    reach = 1.5 * (F.col("q3") - F.col("q1"))
-    shapes = shapes.withColumns({"floor": F.col("q1") - reach, "ceiling": F.col("q3") + reach})
-    fences = shapes.select(F.col("pool").alias("own"), "floor", "ceiling").distinct()
-    up_to = lambda c: F.coalesce(F.max(F.when(c, F.col("upto"))), F.lit(0))
-    fences = fences.join(ladder, F.col("own") == F.col("pool")).groupBy("own", "floor", "ceiling")
-    fences = fences.agg(up_to(F.col("price") < F.col("floor")).alias("under"), up_to(F.col("price") <= F.col("ceiling")).alias("within"))
-    fences = fences.withColumnsRenamed({"floor": "f", "ceiling": "c"})
-    shapes = shapes.join(fences, (F.col("pool") == F.col("own")) & (F.col("floor") == F.col("f")) & (F.col("ceiling") == F.col("c")))
-    shapes = shapes.select("pool", "n", *shape, "q1", "q3", "floor", "ceiling", "under", "within")
-
-    spots = spots.join(shapes, ["pool", "n", *shape])
-    inside = taken & F.col("price").between(F.col("floor"), F.col("ceiling"))
-    left = F.col("within") - F.col("under") - inside.cast("int")
-    whole = (F.col("n") < 5) | (F.col("q3") <= F.col("q1")) | (left < 3)
-    spots = spots.withColumns({"comparables": F.when(whole, F.col("n")).otherwise(left), "under": F.when(whole, F.lit(0)).otherwise(F.col("under")), "out": F.when(whole, taken).otherwise(inside)})
-    middle = (F.col("comparables") - 1) * F.lit(0.5)
-    k = F.floor(middle).cast("long")
-    spots = spots.filter(F.col("comparables") >= min_comparables)
-    spots = spots.withColumns({"m_part": middle - k, "m_a": moved(F.col("under") + k, F.col("out")), "m_b": moved(F.col("under") + k + 1, F.col("out"))})
-    spots = _values_at(ladder, spots.select(*place, "city", "price", "pool", "scope", "comparables", "m_part", "m_a", "m_b"), ["m_a", "m_b"])
-    spots = spots.withColumn("median_price", F.floor(_between_ranks(F.col("m_a_value"), F.col("m_b_value"), F.col("m_part"))).cast("bigint"))
-    out = spots.filter(F.col("price") < F.col("median_price"))
+    spots = written(own.filter("price is not null").groupBy(*place, "city", "price").agg(F.count("*").alias("listed")))
+    counted = written(listings.filter("price > 0").groupBy(*place, "city", "price").agg(F.count("*").alias("cnt")))
+    asking, points = banded(spots, counted, keys, tolerance)
+
+    def told(own: pa.Table, band: Band) -> dict[str, np.ndarray]:
+        price = own["price"].to_numpy()
+        mine = price > 0
+        totals = {k: ranks.weight(a, b) - mine for k, (ranks, a, b) in band.kinds.items()}
+        local = (totals["local"] >= min_comparables) & own["city"].is_valid().to_numpy()
+        n = np.where(local, totals["local"], totals["wide"])
+        out = {"keep": n >= min_comparables, "local": local, "comparables": n.copy(), "median": np.zeros(len(n))}
+        for name, scope in (("local", local), ("wide", ~local)):
+            i = np.flatnonzero(scope & out["keep"])
+            ranks, a, b = band.kinds[name]
+            a, b, m, p, taken = a[i], b[i], n[i], price[i], mine[i]
+            before = ranks.below(a, b, p)
+            moved = lambda k, where: k + (where & (k >= before))  # noqa: B023, E731
+            q1, q3 = (middle(ranks, a, b, m, q, lambda k: moved(k, taken)) for q in (0.25, 0.75))  # noqa: B023
+            floor, ceiling = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+            under, within = ranks.below(a, b, floor), ranks.below(a, b, ceiling, to=True)
+            inside = taken & (p >= floor) & (p <= ceiling)
+            left = within - under - inside
+            whole = (m < 5) | (q3 <= q1) | (left < 3)
+            left, under, gone = np.where(whole, m, left), np.where(whole, 0, under), np.where(whole, taken, inside)
+            out["median"][i] = middle(ranks, a, b, left, 0.5, lambda k: moved(under + k, gone))  # noqa: B023
+            out["comparables"][i] = left
+        out["keep"] &= out["comparables"] >= min_comparables
+        return out
+
+    def split(asking: DataFrame, points: DataFrame) -> DataFrame:
+        slabs = Slabs(asking, points, tolerance, True, cell_points)
+        mine = (F.col("price") > 0).cast("int")
+        rows = slabs.with_totals(asking).withColumns({"mine": mine, "taken": mine == 1})
+        same_city = F.col("city").isNotNull() & (F.col("local_total") - F.col("mine") >= min_comparables)
+        rows = rows.withColumns({"local": same_city, "scope": F.when(same_city, "local").otherwise("wide"), "n": F.when(same_city, F.col("local_total")).otherwise(F.col("wide_total")) - F.col("mine")})
+        rows = written(rows.filter(F.col("n") >= min_comparables).withColumn("id", F.monotonically_increasing_id()))
+        rows = slabs.with_below(rows, {"r": (F.col("price"), False)})
+        moved = lambda at, where: at + (where & (at >= F.col("r"))).cast("int")
+        at = {q: (F.col("n") - 1) * F.lit(x) for q, x in (("q1", 0.25), ("q3", 0.75))}
+        ranks = {f"{q}_{end}": moved(F.floor(k) + one, F.col("taken")) for q, k in at.items() for end, one in (("a", 0), ("b", 1))}
+        rows = slabs.with_values(rows, ranks)
+        rows = rows.withColumns({q: _between_ranks(F.col(f"{q}_a"), F.col(f"{q}_b"), k - F.floor(k)) for q, k in at.items()})
+        reach = 1.5 * (F.col("q3") - F.col("q1"))
+        rows = slabs.with_below(rows.withColumns({"floor": F.col("q1") - reach, "ceiling": F.col("q3") + reach}), {"under": (F.col("q1") - reach, False), "within": (F.col("q3") + reach, True)})
+        inside = F.col("taken") & F.col("price").between(F.col("floor"), F.col("ceiling"))
+        left = F.col("within") - F.col("under") - inside.cast("int")
+        whole = (F.col("n") < 5) | (F.col("q3") <= F.col("q1")) | (left < 3)
+        rows = rows.withColumns({"comparables": F.when(whole, F.col("n")).otherwise(left), "skipped": F.when(whole, 0).otherwise(F.col("under")), "gone": F.when(whole, F.col("taken")).otherwise(inside)})
+        rows = rows.filter(F.col("comparables") >= min_comparables)
+        k = (F.col("comparables") - 1) * F.lit(0.5)
+        rows = slabs.with_values(rows, {f"m_{end}": moved(F.col("skipped") + F.floor(k) + one, F.col("gone")) for end, one in (("a", 0), ("b", 1))})
+        median = _between_ranks(F.col("m_a"), F.col("m_b"), k - F.floor(k))
+        return rows.select(*spots.columns, "local", "comparables", median.alias("median"))
+
+    out = answered(asking, points, told, "local boolean, comparables long, median double", tolerance, True, split, cell_points)
+    out = out.withColumns({"median_price": F.floor("median").cast("bigint"), "scope": F.when(F.col("local"), "city").otherwise("nationwide")})
+    out = out.filter(F.col("price") < F.col("median_price"))
     out = out.withColumns({"discount": F.col("median_price") - F.col("price"), "discount_percent": percent_below(F.col("price"), F.col("median_price"))})
     out = out.filter((F.col("discount") >= min_discount) & F.col("discount_percent").between(low, high))
     out = out.withColumn("confidence", confidence_label(F.col("discount_percent"), F.col("comparables"), F.col("scope") == "city"))
@@ -190,22 +173,38 @@ def confidence_label(percent: Column, comparables: Column, same_city: Column) ->
     return F.when(score >= 3, "high").otherwise("medium")
 
 
-def local_median(listings: DataFrame, keys: Sequence[str], tolerance: int = 10_000, least: int = 3) -> DataFrame:
-    """local_price: the median within ``tolerance`` of a listing's mileage in its group, the listing included; null below ``least``.
+def local_median(listings: DataFrame, keys: Sequence[str], tolerance: int = 10_000, least: int = 3, cell_points: int = CELL_POINTS) -> DataFrame:
+    """local_n and local_price: the median within ``tolerance`` of a listing's mileage in its group, the listing included; null below
+    ``least``.
 
-    Listings of equal keys and mileage share it, so prices are counted first and the median is aggregated once for each of them,
-    from counts; no group is one sorted partition. Listings without a mileage are left out.
+    Listings of equal keys and mileage (a place) share it. Prices are counted first and sent to the three stretches of mileages
+    that may see them, where each place finds its median by rank (bands.py). Listings without a mileage are left out, null
+    prices aren't counted.
     """
     known = listings.filter("mileage is not null")
-    counted = known.groupBy(*keys, "mileage", "price").agg(F.count("*").alias("cnt"))
-    bucket = F.floor(F.col("mileage") / tolerance)
-    there = counted.select(*[F.col(c).alias(f"p_{c}") for c in (*keys, "mileage", "price")], "cnt", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("p_bucket"))
-    places = known.select(*keys, "mileage").distinct().withColumn("bucket", bucket)
-    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys] + [F.col("bucket") == F.col("p_bucket"), F.abs(F.col("mileage") - F.col("p_mileage")) <= tolerance]
-    place = F.struct(*keys, "mileage").alias("place")
-    medians = places.join(there, on).groupBy(place).agg(F.sum("cnt").alias("local_n"), F.percentile("p_price", F.lit(0.5), F.col("cnt")).alias("m"))
-    local = F.when(F.col("local_n") >= least, F.bround("m").cast("bigint"))
-    return known.withColumn("place", place).join(medians, "place").withColumn("local_price", local).drop("place", "m")
+    none = F.lit(None).cast("string").alias("city")
+    places = written(known.select(*keys, "mileage", none).distinct())
+    counted = written(known.filter("price is not null").groupBy(*keys, "mileage", "price").agg(F.count("*").alias("cnt"))).withColumn("city", none)
+    asking, points = banded(places, counted, keys, tolerance)
+
+    def told(own: pa.Table, band: Band) -> dict[str, np.ndarray]:
+        ranks, a, b = band.kinds["wide"]
+        n = ranks.weight(a, b)
+        return {"keep": n > 0, "local_n": n, "m": middle(ranks, a, b, n, 0.5)}
+
+    def split(asking: DataFrame, points: DataFrame) -> DataFrame:
+        slabs = Slabs(asking, points, tolerance, False, cell_points)
+        rows = slabs.with_totals(asking).withColumnRenamed("wide_total", "local_n").filter("local_n > 0")
+        rows = written(rows.withColumns({"id": F.monotonically_increasing_id(), "scope": F.lit("wide")}))
+        k = (F.col("local_n") - 1) * F.lit(0.5)
+        rows = slabs.with_values(rows, {"a": F.floor(k), "b": F.ceil(k)})
+        return rows.select(*places.columns, "local_n", _between_ranks(F.col("a"), F.col("b"), k - F.floor(k)).alias("m"))
+
+    medians = answered(asking, points, told, "local_n long, m double", tolerance, False, split, cell_points)
+    local = F.when(F.col("local_n") >= least, F.bround("m").cast("bigint")).alias("local_price")
+    place = lambda: F.struct(*keys, "mileage")
+    medians = medians.select(place().alias("place"), "local_n", local)
+    return known.withColumn("place", place()).join(medians, "place", "left").withColumn("local_n", F.coalesce("local_n", F.lit(0).cast("long"))).drop("place")
 
 
 def prior_history(listings: DataFrame, keys: Sequence[str], most: int = 10) -> DataFrame:
