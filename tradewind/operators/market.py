@@ -207,14 +207,38 @@ def local_median(listings: DataFrame, keys: Sequence[str], tolerance: int = 10_0
     return known.withColumn("place", place()).join(medians, "place", "left").withColumn("local_n", F.coalesce("local_n", F.lit(0).cast("long"))).drop("place")
 
 
-def prior_history(listings: DataFrame, keys: Sequence[str], most: int = 10) -> DataFrame:
+#: Time ranges into which the listings of a large group are cut.
+RANGES = 256
+
+
+def prior_history(listings: DataFrame, keys: Sequence[str], most: int = 10, split_rows: int = 1 << 16) -> DataFrame:
     """prior_n, prior_avg: over the latest ``most`` listings of the group that came before (ties of first_seen by ad_id).
 
-    A group is one sorted partition of a window (it spills, and nothing is gathered): fit for keys like brand, model, trim and
-    year; prior_history_stream keeps ``most`` rows a key instead.
+    A group is one sorted partition of a window, unless it has more than ``split_rows`` listings: such a group is cut into RANGES
+    ranges of first_seen (at percentiles), each a partition that starts with the ``most`` listings before it. These are found
+    among the last ``most`` of each range, as none earlier in a range can be among them.
     """
-    before = Window.partitionBy(*keys).orderBy("first_seen", "ad_id").rowsBetween(-most, -1)
-    return listings.withColumns({"prior_n": F.count("*").over(before), "prior_avg": F.avg("price").over(before)})
+    order = ["first_seen", "ad_id"]
+    added = lambda w: {"prior_n": F.count("*").over(w), "prior_avg": F.avg("price").over(w)}
+    frame = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(-most, -1)
+    large = written(listings.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > split_rows).drop("_n"))
+    if large.isEmpty():
+        return listings.withColumns(added(frame(*keys)))
+    named = large.withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    at = F.unix_micros(F.col("first_seen").cast("timestamp"))
+    cuts = listings.join(named, on, "left_semi").groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.percentile_approx(at, [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("_cuts"))
+    cut = listings.join(written(cuts), on, "left").drop(*[f"_{k}" for k in keys])
+    range_of = F.coalesce(F.size(F.filter("_cuts", lambda c: c < at)), F.lit(0))
+    cut = written(cut.withColumns({"_range": F.when(F.col("_cuts").isNull(), -1).otherwise(range_of), "_before": F.lit(False)}).drop("_cuts"))
+    # The last listings of each range, and before its first one, the last of all ranges before.
+    back = Window.partitionBy(*keys, "_range").orderBy(*[F.desc(c) for c in order])
+    tails = cut.filter("_range >= 0").withColumn("_back", F.row_number().over(back)).filter(F.col("_back") <= most).drop("_back")
+    row = F.struct(*listings.columns)
+    firsts = Window.partitionBy(*keys, "_range").orderBy(*order)
+    carried = tails.withColumns({"_carry": F.collect_list(row).over(frame(*keys)), "_first": F.row_number().over(firsts)}).filter("_first = 1")
+    carried = carried.select("_range", F.explode("_carry").alias("_row")).select("_row.*", "_range", F.lit(True).alias("_before"))
+    return cut.unionByName(carried).withColumns(added(frame(*keys, "_range"))).filter("not _before").drop("_range", "_before")
 
 
 def prior_history_deals(listings: DataFrame, keys: Sequence[str], low: float = 4.0, least: int = 4, most: int = 10) -> DataFrame:
