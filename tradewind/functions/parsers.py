@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import lexicons as L
-from .text import compact_text, first_phrase, keep, let, longest_alias, normalize_digits, normalize_match, normalize_match_any, normalize_text
+from .automaton import Lexicon
+from .text import compact_text, first_phrase, keep, let, normalize_digits, normalize_match, normalize_match_any, normalize_text
 
 MILLION, BILLION = 1_000_000, 1_000_000_000
 
@@ -185,8 +188,6 @@ def severity_class(text: Column, classes: dict[str, Sequence[str]] = L.BODY_CLAS
 
 def _plain_compact(phrase: str) -> str:
     """What compact_text does, for the phrases of a lexicon."""
-    import re
-
     return re.sub(" +", " ", re.sub("[^0-9a-zآ-ی]+", " ", phrase.replace("‌", " ").lower())).strip()
 
 
@@ -212,9 +213,22 @@ def comparison_key(*fields: Column) -> Column:
     return F.concat_ws("|", *[F.coalesce(f.cast("string"), F.lit("unknown")) for f in fields])
 
 
-def vehicle_identity(text: Column, models=L.HISTORY_MODELS, trims=L.HISTORY_TRIMS, normalized: bool = False) -> Column:
-    """struct(brand, model, trim) of the prior-history pipeline: longest aliases, then the rules of four models."""
-    plain = lambda aliases: {_plain_match(a): v for a, v in aliases.items()}
+@lru_cache(4)
+def _history_lexicon(models: tuple, trims: tuple) -> tuple[Lexicon, list[int], list[int]]:
+    lexicon = Lexicon(_plain_match)
+    border = lambda p: "latin" if re.fullmatch("[a-z0-9 ]+", p) else ""
+    return lexicon, lexicon.add({a: "\t".join(v) for a, v in models}, border), lexicon.add(dict(trims), border)
+
+
+def vehicle_hits(text: Column, models=L.HISTORY_MODELS, trims=L.HISTORY_TRIMS, normalized: bool = False) -> Column:
+    """The aliases of models and trims in a text, for vehicle_identity."""
+    return _history_lexicon(tuple(models.items()), tuple(trims.items()))[0].hits(_matchable(text, normalized))
+
+
+def vehicle_identity(text: Column, models=L.HISTORY_MODELS, trims=L.HISTORY_TRIMS, normalized: bool = False, hits: Column | None = None) -> Column:
+    """struct(brand, model, trim) of the prior-history pipeline: longest aliases, then the rules of four models. ``hits`` may hold
+    what vehicle_hits found, in a column of its own."""
+    lexicon, of_models, of_trims = _history_lexicon(tuple(models.items()), tuple(trims.items()))
 
     def ruled(t: Column, pair: Column, trim: Column) -> Column:
         brand, model = F.get(pair, 0), F.get(pair, 1)
@@ -230,19 +244,13 @@ def vehicle_identity(text: Column, models=L.HISTORY_MODELS, trims=L.HISTORY_TRIM
             .otherwise(trim)
         )
 
-    return let(
-        _matchable(text, normalized),
-        lambda t: let(
-            F.struct(F.split(longest_alias(t, plain(models)), "\t").alias("pair"), F.coalesce(longest_alias(t, plain(trims)), F.lit("")).alias("trim")),
-            lambda x: F.struct(F.get(x["pair"], 0).alias("brand"), F.get(x["pair"], 1).alias("model"), ruled(t, x["pair"], x["trim"]).alias("trim")),
-        ),
-    )
+    found = vehicle_hits(text, models, trims, normalized) if hits is None else hits
+    both = F.struct(_matchable(text, normalized).alias("t"), F.split(lexicon.best(found, of_models), "\t").alias("pair"), F.coalesce(lexicon.best(found, of_trims), F.lit("")).alias("trim"))
+    return let(both, lambda x: F.struct(F.get(x["pair"], 0).alias("brand"), F.get(x["pair"], 1).alias("model"), ruled(x["t"], x["pair"], x["trim"]).alias("trim")))
 
 
 def _plain_match(phrase: str) -> str:
     """What normalize_match does, for the phrases of a lexicon."""
-    import re
-
     t = phrase.lower().translate(str.maketrans(L.PERSIAN_DIGITS + "‌يكۀة", L.ASCII_DIGITS + " یکهه"))
     t = re.sub("(?<=[A-Za-zآ-ی])(?=[0-9])|(?<=[0-9])(?=[A-Za-zآ-ی])", " ", t)
     return re.sub(r"\s+", " ", re.sub(r"[_/\\|,:;؛،!?؟()\[\]{}]+", " ", t)).strip()
@@ -269,8 +277,6 @@ def model_key(title: Column, rules: Sequence[tuple[str, str]] = ()) -> Column:
 
 def read_model_rules(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """(pattern, key) of a JSON file of rules, a list of objects; entries without either, or whose pattern is none, are left out."""
-    import re
-
     rows = spark.read.option("multiLine", True).schema("pattern string, key string").json(path).collect()
     rules = []
     for r in rows:  # a short list by nature: it becomes part of the expression
@@ -331,68 +337,86 @@ def unique_value(value: Column, names: Sequence[str]) -> Column:
 
 def _plain_match_any(phrase: str) -> str:
     """What normalize_match_any does, for the phrases of a lexicon."""
-    import re
-
     t = " ".join(phrase.translate(str.maketrans(L.PERSIAN_DIGITS, L.ASCII_DIGITS)).split()).lower()
     t = t.translate(str.maketrans("يكۀة_/\\|–—", "یکهه    --"))
     t = re.sub(r"[()\[\]{}:؛;،,!?؟]+", " ", t)
     return " ".join(re.sub(r"(?<=[^\W\d_])(?=[0-9])|(?<=[0-9])(?=[^\W\d_])", " ", t).split())
 
 
-def group_identity(
-    title: Column,
-    description: Column,
-    brand: Column,
-    model: Column,
-    trim: Column,
-    catalog: Sequence[tuple[str, str, Sequence[str]]] = L.GROUP_CATALOG,
-    brands=L.GROUP_BRANDS,
-    models=L.GROUP_MODELS,
-    trims=L.GROUP_TRIMS,
-    context=L.GROUP_CONTEXT_TRIMS,
-    context_only: Sequence[str] = L.GROUP_CONTEXT_ONLY,
-) -> Column:
-    """struct(brand, model, trim) of the group-mean pipeline; brand, model and trim are what a page states of them, or null.
-
-    For each the stated value counts if it is a name of the catalogue, then an alias in it, then an alias in the text. Models are
-    those of the brand, if it is known; a model of one brand alone gives the brand. The trim is looked for in the title only:
-    first the phrases of its model, then aliases and those names that aren't too short to stand alone. All three are null if
-    brand or model stay unknown or don't belong together, or if the model has trims and none was found.
+class GroupIdentity:
+    """Names of the group-mean pipeline: brand, model and trim from a title, a description and what a page states of them.
+
+    All aliases and the names of trims are phrases of one lexicon with word borders, so that each text is searched once.
     """
-    plain = lambda aliases: {_plain_match_any(a): v for a, v in aliases.items()}
-    alias = lambda t, aliases: longest_alias(t, plain(aliases), bounded=True) if aliases else F.lit(None).cast("string")
-    pick = lambda aliases, names: {a: v for a, v in aliases.items() if v in names}
-    every = list(dict.fromkeys(m for _, m, _ in catalog))
-    of = {b: [m for c, m, _ in catalog if c == b] for b in dict.fromkeys(b for b, _, _ in catalog)}
-    owner = {m: b for m in every if len({c for c, n, _ in catalog if n == m}) == 1 for b, n, _ in catalog if n == m}
-
-    def by_brand(b: Column, build) -> Column:
-        """build(names of the models) for the brand's models; for an unknown brand, for all."""
-        out = F.when(b.isNull(), build(every))
-        for name, own in of.items():
-            out = out.when(b == name, build(own))
-        return out
-
-    def trim_of(t: Column, b: Column, m: Column, stated: Column) -> Column:
-        out = F.lit("")
-        for brand_name, model_name, listed in catalog:
-            if listed:
-                own = pick(trims, listed)
-                safe = {**own, **{x: x for x in listed if x not in context_only}}
-                found = F.coalesce(unique_value(trim, listed), alias(stated, own), alias(t, context.get((brand_name, model_name), {})), alias(t, safe))
-                out = F.when((b == brand_name) & (m == model_name), found).otherwise(out)
-        return out
-
-    def told(x: Column) -> Column:
-        b = F.coalesce(unique_value(brand, list(of)), alias(x["brand"], brands), alias(x["text"], brands))
-        return let(b, lambda b: let(model_of(x, b), lambda m: let(F.coalesce(b, F.try_element_at(F.create_map(*[F.lit(v) for p in owner.items() for v in p]), m)), lambda c: named(x, c, m))))
-
-    def model_of(x: Column, b: Column) -> Column:
-        return by_brand(b, lambda own: F.coalesce(unique_value(model, own), alias(x["model"], pick(models, own)), alias(x["text"], pick(models, own))))
-
-    def named(x: Column, b: Column, m: Column) -> Column:
-        known = F.concat_ws("\t", b, m).isin(*[f"{c}\t{n}" for c, n, _ in catalog]) & b.isNotNull() & m.isNotNull()
-        return let(trim_of(x["title"], b, m, x["trim"]), lambda t: F.when(known & t.isNotNull(), F.struct(b.alias("brand"), m.alias("model"), t.alias("trim"))))
-
-    form = lambda c: normalize_match_any(F.coalesce(c, F.lit("")))
-    return let(F.struct(form(title).alias("title"), form(F.concat_ws(" ", title, description)).alias("text"), form(brand).alias("brand"), form(model).alias("model"), form(trim).alias("trim")), told)
+
+    def __init__(self, catalog: Sequence[tuple[str, str, Sequence[str]]] = L.GROUP_CATALOG, brands=L.GROUP_BRANDS, models=L.GROUP_MODELS, trims=L.GROUP_TRIMS, context=L.GROUP_CONTEXT_TRIMS, context_only: Sequence[str] = L.GROUP_CONTEXT_ONLY):
+        pick = lambda aliases, names: {a: v for a, v in aliases.items() if v in names}
+        self.catalog = catalog
+        self.lexicon = Lexicon(_plain_match_any)
+        add = lambda aliases: self.lexicon.add(aliases, lambda p: "word")
+        self.every = list(dict.fromkeys(m for _, m, _ in catalog))
+        self.of = {b: [m for c, m, _ in catalog if c == b] for b in dict.fromkeys(b for b, _, _ in catalog)}
+        self.owner = {m: b for m in self.every if len({c for c, n, _ in catalog if n == m}) == 1 for b, n, _ in catalog if n == m}
+        self.brands = add(brands)
+        self.models = {b: add(pick(models, own)) for b, own in [("", self.every), *self.of.items()]}
+        self.trims = {}
+        for b, m, listed in catalog:
+            own = pick(trims, listed)
+            safe = {**own, **{x: x for x in listed if x not in context_only}}
+            self.trims[b, m] = listed, add(own), add(context.get((b, m), {})), add(safe)
+
+    def forms(self, title: Column, description: Column, brand: Column, model: Column, trim: Column) -> dict[str, Column]:
+        """The texts to be searched, normalised."""
+        form = lambda c: normalize_match_any(F.coalesce(c, F.lit("")))
+        stated = lambda c: F.when(c.isNotNull(), normalize_match_any(c))
+        return {"title": form(title), "description": form(description), "brand": stated(brand), "model": stated(model), "trim": stated(trim)}
+
+    def hits(self, forms: dict[str, Column]) -> dict[str, Column]:
+        """What is found in each of the forms, and in title and description as one text. Forms should be columns of their own."""
+        both = F.concat_ws(" ", *[F.nullif(forms[c], F.lit("")) for c in ("title", "description")])
+        return {c: self.lexicon.hits(x) for c, x in {"title": forms["title"], "text": both, "brand": forms["brand"], "model": forms["model"], "trim": forms["trim"]}.items()}
+
+    def named(self, hits: dict[str, Column], brand: Column, model: Column, trim: Column) -> Column:
+        """struct(brand, model, trim) from what was found.
+
+        For each the stated value counts if it is a name of the catalogue, then an alias in it, then an alias in the text. Models
+        are those of the brand, if it is known; a model of one brand alone gives the brand. The trim is looked for in the title
+        only: first the phrases of its model, then aliases and those names that aren't too short to stand alone. All three are
+        null if brand or model stay unknown or don't belong together, or if the model has trims and none was found.
+        """
+        best = self.lexicon.best
+
+        def by_brand(b: Column, build) -> Column:
+            """build(brand, names of the models) for the brand's models; for an unknown brand, for all."""
+            out = F.when(b.isNull(), build("", self.every))
+            for name, own in self.of.items():
+                out = out.when(b == name, build(name, own))
+            return out
+
+        def trim_of(h: Column, b: Column, m: Column) -> Column:
+            out = F.lit("")
+            for (of, name), (listed, own, context, safe) in self.trims.items():
+                if listed:
+                    found = F.coalesce(unique_value(trim, listed), best(h["trim"], own), best(h["title"], context), best(h["title"], safe))
+                    out = F.when((b == of) & (m == name), found).otherwise(out)
+            return out
+
+        def model_of(h: Column, b: Column) -> Column:
+            return by_brand(b, lambda name, own: F.coalesce(unique_value(model, own), best(h["model"], self.models[name]), best(h["text"], self.models[name])))
+
+        def told(h: Column) -> Column:
+            b = F.coalesce(unique_value(brand, list(self.of)), best(h["brand"], self.brands), best(h["text"], self.brands))
+            owner = F.create_map(*[F.lit(v) for p in self.owner.items() for v in p])
+            return let(b, lambda b: let(model_of(h, b), lambda m: let(F.coalesce(b, F.try_element_at(owner, m)), lambda c: whole(h, c, m))))
+
+        def whole(h: Column, b: Column, m: Column) -> Column:
+            known = F.concat_ws("\t", b, m).isin(*[f"{c}\t{n}" for c, n, _ in self.catalog]) & b.isNotNull() & m.isNotNull()
+            return let(trim_of(h, b, m), lambda t: F.when(known & t.isNotNull(), F.struct(b.alias("brand"), m.alias("model"), t.alias("trim"))))
+
+        return let(F.struct(*[c.alias(n) for n, c in hits.items()]), told)
+
+
+def group_identity(title: Column, description: Column, brand: Column, model: Column, trim: Column, **lists) -> Column:
+    """struct(brand, model, trim) of the group-mean pipeline, as a single expression; ``lists`` as for GroupIdentity."""
+    own = GroupIdentity(**lists)
+    return own.named(own.hits(own.forms(title, description, brand, model, trim)), brand, model, trim)

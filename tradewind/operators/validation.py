@@ -19,13 +19,15 @@ def listing_reason(rows: DataFrame, as_of_year: int, blocked: Sequence[str] = L.
     text = F.concat_ws("\n", "title", "raw_text")
     out = rows.withColumn("clean_url", T.canonical_url(F.col("url"))).select("*", F.explode(F.array(T.normalize_match(text))).alias("_t"))
     plain = {"normalized": True}
+    out = out.withColumn("_named", F.concat_ws(" ", F.col("_t"), T.normalize_match(F.col("clean_url"))))
+    out = out.withColumn("_hits", P.vehicle_hits(F.col("_named"), **plain))
     # Generated once a row, so that no later filter or column computes the fields again.
     fields = F.struct(
         *(c.alias(n) for n, c in {
             "_b": T.first_phrase(F.col("_t"), [P._plain_match(p) for p in blocked]),
             "price": P.parse_price(F.col("_t"), **plain),
             "model_year": F.coalesce(P.parse_year(F.col("_t"), **plain), P.year_from_url(F.col("clean_url"))),
-            "_v": P.vehicle_identity(F.concat_ws(" ", F.col("_t"), T.normalize_match(F.col("clean_url"))), **plain),
+            "_v": P.vehicle_identity(F.col("_named"), **plain, hits=F.col("_hits")),
             "mileage": P.parse_mileage(F.col("_t"), **plain),
         }.items())
     )
@@ -44,7 +46,7 @@ def listing_reason(rows: DataFrame, as_of_year: int, blocked: Sequence[str] = L.
         .otherwise("accepted")
     )
     listed_id = F.coalesce(F.nullif(T.strip(F.col("source_ad_id")), F.lit("")), F.substring(F.sha2(F.col("clean_url").cast("binary"), 256), 1, 24))
-    return out.withColumns({"reason": reason, "source_ad_id": listed_id}).drop("_t", "_b")
+    return out.withColumns({"reason": reason, "source_ad_id": listed_id}).drop("_t", "_b", "_named", "_hits")
 
 
 def batch_listing(rows: DataFrame, text: str = "text", models: Sequence[str] = L.BATCH_MODELS, excluded: Sequence[str] = L.BATCH_EXCLUDED) -> DataFrame:
@@ -161,8 +163,16 @@ def group_listings(rows: DataFrame, title: str, description: str, stated: Sequen
     """
     column = lambda c: F.col(c) if c else F.lit(None).cast("string")
     brand, model, trim, year = map(column, stated)
-    both = F.concat_ws(" ", title, description)
-    out = rows.select("*", F.explode(F.array(F.struct(P.group_identity(F.col(title), F.col(description), brand, model, trim).alias("v"), F.coalesce(P.normalize_year(year), P.year_group(both)).alias("y"), P.mileage_group(both).alias("m")))).alias("_x"))
+    own = P.GroupIdentity()
+    # Each step is computed once a row: forms by a generator, what is found in them by one pass in Python.
+    forms = own.forms(F.col(title), F.col(description), brand, model, trim)
+    out = rows.select("*", F.explode(F.array(F.struct(*[c.alias(n) for n, c in forms.items()]))).alias("_f"))
+    hits = own.hits({n: F.col(f"_f.{n}") for n in forms})
+    out = out.withColumns({f"_h_{n}": h for n, h in hits.items()})
+    both = F.concat_ws(" ", *[F.nullif(F.col(f"_f.{n}"), F.lit("")) for n in ("title", "description")])
+    identity = own.named({n: F.col(f"_h_{n}") for n in hits}, brand, model, trim)
+    fields = F.struct(identity.alias("v"), F.coalesce(P.normalize_year(year), P.year_group(both, normalized=True)).alias("y"), P.mileage_group(both, normalized=True).alias("m"))
+    out = out.select("*", F.explode(F.array(fields)).alias("_x")).drop("_f", *[f"_h_{n}" for n in hits])
     known = F.col("_x.v").isNotNull() & F.col("_x.y").isNotNull()
     told = {"brand": "_x.v.brand", "model": "_x.v.model", "trim": "_x.v.trim", "model_year": "_x.y", "mileage": "_x.m"}
     return out.withColumns({n: F.when(known, F.col(c)) for n, c in told.items()}).drop("_x")

@@ -38,6 +38,11 @@ def bp(percent) -> object:
     return F.floor(percent * 100).cast("bigint")
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows for costly parsing, over as many partitions as tasks can run: a table of one small file comes in one."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def docs(spark, sf):
     return read_table(spark, sf, "documents")
 
@@ -346,7 +351,7 @@ def listing_reason(spark, sf):
         F.when(F.col("price") % 5 != 0, F.concat(F.lit("قیمت "), F.translate((F.col("price") * 1000).cast("string"), "0123456789", FA), F.lit(" تومان"))).otherwise(""),
     ]
     rows = listings(spark, sf).select(F.lit("x").alias("source"), F.col("ad_id").alias("source_ad_id"), F.lit("https://example.com/ad").alias("url"), name.alias("title"), F.concat_ws(" \n", *words).alias("raw_text"))
-    return V.listing_reason(rows, 2001).select(F.col("source_ad_id").alias("ad_id"), "reason")
+    return V.listing_reason(dealt(rows), 2001).select(F.col("source_ad_id").alias("ad_id"), "reason")
 
 
 @query("select ad_id, case when trim = 'R' then 'missing_title' when model = 'ECONOMY' then 'blocked_phrase:economy' when price <= 20000 then 'invalid_price' else 'accepted' end reason from ads", ads=True)
@@ -671,7 +676,7 @@ def group_identity(spark, sf):
     phrase of a model, a model without trims, a missing trim and no vehicle; a year before or after its label."""
     year = F.when(F.col("price") % 2 == 0, F.concat(F.lit("مدل "), F.col("year").cast("string"))).otherwise(F.concat(F.col("year").cast("string"), F.lit(" سال")))
     text = F.concat_ws(" ", year, F.lit("کارکرد"), F.col("mileage").cast("string"), F.lit("کیلومتر"))
-    rows = listings(spark, sf).select("ad_id", _told(F.col("model")).alias("title"), text.alias("description"))
+    rows = dealt(listings(spark, sf).select("ad_id", _told(F.col("model")).alias("title"), text.alias("description")))
     return V.group_listings(rows, "title", "description").select("ad_id", "brand", "model", "trim", "model_year", "mileage")
 
 
