@@ -11,6 +11,7 @@ from .. import lexicons as L
 from ..functions import parsers as P
 from ..functions import text as T
 from ..sources import payloads as PL
+from ..sources.scratch import written
 
 
 def listing_reason(rows: DataFrame, as_of_year: int, blocked: Sequence[str] = L.HISTORY_BLOCKED, required: Sequence[tuple[str, str]] = L.HISTORY_TRIM_REQUIRED) -> DataFrame:
@@ -126,10 +127,13 @@ def build_listings(payloads: DataFrame, key: str, card: str, detail: str, seen_a
     price. ``stored`` (token, first_seen) keeps the first_seen of what is known. Rows without a token are left out.
     """
     default = "آگهی خودرو"
-    whole = F.concat(F.lit('{"card":'), F.col(card), F.when(F.col(detail).isNotNull(), F.concat(F.lit(',"detail":'), F.col(detail))).otherwise(F.lit("")), F.lit("}"))
-    rows = payloads.select(key, whole.alias("_json"), F.col(card).alias("_card"), F.coalesce(detail, card).alias("_top"))
-    walk = PL.json_walk(rows, key, "_json", depth)
-    own, top = PL.json_walk(rows, key, "_card", depth), PL.json_walk(rows, key, "_top", depth)
+    told = F.expr(f"try_parse_json(`{detail}`) is not null")
+    whole = F.concat(F.lit('{"card":'), F.col(card), F.when(told, F.concat(F.lit(',"detail":'), F.col(detail))).otherwise(F.lit("")), F.lit("}"))
+    rows = payloads.select(key, whole.alias("_json"))
+    walk = written(PL.json_walk(rows, key, "_json", depth))
+    below = lambda name: walk.filter(F.col("path").rlike(rf"^\$\.{name}(?:$|[.\[])")).withColumn("path", F.concat(F.lit("$"), F.expr(f"substring(path, {len(name) + 3})")))
+    own, more = below("card"), below("detail")
+    top = more.unionByName(own.join(more.filter("path = '$'").select(key), key, "left_anti"))
     token = PL.json_token(own, [key]).unionByName(PL.json_token(top, [key]).join(PL.json_token(own, [key]), key, "left_anti"))
     title = PL.json_title(top, [key], default).join(PL.json_title(own, [key], default).withColumnRenamed("title", "_own"), key)
     title = title.select(key, F.when(F.col("title") == default, F.col("_own")).otherwise(F.col("title")).alias("title"))

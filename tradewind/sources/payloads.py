@@ -9,23 +9,28 @@ from pyspark.sql import functions as F
 
 from ..functions.parsers import plausible_price, price_peer
 from ..functions.text import normalize_text, squeeze
+from .scratch import written
 
 
 def json_walk(payloads: DataFrame, key: str, payload: str, depth: int = 8) -> DataFrame:
     """key, pos (array of positions; its order is the order of a walk from the top), path, name, kind, text of every value.
 
-    A payload that is no JSON, or null, has no values. Values deeper than ``depth`` levels are left inside their parent's text.
+    A payload that is no JSON, or null, has no values. The walk goes on until a level holds no object or list: ``depth`` levels
+    make one plan, and where values lie deeper, the last level is written and the next plan starts from it.
     """
     level = payloads.select(F.col(key), F.expr(f"try_parse_json(`{payload}`)").alias("v")).filter("v is not null")
     level = level.select(key, F.expr("cast(array() as array<int>)").alias("pos"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), "v")
     view = "coalesce(cast(try_variant_get(v, '$', 'string') as string), to_json(v))"
     kind = F.regexp_replace(F.expr("schema_of_variant(v)"), r"[<(].*", "")
+    nested = lambda df: df.filter(F.expr("schema_of_variant(v)").rlike("^(OBJECT|ARRAY)"))
     out = level.select(key, "pos", "path", "name", kind.alias("kind"), F.expr(view).alias("text"))
-    for _ in range(depth):
-        level = level.filter(F.expr("schema_of_variant(v)").rlike("^(OBJECT|ARRAY)"))
-        level = _explode(level, key)
-        out = out.unionByName(level.select(key, "pos", "path", "name", kind.alias("kind"), F.expr(view).alias("text")))
-    return out
+    while True:
+        for _ in range(depth):
+            level = _explode(nested(level), key)
+            out = out.unionByName(level.select(key, "pos", "path", "name", kind.alias("kind"), F.expr(view).alias("text")))
+        if nested(level).isEmpty():
+            return out
+        level = written(nested(level))
 
 
 def _explode(level: DataFrame, key: str) -> DataFrame:
@@ -85,10 +90,10 @@ def json_cards(payloads: DataFrame, key: str, payload: str, path: str = "$.web_w
     Token and title are looked for below the item (json_token, json_title); a token counts once in a payload, the first by
     position, and pos numbers its cards.
     """
-    walk = json_walk(payloads, key, payload, depth)
+    walk = written(json_walk(payloads, key, payload, depth))
     item = (F.col("kind") == "OBJECT") & F.col("path").endswith("]")
     items = walk.filter(item).select(F.col(key).alias("_key"), F.col("pos").alias("_item"), F.col("path").alias("_root"))
-    # Every value is told to the items above it: at most ``depth`` of them.
+    # Every value is told to the items above it, as many as it lies deep.
     above = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("pos"))), lambda n: F.slice("pos", 1, n)))
     below = walk.withColumn("_above", above).join(items, (F.col(key) == F.col("_key")) & (F.col("_above") == F.col("_item")))
     below = below.withColumn("relative", F.concat(F.lit("$"), F.expr("substring(path, length(_root) + 1)")))
