@@ -268,23 +268,151 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == sorted((r.ad_id, r.prior_n) for r in M.prior_history_deals(source, ["key"]).collect())
 
 
+def test_stream_expires_by_event_time(spark, tmp_path):
+    """A backlog replayed at once: listings older than the days before an arrival don't count, whatever the clock says."""
+    from tradewind.streaming.jobs import prior_history_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    days = [0, 1, 2, 3, 4, 60, 61, 62, 63, 64, 100, 104, 250, 251, 252, 253, 254]
+    rows = [(f"a{k:02d}", key, 900 - 30 * (k % 5), f"2024-01-01 {k % 24:02d}:00:00", d) for key in ("x", "y") for k, d in enumerate(days) if key == "x" or k % 4]
+    source = spark.createDataFrame([(key + a, key, p, at, d) for a, key, p, at, d in rows], "ad_id string, key string, price bigint, at string, d int")
+    source = source.select("ad_id", "key", "price", (F.col("at").cast("timestamp") + F.make_dt_interval("d")).alias("first_seen"), "d").cache()
+    for k, (lo, hi) in enumerate(((0, 3), (3, 61), (61, 105), (105, 252), (252, 999))):
+        source.filter(F.col("d").between(lo, hi - 1)).drop("d").coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
+    schema = source.drop("d").schema
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = prior_history_stream(stream, "key", low=1, least=3, days=45).writeStream.format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120)
+    got = sorted((r.ad_id, r.prior_n) for r in spark.sql("select * from expiring").collect())
+    want = sorted((r.ad_id, r.prior_n) for r in M.prior_history_deals(source, ["key"], low=1, least=3, days=45).collect())
+    assert got == want and want
+    assert want != sorted((r.ad_id, r.prior_n) for r in M.prior_history_deals(source, ["key"], low=1, least=3).collect())
+
+
+def test_history_rewrites_touched_buckets_only(spark, tmp_path):
+    from tradewind.operators.history import upsert
+    from tradewind.streaming.jobs import History
+
+    table = History(spark, str(tmp_path / "h"), buckets=8)
+    row = lambda ids, price, day: spark.createDataFrame([(i, price, f"2024-01-0{day} 00:00:00") for i in ids], "ad_id string, price bigint, t string").select("ad_id", "price", F.col("t").cast("timestamp").alias("first_seen"), F.col("t").cast("timestamp").alias("last_seen"))
+    merged = lambda old, new: upsert(old, new, "ad_id")
+    first, fresh = table.merge(row([f"a{k}" for k in range(60)], 1, 1), "ad_id", (0, 0), merged)
+    assert len(first) == 8 and fresh.count() == 60
+    second, fresh = table.merge(row(["a1", "zz"], 2, 2), "ad_id", (0, 1), merged)
+    assert sorted(r.ad_id for r in fresh.collect()) == ["zz"]
+    assert 1 <= sum(first[b] != second[b] for b in first) <= 2  # two keys, two buckets at most
+    again, _ = table.merge(row(["a1", "zz"], 2, 2), "ad_id", (0, 1), merged)  # a repeated batch
+    assert again == second
+    got = {r.ad_id: (r.price, r.first_seen.day) for r in table.read(again).collect()}
+    assert len(got) == 61 and got["a1"] == (2, 1) and got["zz"] == (2, 2) and got["a2"] == (1, 1)
+    table.prune(1)
+    assert table.versions() == [(0, 1)] and table.read(table.files((0, 1))).count() == 61
+
+
 def test_scan_job(spark, tmp_path):
-    from tradewind.streaming.jobs import scan_job
+    from tradewind.streaming.jobs import History, scan_job
 
     for k, prices in enumerate(([900, 950, 920, 940], [850])):
         arrivals(spark, prices, start=4 * k).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = arrivals(spark, [1]).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     deals = lambda history, fresh: M.prior_history_deals(history, ["key"]).join(fresh.select("ad_id"), "ad_id", "left_semi")
-    scan = lambda cp: scan_job(stream, str(tmp_path / "h"), str(tmp_path / "l"), str(tmp_path / "o"), "ad_id", deals, str(tmp_path / cp), [F.desc("first_seen")])
+    scan = lambda cp: scan_job(stream, str(tmp_path / "h"), str(tmp_path / "l"), str(tmp_path / "o"), "ad_id", deals, str(tmp_path / cp), [F.desc("first_seen")], counters=str(tmp_path / "c"))
+    history = History(spark, str(tmp_path / "h"))
+    newest = lambda: history.read(history.files(max(history.versions())))
     assert scan("cp").awaitTermination(120)
     assert [r.ad_id for r in spark.read.parquet(str(tmp_path / "o")).collect()] == ["a04"]
-    assert spark.read.parquet(str(tmp_path / "h" / "run=0" / "batch=1")).count() == 5
+    assert newest().count() == 5
     # A new checkpoint goes on from the history: nothing is new, nothing is sent twice.
     arrivals(spark, [500], start=5).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     assert scan("cp2").awaitTermination(120)
     assert sorted(r.ad_id for r in spark.read.parquet(str(tmp_path / "o")).collect()) == ["a04", "a05"]
-    assert spark.read.parquet(str(tmp_path / "h" / "run=1" / "batch=2")).count() == 6
+    assert newest().count() == 6
+    told = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "c")).select("run", "fetched", "distinct_keys", "new_keys", "deals").collect())
+    assert sum(r[1] for r in told if r[0] == 0) == 5 and sum(r[3] for r in told) == 6 and sum(r[4] for r in told) == 2
+    assert [sum(r[k] for r in told if r[0] == 1) for k in (1, 2, 3, 4)] == [6, 6, 1, 1]
+
+
+def test_prior_history_of_a_large_group_in_ranges(spark):
+    rows = [(f"a{k:05d}", "hot" if k % 3 else None, 100 + k * 7919 % 101, k // 7) for k in range(2000)]
+    df = spark.createDataFrame(rows, "ad_id string, key string, price bigint, s int").select("ad_id", "key", "price", F.timestamp_seconds("s").alias("first_seen"))
+    told = lambda **o: sorted(map(str, M.prior_history(df, ["key"], **o).select("ad_id", "prior_n", "prior_avg").collect()))
+    assert told(split_rows=500) == told()
+    ranges = M.prior_history(df, ["key"], split_rows=500)
+    assert sorted(ranges.columns) == sorted(M.prior_history(df, ["key"]).columns)
+    sizes = [n for n in ranges.withColumn("p", F.spark_partition_id()).groupBy("p").count().toPandas()["count"]]
+    assert len(sizes) >= 3 and max(sizes) < 1200
+
+
+def test_json_walk_to_the_last_level(spark):
+    import json
+
+    from tradewind.sources.payloads import json_walk
+
+    deep = '{"token":"abcde9","title":"x"}'
+    for k in range(20):
+        deep = f'{{"a":[1,{deep}],"b{k}":{{}}}}'
+    df = spark.createDataFrame([(1, deep), (2, '{"q":[]}'), (3, None), (4, "bad")], "k int, p string")
+
+    def walk(v, pos, path):
+        yield pos, path
+        inside = [(f".{k}", x) for k, x in sorted(v.items())] if isinstance(v, dict) else [(f"[{k}]", x) for k, x in enumerate(v)] if isinstance(v, list) else []
+        for k, (step, x) in enumerate(inside):
+            yield from walk(x, [*pos, k], path + step)
+
+    got = json_walk(df, "k", "p", depth=3).orderBy("k", "pos").collect()
+    assert [(r.pos, r.path) for r in got if r.k == 1] == list(walk(json.loads(deep), [], "$"))
+    assert [r.path for r in got if r.k > 1] == ["$", "$.q"]
+
+
+@pytest.mark.parametrize("keys", [["brand", "trim"], ["trim"]])
+def test_slabs_of_hot_stretches_give_the_same_medians(spark, keys):
+    from tradewind.sources.tables import listings
+
+    ads = listings(spark, "/root/testdata/sf0.001").filter("brand < 'Brand#3'")
+    told = lambda f, **o: sorted(map(str, f(ads, keys, **o).collect()))
+    peers = lambda *a, **o: M.peer_median_opportunities(*a, tolerance=2000, min_discount=50, **o)
+    assert told(peers) == told(peers, cell_points=60)
+    assert told(M.local_median) == told(M.local_median, cell_points=60)
+
+
+def test_ranks_against_sorting():
+    import numpy as np
+
+    from tradewind.operators.bands import Ranks
+
+    rng = np.random.default_rng(3)
+    values, weights = rng.integers(0, 40, 300), rng.integers(1, 4, 300)
+    ranks = Ranks(values, weights)
+    low = rng.integers(0, 300, 200)
+    high = np.minimum(300, low + rng.integers(0, 120, 200))
+    for a, b in zip(low, high, strict=True):
+        own = np.repeat(values[a:b], weights[a:b])
+        own.sort()
+        one = lambda f, *x: f(np.array([a]), np.array([b]), *map(np.array, x))[0]  # noqa: B023, E731
+        assert one(ranks.weight) == len(own)
+        for k in {0, len(own) // 2, len(own) - 1} if len(own) else ():
+            assert one(ranks.at, [k]) == own[k]
+        for x in (-1, 7.5, 20, 99):
+            assert one(ranks.below, [x]) == (own < x).sum() and ranks.below(np.array([a]), np.array([b]), np.array([x]), to=True)[0] == (own <= x).sum()
+
+
+def test_automaton_equals_the_column_expression(spark):
+    """The same aliases with and without borders, overlapping, at the ends, and beside letters."""
+    from tradewind.functions.automaton import Lexicon
+
+    aliases = {"ab": "1", "ab c": "2", "c": "3", "پژو": "4", "پژو 206": "5", "x1": "6", "206": "7"}
+    texts = ["ab c", "abc", "cab c", "xab c1", "پژو206", "پژو 206", "پژو 2061", "ax1", "x1", "x1 x1b", "", None, "206 ab", "_ab", "-c-"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    for bounded in (True, False):
+        lexicon = Lexicon(lambda p: p)
+        import re
+
+        numbers = lexicon.add(aliases, lambda p: "word" if bounded else "latin" if re.fullmatch("[a-z0-9 ]+", p) else "")
+        df2 = df.withColumn("h", lexicon.hits(F.col("t")))
+        got = df2.select("k", lexicon.best(F.col("h"), numbers).alias("a"), T.longest_alias(F.col("t"), aliases, bounded=bounded).alias("b")).collect()
+        assert all(r.a == r.b for r in got), got
+
 
 
 def test_new_listings_once(spark, tmp_path):

@@ -211,15 +211,25 @@ def local_median(listings: DataFrame, keys: Sequence[str], tolerance: int = 10_0
 RANGES = 256
 
 
-def prior_history(listings: DataFrame, keys: Sequence[str], most: int = 10, split_rows: int = 1 << 16) -> DataFrame:
-    """prior_n, prior_avg: over the latest ``most`` listings of the group that came before (ties of first_seen by ad_id).
+def prior_history(listings: DataFrame, keys: Sequence[str], most: int = 10, split_rows: int = 1 << 16, days: int | None = None) -> DataFrame:
+    """prior_n, prior_avg: over the latest ``most`` listings of the group that came before (ties of first_seen by ad_id), and with
+    ``days``, at most that many days before the listing.
 
     A group is one sorted partition of a window, unless it has more than ``split_rows`` listings: such a group is cut into RANGES
     ranges of first_seen (at percentiles), each a partition that starts with the ``most`` listings before it. These are found
     among the last ``most`` of each range, as none earlier in a range can be among them.
     """
     order = ["first_seen", "ad_id"]
-    added = lambda w: {"prior_n": F.count("*").over(w), "prior_avg": F.avg("price").over(w)}
+
+    def added(w: Window) -> dict[str, Column]:
+        if days is None:
+            return {"prior_n": F.count("*").over(w), "prior_avg": F.avg("price").over(w)}
+        # At most ``most`` rows: those too old are told apart in the row that sees them.
+        near = F.filter(F.collect_list(F.struct("first_seen", "price")).over(w), lambda x: x["first_seen"] >= F.col("first_seen") - F.make_dt_interval(days=F.lit(days)))
+        known = F.filter(near, lambda x: x["price"].isNotNull())
+        total = F.aggregate(known, F.lit(0.0), lambda s, x: s + x["price"])
+        return {"prior_n": F.size(near).cast("long"), "prior_avg": F.when(F.size(known) > 0, total / F.size(known))}
+
     frame = lambda *by: Window.partitionBy(*by).orderBy(*order).rowsBetween(-most, -1)
     large = written(listings.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > split_rows).drop("_n"))
     if large.isEmpty():
@@ -241,8 +251,8 @@ def prior_history(listings: DataFrame, keys: Sequence[str], most: int = 10, spli
     return cut.unionByName(carried).withColumns(added(frame(*keys, "_range"))).filter("not _before").drop("_range", "_before")
 
 
-def prior_history_deals(listings: DataFrame, keys: Sequence[str], low: float = 4.0, least: int = 4, most: int = 10) -> DataFrame:
-    known = prior_history(listings, keys, most).filter(F.col("prior_n") >= least)
+def prior_history_deals(listings: DataFrame, keys: Sequence[str], low: float = 4.0, least: int = 4, most: int = 10, days: int | None = None) -> DataFrame:
+    known = prior_history(listings, keys, most, days=days).filter(F.col("prior_n") >= least)
     return known.withColumn("discount_percent", percent_below(F.col("price"), F.col("prior_avg"))).filter(F.col("discount_percent") >= low)
 
 
