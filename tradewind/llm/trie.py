@@ -32,8 +32,8 @@ def _power(base: int, exponent: Column, prime: int) -> Column:
     return out
 
 
-def _bases(seed: int) -> tuple[int, int]:
-    return tuple(10**9 + 7 + int.from_bytes(hashlib.sha256(f"{seed}:{k}".encode()).digest()[:3], "big") for k in range(2))
+def _bases(seed: int) -> tuple[int, ...]:
+    return tuple(2 + int.from_bytes(hashlib.sha256(f"{seed}:{k}".encode()).digest()[:8], "big") % (p - 3) for k, p in enumerate(PRIMES))
 
 
 def _running(rows: DataFrame, keys: list[str], order: str, bucket: Column, sums: dict[str, tuple[str, Callable[[Column], Column]]]) -> DataFrame:
