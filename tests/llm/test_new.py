@@ -310,3 +310,84 @@ def test_long_digits_through_spark(spark):
     rows = [(1, "." + "1" * 1_000_000), (2, "1" * 1_000_000 + "." * 1000), (3, "mail me@x.org or 10.0.0.1")]
     out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [(out[k].n_email, out[k].n_ip) for k in (1, 2, 3)] == [(0, 0), (0, 0), (1, 1)]
+
+
+def test_url_rules_against_brute_force(spark):
+    import re
+
+    rng = random.Random(4)
+    word = lambda: rng.choice(["ads", "img", "cdn", "track", "a", "b1", "shop", "x" + str(rng.randrange(60))])
+    rules = [(f"r{k:03d}", f"/{w}/" if k % 3 else rf"[/.]{w}([/.]|$)", rng.choice(["block", "allow"]), [w], rng.randrange(5)) for k, w in ((k, word()) for k in range(300))]
+    rules += [("two", r"\bads\b.*\bcdn\b", "block", ["ads", "cdn"], 9), ("none", "zz$", "block", [], 3), ("null", None, "block", ["a"], 99), ("host", r"://([^/]*\.)?b1\.org/", "allow", ["b1", "org"], 1_000_007)]
+    urls = [f"http://{word()}.{rng.choice(['org', 'com'])}/{word()}/{word()}{rng.choice(['', '/', 'zz', '?q=' + word()])}" for _ in range(400)] + [None, "", "plain/ads/x"]
+    urls += urls[:5]
+    table = spark.createDataFrame(rules, "rule string, pattern string, verdict string, tokens array<string>, weight int")
+    df = spark.createDataFrame([(k, u, "c") for k, u in enumerate(urls)], "page_id int, url string, token string")
+    from tradewind.llm.url_filter import url_filter
+
+    got = {r.page_id: (r.rule or r.pattern, r.verdict) for r in url_filter(df, rules=table).collect()}
+    for k, u in enumerate(urls):
+        text = u or ""
+        if "://" in text:
+            head, rest = text.split("://", 1)
+            at = re.search(r"[/?#]|$", rest).start()
+            text = "u://" + rest[:at].lower() + rest[at:]
+        tokens = set(re.split("[^a-z0-9]+", text.lower()))
+        fits = [(w, n, v) for n, p, v, t, w in rules if p is not None and re.search(p, text) and set(t) <= tokens]
+        assert got[k] == (max(fits)[1:] if fits else (None, "allow")), u
+
+
+def plain_subwords(text):
+    """Counts of byte n-grams by bucket, byte by byte."""
+    data = b" " + b" ".join(text.lower().split()) + b" "
+    out = collections.Counter()
+    for n in (2, 3, 4):
+        for s in range(len(data) - n + 1):
+            h = n
+            for c in data[s : s + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+            h ^= h >> 15
+            out[(h * 0x85EBCA6B & 0xFFFFFFFF) >> 16] += 1
+    return out
+
+
+def test_language_model_against_a_plain_twin():
+    """The same descent with loops over subwords and languages, and scores from averaged embeddings, on few texts."""
+    from tradewind.llm import langid
+
+    rows = [(b"the cat sat on the mat", "en"), (b"der hund und die katze", "de"), ("el niño y la niña".encode(), "es"), (b"the dog and a cat", "en"), (b"das ist ein Haus", "de"), ("años de oro".encode(), "es")]
+    model = langid.train(rows, dim=4, epochs=3)
+    languages = ["de", "en", "es"]
+    rng = np.random.default_rng(5)
+    for x, _ in rows:  # the cuts come first
+        for n in langid.CUTS:
+            rng.integers(max(1, len(x.split()) - n + 1))
+    e = rng.uniform(-1 / 4, 1 / 4, (langid.BUCKETS, 4))
+    w = [[0.0] * 3 for _ in range(4)]
+    at = 0
+    for _ in range(3):
+        for k in rng.permutation(len(rows)).tolist():
+            counts, y = plain_subwords(rows[k][0]), languages.index(rows[k][1])
+            total = sum(counts.values())
+            h = [sum(n / total * e[b][d] for b, n in counts.items()) for d in range(4)]
+            z = [sum(h[d] * w[d][c] for d in range(4)) for c in range(3)]
+            top = max(z)
+            g = [np.exp(v - top) for v in z]
+            g = [v / sum(g) - (c == y) for c, v in enumerate(g)]
+            lr = 4.0 * (1 - at / 18)
+            at += 1
+            back = [sum(w[d][c] * g[c] for c in range(3)) for d in range(4)]
+            w = [[w[d][c] - lr * 0.1 * h[d] * g[c] for c in range(3)] for d in range(4)]
+            for b, n in counts.items():
+                for d in range(4):
+                    e[b][d] -= lr * np.sqrt(len(counts)) * n / total * back[d]
+    assert model.languages == languages
+    for text in ("the house", "und der", "niño", "xyz", "The CAT\tsat"):
+        counts = plain_subwords(text.encode())
+        total = sum(counts.values())
+        h = [sum(n / total * e[b][d] for b, n in counts.items()) for d in range(4)]
+        z = np.array([sum(h[d] * w[d][c] for d in range(4)) for c in range(3)])
+        assert np.allclose(model.logits(text.encode()), z, atol=1e-4)
+        p = np.exp(z / model.temperature - (z / model.temperature).max())
+        lang, score, accepted = model.predict(text.encode())
+        assert lang == languages[int(z.argmax())] and abs(score - (p / p.sum()).max()) < 1e-2 and accepted == (score >= model.threshold)

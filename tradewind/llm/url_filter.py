@@ -1,14 +1,14 @@
-"""URL filters: pattern rules, indexed by their rarest literal token, in DataFrame functions only."""
+"""URL filters: pattern rules in a table, indexed by their rarest literal token, in DataFrame functions only."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fenced, lower_ascii, unfenced
+from .common import fenced, lower_ascii, materialize, unfenced
 
 #: (host, path prefix, verdict)
 HOST_RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
@@ -21,18 +21,32 @@ PATTERN_RULES = (
 )
 
 
+#: A host rule's weight is this and its length, so that it wins over any pattern.
+HOST_WEIGHT = 1_000_000
+RULE = "rule string, pattern string, verdict string, tokens array<string>, weight int"
+
+
 def host_rule(host: str, path: str, verdict: str) -> tuple:
     """A rule for a host, all its subdomains and a path prefix. A token that the prefix may cut short isn't an index token."""
     pattern = rf"^[^:]*?://([^/?#]*\.)?{re.escape(host)}{re.escape(path)}"
     whole = path[: path.rfind("/") + 1]
     tokens = [x for x in re.split(r"[^a-z0-9]+", host.lower()) + re.split(r"[^a-z0-9]+", whole.lower()) if x]
-    return host + path, pattern, verdict, tokens, 1_000_000 + len(host + path)
+    return host + path, pattern, verdict, tokens, HOST_WEIGHT + len(host + path)
 
 
 def pattern_rule(pattern: str, tokens: Sequence[str], verdict: str) -> tuple:
     return pattern, pattern, verdict, list(tokens), len(pattern)
 
 
+def rules_table(spark: SparkSession, host_rules: Sequence[tuple] = HOST_RULES, pattern_rules: Sequence[tuple] = PATTERN_RULES) -> DataFrame:
+    """Lists of rules as a table (RULE). A table of very many rules is better read from a file of these columns."""
+    rules = [host_rule(*x) for x in host_rules] + [pattern_rule(*x) for x in pattern_rules]
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    rows = [F.struct(F.lit(n).alias("rule"), F.lit(p).alias("pattern"), F.lit(v).alias("verdict"), texts(t).alias("tokens"), F.lit(w).cast("int").alias("weight")) for n, p, v, t, w in rules]
+    kind = "array<struct<" + ",".join(":".join(x.split()) for x in RULE.split(", ")) + ">>"
+    return spark.range(1).select(F.inline(F.array(*rows).cast(kind)))
+
+
 def url_parts(url: Column) -> tuple[Column, Column]:
     """Host (after the first ://, ASCII lower case) and path; both empty for null or a URL without ://."""
     at = F.locate("://", url)
@@ -41,19 +55,20 @@ def url_parts(url: Column) -> tuple[Column, Column]:
     return lower_ascii(host), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def url_filter(pages: DataFrame, url: str = "url", host_rules: Sequence[tuple] = HOST_RULES, pattern_rules: Sequence[tuple] = PATTERN_RULES, default: str = "allow") -> DataFrame:
+def url_filter(pages: DataFrame, url: str = "url", host_rules: Sequence[tuple] = HOST_RULES, pattern_rules: Sequence[tuple] = PATTERN_RULES, default: str = "allow", rules: DataFrame | None = None) -> DataFrame:
     """Adds host, path, rule, pattern and verdict to every row.
 
-    Each rule is filed under the rarest of its literal tokens, by their counts over these URLs; a rule without one is filed
-    under the empty token, which every URL has. The tokens of a URL fetch its candidate rules, and only those run their regular
-    expressions. A host rule wins over any pattern rule, a longer rule over a shorter one, the alphabetically last on ties;
-    ``rule`` is the host rule's name, else null; ``verdict`` is the winner's, else default.
+    Rules are a table (columns RULE) of any number, or the two lists. Each rule is filed under the rarest of its literal tokens, by
+    their counts over these URLs; a rule without one is filed under the empty token, which every URL has. The tokens of a URL
+    fetch its candidate rules by a join with that index (which Spark broadcasts or not, by its size), and only those run their
+    regular expressions: neither plan nor work of a URL grows with the number of rules. A host rule wins over any pattern rule,
+    a longer rule over a shorter one, the alphabetically last on ties; ``rule`` is the host rule's name, else null; ``verdict`` is
+    the winner's, else default.
 
     Null and empty URLs have empty host and path and get the default (unless a rule without tokens fits the empty string).
-    Repeated rows are judged each; an empty table gives an empty result. Columns named like a result are replaced, all others
-    carried along, whatever their names.
+    Rules without a pattern fit nothing. Repeated rows are judged each; an empty table gives an empty result. Columns named like
+    a result are replaced, all others carried along, whatever their names.
     """
-    rules = [host_rule(*x) for x in host_rules] + [pattern_rule(*x) for x in pattern_rules]
     names = ("host", "path", "rule", "pattern", "verdict")
     seen, inner, outer = fenced(pages, {url: "url"}, names)
     host, path = url_parts(F.col("url"))
@@ -61,26 +76,20 @@ def url_filter(pages: DataFrame, url: str = "url", host_rules: Sequence[tuple] =
     # The canonical form that rules see: lower-cased scheme and host, the rest as it is.
     tail = F.when(F.locate("://", F.col("url")) > 0, F.expr("substring(url, locate('://', url) + 3 + length(host))"))
     seen = seen.withColumn("u", F.coalesce(F.concat(F.lit("u://"), F.col("host"), tail), F.col("url"), F.lit("")))
-    tokens = F.array_distinct(F.split(F.lower("u"), r"[^a-z0-9]+"))
-    if not rules:
-        null = F.lit(None).cast("string")
-        return unfenced(seen, inner, outer, ["host", "path", null.alias("rule"), null.alias("pattern"), F.lit(default).alias("verdict")])
-
-    # The rules are a parameter, so their number bounds what is collected and broadcast here.
-    literal = sorted({t for r in rules for t in r[3]})
-    in_rules = F.array_intersect(tokens, F.array(*map(F.lit, literal)).cast("array<string>"))
-    counts = {r["t"]: r["n"] for r in seen.select(F.explode(in_rules).alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    filed: dict[str, list[int]] = {}
-    for i, r in enumerate(rules):
-        filed.setdefault(min(r[3], key=lambda t: (counts.get(t, 0), t), default=""), []).append(i)
-    # The index is a map literal from token to numbers of rules: candidates are fetched in place, with no join or shuffle. Each
-    # pattern is a literal, compiled once, and runs only where its number was fetched.
-    book = F.create_map(*[x for t, rs in filed.items() for x in (F.lit(t), F.array(*map(F.lit, rs)))])
-    wanted = F.array_intersect(F.concat(tokens, F.array(F.lit(""))), F.array(*map(F.lit, sorted(filed))).cast("array<string>"))
-    near = seen.withColumn("near", F.flatten(F.transform(wanted, lambda t: F.element_at(book, t))))
-    win = lambda r: F.struct(F.lit(r[4]).alias("weight"), F.lit(r[0]).alias("rule"), F.lit(r[2]).alias("verdict"))
-    hits = [F.when(F.array_contains("near", i) & F.regexp_like("u", F.lit(r[1])), win(r)) for i, r in enumerate(rules)]
-    best = near.withColumn("best", F.array_max(F.array(*hits)))
-    host_won = F.col("best.weight") >= 1_000_000
+    own = rules_table(pages.sparkSession, host_rules, pattern_rules) if rules is None else rules.select(*[x.split()[0] for x in RULE.split(", ")])
+    own = materialize(own.filter("pattern is not null"))
+
+    tokens = F.array_distinct(F.concat(F.split(F.lower("u"), r"[^a-z0-9]+"), F.array(F.lit(""))))
+    words = seen.select("u", F.explode(tokens).alias("token"))
+    literal = own.select("*", F.explode_outer("tokens").alias("token"))
+    asked = literal.filter("token is not null").select("token").distinct()
+    counts = words.join(asked, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("token", F.lit("")).alias("token")))["token"]
+    filed = literal.join(counts, "token", "left").groupBy("rule", "pattern", "verdict", "weight").agg(rarest.alias("token"))
+    filed = materialize(filed)
+    fetched = words.join(filed, "token").filter(F.expr("regexp_like(u, pattern)"))
+    best = fetched.groupBy("u").agg(F.max(F.struct("weight", "rule", "verdict")).alias("best"))
+    judged = seen.join(best.withColumnRenamed("u", "of"), F.col("u") == F.col("of"), "left")
+    host_won = F.col("best.weight") >= HOST_WEIGHT
     added = [F.when(host_won, F.col("best.rule")).alias("rule"), F.when(~host_won, F.col("best.rule")).alias("pattern")]
-    return unfenced(best, inner, outer, ["host", "path", *added, F.coalesce("best.verdict", F.lit(default)).alias("verdict")])
+    return unfenced(judged, inner, outer, ["host", "path", *added, F.coalesce("best.verdict", F.lit(default)).alias("verdict")])
