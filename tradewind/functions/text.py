@@ -104,15 +104,13 @@ def longest_alias(text: Column, aliases: Mapping[str, object], bounded: bool = F
 def earliest_alias(text: Column, aliases: Sequence[str], fallback: str = "unknown") -> Column:
     """The alias that starts first (the longest of those at one place) and a Latin token of 2 to 9 characters after it; else the
     start of the first line, at most 60 characters; else the fallback."""
+    # One search: alternatives are tried longest first at each place, and the first place with any of them wins.
     word = r"[\p{L}\p{N}_]"
-    at = lambda a: F.regexp_instr(text, F.lit(rf"(?<!{word}){re.escape(a)}(?!{word})"))
-    hits = [F.when(at(a) > 0, F.struct(at(a).alias("p"), F.lit(-len(a)).alias("n"), F.lit(a).alias("a"))) for a in aliases]
-    best = F.least(*hits) if len(hits) > 1 else hits[0]
-    rest = F.substring(text, best["p"] - best["n"], F.length(text))
-    trim = F.regexp_extract(rest, rf"^{BLANK}+([A-Za-z][A-Za-z0-9\-]{{1,8}})(?!{word})", 1)
+    names = "|".join(re.escape(a) for a in sorted(aliases, key=len, reverse=True))
+    pattern = rf"(?<!{word})({names})(?!{word})(?:{BLANK}+([A-Za-z][A-Za-z0-9\-]{{1,8}})(?!{word}))?"
+    name, trim = (F.regexp_extract(text, pattern, k) for k in (1, 2))
     line = strip(F.substring(strip(F.element_at(F.split(text, "\n"), 1)), 1, 60))
-    named = F.concat_ws(" ", best["a"], F.nullif(trim, F.lit("")))
-    return F.when(best.isNotNull(), named).otherwise(F.coalesce(F.nullif(line, F.lit("")), F.lit(fallback)))
+    return F.when(name != "", F.concat_ws(" ", name, F.nullif(trim, F.lit("")))).otherwise(F.coalesce(F.nullif(line, F.lit("")), F.lit(fallback)))
 
 
 def canonical_url(url: Column) -> Column:

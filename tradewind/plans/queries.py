@@ -731,3 +731,103 @@ def source_text(spark, sf):
 def model_keys(spark, sf):
     title = F.when(F.col("model") == "ECONOMY", F.concat(F.lit("پژو206 تیپ پنج سفید مدل "), F.col("year").cast("string"))).when(F.col("model") == "SMALL", "دنا پلاس DENA+").otherwise(F.concat(F.lit("سوناتا بدون رنگ "), F.col("mileage").cast("string"), F.lit(" کیلومتر")))
     return listings(spark, sf).select("ad_id", P.model_key(title, [("Dena", "dena plus")]).alias("model_key"))
+
+
+# --- texts of the pipelines, told from the tables' rows in the language of the lexicons
+
+NAMED = {"ECONOMY": "پژو 206", "SMALL": "دنا", "LARGE": "پراید", "PROMO": "سوناتا", "MEDIUM": "تیبا", "STANDARD": "شاهین"}
+NAMED_SQL = "case model " + " ".join(f"when '{k}' then '{v}'" for k, v in NAMED.items()) + " end"
+
+
+@query(f"""select ad_id, {NAMED_SQL} car_name, cast(case when year % 4 = 0 then 1300 + year % 100 else year end as varchar) model_year,
+  case price % 6 when 0 then ((1 + price % 3) * 1000 + price % 1000) * 1000000 when 1 then (1 + price % 9) * 1000000000 when 2 then (100 + price % 800) * 1000000
+    when 3 then case when price >= 1000 then price * 1000 end when 4 then (100 + price % 800) * 1000000 end price,
+  case when mileage = 1000 then 0 else mileage end mileage, mileage = 1000 is_zero_km,
+  case when trim = 'R' then 'excluded:لیزینگ' when price % 6 = 5 or price % 6 = 3 and price < 1000 then 'no_price' else 'accepted' end reason, not contains(cast(price as varchar), '77') signed from ads""", ads=True)
+def batch_listings(spark, sf):
+    """Messages of the batch-mean pipeline: six ways to tell a price, years of two digits, thousands of kilometres, signatures."""
+    n = F.col("price")
+    price = (
+        F.when(n % 6 == 0, F.concat(F.lit("قیمت "), (1 + n % 3).cast("string"), F.lit("/"), F.lpad((n % 1000).cast("string"), 3, "0")))
+        .when(n % 6 == 1, F.concat((1 + n % 9).cast("string"), F.lit(" میلیارد")))
+        .when(n % 6 == 2, F.concat((100 + n % 800).cast("string"), F.lit(" میلیون")))
+        .when(n % 6 == 3, F.concat((n * 1000).cast("string"), F.lit(" تومان")))
+        .when(n % 6 == 4, F.concat(F.lit("فروش "), (100 + n % 800).cast("string")))
+        .otherwise("تماس")
+    )
+    run = F.when(F.col("mileage") == 1000, "کارکرد صفر").when(F.col("mileage") % 3000 == 0, F.concat(F.lit("کارکرد "), (F.col("mileage") / 1000).cast("int").cast("string"), F.lit("/000"))).otherwise(F.concat(F.lit("کارکرد "), F.col("mileage").cast("string"), F.lit(" کیلومتر")))
+    year = F.concat(F.lit("مدل "), F.when(F.col("year") % 4 == 0, F.col("year") % 100).otherwise(F.col("year")).cast("string"))
+    name = F.coalesce(*[F.when(F.col("model") == k, F.lit(v)) for k, v in NAMED.items()])
+    # A word between the name and the price, as digits with spaces between them are one number.
+    body = F.concat_ws(" ", name, F.lit("سفید"), price, run, year, F.when(F.col("trim") == "R", "لیزینگ"))
+    body = F.when(n % 2 == 0, F.concat(name, F.translate(F.substring(body, F.length(name) + 1, F.length(body)), "0123456789", FA))).otherwise(body)
+    signature = F.when(~F.contains(n.cast("string"), F.lit("77")), " @kanal_1").otherwise("")
+    rows = dealt(listings(spark, sf).select("ad_id", body.alias("body"), F.concat(body, signature).alias("text")))
+    out = V.batch_listing(rows)
+    signed = (F.length("text") > F.length("body")) & (T.strip_signature(F.col("text")) == F.col("body"))
+    return out.select("ad_id", "car_name", "model_year", "price", "mileage", "is_zero_km", "reason", signed.alias("signed"))
+
+
+@query("select ad_id, case price % 4 when 0 then price when 1 then price * 1000 when 2 then case when price >= 100 then price * 1000 end end card_price from ads", ads=True)
+def card_prices(spark, sf):
+    """Parts of a card: the last with a currency counts, then the last bare number that is plausible."""
+    n = F.col("price")
+    toman = F.lit(" تومان")
+    grouped = F.translate(F.format_number(n * 1000, 0), "0123456789", FA)
+    parts = (
+        F.when(n % 4 == 0, F.array(F.lit("دنا 1400"), F.concat(n.cast("string"), toman), F.lit("امروز")))
+        .when(n % 4 == 1, F.array(F.concat(F.lit("1"), toman), F.concat(F.lit("فروش "), grouped, toman), F.lit("850000000")))
+        .when(n % 4 == 2, F.array(F.lit("99"), grouped, F.lit("دنا")))
+        .otherwise(F.array(F.lit("دنا"), F.lit("12"), F.lit("توافقی")))
+    )
+    return listings(spark, sf).select("ad_id", P.price_card(parts).alias("card_price"))
+
+
+IDENTITIES = {
+    "ECONOMY": (("پراید 132 سفید", "Saipa", "Pride", "132"), ("پراید تمیز", "Saipa", "Pride", "")),
+    "SMALL": (("پژو پارس سال", "Peugeot", "Pars", "سال"), ("پرشیا lx", "Peugeot", "Pars", "LX")),
+    "LARGE": (("سراتو 2000", "Kia", "Cerato", "2000"), ("کیا سراتو", "Kia", "Cerato", "")),
+    "PROMO": (("x55 پرو", "MVM", "X55", "Pro"), ("x55 pro premium", "MVM", "X55 Pro", "Premium")),
+    "MEDIUM": (("پژو206تیپ 5", "Peugeot", "206", "تیپ 5"), ("ax55b", None, None, "")),
+    "STANDARD": (("X55 IE", "MVM", "X55", "IE"), ("خودرو", None, None, "")),
+}
+_TOLD = [(m, k, *row) for m, rows in IDENTITIES.items() for k, row in enumerate(rows)]
+_SQL_TEXT = lambda x: "null" if x is None else f"'{x}'"
+
+
+@query(f"select ad_id, b brand, m model, t trim from ads join (values {', '.join('(' + ', '.join([_SQL_TEXT(a), str(k), *map(_SQL_TEXT, (b, m, t))]) + ')' for a, k, _, b, m, t in _TOLD)}) v(a, k, b, m, t) on a = model and k = price % 2", ads=True)
+def vehicle_identities(spark, sf):
+    """Names of the prior-history pipeline: the rules of four models, an alias beside digits, one inside a word, none."""
+    title = F.coalesce(*[F.when((F.col("model") == m) & (F.col("price") % 2 == k), F.lit(t)) for m, k, t, *_ in _TOLD])
+    rows = dealt(listings(spark, sf).select("ad_id", T.normalize_match(title).alias("t")))
+    rows = rows.withColumn("h", P.vehicle_hits(F.col("t"), normalized=True))
+    found = rows.select("ad_id", F.explode(F.array(P.vehicle_identity(F.col("t"), normalized=True, hits=F.col("h")))).alias("v"))
+    return found.select("ad_id", "v.brand", "v.model", "v.trim")
+
+
+@query("""select s.city, case when n.l > s.l then n.l else s.l end last_seen from (select city, min(first_seen) l from ads where source_no < 4 group by city) s
+left join (select city, max(first_seen) l from ads where source_no >= 4 and cond = 'O' group by city) n on n.city = s.city""", ads=True)
+def touch_last_seen(spark, sf):
+    ads = listings(spark, sf)
+    stored = ads.filter("source_no < 4").groupBy("city").agg(F.min("first_seen").alias("last_seen"))
+    seen = ads.filter("source_no >= 4 and cond = 'O'").select("city", F.col("first_seen").alias("last_seen"))
+    return H.touch(stored, seen, "city")
+
+
+_UUID = "05c1a387-538f-4c22-b09d-d5f143dcf3bf"
+_HREFS = [
+    ("divar", "https://divar.ir/v/dena/{}"), ("bama", "https://bama.ir/car/detail-{}"), ("khodro45", "https://khodro45.com/used-car/dena/{}"), ("formula", "https://formula.ir/car/detail-{}"),
+    ("sheypoor", "https://www.sheypoor.com/v/dena-{}.html"), ("karnameh", f"https://karnameh.com/used-cars/{_UUID}"), ("hamrah_mechanic", "https://www.hamrah-mechanic.com/cars-for-sale/dena/plus/{}"), (None, "https://bama.ir/s/{}"),
+]
+_LAST = "case k when 1 then 'detail-' || e when 3 then 'detail-' || e when 4 then 'dena-' || e || '.html' when 5 then '" + _UUID + "' else e end"
+
+
+@query(f"""select event_id page_id, s rule, {_LAST} ad_id, 'دنا' title from (select event_id, event_id % 8 k, cast(event_id as varchar) e from events)
+join (values {', '.join(f"({k}, '{n}')" for k, (n, _) in enumerate(_HREFS) if n)}) v(i, s) on i = k""")
+def source_cards(spark, sf):
+    """Stored pages with cards of each of the seven sources, and links that are no cards."""
+    e = read_table(spark, sf, "events").select("event_id")
+    href = F.coalesce(*[F.when(F.col("event_id") % 8 == k, F.replace(F.lit(h), F.lit("{}"), F.col("event_id").cast("string"))) for k, (_, h) in enumerate(_HREFS)])
+    html = F.concat(F.lit('<div><p>قیمت 850,000,000 تومان</p><a href="'), href, F.lit('">دنا</a><a href="/about">x</a></div>'))
+    pages = e.select(F.col("event_id").alias("page_id"), F.lit("https://example.com/").alias("url"), html.alias("html"))
+    return PG.page_cards(pages, PG.CARD_SOURCES).select("page_id", "rule", "ad_id", "title")
