@@ -424,3 +424,16 @@ def test_new_listings_once(spark, tmp_path):
     q = new_listings(stream).writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(r.ad_id for r in spark.sql("select * from fresh").collect()) == ["a00", "a01", "a02", "a03"]
+
+
+def test_quartiles_of_a_hot_group(spark):
+    """One group with spread prices, cut into ranges, beside small ones and one with a null key: as by percentile."""
+    import random
+
+    rng = random.Random(9)
+    rows = [("hot", rng.randrange(1, 1_000_000)) for _ in range(4001)] + [("hot", 77)] * 50 + [("few", 10), ("few", 20), (None, 5), ("none", 0)]
+    df = spark.createDataFrame(rows, "key string, price bigint")
+    told = lambda **o: sorted(map(str, M.group_quartiles(df, ["key"], **o).select("key", "q1", "median", "q3", "n").collect()))
+    p = lambda q: F.percentile("price", F.lit(q))
+    plain = df.filter("price > 0").groupBy("key").agg(p(0.25).alias("q1"), p(0.5).alias("median"), p(0.75).alias("q3"), F.count("*").alias("n"))
+    assert told() == told(split_prices=100) == sorted(map(str, plain.collect()))

@@ -38,10 +38,41 @@ def cheapest_in_group(listings: DataFrame, keys: Sequence[str], low: float, high
     return out.withColumn("diff_percent", percent_below(F.col("price"), F.col("market_avg"))).filter(F.col("diff_percent").between(low, high))
 
 
-def group_quartiles(listings: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Linearly interpolated quartiles of the positive prices of each group."""
-    p = lambda q: F.percentile("price", F.lit(q))
-    return listings.filter("price > 0").groupBy(*keys).agg(p(0.25).alias("q1"), p(0.5).alias("median"), p(0.75).alias("q3"), F.count("*").alias("n"))
+QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+
+
+def group_quartiles(listings: DataFrame, keys: Sequence[str], split_prices: int = 1 << 20) -> DataFrame:
+    """Linearly interpolated quartiles of the positive prices of each group, and their number n.
+
+    Equal prices are counted first, in the tasks that read them. A group of up to ``split_prices`` distinct prices is aggregated
+    from these counts. One of more is cut into RANGES ranges of prices (at percentiles): prefix sums of their counts tell the
+    range that holds a rank, and only inside that range prices are put in order.
+    """
+    counted = written(listings.filter("price > 0").groupBy(*keys, "price").agg(F.count("*").alias("_c")))
+    large = written(counted.groupBy(F.struct(*keys).alias("_g")).agg(F.count("*").alias("_d")).filter(F.col("_d") > split_prices).select("_g"))
+    p = lambda q: F.percentile("price", F.lit(q), F.col("_c"))
+    told = lambda df: df.groupBy(*keys).agg(*[p(q).alias(n) for n, q in QUARTILES.items()], F.sum("_c").alias("n"))
+    if large.isEmpty():
+        return told(counted)
+    own = counted.withColumn("_g", F.struct(*keys))
+    few = told(own.join(large, "_g", "left_anti").drop("_g"))
+    hot = own.join(large, "_g", "left_semi")
+    cuts = written(hot.groupBy("_g").agg(F.percentile_approx("price", [k / RANGES for k in range(1, RANGES)], 100 * RANGES).alias("_cuts")))
+    hot = written(hot.join(cuts, "_g").select("_g", "price", "_c", F.size(F.filter("_cuts", lambda c: c < F.col("price"))).alias("_range")))
+    sums = hot.groupBy("_g", "_range").agg(F.sum("_c").alias("_s"))
+    ahead = Window.partitionBy("_g").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumns({"_ahead": F.coalesce(F.sum("_s").over(ahead), F.lit(0)), "n": F.sum("_s").over(Window.partitionBy("_g"))})
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), f((F.col("n") - 1) * F.lit(q)).cast("long").alias("k")) for name, q in QUARTILES.items() for f in (F.floor, F.ceil)])
+    wanted = sums.withColumn("_w", F.explode(ranks)).filter((F.col("_ahead") <= F.col("_w.k")) & (F.col("_w.k") < F.col("_ahead") + F.col("_s")))
+    wanted = wanted.groupBy("_g", "_range", "_ahead", "n").agg(F.collect_set("_w").alias("_w"))  # six at most
+    inside = Window.partitionBy("_g", "_range").orderBy("price").rowsBetween(Window.unboundedPreceding, 0)
+    near = hot.join(wanted, ["_g", "_range"]).withColumn("_upto", F.col("_ahead") + F.sum("_c").over(inside))
+    found = near.withColumn("_w", F.explode("_w")).filter((F.col("_upto") - F.col("_c") <= F.col("_w.k")) & (F.col("_w.k") < F.col("_upto")))
+    ends = {f"{name}_{e}": f(F.when(F.col("_w.name") == name, F.col("price"))) for name in QUARTILES for e, f in (("a", F.min), ("b", F.max))}
+    found = found.groupBy("_g", "n").agg(*[c.alias(n) for n, c in ends.items()])
+    part = lambda q: (F.col("n") - 1) * F.lit(q) - F.floor((F.col("n") - 1) * F.lit(q))
+    quartiles = [_between_ranks(F.col(f"{name}_a"), F.col(f"{name}_b"), part(q)).alias(name) for name, q in QUARTILES.items()]
+    return few.unionByName(found.select("_g.*", *quartiles, "n"))
 
 
 def iqr_filter(listings: DataFrame, keys: Sequence[str], least: int = 5, survivors: int = 3) -> DataFrame:
