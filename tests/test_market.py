@@ -437,3 +437,17 @@ def test_quartiles_of_a_hot_group(spark):
     p = lambda q: F.percentile("price", F.lit(q))
     plain = df.filter("price > 0").groupBy("key").agg(p(0.25).alias("q1"), p(0.5).alias("median"), p(0.75).alias("q3"), F.count("*").alias("n"))
     assert told() == told(split_prices=100) == sorted(map(str, plain.collect()))
+
+
+def test_substring_lookup_against_brute_force(spark):
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    table = [(k, word(rng.choice([1, 2, 3, 4, 6, 9])), 100 + k) for k in range(60)] + [(60, "zz", 7), (61, None, 8), (62, "", 9)]
+    names = [*{word(n) for n in (1, 2, 3, 5, 8, 30, 60) for _ in range(12)}, "", None, "xxzzxx"]
+    names.append(names[0])
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(names)], "id int, name string")
+    got = {r.id: r.price for r in V.substring_lookup(df, spark.createDataFrame(table, "ord int, key string, price bigint")).collect()}
+    for k, n in enumerate(names):
+        assert got[k] == (None if n is None else next((p for _, key, p in table if key is not None and key in n), None)), n

@@ -88,13 +88,21 @@ def cross_source_duplicates(rows: DataFrame, stored: DataFrame, key: str, print_
 def contained_first(texts: DataFrame, table: DataFrame, text: str, value: str) -> DataFrame:
     """(text, value) of the distinct texts that contain a key of the table (ord, key, value): that of the first by ord.
 
-    Each text is joined on its pieces of one to three characters (and on the empty one) to the keys' beginnings, so one plan
-    does for tables of any size: every key in a text starts at one of its places. Spark broadcasts the table if it is small.
+    A key is filed under that of its pieces of three characters which the fewest texts hold; one of fewer characters, under
+    itself. A text is told by its distinct pieces of those sizes, one row a place, which meet the index in a join that Spark
+    broadcasts if the table is small: what comes out follows the rare pieces, for tables of any size.
     """
-    start = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text))), lambda i: F.transform(F.array(*map(F.lit, (1, 2, 3))), lambda n: F.substring(F.col(text), i, n)))
-    spread = texts.select(text).distinct().filter(F.col(text).isNotNull()).withColumn("_head", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(start)))))
-    keyed = table.filter("key is not null").select("ord", "key", value, F.substring("key", 1, 3).alias("_head"))
-    hits = spread.join(keyed, "_head").filter(F.contains(F.col(text), F.col("key")))
+    keyed = table.filter("key is not null").select("ord", "key", value)
+    sizes = sorted(r[0] for r in keyed.select(F.least(F.length("key"), F.lit(3)).alias("n")).distinct().collect())  # four at most
+    pieces = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - n + 1)), lambda i: F.substring(c, i, n))
+    of_text = F.array_distinct(F.concat(F.array().cast("array<string>"), *[pieces(F.col(text), n) if n else F.array(F.lit("")) for n in sizes]))
+    spread = texts.select(text).distinct().filter(F.col(text).isNotNull()).withColumn("_piece", F.explode(of_text))
+    of_key = F.when(F.length("key") >= 3, F.array_distinct(pieces(F.col("key"), 3))).otherwise(F.array("key"))
+    cut = keyed.withColumn("_piece", F.explode(of_key))
+    counts = spread.join(cut.select("_piece").distinct(), "_piece", "left_semi").groupBy("_piece").agg(F.count("*").alias("_n"))
+    rarest = F.min(F.struct(F.coalesce("_n", F.lit(0).cast("long")).alias("n"), F.col("_piece").alias("piece")))["piece"]
+    filed = written(cut.join(counts, "_piece", "left").groupBy("ord", "key", value).agg(rarest.alias("_piece")))
+    hits = spread.join(filed, "_piece").filter(F.contains(F.col(text), F.col("key")))
     return hits.groupBy(text).agg(F.min_by(value, "ord").alias(value))
 
 
