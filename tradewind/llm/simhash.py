@@ -19,8 +19,8 @@ from .components import connected_components
 BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 #: Keys (fingerprint variants) that one task holds at a time.
 TASK_KEYS = 1 << 22
-#: Members of variant groups that are compared in one task.
-CELL_ROWS = 1 << 18
+#: Members of variant groups that are compared in one cell, and in the cells of one bin of parts on average.
+CELL_ROWS, BIN_ROWS = 1 << 18, 1 << 16
 
 
 def shingle_hashes(text: bytes | None, shingle: int, seed: int = 42) -> np.ndarray:
@@ -235,11 +235,11 @@ def cells_apart(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray,
             here = apart[at] == keys
             large = here & (total[at] > cell_rows)
             if large.any():
-                rows.append((-1, _cell(keys[large], fp[large], label[large])))
+                rows.append((-1, int(large.sum()), _cell(keys[large], fp[large], label[large])))
             here &= ~large
             fp, label, keys = fp[here], label[here], keys[here]
-            rows += [(p, _cell(keys[s:e], fp[s:e], label[s:e])) for p, s, e in parts(keys, n_parts)]
-        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "cell": pa.array([r[1] for r in rows], _CELL_KIND)})
+            rows += [(p, e - s, _cell(keys[s:e], fp[s:e], label[s:e])) for p, s, e in parts(keys, n_parts)]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "cell": pa.array([r[2] for r in rows], _CELL_KIND)})
 
     def gathered(table: pa.Table) -> pa.Table:
         keys, fp, label = (np.concatenate([unpack_raw(x[c].as_py()) for x in table["cell"]]) for c in ("keys", "fps", "labels"))
@@ -260,9 +260,13 @@ def cells_apart(fps: DataFrame, variants: Callable[[pa.Table], tuple[np.ndarray,
     judged = tallied.groupBy("part").applyInArrow(judge, "block long, keys binary, n binary, hits binary")
     none = F.lit(None).cast("binary")
     told = judged.unionByName(asked.select("block", none.alias("keys"), none.alias("n"), "hits"))
-    sent = shared.blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, f"part long, cell struct<{CELL.replace(' binary', ': binary')}>")
+    sent = shared.blocked.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(send, f"part long, n long, cell struct<{CELL.replace(' binary', ': binary')}>")
     sent = materialize(sent)
-    cells = sent.filter("part >= 0").groupBy("part").applyInArrow(gathered, f"bin long, cell struct<{CELL.replace(' binary', ': binary')}>")
+    # As few bins as keep their size: a member of many variants is told once a bin.
+    few = sent.filter("part >= 0").agg(F.sum("n")).first()[0] or 0
+    bins = min(n_parts, power_of_two(few / BIN_ROWS))
+    binned = sent.filter("part >= 0").withColumn("part", F.floor(F.col("part") / (n_parts // bins)))
+    cells = binned.groupBy("part").applyInArrow(gathered, f"bin long, cell struct<{CELL.replace(' binary', ': binary')}>")
     large = sent.filter("part < 0")
     return cells if large.isEmpty() else cells.unionByName(_piece_cells(large, cell_rows))
 
