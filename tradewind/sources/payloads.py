@@ -8,38 +8,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsers import plausible_price, price_peer
-from ..functions.text import normalize_text, squeeze
+from ..functions.text import let, normalize_text, squeeze
 from .scratch import written
 
 
 def json_walk(payloads: DataFrame, key: str, payload: str, depth: int = 8) -> DataFrame:
     """key, pos (array of positions; its order is the order of a walk from the top), path, name, kind, text of every value.
 
-    A payload that is no JSON, or null, has no values. The walk goes on until a level holds no object or list: ``depth`` levels
-    make one plan, and where values lie deeper, the last level is written and the next plan starts from it.
+    A payload that is no JSON, or null, has no values. Each is parsed once: a level puts the members of objects and lists beside
+    what is known so far, ``depth`` levels make one plan, and its values are written. Where some lie deeper, the next plan starts from
+    the last level, until one holds no object or list.
     """
     level = payloads.select(F.col(key), F.expr(f"try_parse_json(`{payload}`)").alias("v")).filter("v is not null")
-    level = level.select(key, F.expr("cast(array() as array<int>)").alias("pos"), F.lit("$").alias("path"), F.lit(None).cast("string").alias("name"), "v")
-    view = "coalesce(cast(try_variant_get(v, '$', 'string') as string), to_json(v))"
-    kind = F.regexp_replace(F.expr("schema_of_variant(v)"), r"[<(].*", "")
-    nested = lambda df: df.filter(F.expr("schema_of_variant(v)").rlike("^(OBJECT|ARRAY)"))
-    out = level.select(key, "pos", "path", "name", kind.alias("kind"), F.expr(view).alias("text"))
+    level = _opened(level.selectExpr(f"`{key}`", "cast(array() as array<int>) pos", "'$' path", "cast(null as string) name", "v", "cast(null as string) kind", "cast(null as string) text"), key)
+    out = None
     while True:
         for _ in range(depth):
-            level = _explode(nested(level), key)
-            out = out.unionByName(level.select(key, "pos", "path", "name", kind.alias("kind"), F.expr(view).alias("text")))
-        if nested(level).isEmpty():
+            level = _opened(level.select(key, F.inline(F.expr(f"concat(array({_SELF}), {_MEMBERS})"))), key)
+        text = F.expr("coalesce(text, cast(try_variant_get(v, '$', 'string') as string), to_json(v))")
+        level = written(level.select(key, "pos", "path", "name", "kind", text.alias("text"), F.when(F.col("open"), F.col("v")).alias("v"), "open"))
+        told = level.select(key, "pos", "path", "name", "kind", "text")
+        rest = level.filter("open")
+        if out is not None:  # the values that this plan started from are there already
+            told = told.filter(F.size("pos") > size)
+        out = told if out is None else out.unionByName(told)
+        if rest.isEmpty():
             return out
-        level = written(nested(level))
+        size = rest.agg(F.max(F.size("pos"))).first()[0]
+        level = rest.withColumn("text", F.lit(None).cast("string"))
 
 
-def _explode(level: DataFrame, key: str) -> DataFrame:
-    spark = level.sparkSession
-    return spark.sql(
-        f"select `{key}`, array_append(l.pos, e.pos) pos, concat(path, coalesce('.' || e.key, '[' || e.pos || ']')) path, coalesce(e.key, name) name, e.value v "
-        "from {level} l, lateral variant_explode(l.v) e",
-        level=level,
-    )
+def _opened(level: DataFrame, key: str) -> DataFrame:
+    """Values with their kind, and whether they are objects or lists whose members aren't there yet."""
+    kind = F.expr("coalesce(kind, split_part(split_part(schema_of_variant(v), '<', 1), '(', 1))")
+    return level.select(key, "pos", "path", "name", "v", kind.alias("kind"), "text").withColumn("open", F.col("text").isNull() & F.col("kind").isin("OBJECT", "ARRAY"))
+
+
+#: A value whose members are beside it, and those members.
+_NODE = "named_struct('pos', {}, 'path', {}, 'name', {}, 'v', {}, 'kind', {}, 'text', {})"
+_MEMBER = lambda path, name, v: _NODE.format("array_append(pos, i)", path, name, v, "cast(null as string)", "cast(null as string)")
+_SELF = _NODE.format("pos", "path", "name", "case when not open then v end", "kind", "case when open then to_json(v) else text end")
+_MEMBERS = f"""case when open and kind = 'OBJECT' then transform(map_entries(cast(v as map<string, variant>)), (e, i) -> {_MEMBER("concat(path, '.', e.key)", "e.key", "e.value")})
+  when open then transform(cast(v as array<variant>), (e, i) -> {_MEMBER("concat(path, '[', i, ']')", "name", "e")}) else array() end"""
 
 
 def json_all_text(walk: DataFrame, key: str, max_chars: int = 30_000) -> DataFrame:
@@ -90,7 +100,7 @@ def json_cards(payloads: DataFrame, key: str, payload: str, path: str = "$.web_w
     Token and title are looked for below the item (json_token, json_title); a token counts once in a payload, the first by
     position, and pos numbers its cards.
     """
-    walk = written(json_walk(payloads, key, payload, depth))
+    walk = json_walk(payloads, key, payload, depth)
     item = (F.col("kind") == "OBJECT") & F.col("path").endswith("]")
     items = walk.filter(item).select(F.col(key).alias("_key"), F.col("pos").alias("_item"), F.col("path").alias("_root"))
     # Every value is told to the items above it, as many as it lies deep.
@@ -125,8 +135,10 @@ def json_price(walk: DataFrame, key: str, names: Sequence[str] = ("price", "pric
     like = F.lower("path").contains("price") | F.contains("text", F.lit(label)) | F.contains("text", F.lit(currency))
     by_text = F.when((F.col("kind") == "STRING") & like, price_peer(F.col("text"), low, high))
     by_number = F.when(numeric & F.lower("name").isin(*names), number)
-    staged = walk.select(key, "pos", F.when(by_text.isNotNull(), 1).when(by_number.isNotNull(), 3).alias("stage"), F.coalesce(by_text, by_number).alias("price"))
-    staged = staged.filter("price is not null").unionByName(_labelled_prices(walk, key, currency, label, low, high).withColumn("stage", F.lit(2)))
+    priced = let(by_text, lambda p: F.struct(F.when(p.isNotNull(), 1).otherwise(3).alias("stage"), F.coalesce(p, by_number).alias("price")))
+    # Generated, so that the filter doesn't read the prices a second time.
+    staged = walk.filter(numeric | (F.col("kind") == "STRING")).select(key, "pos", F.inline(F.filter(F.array(priced), lambda x: x["price"].isNotNull())))
+    staged = staged.unionByName(_labelled_prices(walk, key, currency, label, low, high).withColumn("stage", F.lit(2)))
     return staged.groupBy(key).agg(F.min_by("price", F.struct("stage", "pos")).alias("price"))
 
 
