@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -41,17 +41,18 @@ def looks_like_phone(c: Column) -> Column:
 
 def price_batch(text: Column) -> Column:
     """Batch-mean pipeline: w/fff, billions, millions, a currency amount of a million or more, a short suffix, a label."""
-    fraction = L.BATCH_PRICE_FRACTION
-    whole, part = (parse_integer(group(text, fraction, k)) for k in (1, 2))
+    # A pattern is tried only where the text holds its words, which is told much faster.
+    has = lambda *words: reduce(Column.__or__, [F.contains(text, F.lit(w)) for w in words])
+    fraction = lambda k: parse_integer(group(text, L.BATCH_PRICE_FRACTION, k))
     scaled = lambda pattern, by: keep(parse_integer(group(text, pattern)), lambda n: n > 0) * by
-    amount = lambda pattern: keep(group(text, pattern), lambda x: ~looks_like_phone(x))
+    amount = lambda pattern: keep(group(text, pattern), lambda x: (x != "") & ~looks_like_phone(x))
     return F.coalesce(
-        (whole * 1000 + part) * MILLION,
-        scaled(L.BATCH_BILLIONS, BILLION),
-        scaled(L.BATCH_MILLIONS, MILLION),
-        keep(parse_integer(amount(L.BATCH_TOMANS)), lambda n: n >= MILLION),
+        F.when(has("قیمت") & has("/"), (fraction(1) * 1000 + fraction(2)) * MILLION),
+        F.when(has("میلیارد", "ملیارد"), scaled(L.BATCH_BILLIONS, BILLION)),
+        F.when(has("میلیو", "ملیون", "میليون"), scaled(L.BATCH_MILLIONS, MILLION)),
+        F.when(has("تومان"), keep(parse_integer(amount(L.BATCH_TOMANS)), lambda n: n >= MILLION)),
         keep(parse_integer(amount(L.BATCH_SHORT_PRICE)), lambda n: n.between(1, 99_999)) * MILLION,
-        let(parse_integer(amount(L.BATCH_LABELLED_PRICE)), lambda n: F.when(n >= MILLION, n).when(n > 0, n * MILLION)),
+        F.when(has("قیمت", "فروش", "مبلغ"), let(parse_integer(amount(L.BATCH_LABELLED_PRICE)), lambda n: F.when(n >= MILLION, n).when(n > 0, n * MILLION))),
     )
 
 
@@ -62,28 +63,34 @@ def plausible_price(value: Column, low: int = 30 * MILLION, high: int = 100 * BI
 
 def price_peer(text: Column, low: int = 30 * MILLION, high: int = 100 * BILLION) -> Column:
     """Peer-median pipeline: the first pattern that parses decides, plausible or not; decimals are read."""
-    number = lambda t, p: F.regexp_replace(F.regexp_replace(group(t, p), "[٬, ]", ""), "٫", ".").try_cast("double")
+    # A pattern is tried only where the text holds its word.
+    number = lambda t, word, p: F.when(F.contains(t, F.lit(word)), F.translate(group(t, p), "٫٬, ", ".").try_cast("double"))
     found = let(
         normalize_text(text),
         lambda t: F.coalesce(
-            number(t, L.PEER_BILLIONS) * BILLION,
-            number(t, L.PEER_MILLIONS) * MILLION,
-            number(t, L.PEER_TOMANS),
+            number(t, "میلیارد", L.PEER_BILLIONS) * BILLION,
+            number(t, "میلیون", L.PEER_MILLIONS) * MILLION,
+            number(t, "تومان", L.PEER_TOMANS),
         ),
     )
-    return F.when(let(compact_text(text), lambda t: first_phrase(t, L.NO_PRICE_PHRASES)).isNull(), plausible_price(found.cast("bigint"), low, high))
+    told = lambda v: F.when(v.isNotNull() & let(compact_text(text), lambda t: first_phrase(t, L.NO_PRICE_PHRASES)).isNull(), plausible_price(v, low, high))
+    return let(found.cast("bigint"), told)
 
 
 def parse_price(text: Column, currency: str = "تومان|تومن", billion: str = "میلیارد|ملیارد", million: str = "میلیون|ملیون", no_price: Sequence[str] = ("توافقی", "تماس بگیرید", "قیمت در تماس", "قیمت تماس"), low: int = MILLION, high: int = 500 * BILLION, normalized: bool = False) -> Column:
     """Prior-history pipeline: a currency amount, billions, millions, or a bare number of 7 to 12 digits, each within the range."""
-    amount = lambda t, p, by: between(parse_integer(group(t, p)) * by, low, high)
+    def amount(t: Column, most: str, words: str, by: int) -> Column:
+        # Numbers go up to the word, which begins with none of their characters, so a run is never tried shorter; texts without
+        # the word are only searched.
+        number = group(t, rf"([0-9][0-9,،٬.\s]{{{most}}}+)\s*(?:{words})")
+        return F.when(t.rlike(words), between(parse_integer(number) * by, low, high))
 
     def found(t: Column) -> Column:
         bare = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![0-9])([0-9]{7,12})(?![0-9])"), F.lit(1)), lambda x: x.cast("bigint"))
         first = F.coalesce(
-            amount(t, rf"([0-9][0-9,،٬.\s]{{5,22}})\s*(?:{currency})", 1),
-            amount(t, rf"([0-9][0-9,،٬.\s]{{0,18}})\s*(?:{billion})", BILLION),
-            amount(t, rf"([0-9][0-9,،٬.\s]{{0,18}})\s*(?:{million})", MILLION),
+            amount(t, "5,22", currency, 1),
+            amount(t, "0,18", billion, BILLION),
+            amount(t, "0,18", million, MILLION),
             F.get(F.filter(bare, lambda x: x.between(low, high)), 0),
         )
         return F.when(first_phrase(t, no_price).isNull(), first) if no_price else first
@@ -93,10 +100,10 @@ def parse_price(text: Column, currency: str = "تومان|تومن", billion: st
 
 def price_card(parts: Column, currency: str = "تومان|تومن") -> Column:
     """Group-mean pipeline: the parts of a card from the last to the first; else a bare number within 100 000 to 100 billion."""
-    priced = F.transform(F.reverse(parts), lambda p: F.when(normalize_digits(p).rlike(currency), parse_integer(group(normalize_digits(p), r"([0-9][0-9,،٬.\s]*)"))))
-    bare = F.transform(F.reverse(parts), lambda p: between(parse_integer(group(normalize_digits(p), r"^\s*([0-9][0-9,،٬.]{2,18})\s*$")), 100_000, 100 * BILLION))
     known = lambda a: F.get(F.filter(a, lambda x: x.isNotNull()), 0)
-    return F.coalesce(known(priced), known(bare))
+    priced = lambda ps: F.transform(F.filter(ps, lambda p: p.rlike(currency)), lambda p: parse_integer(group(p, r"([0-9][0-9,،٬.\s]*+)")))
+    bare = lambda ps: F.transform(ps, lambda p: between(parse_integer(group(p, r"^\s*+([0-9][0-9,،٬.]{2,18})\s*+$")), 100_000, 100 * BILLION))
+    return let(F.transform(F.reverse(parts), lambda p: normalize_digits(p)), lambda ps: F.coalesce(known(priced(ps)), known(bare(ps))))
 
 
 def _full_year(raw: Column) -> Column:
@@ -119,11 +126,14 @@ def year_from_url(url: Column) -> Column:
 
 def year_batch(text: Column) -> Column:
     """Batch-mean pipeline: a labelled year only, as a string."""
-    raw = group(normalize_digits(text, arabic=False), L.BATCH_YEAR)
-    n = raw.try_cast("int")
-    four = F.when(n.between(1300, 1499) | n.between(2000, 2099), raw)
-    two = F.when(n.between(0, 30), n + 1400).when(n.between(70, 99), n + 1300).cast("string")
-    return F.when(F.length(raw) == 4, four).when(F.length(raw) == 2, two)
+
+    def read(raw: Column) -> Column:
+        n = raw.try_cast("int")
+        four = F.when(n.between(1300, 1499) | n.between(2000, 2099), raw)
+        two = F.when(n.between(0, 30), n + 1400).when(n.between(70, 99), n + 1300).cast("string")
+        return F.when(F.length(raw) == 4, four).when(F.length(raw) == 2, two)
+
+    return let(group(normalize_digits(text, arabic=False), L.BATCH_YEAR), read)
 
 
 def year_peer(text: Column) -> Column:
@@ -145,16 +155,16 @@ def parse_mileage(text: Column, label: str = "کارکرد", zero: str = "صفر
     word = r"[\p{L}\p{N}_]"
     none = rf"{label}\s*{zero}(?:\s*(?:{zero_units}))?|(?<!{word}){zero}\s*(?:{zero_units})(?!{word})|(?<![0-9])0\s*(?:{zero_units})(?!{word})"
     number = lambda t, p: between(parse_integer(group(t, p)), 0, 2 * MILLION)
-    found = lambda t: F.coalesce(number(t, rf"{label}\s*([0-9][0-9,،٬.\s]{{0,15}})(?:\s*(?:{units}))?"), number(t, rf"([0-9][0-9,،٬.\s]{{1,15}})\s*(?:{units})"))
+    found = lambda t: F.coalesce(number(t, rf"{label}\s*([0-9][0-9,،٬.\s]{{0,15}})(?:\s*(?:{units}))?"), number(t, rf"([0-9][0-9,،٬.\s]{{1,15}}+)\s*(?:{units})"))
     return let(_matchable(text, normalized), lambda t: F.when(t.rlike(none), F.lit(0).cast("bigint")).otherwise(found(t)))
 
 
 def mileage_batch(text: Column) -> Column:
     """Batch-mean pipeline; w/fff counts thousands."""
-    fraction = L.BATCH_MILEAGE_FRACTION
-    whole, part = (parse_integer(group(text, fraction, k)) for k in (1, 2))
+    fraction = lambda k: parse_integer(group(text, L.BATCH_MILEAGE_FRACTION, k))
     plain = between(parse_integer(group(text, L.BATCH_MILEAGE)), 0, 2 * MILLION)
-    return F.when(text.rlike(L.BATCH_NO_MILEAGE), F.lit(0).cast("bigint")).otherwise(F.coalesce(whole * 1000 + part, plain))
+    found = F.coalesce(F.when(F.contains(text, F.lit("/")), fraction(1) * 1000 + fraction(2)), plain)
+    return F.when(F.contains(text, F.lit("کارکرد")), F.when(text.rlike(L.BATCH_NO_MILEAGE), F.lit(0).cast("bigint")).otherwise(found))
 
 
 def mileage_peer(text: Column) -> Column:
@@ -260,10 +270,15 @@ def model_key(title: Column, rules: Sequence[tuple[str, str]] = ()) -> Column:
     """Model key of the peer-median pipeline: years, mileages, colours, body and filler phrases removed; first matching rule."""
     w = r"[\p{L}\p{N}_]"
     t = F.concat(F.lit(" "), compact_text(title), F.lit(" "))
-    t = F.regexp_replace(t, r"(?<=[^0-9])(20[0-9]{2}|1[34][0-9]{2})(?=[^0-9]|$)", " ")
-    t = F.regexp_replace(t, rf"(?i)(?<!{w})[0-9][0-9,٬ ]*(?:کیلومتر|km)(?!{w})", " ")
-    for word, number in L.NUMBER_WORDS.items():
-        t = F.regexp_replace(t, rf"(?<!{w})تیپ\s+{word}(?!{w})", f"تیپ {number}")
+    t = F.regexp_replace(t, r"(?:20[0-9]{2}|1[34][0-9]{2})(?<=[^0-9]....)(?=[^0-9]|$)", " ")
+    t = let(t, lambda t: F.when(t.rlike("کیلومتر|km"), F.regexp_replace(t, rf"(?i)(?<!{w})[0-9][0-9,٬ ]*+(?:کیلومتر|km)(?!{w})", " ")).otherwise(t))
+
+    def numbered(t: Column) -> Column:
+        for word, number in L.NUMBER_WORDS.items():
+            t = F.regexp_replace(t, rf"(?<!{w})تیپ\s+{word}(?!{w})", f"تیپ {number}")
+        return t
+
+    t = let(t, lambda t: F.when(t.rlike(rf"تیپ\s+(?:{'|'.join(L.NUMBER_WORDS)})"), numbered(t)).otherwise(t))
     # Spellings of one model.
     for source, target in (("پژو206", "پژو 206"), ("پژو207", "پژو 207"), ("206sd", "206 sd"), ("دناپلاس", "دنا پلاس"), ("سمندال ایکس", "سمند lx"), ("ال نود", "l90"), ("تندر 90", "l90"), ("تندر90", "l90"), ("کوییکآر", "کوییک r"), ("تاراوی 4", "تارا v4"), ("تاراوی 2", "تارا v2")):
         t = F.replace(t, F.lit(source), F.lit(target))

@@ -15,6 +15,10 @@ from ..lexicons import ARABIC_DIGITS, ASCII_DIGITS, PERSIAN_DIGITS
 BLANK = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 LATIN_OR_PERSIAN = "A-Za-zآ-ی"
 
+#: Told first of a character, as most of a text is of them: none is white space. White space but the plain space.
+_DENSE = r"(?![!-~\x{600}-\x{6ff}])"
+_ODD_BLANK = BLANK.replace(r"\s", r"\t\n\x0b\f\r")
+
 
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, however often the body uses it."""
@@ -27,18 +31,36 @@ def keep(value: Column, condition) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{BLANK}+|{BLANK}+$", "")
+    return F.regexp_replace(c, f"{_DENSE}(?:^{BLANK}++|{BLANK}++$)", "")
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{BLANK}+", " "))
+    return F.trim(F.regexp_replace(c, f"{_DENSE}(?:{_ODD_BLANK}{BLANK}*+| {BLANK}++)", " "))  # a lone space stays
+
+
+def _class(chars: str) -> str:
+    """A character class of few ranges, which is searched faster than one of many characters."""
+    runs: list[list[int]] = []
+    for n in sorted(map(ord, set(chars))):
+        if runs and n == runs[-1][1] + 1:
+            runs[-1][1] = n
+        else:
+            runs.append([n, n])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
+
+
+def _changed(c: Column, source: str, target: str) -> Column:
+    """c translated; texts without any of the characters are only searched, which is faster."""
+    return let(c, lambda t: F.when(t.rlike(_class(source)), F.translate(t, source, target)).otherwise(t))
 
 
 def normalize_digits(c: Column, arabic: bool = True) -> Column:
     digits = PERSIAN_DIGITS + (ARABIC_DIGITS if arabic else "")
-    return F.translate(F.coalesce(c, F.lit("")), digits, ASCII_DIGITS * (len(digits) // 10))
+    return _changed(F.coalesce(c, F.lit("")), digits, ASCII_DIGITS * (len(digits) // 10))
+
 
+_DIGITS = PERSIAN_DIGITS + ARABIC_DIGITS
 
 #: Vowel marks, which normalised texts are without.
 MARKS = "".join(map(chr, range(0x64B, 0x660)))
@@ -48,7 +70,7 @@ def _folded(c: Column) -> Column:
     """In one pass: digits and Arabic letter forms folded, joiners as spaces, vowel marks dropped (they have no counterpart)."""
     source = PERSIAN_DIGITS + ARABIC_DIGITS + "كيىةۀؤإأٱ" + "\u200c\u200f\ufeff"
     target = ASCII_DIGITS * 2 + "کییههواا" + "ا" + "   "
-    return F.translate(F.coalesce(c, F.lit("")), source + MARKS, target)
+    return _changed(F.coalesce(c, F.lit("")), source + MARKS, target)
 
 
 def normalize_text(c: Column) -> Column:
@@ -57,21 +79,28 @@ def normalize_text(c: Column) -> Column:
 
 
 def compact_text(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(_folded(c)), r"[^0-9a-zآ-ی]+", " "))
+    other = "[^0-9a-zآ-ی]"
+    return F.trim(F.regexp_replace(F.lower(_folded(c)), f"[^0-9a-zآ-ی ]{other}*+| {other}++", " "))
 
 
 def normalize_match(c: Column) -> Column:
     """Lower case, letter forms folded, letters and digits parted, punctuation as spaces."""
-    t = F.translate(F.lower(normalize_digits(c)), "‌‏‎يكۀة", "   یکهه")
-    t = F.regexp_replace(t, f"(?<=[{LATIN_OR_PERSIAN}])(?=[0-9])|(?<=[0-9])(?=[{LATIN_OR_PERSIAN}])", " ")
-    return squeeze(F.regexp_replace(t, r"[_/\\|,:;؛،!?؟()\[\]{}]+", " "))
+    t = _changed(F.lower(F.coalesce(c, F.lit(""))), _DIGITS + "‌‏‎يكۀة", ASCII_DIGITS * 2 + "   یکهه")
+    t = F.regexp_replace(t, f"([{LATIN_OR_PERSIAN}](?=[0-9])|[0-9](?=[{LATIN_OR_PERSIAN}]))", "$1 ")
+    return _spaced(t, r"_/\\|,:;؛،!?؟()\[\]{}")
 
 
 def normalize_match_any(c: Column) -> Column:
     """As normalize_match, for letters of any script, with dashes unified."""
-    t = F.translate(F.lower(squeeze(normalize_digits(c))), "يكۀة_/\\|–—", "یکهه    --")
-    t = F.regexp_replace(t, r"[()\[\]{}:؛;،,!?؟]+", " ")
-    return squeeze(F.regexp_replace(t, r"(?<=\p{L})(?=[0-9])|(?<=[0-9])(?=\p{L})", " "))
+    t = _changed(F.lower(F.coalesce(c, F.lit(""))), _DIGITS + "يكۀة_/\\|–—", ASCII_DIGITS * 2 + "یکهه    --")
+    t = F.regexp_replace(t, r"(\p{L}(?=[0-9])|[0-9](?=\p{L}))", "$1 ")
+    return _spaced(t, r"()\[\]{}:؛;،,!?؟")
+
+
+def _spaced(c: Column, marks: str) -> Column:
+    """Runs of white space and of these marks as one space, none at the ends."""
+    run = BLANK[:-1] + marks + "]"
+    return F.trim(F.regexp_replace(c, f"(?![0-9a-z\\x{{620}}-\\x{{6ff}}])(?:{_ODD_BLANK[:-1]}{marks}]{run}*+| {run}++)", " "))
 
 
 def first_phrase(text: Column, phrases: Sequence[str]) -> Column:
@@ -132,7 +161,8 @@ def id_from_url(url: Column) -> Column:
 
 def strip_signature(c: Column) -> Column:
     """Without a trailing @name."""
-    return strip(F.regexp_replace(c, rf"{BLANK}*@[A-Za-z0-9_]+{BLANK}*$", ""))
+    signed = F.regexp_replace(c, rf"(?![!-?A-~\x{{600}}-\x{{6ff}}]){BLANK}*+@[A-Za-z0-9_]++{BLANK}*+$", "")
+    return strip(F.when(F.contains(c, F.lit("@")), signed).otherwise(c))
 
 
 def remove_phrases(c: Column, phrases: Sequence[str]) -> Column:
