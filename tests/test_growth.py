@@ -55,3 +55,5 @@ def test_each_pattern_is_read_once(spark):
     assert str(P.year_batch(t)).count("[0-9]{2,4}") == 1
     assert str(T.normalize_match(t)).lower().count("translate(") == 1
     assert str(P.price_card(t)).lower().count("translate(") == 3  # the parts, and in each of the two readings a short match
+    assert str(P.year_peer(t)).lower().count("translate(") == 1
+    assert str(P.mileage_peer(t)).lower().count("translate(") == 1

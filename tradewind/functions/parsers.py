@@ -138,10 +138,13 @@ def year_batch(text: Column) -> Column:
 
 def year_peer(text: Column) -> Column:
     """Peer-median pipeline: a labelled year, else the first solar year, else the first year."""
-    t = normalize_text(text)
-    labelled = group(t, L.PEER_LABELLED_YEAR).try_cast("int")
-    years = F.transform(F.regexp_extract_all(t, F.lit(L.PEER_YEAR), F.lit(1)), lambda x: x.cast("int"))
-    return F.coalesce(labelled, F.get(F.filter(years, lambda y: y.between(1300, 1499)), 0), F.get(years, 0))
+
+    def found(t: Column) -> Column:
+        labelled = group(t, L.PEER_LABELLED_YEAR).try_cast("int")
+        years = F.transform(F.regexp_extract_all(t, F.lit(L.PEER_YEAR), F.lit(1)), lambda x: x.cast("int"))
+        return let(years, lambda ys: F.coalesce(labelled, F.get(F.filter(ys, lambda y: y.between(1300, 1499)), 0), F.get(ys, 0)))
+
+    return let(normalize_text(text), found)
 
 
 def normalize_year(c: Column) -> Column:
@@ -168,10 +171,9 @@ def mileage_batch(text: Column) -> Column:
 
 
 def mileage_peer(text: Column) -> Column:
-    t = normalize_text(text)
-    number = lambda p: between(F.regexp_replace(group(t, p), "[٬, ]", "").try_cast("bigint"), 0, 2 * MILLION)
-    patterns = L.PEER_MILEAGES
-    return F.when(t.rlike(L.PEER_NO_MILEAGE), F.lit(0).cast("bigint")).otherwise(F.coalesce(*map(number, patterns)))
+    number = lambda t, p: between(F.regexp_replace(group(t, p), "[٬, ]", "").try_cast("bigint"), 0, 2 * MILLION)
+    found = lambda t: F.when(t.rlike(L.PEER_NO_MILEAGE), F.lit(0).cast("bigint")).otherwise(F.coalesce(*[number(t, p) for p in L.PEER_MILEAGES]))
+    return let(normalize_text(text), found)
 
 
 def is_zero_km(text: Column) -> Column:
