@@ -78,6 +78,23 @@ def normalize_text(c: Column) -> Column:
     return squeeze(_folded(c))
 
 
+_PLAIN = str.maketrans(_DIGITS + "كيىةۀؤإأٱ" + "\u200c\u200f\ufeff", ASCII_DIGITS * 2 + "کییههواا" + "ا" + "   ", MARKS)
+_NOT_PLAIN = re.compile("[" + "".join(map(chr, _PLAIN)) + "]+")
+
+
+def plain_text(text: str) -> str:
+    """What normalize_text does, for texts that a task holds."""
+    return " ".join(_NOT_PLAIN.sub(lambda m: m[0].translate(_PLAIN), text).split())
+
+
+_NAMED = re.compile("[0-9a-zآ-ی]+")
+
+
+def plain_compact(text: str) -> str:
+    """What compact_text does, for texts that a task holds, normalised ones."""
+    return " ".join(_NAMED.findall(text.lower()))
+
+
 def compact_text(c: Column) -> Column:
     other = "[^0-9a-zآ-ی]"
     return F.trim(F.regexp_replace(F.lower(_folded(c)), f"[^0-9a-zآ-ی ]{other}*+| {other}++", " "))

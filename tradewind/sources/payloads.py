@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsers import plausible_price, price_peer
 from ..functions.text import let, normalize_text, squeeze
+from .picks import cards, listing
 from .scratch import written
 
 
@@ -63,9 +65,11 @@ def json_all_text(walk: DataFrame, key: str, max_chars: int = 30_000) -> DataFra
 
 #: A token, and the link of a listing that holds one.
 TOKEN, TOKEN_LINK = r"^[A-Za-z0-9_-]{5,}$", r"/v/(?:[^/]+/)?([A-Za-z0-9_-]{5,})"
+#: Names that a token has; those of a title in their order, and what stands for a title.
+TOKEN_NAMES, TITLE_NAMES, NO_TITLE = ("token", "post_token"), ("title", "header", "name"), "آگهی خودرو"
 
 
-def json_token(walk: DataFrame, key: Sequence[str], names: Sequence[str] = ("token", "post_token"), link: str = TOKEN_LINK) -> DataFrame:
+def json_token(walk: DataFrame, key: Sequence[str], names: Sequence[str] = TOKEN_NAMES, link: str = TOKEN_LINK) -> DataFrame:
     """key and token: the first value under one of the names if it has the form of a token, else that of the first link to a listing."""
     scalar = ~F.col("kind").isin("OBJECT", "ARRAY", "BOOLEAN") & (normalize_text(F.col("text")) != "")
     direct = F.min(F.when(scalar & F.lower("name").isin(*names), F.struct("pos", normalize_text(F.col("text")).alias("t"))))["t"]
@@ -74,7 +78,7 @@ def json_token(walk: DataFrame, key: Sequence[str], names: Sequence[str] = ("tok
     return out.select(*key, F.when(F.col("direct").rlike(TOKEN), F.col("direct")).otherwise(F.col("linked")).alias("token")).filter("token is not null")
 
 
-def json_title(walk: DataFrame, key: Sequence[str], fallback: str = "آگهی خودرو", names: Sequence[str] = ("title", "header", "name"), relative: str = "path") -> DataFrame:
+def json_title(walk: DataFrame, key: Sequence[str], fallback: str = NO_TITLE, names: Sequence[str] = TITLE_NAMES, relative: str = "path") -> DataFrame:
     """key and title: a string under one of the names, in their order, directly in the object (in its object ``data``, if it has
     one); else the first value named title at any depth; else the fallback. ``relative`` is the path from the object's root, $."""
     rel, text = F.col(relative), normalize_text(F.col("text"))
@@ -85,40 +89,48 @@ def json_title(walk: DataFrame, key: Sequence[str], fallback: str = "آگهی خ
     return out.select(*key, F.coalesce(F.when(F.col("nested"), F.col("inner")).otherwise(F.col("outer")), "any", F.lit(fallback)).alias("title"))
 
 
-def json_image(walk: DataFrame, key: str, parts: Sequence[str] = ("image", "thumbnail", "src", "url"), hosts: Sequence[str] = ("divarcdn",)) -> DataFrame:
+#: Parts of the names of pictures, the form of their links, and their hosts.
+IMAGE_NAMES, IMAGE_FORM, IMAGE_HOSTS = ("image", "thumbnail", "src", "url"), r"(?i)\.(?:jpg|jpeg|png|webp)(?:\?|$)", ("divarcdn",)
+
+
+def json_image(walk: DataFrame, key: str, parts: Sequence[str] = IMAGE_NAMES, hosts: Sequence[str] = IMAGE_HOSTS) -> DataFrame:
     """key and image_url: the first http string under a name with one of the parts that ends like a picture or lies on one of the hosts."""
     named = F.coalesce(F.lower("name").rlike("|".join(parts)), F.lit(False))
-    picture = F.col("text").rlike(r"(?i)\.(?:jpg|jpeg|png|webp)(?:\?|$)") | F.col("text").rlike("|".join(hosts))
+    picture = F.col("text").rlike(IMAGE_FORM) | F.col("text").rlike("|".join(hosts))
     hits = walk.filter((F.col("kind") == "STRING") & F.col("text").startswith("http") & named & picture)
     return hits.groupBy(key).agg(F.min_by("text", "pos").alias("image_url"))
 
 
 def json_cards(payloads: DataFrame, key: str, payload: str, path: str = "$.web_widgets.post_list", depth: int = 8) -> DataFrame:
     """key, pos, token, title of the cards of a payload: the items of the list at ``path``; if none of them is a card, the items of
-    any list that have POST in their type or a token.
+    any list that have a token.
 
     Token and title are looked for below the item (json_token, json_title); a token counts once in a payload, the first by
-    position, and pos numbers its cards.
+    position, and pos numbers its cards. A task walks each payload once, to its last level (``depth`` is for json_walk's callers),
+    and returns its cards: nothing is written, and nothing sent by key.
     """
-    walk = json_walk(payloads, key, payload, depth)
-    item = (F.col("kind") == "OBJECT") & F.col("path").endswith("]")
-    items = walk.filter(item).select(F.col(key).alias("_key"), F.col("pos").alias("_item"), F.col("path").alias("_root"))
-    # Every value is told to the items above it, as many as it lies deep.
-    above = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("pos"))), lambda n: F.slice("pos", 1, n)))
-    below = walk.withColumn("_above", above).join(items, (F.col(key) == F.col("_key")) & (F.col("_above") == F.col("_item")))
-    below = below.withColumn("relative", F.concat(F.lit("$"), F.expr("substring(path, length(_root) + 1)")))
-    kinds = F.upper(F.coalesce(F.max(F.when((F.col("relative") == "$.widget_type") & (F.col("text") != ""), F.col("text"))), F.max(F.when(F.col("relative") == "$.type", F.col("text"))), F.lit("")))
-    own = ["_key", "_item", "_root"]
-    told = below.groupBy(*own).agg(kinds.alias("type"))
-    inside = below.filter(F.col("relative") != "$")
-    cards = told.join(json_token(inside, own), own).join(json_title(inside, own, relative="relative"), own)
-    listed = F.regexp_replace("_root", r"\[[0-9]+\]$", "") == path
-    best = F.max(listed.cast("int")).over(Window.partitionBy("_key"))
-    cards = cards.withColumns({"listed": listed.cast("int"), "best": best}).filter(F.col("listed") == F.col("best"))
-    first = F.row_number().over(Window.partitionBy("_key", "token").orderBy("_item"))
-    cards = cards.withColumn("n", first).filter("n = 1")
-    place = F.row_number().over(Window.partitionBy("_key").orderBy("_item")) - 1
-    return cards.select(F.col("_key").alias(key), place.cast("int").alias("pos"), "token", "title")
+    card = (TOKEN_NAMES, TOKEN_LINK, TITLE_NAMES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, pos, tokens, titles = [], [], [], []
+            for i, told in enumerate(batch.column(1).to_pylist()):
+                for n, (token, title) in enumerate(cards(told, path, TOKEN, card, NO_TITLE) if told else ()):
+                    at.append(i)
+                    pos.append(n)
+                    tokens.append(token)
+                    titles.append(title)
+            told = [pa.array(pos, pa.int32()), pa.array(tokens, pa.string()), pa.array(titles, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *told], names=["key", "pos", "token", "title"])
+
+    rows = payloads.select(F.col(key).alias("key"), as_json(F.col(payload)).alias("told"))
+    out = rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, pos int, token string, title string")
+    return out.withColumnRenamed("key", key)
+
+
+def as_json(payload: Column) -> Column:
+    """A payload as Spark writes it, members in the order of their names; null where it is no JSON."""
+    return F.to_json(F.try_parse_json(payload))
 
 
 def json_first_value(walk: DataFrame, key: str, names: Sequence[str], value: str = "value") -> DataFrame:
@@ -127,7 +139,11 @@ def json_first_value(walk: DataFrame, key: str, names: Sequence[str], value: str
     return hits.groupBy(key).agg(F.min_by(squeeze(F.col("text")), "pos").alias(value))
 
 
-def json_price(walk: DataFrame, key: str, names: Sequence[str] = ("price", "price_value", "pricevalue"), currency: str = "تومان", label: str = "قیمت", low: int = 30_000_000, high: int = 100_000_000_000) -> DataFrame:
+#: Names of prices, the word of their labels and that of their currency.
+PRICE_NAMES, PRICE_LABEL, CURRENCY = ("price", "price_value", "pricevalue"), "قیمت", "تومان"
+
+
+def json_price(walk: DataFrame, key: str, names: Sequence[str] = PRICE_NAMES, currency: str = CURRENCY, label: str = PRICE_LABEL, low: int = 30_000_000, high: int = 100_000_000_000) -> DataFrame:
     """key, price: texts on price-like paths first, then values of objects with a price-like label, then numbers under price-like
     names; each in walk order."""
     number = plausible_price(F.floor(F.col("text").try_cast("double")).cast("bigint"), low, high)
@@ -159,3 +175,31 @@ def _labelled_prices(walk: DataFrame, key: str, currency: str, label: str, low:
     )
     worded = normalize_text(F.col("label"))
     return objects.filter((F.contains(worded, F.lit(label)) | F.lower(worded).contains("price")) & F.col("price").isNotNull()).select(key, "pos", "price")
+
+
+def json_listing(told: Column, first: dict[str, Sequence[str]], low: int = 30_000_000, high: int = 100_000_000_000) -> tuple[Column, Callable[[Column], Column]]:
+    """What listings are built of, from a payload with the objects card and detail (of as_json): struct(token, title, all_text,
+    compact (compact_text of all_text), image_url, prices and the ``first`` values, by their columns), and the price of such a struct's prices.
+
+    Each is what json_token, json_title, json_all_text, json_image, json_price and json_first_value tell of a walk, but a task walks a
+    payload once. The first of ``prices``, in the order of json_price, that is a price counts.
+    """
+    card = (TOKEN_NAMES, TOKEN_LINK, TITLE_NAMES)
+    priced, image = (PRICE_NAMES, PRICE_LABEL, CURRENCY), ("|".join(IMAGE_NAMES), f"{IMAGE_FORM}|(?:{'|'.join(IMAGE_HOSTS)})")
+    worded = pa.list_(pa.struct([("worded", pa.bool_()), ("text", pa.string())]))
+    kinds = {"token": pa.string(), "title": pa.string(), "all_text": pa.string(), "compact": pa.string(), "image_url": pa.string(), "prices": worded} | {c: pa.string() for c in first}
+    fields = ", ".join(f"{c}: {'array<struct<worded: boolean, text: string>>' if k == worded else 'string'}" for c, k in kinds.items())
+
+    @F.arrow_udf(f"struct<{fields}>")
+    def run(payloads: pa.Array) -> pa.Array:
+        rows = [listing(x, TOKEN, card, NO_TITLE, first, priced, image) if x else (None,) * len(kinds) for x in payloads.to_pylist()]
+        columns = dict(zip(kinds, zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(kinds, ())
+        columns["prices"] = [None if x is None else [{"worded": w, "text": t} for w, t in x] for x in columns["prices"]]
+        return pa.StructArray.from_arrays([pa.array(columns[c], k) for c, k in kinds.items()], names=list(kinds))
+
+    def price(prices: Column) -> Column:
+        number = lambda t: plausible_price(F.floor(t.try_cast("double")).cast("bigint"), low, high)
+        each = F.transform(prices, lambda x: F.when(x["worded"], price_peer(x["text"], low, high)).otherwise(number(x["text"])))
+        return F.get(F.filter(each, lambda p: p.isNotNull()), 0)
+
+    return run.asNondeterministic()(told), price  # else a filter on it is run before rows are dealt, a second time
