@@ -61,19 +61,20 @@ def plausible_price(value: Column, low: int = 30 * MILLION, high: int = 100 * BI
     return let(value, lambda v: F.when(v.between(low, high), v).otherwise(between(F.floor(v / 10).cast("bigint"), low, high)))
 
 
-def price_peer(text: Column, low: int = 30 * MILLION, high: int = 100 * BILLION) -> Column:
-    """Peer-median pipeline: the first pattern that parses decides, plausible or not; decimals are read."""
+def price_peer(text: Column, low: int = 30 * MILLION, high: int = 100 * BILLION, compact: Column | None = None) -> Column:
+    """Peer-median pipeline: the first pattern that parses decides, plausible or not; decimals are read. With ``compact``, its compact
+    form, the text is a normalised one."""
     # A pattern is tried only where the text holds its word.
     number = lambda t, word, p: F.when(F.contains(t, F.lit(word)), F.translate(group(t, p), "٫٬, ", ".").try_cast("double"))
     found = let(
-        normalize_text(text),
+        normalize_text(text) if compact is None else text,
         lambda t: F.coalesce(
             number(t, "میلیارد", L.PEER_BILLIONS) * BILLION,
             number(t, "میلیون", L.PEER_MILLIONS) * MILLION,
             number(t, "تومان", L.PEER_TOMANS),
         ),
     )
-    told = lambda v: F.when(v.isNotNull() & let(compact_text(text), lambda t: first_phrase(t, L.NO_PRICE_PHRASES)).isNull(), plausible_price(v, low, high))
+    told = lambda v: F.when(v.isNotNull() & let(compact_text(text) if compact is None else compact, lambda t: first_phrase(t, L.NO_PRICE_PHRASES)).isNull(), plausible_price(v, low, high))
     return let(found.cast("bigint"), told)
 
 
@@ -136,7 +137,7 @@ def year_batch(text: Column) -> Column:
     return let(group(normalize_digits(text, arabic=False), L.BATCH_YEAR), read)
 
 
-def year_peer(text: Column) -> Column:
+def year_peer(text: Column, normalized: bool = False) -> Column:
     """Peer-median pipeline: a labelled year, else the first solar year, else the first year."""
 
     def found(t: Column) -> Column:
@@ -144,7 +145,7 @@ def year_peer(text: Column) -> Column:
         years = F.transform(F.regexp_extract_all(t, F.lit(L.PEER_YEAR), F.lit(1)), lambda x: x.cast("int"))
         return let(years, lambda ys: F.coalesce(labelled, F.get(F.filter(ys, lambda y: y.between(1300, 1499)), 0), F.get(ys, 0)))
 
-    return let(normalize_text(text), found)
+    return let(text if normalized else normalize_text(text), found)
 
 
 def normalize_year(c: Column) -> Column:
@@ -170,10 +171,10 @@ def mileage_batch(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("کارکرد")), F.when(text.rlike(L.BATCH_NO_MILEAGE), F.lit(0).cast("bigint")).otherwise(found))
 
 
-def mileage_peer(text: Column) -> Column:
+def mileage_peer(text: Column, normalized: bool = False) -> Column:
     number = lambda t, p: between(F.regexp_replace(group(t, p), "[٬, ]", "").try_cast("bigint"), 0, 2 * MILLION)
     found = lambda t: F.when(t.rlike(L.PEER_NO_MILEAGE), F.lit(0).cast("bigint")).otherwise(F.coalesce(*[number(t, p) for p in L.PEER_MILEAGES]))
-    return let(normalize_text(text), found)
+    return let(text if normalized else normalize_text(text), found)
 
 
 def is_zero_km(text: Column) -> Column:
@@ -191,11 +192,11 @@ def aged_condition(condition: Column, year: Column, as_of_year: int, age: int =
     return F.when((condition == "unknown") & old, F.lit("used")).otherwise(condition)
 
 
-def severity_class(text: Column, classes: dict[str, Sequence[str]] = L.BODY_CLASSES, order: Sequence[str] = L.BODY_ORDER, compact=None) -> Column:
+def severity_class(text: Column, classes: dict[str, Sequence[str]] = L.BODY_CLASSES, order: Sequence[str] = L.BODY_ORDER, compact=None, compacted: bool = False) -> Column:
     """The worst class with a phrase in the text; ``unknown`` without one."""
     compact = compact or _plain_compact
     found = lambda t: F.coalesce(*[F.when(first_phrase(t, [compact(p) for p in classes[c]]).isNotNull(), F.lit(c)) for c in order], F.lit("unknown"))
-    return let(compact_text(text), found)
+    return let(text if compacted else compact_text(text), found)
 
 
 def _plain_compact(phrase: str) -> str:
@@ -203,16 +204,16 @@ def _plain_compact(phrase: str) -> str:
     return re.sub(" +", " ", re.sub("[^0-9a-zآ-ی]+", " ", phrase.replace("‌", " ").lower())).strip()
 
 
-def exclusion_reason(text: Column, finance: Sequence[str] = L.FINANCE_PHRASES, instalment: str = "قسط", no_price: Sequence[str] = L.NO_PRICE_PHRASES) -> Column:
+def exclusion_reason(text: Column, finance: Sequence[str] = L.FINANCE_PHRASES, instalment: str = "قسط", no_price: Sequence[str] = L.NO_PRICE_PHRASES, compacted: bool = False) -> Column:
     """Why a listing is left out: a finance phrase, a number of instalments, no price; null if it isn't."""
     listed = lambda t, name, phrases: F.concat(F.lit(f"{name}:"), first_phrase(t, [_plain_compact(p) for p in phrases]))
     found = lambda t: F.coalesce(
         listed(t, "finance", finance),
-        F.when(t.rlike(rf"(?:^|\s)[0-9]+\s*{instalment}(?:\s|$)"), F.lit("instalment_count")),
-        F.when(t.rlike(rf"(?:^|\s){instalment}\s*[0-9]+"), F.lit("instalment_amount")),
+        F.when(F.contains(t, F.lit(instalment)) & t.rlike(rf"(?:^|\s)[0-9]+\s*{instalment}(?:\s|$)"), F.lit("instalment_count")),
+        F.when(F.contains(t, F.lit(instalment)) & t.rlike(rf"(?:^|\s){instalment}\s*[0-9]+"), F.lit("instalment_amount")),
         listed(t, "no_price", no_price),
     )
-    return let(compact_text(text), found)
+    return let(text if compacted else compact_text(text), found)
 
 
 def fingerprint(*fields: Column, title: Column | None = None) -> Column:
@@ -268,10 +269,10 @@ def _plain_match(phrase: str) -> str:
     return re.sub(r"\s+", " ", re.sub(r"[_/\\|,:;؛،!?؟()\[\]{}]+", " ", t)).strip()
 
 
-def model_key(title: Column, rules: Sequence[tuple[str, str]] = ()) -> Column:
+def model_key(title: Column, rules: Sequence[tuple[str, str]] = (), compacted: bool = False) -> Column:
     """Model key of the peer-median pipeline: years, mileages, colours, body and filler phrases removed; first matching rule."""
     w = r"[\p{L}\p{N}_]"
-    t = F.concat(F.lit(" "), compact_text(title), F.lit(" "))
+    t = F.concat(F.lit(" "), title if compacted else compact_text(title), F.lit(" "))
     t = F.regexp_replace(t, r"(?:20[0-9]{2}|1[34][0-9]{2})(?<=[^0-9]....)(?=[^0-9]|$)", " ")
     t = let(t, lambda t: F.when(t.rlike("کیلومتر|km"), F.regexp_replace(t, rf"(?i)(?<!{w})[0-9][0-9,٬ ]*+(?:کیلومتر|km)(?!{w})", " ")).otherwise(t))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,9 +82,18 @@ _PLAIN = str.maketrans(_DIGITS + "كيىةۀؤإأٱ" + "\u200c\u200f\ufeff", AS
 _NOT_PLAIN = re.compile("[" + "".join(map(chr, _PLAIN)) + "]+")
 
 
+def _plain_text(text: str) -> str:
+    if not text.isascii() and _NOT_PLAIN.search(text):
+        text = _NOT_PLAIN.sub(lambda m: m[0].translate(_PLAIN), text)
+    return " ".join(text.split())
+
+
+_plain_word = lru_cache(1 << 14)(_plain_text)
+
+
 def plain_text(text: str) -> str:
-    """What normalize_text does, for texts that a task holds."""
-    return " ".join(_NOT_PLAIN.sub(lambda m: m[0].translate(_PLAIN), text).split())
+    """What normalize_text does, for texts that a task holds. Short ones, which are read again and again, are remembered."""
+    return _plain_word(text) if len(text) <= 60 else _plain_text(text)
 
 
 _NAMED = re.compile("[0-9a-zآ-ی]+")

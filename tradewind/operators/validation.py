@@ -130,35 +130,35 @@ def price_list_table(messages: DataFrame, models: Sequence[str] | DataFrame, das
 def build_listings(payloads: DataFrame, key: str, card: str, detail: str, seen_at: str, rules: Sequence[tuple[str, str]] = (), stored: DataFrame | None = None, url: str = "https://divar.ir/v/a/", depth: int = 8) -> DataFrame:
     """Listings of the peer-median pipeline from a card and a detail payload (JSON, the latter may be null), one a row.
 
-    Token, title, texts, price, city, district and picture come from walks over both; year, mileage, body class, exclusion and
+    Token, title, texts, price, city, district and picture come from one walk over both, made where the row lies (``depth`` is for
+    json_walk's callers); year, mileage, body class, exclusion and
     severe damage from all their texts. A listing is also excluded if its model key has fewer than two characters or it has no
     price. ``stored`` (token, first_seen) keeps the first_seen of what is known. Rows without a token are left out.
     """
-    default = "آگهی خودرو"
-    told = F.expr(f"try_parse_json(`{detail}`) is not null")
-    whole = F.concat(F.lit('{"card":'), F.col(card), F.when(told, F.concat(F.lit(',"detail":'), F.col(detail))).otherwise(F.lit("")), F.lit("}"))
-    rows = payloads.select(key, whole.alias("_json"))
-    walk = PL.json_walk(rows, key, "_json", depth)
-    below = lambda name: walk.filter(F.col("path").rlike(rf"^\$\.{name}(?:$|[.\[])")).withColumn("path", F.concat(F.lit("$"), F.expr(f"substring(path, {len(name) + 3})")))
-    own, more = below("card"), below("detail")
-    top = more.unionByName(own.join(more.filter("path = '$'").select(key), key, "left_anti"))
-    token = PL.json_token(own, [key]).unionByName(PL.json_token(top, [key]).join(PL.json_token(own, [key]), key, "left_anti"))
-    title = PL.json_title(top, [key], default).join(PL.json_title(own, [key], default).withColumnRenamed("title", "_own"), key)
-    title = title.select(key, F.when(F.col("title") == default, F.col("_own")).otherwise(F.col("title")).alias("title"))
-    first = lambda name, *names: PL.json_first_value(walk, key, names, name)
-    out = rows.select(key, "_json").join(token, key).join(title, key)
-    for part in (
-        PL.json_all_text(walk, key).withColumnRenamed("all_text", "_text"),
-        PL.json_price(walk, key).withColumnRenamed("price", "price_toman"),
-        first("city", "city_persian", "city_name", "city", "city_title", "city_slug"),
-        first("district", "district_persian", "district_name", "district", "neighborhood", "neighbourhood"),
-        PL.json_image(walk, key),
-    ):
-        out = out.join(part, key, "left")
+    first = {"city": ("city_persian", "city_name", "city", "city_title", "city_slug"), "district": ("district_persian", "district_name", "district", "neighborhood", "neighbourhood")}
+    alone = F.concat(F.lit('{"card":'), F.col(card), F.lit("}"))
+    both = F.concat(F.lit('{"card":'), F.col(card), F.lit(',"detail":'), F.col(detail), F.lit("}"))
+    read = lambda whole, told: F.struct(whole.alias("_json"), told.alias("_told"))
+    # Generated once a row, so that no later column parses a payload again; a detail that is no JSON is left out.
+    whole = T.let(PL.as_json(both), lambda told: F.when(told.isNotNull(), read(both, told)).otherwise(read(alone, PL.as_json(alone))))
+    rows = payloads.select(key, F.inline(F.array(whole)))
+    found, price = PL.json_listing(F.col("_told"), first)
+    out = rows.withColumn("_found", found).filter("_found.token is not null").select(key, "_json", "_found.*").withColumnRenamed("all_text", "_text")
     text = F.coalesce("_text", F.lit(""))
+    # As normalised, and as compact, as the parsers would make it.
+    plain, small = F.replace(text, F.lit("\n"), F.lit(" ")), F.coalesce("compact", F.lit(""))
+    named = F.trim(F.concat_ws(" ", "title_compact", small))
     compact = lambda c, phrases: T.first_phrase(c, [P._plain_compact(p) for p in phrases])
-    severe = T.let(T.compact_text(text), lambda t: compact(t, L.SEVERE_DAMAGE_PHRASES))
-    out = out.withColumns({"model_key": P.model_key(F.col("title"), rules), "year": P.year_peer(text), "mileage": P.mileage_peer(text), "body_class": P.severity_class(text), "_why": P.exclusion_reason(F.concat_ws("\n", "title", "_text")), "severe_damage": severe.isNotNull()})
+    fields = {
+        "price_toman": price(F.col("prices")),
+        "model_key": P.model_key(F.col("title_compact"), rules, compacted=True),
+        "year": P.year_peer(plain, normalized=True),
+        "mileage": P.mileage_peer(plain, normalized=True),
+        "body_class": P.severity_class(small, compacted=True),
+        "_why": P.exclusion_reason(named, compacted=True),
+        "severe_damage": compact(small, L.SEVERE_DAMAGE_PHRASES).isNotNull(),
+    }
+    out = out.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in fields.items()]))))
     unnamed = F.when(F.length("model_key") < 2, "unknown_model")
     reason = F.coalesce("_why", unnamed, F.when(F.col("price_toman").isNull(), "no_price_found"))
     now = F.lit(seen_at).cast("timestamp")

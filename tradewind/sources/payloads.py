@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.parsers import plausible_price, price_peer
-from ..functions.text import let, normalize_text, squeeze
+from ..functions.text import let, normalize_text, plain_compact, plain_text, squeeze
 from .picks import cards, listing
 from .scratch import written
 
@@ -179,27 +179,27 @@ def _labelled_prices(walk: DataFrame, key: str, currency: str, label: str, low:
 
 def json_listing(told: Column, first: dict[str, Sequence[str]], low: int = 30_000_000, high: int = 100_000_000_000) -> tuple[Column, Callable[[Column], Column]]:
     """What listings are built of, from a payload with the objects card and detail (of as_json): struct(token, title, all_text,
-    compact (compact_text of all_text), image_url, prices and the ``first`` values, by their columns), and the price of such a struct's prices.
+    compact and title_compact (what compact_text makes of all_text and title), image_url, prices and the ``first`` values, by their columns), and the price of such a struct's prices.
 
     Each is what json_token, json_title, json_all_text, json_image, json_price and json_first_value tell of a walk, but a task walks a
     payload once. The first of ``prices``, in the order of json_price, that is a price counts.
     """
     card = (TOKEN_NAMES, TOKEN_LINK, TITLE_NAMES)
     priced, image = (PRICE_NAMES, PRICE_LABEL, CURRENCY), ("|".join(IMAGE_NAMES), f"{IMAGE_FORM}|(?:{'|'.join(IMAGE_HOSTS)})")
-    worded = pa.list_(pa.struct([("worded", pa.bool_()), ("text", pa.string())]))
-    kinds = {"token": pa.string(), "title": pa.string(), "all_text": pa.string(), "compact": pa.string(), "image_url": pa.string(), "prices": worded} | {c: pa.string() for c in first}
-    fields = ", ".join(f"{c}: {'array<struct<worded: boolean, text: string>>' if k == worded else 'string'}" for c, k in kinds.items())
+    worded = pa.list_(pa.struct([("worded", pa.bool_()), ("text", pa.string()), ("compact", pa.string())]))
+    kinds = {"token": pa.string(), "title": pa.string(), "all_text": pa.string(), "compact": pa.string(), "title_compact": pa.string(), "image_url": pa.string(), "prices": worded} | {c: pa.string() for c in first}
+    fields = ", ".join(f"{c}: {'array<struct<worded: boolean, text: string, compact: string>>' if k == worded else 'string'}" for c, k in kinds.items())
 
     @F.arrow_udf(f"struct<{fields}>")
     def run(payloads: pa.Array) -> pa.Array:
         rows = [listing(x, TOKEN, card, NO_TITLE, first, priced, image) if x else (None,) * len(kinds) for x in payloads.to_pylist()]
         columns = dict(zip(kinds, zip(*rows, strict=True), strict=True)) if rows else dict.fromkeys(kinds, ())
-        columns["prices"] = [None if x is None else [{"worded": w, "text": t} for w, t in x] for x in columns["prices"]]
+        columns["prices"] = [None if x is None else [{"worded": w, "text": plain_text(t), "compact": plain_compact(plain_text(t))} for w, t in x] for x in columns["prices"]]
         return pa.StructArray.from_arrays([pa.array(columns[c], k) for c, k in kinds.items()], names=list(kinds))
 
     def price(prices: Column) -> Column:
         number = lambda t: plausible_price(F.floor(t.try_cast("double")).cast("bigint"), low, high)
-        each = F.transform(prices, lambda x: F.when(x["worded"], price_peer(x["text"], low, high)).otherwise(number(x["text"])))
+        each = F.transform(prices, lambda x: F.when(x["worded"], price_peer(x["text"], low, high, compact=x["compact"])).otherwise(number(x["text"])))
         return F.get(F.filter(each, lambda p: p.isNotNull()), 0)
 
     return run.asNondeterministic()(told), price  # else a filter on it is run before rows are dealt, a second time
