@@ -451,3 +451,21 @@ def test_substring_lookup_against_brute_force(spark):
     got = {r.id: r.price for r in V.substring_lookup(df, spark.createDataFrame(table, "ord int, key string, price bigint")).collect()}
     for k, n in enumerate(names):
         assert got[k] == (None if n is None else next((p for _, key, p in table if key is not None and key in n), None)), n
+
+
+def test_group_listings_read_a_text_once(spark, monkeypatch):
+    texts = [("پژو 206 تیپ 5", "مدل 1390 کارکرد 17000 کیلومتر", None), ("سوناتا", "1402 سال", "Hyundai"), (None, "مدل 1390", None), ("x", None, ""), (None, None, None), ("دنا پلاس توربو", "مدل 1399", "brand?")]
+    rows = spark.createDataFrame([(i, *texts[i % len(texts)]) for i in range(600)], "id int, title string, description string, brand string").repartition(5)
+    read, own = [], V._group_told
+    monkeypatch.setattr(V, "_group_told", lambda rows, *a: read.append(rows.count()) or own(rows, *a))
+    stated = ("brand", None, None, None)
+    out = V.group_listings(rows, "title", "description", stated)
+    assert read == [len(texts)]
+    want = sorted(map(str, own(rows, "title", "description", stated).collect()))
+    assert out.columns == own(rows, "title", "description", stated).columns
+    assert sorted(map(str, out.collect())) == want
+    # Of many texts too, by a join that isn't broadcast; and where most rows have their own, each for itself.
+    monkeypatch.setattr(V, "FEW_TEXTS", 2)
+    assert sorted(map(str, V.group_listings(rows, "title", "description", stated).collect())) == want
+    V.group_listings(rows.filter("id < 8"), "title", "description", stated)
+    assert read == [len(texts), len(texts), 8]

@@ -168,11 +168,36 @@ def build_listings(payloads: DataFrame, key: str, card: str, detail: str, seen_a
     return out.select(key, "token", "title", "model_key", "year", "mileage", "body_class", "price_toman", "city", "district", F.concat(F.lit(url), "token").alias("url"), "image_url", F.substring(text, 1, 20_000).alias("description"), reason.isNotNull().alias("excluded"), reason.alias("excluded_reason"), "severe_damage", seen.alias("first_seen"), now.alias("last_seen"), F.substring("_json", 1, 200_000).alias("source_json"))
 
 
+#: Distinct texts that are few in any case (they are broadcast), and texts that a task reads.
+FEW_TEXTS, TASK_TEXTS = 1 << 17, 50_000
+
+
 def group_listings(rows: DataFrame, title: str, description: str, stated: Sequence[str | None] = (None, None, None, None)) -> DataFrame:
     """rows with brand, model, trim, model_year and mileage of the group-mean pipeline; all null where no vehicle was found.
 
-    ``stated`` names the columns with the brand, model, trim and year that a page states itself. A vehicle needs a year.
+    ``stated`` names the columns with the brand, model, trim and year that a page states itself. A vehicle needs a year. What rows
+    have in common is read once: their distinct texts are written and read, and rows ask for theirs. Where more than half of the
+    rows have a text of their own, each row is read where it lies.
     """
+    keys = list(dict.fromkeys(c for c in (title, description, *stated) if c))
+    texts = written(rows.select(*keys).distinct())
+    n = texts.count()
+    if n > FEW_TEXTS and 2 * n > rows.count():
+        return _group_told(rows, title, description, stated)
+    dealt = texts.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_TEXTS)))
+    told = _group_told(dealt.withColumns({f"_k{i}": F.col(k) for i, k in enumerate(keys)}), title, description, stated)
+    told = told.select(*[f"_k{i}" for i in range(len(keys))], *[F.col(c).alias(f"_told_{c}") for c in GROUP_FIELDS])
+    same = [rows[k].eqNullSafe(told[f"_k{i}"]) for i, k in enumerate(keys)]
+    out = rows.join(F.broadcast(told) if n <= FEW_TEXTS else told, same, "left")
+    return out.withColumns({c: F.col(f"_told_{c}") for c in GROUP_FIELDS}).drop(*[c for c in told.columns])
+
+
+#: What group_listings adds.
+GROUP_FIELDS = ("brand", "model", "trim", "model_year", "mileage")
+
+
+def _group_told(rows: DataFrame, title: str, description: str, stated: Sequence[str | None]) -> DataFrame:
+    """rows with GROUP_FIELDS, each read for itself."""
     column = lambda c: F.col(c) if c else F.lit(None).cast("string")
     brand, model, trim, year = map(column, stated)
     own = P.GroupIdentity()
