@@ -133,11 +133,12 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     found = wanted.select(F.bitmap_bucket_number(bit).alias("k"), F.bitmap_bit_position(bit).alias("p")).groupBy("k").agg(F.bitmap_construct_agg("p").alias("m")).collect()
     sieve = np.zeros(SIEVE + (1 << 15), bool)
     for r in found:
+        if r["k"] == 0:  # holds number 0 alone
+            sieve[0] = True
+            continue
         s = (r["k"] - 1) << 15
         # Bucket k holds the numbers from 32768 * (k - 1) + 1 on.
         sieve[s + 1 : s + 1 + (1 << 15)] = np.unpackbits(np.frombuffer(r["m"], np.uint8), bitorder="little")[: len(sieve) - s - 1]
-        if r["k"] == 0:
-            sieve[0] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
